@@ -8,12 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tapeline.llm.bpe import op7_bpe
 from tapeline.llm.media import op6_media
+from tapeline.llm.quality import op3_quality
 from tapeline.llm.token_files import op9_token_files
+from tapeline.llm.toxicity import op10_toxicity
+from tapeline.shipping import ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op6_media": op6_media,
-    "op7_bpe": op7_bpe,
-    "op9_token_files": op9_token_files,
+    name: ready(query)
+    for name, query in {
+        "op3_quality": op3_quality,
+        "op6_media": op6_media,
+        "op7_bpe": op7_bpe,
+        "op9_token_files": op9_token_files,
+        "op10_toxicity": op10_toxicity,
+    }.items()
 }
 
 ORACLE: dict[str, str] = {}

@@ -96,12 +96,16 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the runs without bytes 20 and 09-0D, and how many each row has."""
+_LETTER = np.zeros(256, bool)
+_LETTER[[39, *range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+def words(data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray = ~_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of certain bytes (all but 20 and 09-0D), and how many each row has."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets) - 1, np.int64)
-    solid = ~_SPACE[data]
+    solid = kinds[data]
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
     before = np.empty(n, bool)
@@ -153,6 +157,27 @@ class Rolling:
         return mixed((self.sums[size:] - self.sums[:n]) * self.back[:n]) if n > 0 else np.zeros(0, np.uint64)
 
 
+def letter_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As words(), of letters, digits, apostrophes and bytes from 80 on."""
+    return words(data, offsets, _LETTER)
+
+
+def sums_by_row(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of the next counts[i] values for each row i; 0 for none."""
+    ends = np.concatenate([[0], np.cumsum(values, dtype=np.float64 if values.dtype.kind == "f" else np.int64)])
+    return np.diff(ends[np.concatenate([[0], np.cumsum(counts)])])
+
+
+def share_kept(rows: int, most: int) -> int:
+    """The bound under which 30 hash bits must lie so that about `most` of so many rows stay, all if fewer."""
+    return 1 << 30 if rows <= most else (most << 30) // rows
+
+
+def hashed(column: str):
+    """30 bits that depend on the id alone, for a sample that is the same in every run."""
+    return F.pmod(F.xxhash64(F.col(column)), F.lit(1 << 30))
+
+
 def gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """values[starts[i] : starts[i] + lengths[i]] for all i, one after the other."""
     total = int(lengths.sum())
