@@ -25,17 +25,36 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tapeline.llm.shared import gathered, scratch, slices, texts
+from tapeline.llm.shared import gathered, lowered, scratch, slices, texts
 
-KEPT_WORDS = 600_000
+KEPT_WORDS = 1_000_000
 MANIFEST = "part int, n_docs long, n_tokens long, width int"
 
 
+_LETTERS, _STOPS = np.zeros(256, bool), np.zeros(256, bool)
+_LETTERS[97:123] = True
+_STOPS[[*b".,!?;:"]] = True
+
+
+class _Slots(dict):
+    """Numbers for words in the order they are first asked for; those asked for since the last look are in `new`."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        slot = self[word] = len(self)
+        self.new.append(word)
+        return slot
+
+
 class WordIds:
-    """Ids of whole texts by a tokenizers file whose pre-tokenizer drops white space.
+    """Ids of whole texts by a tokenizers file that lowers letters, drops white space and splits letters from signs.
 
-    Such a file encodes what stands between two ASCII white-space characters by itself, so the library is
-    asked once for each such word, in batches, and texts are put together from the words' ids.
+    Such a file encodes what stands between two ASCII white-space characters by itself, and a run of signs after
+    an ASCII letter apart from it, so the library is asked once for each such piece and texts are put together
+    from the pieces' ids. Pieces go to the library some hundred at a time, between a special token.
     """
 
     def __init__(self, path: str) -> None:
@@ -45,46 +64,56 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.mark_id, mark = min(self.tokenizer.get_added_tokens_decoder().items())
+        self.mark = mark.content
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known = _Slots()
         self.flat, self.start, self.length = array("I"), array("q"), array("q")
 
-    def _learn(self, new: list[bytes]) -> None:
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for word, got in zip(some, self.tokenizer.encode_batch_fast([x.decode("utf-8", errors="replace") for x in some], add_special_tokens=False), strict=True):
-                ids = got.ids
-                self.known[word] = len(self.start)
-                self.start.append(len(self.flat))
-                self.length.append(len(ids))
-                self.flat.extend(ids)
-
-    def encode_many(self, many: list[bytes], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def _keep(self, ids: np.ndarray) -> None:
+        self.start.append(len(self.flat))
+        self.length.append(len(ids))
+        self.flat.frombytes(ids.astype(np.uint32).tobytes())
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _learn(self, end: int | None) -> None:
+        """Ids for the new pieces, in the order of their numbers; the piece of one space stands for the end id."""
+        new, self.known.new = self.known.new, []
+        for at in range(0, len(new), 256):
+            some = [x.decode("utf-8", errors="replace") for x in new[at : at + 256]]
+            if any("<" in x or x == " " for x in some):  # special tokens' strings may be among them
+                for x in some:
+                    self._keep(np.array([end]) if x == " " else self._encode(x))
+                continue
+            ids = self._encode(self.mark.join(some))
+            cuts = np.flatnonzero(ids == self.mark_id)
+            starts, ends = np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(ids)]])
+            plain = np.delete(ids, cuts)
+            self.start.extend((len(self.flat) + starts - np.arange(len(starts))).tolist())
+            self.length.extend((ends - starts).tolist())
+            self.flat.frombytes(plain.tobytes())
+
+    def encode_many(self, data: np.ndarray, offsets: np.ndarray, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, each followed by `end`, and how many each has."""
         if len(self.known) > KEPT_WORDS:
             self._forget()
-        ending = []
-        if end is not None:
-            if b" " not in self.known:  # no word is a space
-                self.known[b" "] = len(self.start)
-                self.start.append(len(self.flat))
-                self.length.append(1)
-                self.flat.append(end)
-            ending = [self.known[b" "]]
+        special = ((data[:-1] == 60) & (data[1:] == 124)).any()  # "<|": a special token's string is matched as it is written
+        small = data if special else lowered(data)
+        cut = np.flatnonzero(_STOPS[small[1:]] & _LETTERS[small[:-1]]) + 1
+        spaced = np.insert(small, cut, 32).tobytes()
+        bounds = (offsets + np.searchsorted(cut, offsets, side="left")).tolist()
         found: list[int] = []
         ends = [0]
-        for text in many:
-            parts = text.split()
-            before = len(found)
-            try:
-                found.extend(map(self.known.__getitem__, parts))
-            except KeyError:
-                self._learn([*set(parts).difference(self.known)])
-                found[before:] = map(self.known.__getitem__, parts)
-            found.extend(ending)
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            found.extend(map(self.known.__getitem__, spaced[a:b].split()))
+            if end is not None:
+                found.append(self.known[b" "])
             ends.append(len(found))
+        self._learn(end)
         slots = np.array(found, np.int64)
         lengths = np.frombuffer(self.length, np.int64)[slots]
         ids = gathered(np.frombuffer(self.flat, np.uint32), np.frombuffer(self.start, np.int64)[slots], lengths)
@@ -127,7 +156,7 @@ def write_token_files(documents: DataFrame, path: str, vocabulary: str, end_id:
             off_out.write(np.zeros(1, "<u8").tobytes())
             for batch in batches:
                 for some in slices(batch.column("text")):
-                    ids, lengths = encoder.encode_many([some.bytes(i) for i in range(len(some))], end_id)
+                    ids, lengths = encoder.encode_many(some.data, some.offsets, end_id)
                     ids_out.write(ids.astype(f"<u{width}").tobytes())
                     off_out.write((n_tokens + np.cumsum(lengths)).astype("<u8").tobytes())
                     docs = batch.column("doc_id").slice(some.first, len(some)).fill_null(np.iinfo(np.int64).min)
