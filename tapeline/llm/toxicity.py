@@ -20,10 +20,11 @@ from pyspark.sql import functions as F
 from tapeline.llm.quality import labelled
 from tapeline.llm.shared import Rolling, gathered, held_out, letter_words, lowered, slices, sums_by_row, texts
 
-#: About so many labelled texts fit the model, half of the sample at most from the rarer label's share.
+#: About so many labelled texts fit the model, a third of them of the rarer label where there are enough.
 TRAIN_ROWS = 6_000
 BUCKET_BITS = 17
-DIMENSIONS = 8
+DIMENSIONS = 4
+_CHUNK = 1 << 15
 GRAMS = (3, 4, 5)
 _MARK = np.frombuffer(b"<>", np.uint8)
 
@@ -81,8 +82,24 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
 
 
-def fit(many: list[str], y: np.ndarray, weight: np.ndarray, *, steps: int = 60, rate: float = 0.15, decay: float = 1e-7, seed: int = 7) -> Scorer:
-    """Embeddings and softmax trained together by Adam on all texts in each step. No texts score 0.5."""
+def _begins(counts: np.ndarray) -> np.ndarray:
+    return np.cumsum(counts) - counts
+
+
+def _summed(table: np.ndarray, rows: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Sums of table[rows] over segments, none of them empty, in chunks of segments."""
+    out = np.empty((len(begins), table.shape[1]), table.dtype)
+    for a in range(0, len(begins), _CHUNK):
+        first, last = begins[a], begins[a + _CHUNK] if a + _CHUNK < len(begins) else len(rows)
+        np.add.reduceat(table[rows[first:last]], begins[a : a + _CHUNK] - first, axis=0, out=out[a : a + _CHUNK])
+    return out
+
+
+def fit(many: list[str], y: np.ndarray, weight: np.ndarray, *, steps: int = 100, rate: float = 1.0, power: float = 0.25, seed: int = 7) -> Scorer:
+    """Embeddings and softmax trained together on all texts in each step. No texts score 0.5.
+
+    A step is a momentum step whose size adapts to each parameter's past gradients, but only by their power of
+    a quarter relative to the table's mean: subwords that many texts share stay ahead of those of a single one."""
     raw = [x.encode() for x in many]
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
     data = lowered(np.frombuffer(b"".join(raw), np.uint8))
@@ -92,39 +109,49 @@ def fit(many: list[str], y: np.ndarray, weight: np.ndarray, *, steps: int = 60,
         mean = (y.sum() + 0.5) / (len(y) + 1)
         return Scorer(float(np.log(mean / (1 - mean))), np.zeros(table, np.float32))
     buffer, bounds, number = distinct_words(data, starts, ends)
-    rows, grams = subwords(buffer, bounds)
+    cuts = [*range(0, len(bounds) - 1, _CHUNK), len(bounds) - 1]
+    parted = [subwords(buffer[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+    grams = np.concatenate([g for _, g in parted])
+    used, place = np.unique(np.concatenate([r.astype(np.int32) for r, _ in parted]), return_inverse=True)
+    place = place.astype(np.int32)
+    of_words = _begins(grams)
+    by_row = np.argsort(place, kind="stable").astype(np.int32)
+    of_uses = _begins(np.bincount(place))
+    word_of = np.repeat(np.arange(len(grams), dtype=np.int32), grams)[by_row]
+    del parted, by_row
     doc = np.repeat(np.arange(len(many)), count)
     pair, times = np.unique(doc * len(grams) + number, return_counts=True)
-    pair_doc, pair_word = pair // len(grams), pair % len(grams)
-    share = (times / count[pair_doc]).astype(np.float32)
+    pair_doc, pair_word = (pair // len(grams)).astype(np.int32), (pair % len(grams)).astype(np.int32)
+    share = (times / count[pair_doc]).astype(np.float32)[:, None]
     by_word = np.argsort(pair_word, kind="stable")
-    word_pairs = np.bincount(pair_word, minlength=len(grams))
-    used, place = np.unique(rows, return_inverse=True)
-    by_row = np.argsort(place, kind="stable")
-    row_uses = np.bincount(place)
-    word_of = np.repeat(np.arange(len(grams)), grams)[by_row]
-    doc_pairs = np.bincount(pair_doc, minlength=len(many))
+    of_pairs = _begins(np.bincount(pair_word))
+    filled = np.unique(pair_doc)
+    of_texts = np.searchsorted(pair_doc, filled)
+    per_word = (1 / grams).astype(np.float32)[:, None]
+    share_by_word, doc_by_word = share[by_word], pair_doc[by_word]
+    del data, doc, number, pair, times, by_word
     rng = np.random.default_rng(seed)
-    parts = [rng.normal(0, 0.3, (len(used), DIMENSIONS)), rng.normal(0, 0.3, (DIMENSIONS, 2)), np.zeros(2)]
-    first, second = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts]
-    weight = weight / weight.sum()
-    segment = lambda v, counts: np.stack([sums_by_row(v[:, k], counts) for k in range(v.shape[1])], 1)
+    parts = [rng.normal(0, 0.01, (len(used), DIMENSIONS)).astype(np.float32), rng.normal(0, 1, (DIMENSIONS, 2)).astype(np.float32), np.zeros(2, np.float32)]
+    momentum, square = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts]
+    weight = (weight / weight.sum()).astype(np.float32)
     for step in range(1, steps + 1):
         e, w, b = parts
-        word = segment(e[place], grams) / grams[:, None]
-        text = segment(word[pair_word] * share[:, None], doc_pairs)
+        word = _summed(e, place, of_words) * per_word
+        text = np.zeros((len(many), DIMENSIONS), np.float32)
+        text[filled] = np.add.reduceat(word[pair_word] * share, of_texts, axis=0)
         odds = text @ w + b
         p = np.exp(odds - odds.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        p[np.arange(len(y)), y.astype(np.int64)] -= 1
+        p[np.arange(len(y)), y] -= 1
         d_odds = p * weight[:, None]
         d_text = d_odds @ w.T
-        d_word = segment(d_text[pair_doc[by_word]] * share[by_word, None], word_pairs) / grams[:, None]
-        d_e = segment(d_word[word_of], row_uses)
-        for k, g in enumerate((d_e + decay * e, text.T @ d_odds + decay * w, d_odds.sum(0))):
-            first[k] += 0.1 * (g - first[k])
-            second[k] += 0.01 * (g * g - second[k])
-            parts[k] = parts[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-9)
+        d_word = np.add.reduceat(d_text[doc_by_word] * share_by_word, of_pairs, axis=0) * per_word
+        for k, g in enumerate((_summed(d_word, word_of, of_uses), text.T @ d_odds, d_odds.sum(0))):
+            momentum[k] += 0.1 * (g - momentum[k])
+            square[k] += 0.02 * (g * g - square[k])
+            size = square[k] / (1 - 0.98**step)
+            scale = float(size.mean()) ** (0.5 - power) * size**power
+            parts[k] = parts[k] - rate * (momentum[k] / (1 - 0.9**step)) / (scale + 1e-12)
     e, w, b = parts
     row = np.zeros(table, np.float32)
     row[used] = e @ (w[:, 1] - w[:, 0])
