@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tapeline.llm.bpe import op7_bpe
+from tapeline.llm.lattice import op8_lattice
 from tapeline.llm.media import op6_media
 from tapeline.llm.quality import op3_quality
 from tapeline.llm.token_files import op9_token_files
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "op3_quality": op3_quality,
         "op6_media": op6_media,
         "op7_bpe": op7_bpe,
+        "op8_lattice": op8_lattice,
         "op9_token_files": op9_token_files,
         "op10_toxicity": op10_toxicity,
     }.items()
