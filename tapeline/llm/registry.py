@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tapeline.llm.bpe import op7_bpe
+from tapeline.llm.decontamination import op4_decontamination
 from tapeline.llm.lattice import op8_lattice
 from tapeline.llm.media import op6_media
 from tapeline.llm.quality import op3_quality
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: ready(query)
     for name, query in {
         "op3_quality": op3_quality,
+        "op4_decontamination": op4_decontamination,
         "op6_media": op6_media,
         "op7_bpe": op7_bpe,
         "op8_lattice": op8_lattice,
