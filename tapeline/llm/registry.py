@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tapeline.llm.bpe import op7_bpe
 from tapeline.llm.decontamination import op4_decontamination
+from tapeline.llm.jaccard_join import op5_jaccard_join
 from tapeline.llm.lattice import op8_lattice
 from tapeline.llm.media import op6_media
 from tapeline.llm.quality import op3_quality
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for name, query in {
         "op3_quality": op3_quality,
         "op4_decontamination": op4_decontamination,
+        "op5_jaccard_join": op5_jaccard_join,
         "op6_media": op6_media,
         "op7_bpe": op7_bpe,
         "op8_lattice": op8_lattice,
