@@ -56,6 +56,9 @@ class Pieces:
         if (self.find(self.hashes) != own).any():
             raise ValueError("two pieces share both slots")
 
+    def __reduce__(self):
+        return Pieces, (self.strings, self.weight)  # the tables are large and soon made
+
     @staticmethod
     def _slots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return (h >> np.uint64(64 - _SLOT_BITS)).astype(np.int64), (h & np.uint64((1 << _SLOT_BITS) - 1)).astype(np.int64)
