@@ -170,7 +170,7 @@ def labelled(rows: DataFrame, labels: DataFrame, label: str, condition: Column,
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).where(condition)
     known = known.groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("label"))
     bound = share_kept(known.count(), most)
-    return rows.join(known.where(hashed("doc_id") < bound), "doc_id")
+    return rows.join(F.broadcast(known.where(hashed("doc_id") < bound)), "doc_id")  # about `most` rows
 
 
 def quality_scores(documents: DataFrame, labels: DataFrame, *, train: Column, train_rows: int = TRAIN_ROWS) -> DataFrame:

@@ -21,7 +21,7 @@ from tapeline.llm.quality import labelled
 from tapeline.llm.shared import Rolling, gathered, held_out, letter_words, lowered, slices, sums_by_row, texts
 
 #: About so many labelled texts fit the model, a third of them of the rarer label where there are enough.
-TRAIN_ROWS = 6_000
+TRAIN_ROWS = 4_500
 BUCKET_BITS = 17
 DIMENSIONS = 4
 _CHUNK = 1 << 15
