@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapeline.llm.bitmap import bitmap
 from tapeline.llm.components import components
 from tapeline.llm.shared import Rolling, lowered, mixed, slices, texts, words, written
 
@@ -32,7 +33,6 @@ PERCENT = 80
 #: Tokens in more than one of RARE documents come last in the order.
 RARE = 1_000
 SIGNATURE_BYTES = 128
-FILTER_BITS = 1 << 25
 FANOUT = 16
 _STEPS = [pow(0xA24BAED4963EE407, k, 1 << 64) for k in range(1, 64)]
 
@@ -255,14 +255,18 @@ def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def _cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """a, b: by a signature tree for each token, the pairs of different components in its block that may link."""
+    """a, b: by a signature tree for each token, the pairs of different components in its block that may link.
+
+    Of two similar sets x and y with at least o tokens in common, the first min(|prefix x| - |x| + o, |prefix y| -
+    |y| + o) common ones are in both prefixes, so that a pair must come up in at least so many blocks."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.select("token", "fp", "n", "component", "sig").repartition(parts, "token").sortWithinPartitions("token")
 
-    def block(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def block(columns: list[np.ndarray]) -> tuple[np.ndarray, ...]:
         fp, n, component, sig = columns
         a, b = SignatureTree(n.astype(np.int64), sig, component).pairs(percent)
-        return np.minimum(fp[a], fp[b]), np.maximum(fp[a], fp[b])
+        a, b = np.where(fp[a] < fp[b], a, b), np.where(fp[a] < fp[b], b, a)
+        return fp[a], fp[b], n[a].astype(np.int64), n[b].astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -280,53 +284,32 @@ def _cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
                     token_held = token[a]
                     held.append([c[a:b] for c in columns])
             if found:
-                both = np.unique(np.stack([np.concatenate([f[k] for f in found]) for k in (0, 1)]), axis=1)
-                if both.shape[1]:
-                    yield pa.record_batch([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
-
-    return dealt.mapInArrow(run, "a long, b long").distinct()
-
-
-def _filter_of(ids: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size with a bit for each id, gathered as blocks that the tasks have put together."""
-    chunk = 1 << 16
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS, bool)
-        for batch in batches:
-            bits[_places(np.asarray(batch.column(0)))] = True
-        blocks = bits.reshape(-1, chunk)
-        some = np.flatnonzero(blocks.any(1))
-        yield pa.record_batch([pa.array(some, pa.int64()), pa.array([np.packbits(blocks[k]).tobytes() for k in some], pa.binary())], ["block", "bits"])
-
-    def either(rows: pa.Table) -> pa.Table:
-        all_bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint8).reshape(rows.num_rows, -1)
-        return pa.table({"block": rows.column("block")[:1], "bits": pa.array([np.bitwise_or.reduce(all_bits, 0).tobytes()], pa.binary())})
-
-    made = ids.coalesce(8).mapInArrow(run, "block long, bits binary").groupBy("block").applyInArrow(either, "block long, bits binary").toPandas()
-    out = np.zeros((FILTER_BITS // chunk, chunk), bool)
-    for k, bits in zip(made["block"], made["bits"], strict=True):
-        out[k] = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
-    return np.packbits(out.ravel())
-
+                every = [np.concatenate([f[k] for f in found]) for k in range(4)]
+                if len(every[0]):
+                    order = np.lexsort((every[1], every[0]))
+                    a, b = every[0][order], every[1][order]
+                    cut = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+                    some = order[cut]
+                    yield pa.record_batch([*(pa.array(x[some]) for x in every), pa.array(np.diff(np.concatenate([cut, [len(order)]])))], ["a", "b", "na", "nb", "blocks"])
 
-def _places(ids: np.ndarray) -> np.ndarray:
-    return (mixed(ids.astype(np.int64).view(np.uint64)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+    found = dealt.mapInArrow(run, "a long, b long, na long, nb long, blocks long").groupBy("a", "b", "na", "nb").agg(F.sum("blocks").alias("blocks"))
+    common = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
+    outside = [F.col(n) - (F.col(n) - F.ceil(percent * F.col(n) / 100) + 1) for n in ("na", "nb")]
+    return found.where(F.col("blocks") >= common - F.greatest(*outside)).select("a", "b")
 
 
 def sets_of(documents: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """fp, tokens of the wanted sets, each from the document of smallest id that has it.
 
     A bitmap of fixed size keeps most other documents from being read into sets; the join then leaves the rest."""
-    own = rows.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
+    own = rows.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("own_id"))
     own = written(own, "set-owners")
-    bits = documents.sparkSession.sparkContext.broadcast(_filter_of(own.select("doc_id")))
+    bits = documents.sparkSession.sparkContext.broadcast(bitmap(own.where("own_id is not null").select("own_id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").fill_null(-1)
-            at = _places(np.asarray(ids))
-            batch = batch.filter(pa.array((bits.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
+            ids = batch.column("doc_id")
+            batch = batch.filter(pa.array(bits.value.has(np.asarray(ids.fill_null(0))) | np.asarray(ids.is_null())))
             for part in slices(batch.column("text")) if batch.num_rows else ():
                 values, sizes = shingle_sets(part.data, part.offsets)
                 bound = np.concatenate([[0], np.cumsum(sizes)])
@@ -335,7 +318,7 @@ def sets_of(documents: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFra
                 yield pa.record_batch([batch.column("doc_id").slice(part.first, len(part)), ids, lists], ["doc_id", "fp", "tokens"])
 
     found = texts(documents).mapInArrow(run, "doc_id long, fp long, tokens array<long>")
-    return found.join(own, ["doc_id", "fp"]).groupBy("fp").agg(F.first("tokens").alias("tokens"))
+    return found.join(own.withColumnRenamed("fp", "set"), found["doc_id"].eqNullSafe(F.col("own_id")) & (F.col("fp") == F.col("set"))).groupBy("fp").agg(F.first("tokens").alias("tokens"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
