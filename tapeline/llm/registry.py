@@ -13,6 +13,7 @@ from tapeline.llm.lattice import op8_lattice
 from tapeline.llm.media import op6_media
 from tapeline.llm.quality import op3_quality
 from tapeline.llm.repeats import op2_repeats
+from tapeline.llm.secrets_scan import op1_secrets
 from tapeline.llm.token_files import op9_token_files
 from tapeline.llm.toxicity import op10_toxicity
 from tapeline.shipping import ready
@@ -20,6 +21,7 @@ from tapeline.shipping import ready
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: ready(query)
     for name, query in {
+        "op1_secrets": op1_secrets,
         "op2_repeats": op2_repeats,
         "op3_quality": op3_quality,
         "op4_decontamination": op4_decontamination,
