@@ -4,11 +4,14 @@ traversal prunes node pairs by their maximum possible overlap.
 All documents can't stand under one tree. Any two sets of a Jaccard similarity t or more share a token among the
 first |x| - ceil(t |x|) + 1 of each in any common order of tokens, so that documents meet in blocks, one for each
 such token, and a tree is built for a block. The order is by hash, with the most frequent tokens last (a list
-of bounded size), so that a passage common to many documents makes no block. Equal sets are one row throughout.
+of bounded size) and before them the tokens that more than HEAVY sets have among their first by hash (a bitmap of
+bounded size), so that a passage common to many documents makes no block. Equal sets are one row throughout.
 
 1. Every set is linked to its block's smallest member where that passes the bitmap bound; of those the member
    with the most shared blocks is verified on the whole sets, and the links found make first components.
-2. Blocks that still hold several components are traversed, and every pair across components that passes the
+2. In blocks of more than HEAVY sets that still hold several components, each set is verified against the next
+   NEXT ones of its block, so that a large group of near copies comes to one component without all its pairs.
+3. Blocks that still hold several components are traversed, and every pair across components that passes the
    bound is verified. Nothing is left out: pairs within a component need no more links.
 
 Tables of rows, blocks, links and labels stay in the shared folder; nothing of them goes to the driver.
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeline.llm.bitmap import bitmap
+from tapeline.llm.bitmap import Bitmap, bitmap
 from tapeline.llm.components import components
 from tapeline.llm.shared import Rolling, lowered, mixed, slices, texts, words, written
 
@@ -32,6 +35,9 @@ WORDS = 5
 PERCENT = 80
 #: Tokens in more than one of RARE documents come last in the order.
 RARE = 1_000
+#: Tokens in the prefixes of more sets come after the others; larger blocks are linked along their order first.
+HEAVY = 16
+NEXT = 8
 SIGNATURE_BYTES = 128
 FANOUT = 16
 _STEPS = [pow(0xA24BAED4963EE407, k, 1 << 64) for k in range(1, 64)]
@@ -103,17 +109,20 @@ def frequent_tokens(rows: DataFrame, rare: int = RARE) -> np.ndarray:
     return np.sort(total.select("token").toPandas()["token"].to_numpy(np.int64).view(np.uint64))
 
 
-def block_rows(documents: DataFrame, last: np.ndarray, percent: int = PERCENT) -> DataFrame:
-    """token, fp, n: a row for each token of each set's prefix. Equal sets of one slice give their rows once."""
-    shared = documents.sparkSession.sparkContext.broadcast(last)
+def block_rows(documents: DataFrame, last: np.ndarray, heavy: Bitmap | None = None, percent: int = PERCENT) -> DataFrame:
+    """token, fp, n: a row for each token of each set's prefix, with the tokens of `heavy` after the others and
+    those of `last` at the end. Equal sets of one slice give their rows once."""
+    shared = documents.sparkSession.sparkContext.broadcast((last, heavy))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = shared.value
+        often, heavy = shared.value
         for batch in batches:
             for part in slices(batch.column("text")):
                 values, sizes = shingle_sets(part.data, part.offsets)
                 at = np.minimum(np.searchsorted(often, values), max(len(often) - 1, 0))
-                late = often[at] == values if len(often) else np.zeros(len(values), bool)
+                late = 2 * (often[at] == values).astype(np.int8) if len(often) else np.zeros(len(values), np.int8)
+                if heavy is not None:
+                    late[(late == 0) & heavy.has(values.view(np.int64))] = 1
                 bound = np.concatenate([[0], np.cumsum(sizes)])
                 tokens, ids, ns, seen = [], [], [], set()
                 for a, b in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True):
@@ -122,11 +131,7 @@ def block_rows(documents: DataFrame, last: np.ndarray, percent: int = PERCENT) -
                     seen.add(fp)
                     n = b - a
                     prefix = n - -(-percent * n // 100) + 1
-                    own, behind = values[a:b], late[a:b]
-                    first = own[~behind][:prefix]
-                    if len(first) < prefix:
-                        first = np.concatenate([first, own[behind][: prefix - len(first)]])
-                    tokens.append(first)
+                    tokens.append(values[a:b][np.argsort(late[a:b], kind="stable")[:prefix]])
                     ids.append(np.full(prefix, fp))
                     ns.append(np.full(prefix, n, np.int32))
                 if tokens:
@@ -135,6 +140,11 @@ def block_rows(documents: DataFrame, last: np.ndarray, percent: int = PERCENT) -
     return texts(documents).mapInArrow(run, "token long, fp long, n int")
 
 
+def heavy_tokens(rows: DataFrame) -> Bitmap:
+    """The tokens of more than HEAVY block rows, in a bitmap of bounded size: an order, so that its errors cost no link."""
+    return bitmap(rows.groupBy("token").count().where(F.col("count") > HEAVY).select("token"))
+
+
 def shared_blocks(rows: DataFrame) -> DataFrame:
     """token, fp, n, leader: the rows whose token several sets have, once for each set; leader is the smallest fp.
 
@@ -254,6 +264,28 @@ def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(run, ", ".join(columns))
 
 
+def _next_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """a, b: each set of a block with the next NEXT of other components in the order of fp, where the bound allows it.
+
+    Rows are dealt by range, so that a large block lies in several tasks; where it is cut some pairs are missed."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select("token", "fp", "n", "component", "sig").repartitionByRange(parts, "token", "fp").sortWithinPartitions("token", "fp")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            token, fp, n, component = (np.asarray(batch.column(c)) for c in ("token", "fp", "n", "component"))
+            sig, n, found = _signatures(batch.column("sig")), n.astype(np.int64), []
+            for k in range(1, min(NEXT, len(token) - 1) + 1):
+                a = np.flatnonzero((token[k:] == token[:-k]) & (component[k:] != component[:-k]))
+                a = a[possible(n[a], sig[a], n[a + k], sig[a + k], percent)]
+                found.append(np.stack([fp[a], fp[a + k]], 1))
+            if found:
+                pairs = np.unique(np.concatenate(found), axis=0)
+                yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
 def _cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """a, b: by a signature tree for each token, the pairs of different components in its block that may link.
 
@@ -350,7 +382,8 @@ def jaccard_classes(documents: DataFrame, *, percent: int = PERCENT, rare: int =
     all_rows = written(row_sets(documents, rare), "shingle-rows")
     rows = all_rows.select("doc_id", "n", "fp", "sig")
     last = frequent_tokens(all_rows, rare)
-    live = written(shared_blocks(block_rows(documents, last, percent)), "shared-blocks")
+    heavy = heavy_tokens(block_rows(documents, last, percent=percent))
+    live = written(shared_blocks(block_rows(documents, last, heavy, percent)), "shared-blocks")
     sizes = rows.where("n > 0").groupBy("fp").agg(F.first("n").alias("n"), F.first("sig").alias("sig"))
     sizes = written(sizes.join(live.select("fp").distinct(), "fp", "left_semi"), "signatures")
 
@@ -362,17 +395,25 @@ def jaccard_classes(documents: DataFrame, *, percent: int = PERCENT, rare: int =
     first = written(first, "first-pairs")
     ends = first.select(F.col("a").alias("fp")).union(first.select(F.col("b").alias("fp"))).distinct()
     links = written(verified(first, sets_of(documents, rows, ends), percent), "links")
-    labels = components(links)
 
-    placed = sizes.select("fp", "sig").join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").select("fp", "sig", F.coalesce("label", "fp").alias("component"))
-    several = live.join(placed.select("fp", "component"), "fp")
-    split = several.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("token")
-    split = written(split, "split-blocks")
-    again = live.join(split, "token", "left_semi").select("token", "fp", "n").join(placed, "fp")
-    crossed = written(_cross_pairs(again, percent), "cross-pairs")
-    ends = crossed.select(F.col("a").alias("fp")).union(crossed.select(F.col("b").alias("fp"))).distinct()
-    more = written(verified(crossed, sets_of(documents, rows, ends), percent), "links")
-    labels = components(links.union(more))
+    def placed(labels: DataFrame) -> DataFrame:
+        return sizes.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").select("fp", "sig", F.coalesce("label", "fp").alias("component"))
+
+    def undecided(labels: DataFrame, least: int) -> DataFrame:
+        """The rows of the blocks of more than `least` sets and of several components."""
+        where = placed(labels)
+        several = live.join(where.select("fp", "component"), "fp").groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("sets"))
+        split = written(several.where(f"low != high and sets > {least}").select("token"), "split-blocks")
+        return live.join(split, "token", "left_semi").select("token", "fp", "n").join(where, "fp")
+
+    def decided(pairs: DataFrame, links: DataFrame) -> DataFrame:
+        """The links and those among the pairs."""
+        ends = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
+        return links.union(written(verified(pairs, sets_of(documents, rows, ends), percent), "links"))
+
+    links = decided(written(_next_pairs(undecided(components(links), HEAVY), percent), "next-pairs"), links)
+    links = decided(written(_cross_pairs(undecided(components(links), 1), percent), "cross-pairs"), links)
+    labels = components(links)
 
     smallest = rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"))
     named = smallest.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
