@@ -142,7 +142,7 @@ def block_rows(documents: DataFrame, last: np.ndarray, heavy: Bitmap | None = No
 
 def heavy_tokens(rows: DataFrame) -> Bitmap:
     """The tokens of more than HEAVY block rows, in a bitmap of bounded size: an order, so that its errors cost no link."""
-    return bitmap(rows.groupBy("token").count().where(F.col("count") > HEAVY).select("token"))
+    return bitmap(written(rows.groupBy("token").count().where(F.col("count") > HEAVY).select("token"), "heavy-tokens"))
 
 
 def shared_blocks(rows: DataFrame) -> DataFrame:
@@ -245,6 +245,9 @@ class SignatureTree:
 
 
 _MIXED = np.iinfo(np.int64).max
+#: Blocks of one smallest member go to at most so many tasks, where pairs that come up again are counted in groups of this size.
+_DEALS = 8
+_PAIRS = 1 << 19
 
 
 def _signatures(column: pa.Array) -> np.ndarray:
@@ -292,37 +295,59 @@ def _cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
     Of two similar sets x and y with at least o tokens in common, the first min(|prefix x| - |x| + o, |prefix y| -
     |y| + o) common ones are in both prefixes, so that a pair must come up in at least so many blocks."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select("token", "fp", "n", "component", "sig").repartition(parts, "token").sortWithinPartitions("token")
-
-    def block(columns: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-        fp, n, component, sig = columns
-        a, b = SignatureTree(n.astype(np.int64), sig, component).pairs(percent)
-        a, b = np.where(fp[a] < fp[b], a, b), np.where(fp[a] < fp[b], b, a)
-        return fp[a], fp[b], n[a].astype(np.int64), n[b].astype(np.int64)
+    dealt = rows.select("leader", "token", "fp", "n", "component", "sig").repartition(parts, "leader", F.pmod("token", F.lit(_DEALS))).sortWithinPartitions("leader", "token")
+
+    def of_blocks(token: np.ndarray, fp: np.ndarray, n: np.ndarray, component: np.ndarray, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Positions of the pairs of whole blocks: shifted against each other where blocks are small, else by a tree."""
+        cuts = np.concatenate([[0], np.flatnonzero(token[1:] != token[:-1]) + 1, [len(token)]])
+        size = np.diff(cuts)
+        few = np.flatnonzero(np.repeat(size <= HEAVY, size))
+        for k in range(1, min(HEAVY, len(few))):
+            a, b = few[:-k], few[k:]
+            some = (token[a] == token[b]) & (component[a] != component[b])
+            if not some.any():
+                continue
+            a, b = a[some], b[some]
+            good = possible(n[a], sig[a], n[b], sig[b], percent)
+            yield a[good], b[good]
+        for k in np.flatnonzero(size > HEAVY):
+            own = slice(cuts[k], cuts[k + 1])
+            a, b = SignatureTree(n[own], sig[own], component[own]).pairs(percent)
+            yield a + cuts[k], b + cuts[k]
+
+    def counted(found: list[np.ndarray]) -> pa.RecordBatch:
+        """a, b, na, nb and in how many blocks each pair came up."""
+        every = np.concatenate(found, axis=1)
+        order = np.lexsort((every[1], every[0]))
+        a, b = every[0][order], every[1][order]
+        cut = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        return pa.record_batch([*(pa.array(x[order[cut]]) for x in every), pa.array(np.diff(np.concatenate([cut, [len(order)]])))], ["a", "b", "na", "nb", "blocks"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        token_held = None
+        held: list[list[np.ndarray]] = []  # the rows of the last block, which may go on
+        found: list[np.ndarray] = []
         for batch in _then_none(batches):
-            token = np.asarray(batch.column("token")) if batch is not None else np.zeros(0, np.int64)
-            columns = [np.asarray(batch.column(c)) for c in ("fp", "n", "component")] + [_signatures(batch.column("sig"))] if len(token) else []
-            cuts = [0, *(np.flatnonzero(token[1:] != token[:-1]) + 1).tolist(), len(token)]
-            found = []
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if held and (a == b or token[a] != token_held):
-                    found.append(block([np.concatenate(x) for x in zip(*held, strict=True)]))
-                    held = []
-                if a < b:
-                    token_held = token[a]
-                    held.append([c[a:b] for c in columns])
-            if found:
-                every = [np.concatenate([f[k] for f in found]) for k in range(4)]
-                if len(every[0]):
-                    order = np.lexsort((every[1], every[0]))
-                    a, b = every[0][order], every[1][order]
-                    cut = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-                    some = order[cut]
-                    yield pa.record_batch([*(pa.array(x[some]) for x in every), pa.array(np.diff(np.concatenate([cut, [len(order)]])))], ["a", "b", "na", "nb", "blocks"])
+            if batch is not None and batch.num_rows:
+                held.append([*(np.asarray(batch.column(c)).astype(np.int64) for c in ("token", "fp", "n", "component")), _signatures(batch.column("sig"))])
+                if batch.column("token")[-1].as_py() == held[0][0][0]:
+                    continue
+            if not held:
+                continue
+            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+            token = columns[0]
+            whole = len(token) if batch is None else int(np.flatnonzero(token != token[-1])[-1]) + 1 if token[0] != token[-1] else 0
+            held = [[c[whole:] for c in columns]] if whole < len(token) else []
+            if not whole:
+                continue
+            _, fp, n, _, _ = columns = [c[:whole] for c in columns]
+            for a, b in of_blocks(*columns):
+                a, b = np.where(fp[a] < fp[b], a, b), np.where(fp[a] < fp[b], b, a)
+                found.append(np.stack([fp[a], fp[b], n[a], n[b]]))
+            if sum(x.shape[1] for x in found) > _PAIRS:
+                yield counted(found)
+                found = []
+        if found:
+            yield counted(found)
 
     found = dealt.mapInArrow(run, "a long, b long, na long, nb long, blocks long").groupBy("a", "b", "na", "nb").agg(F.sum("blocks").alias("blocks"))
     common = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
@@ -404,7 +429,7 @@ def jaccard_classes(documents: DataFrame, *, percent: int = PERCENT, rare: int =
         where = placed(labels)
         several = live.join(where.select("fp", "component"), "fp").groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("sets"))
         split = written(several.where(f"low != high and sets > {least}").select("token"), "split-blocks")
-        return live.join(split, "token", "left_semi").select("token", "fp", "n").join(where, "fp")
+        return live.join(split, "token", "left_semi").select("token", "fp", "n", "leader").join(where, "fp")
 
     def decided(pairs: DataFrame, links: DataFrame) -> DataFrame:
         """The links and those among the pairs."""
