@@ -1,17 +1,18 @@
 """Suffix-array dedup: byte strings of a given length that occur more than once, by longest-previous-factor arrays.
 
 The factor arrays come from the suffix order of candidate places: for a place, the nearest smaller and the nearest
-larger place in suffix order before and after it give its longest earlier (or later) match.
+larger place in suffix order before and after it give its longest earlier (or later) match. Suffixes are compared
+by SYMBOLS hashes of consecutive parts of the window, so that a shared length counts in such parts.
 
 Candidates over all documents: every window of LENGTH bytes has an anchor, its leftmost GRAM of smallest hash, so
-equal windows have equal anchors at equal offsets. Around an anchor lies its context, all windows that it may
-anchor. Occurrences are grouped by (anchor, whole context); a context that occurs twice needs no comparison. Of
-anchors with several contexts, those that share one of PARTS long inner strings of their windows meet in blocks,
-where one copy of each context is compared in suffix order. A block above MOST contexts is halved by where its
-windows start, with a longer common string as its key, down to single windows. Nothing is sampled.
-
-Texts are read in place for each step; only hashes, the contexts to compare and, at the end, the rows
-with their spans are shuffled.
+equal windows have equal anchors at equal offsets. The windows of one anchor stand next to each other and are its
+context. An anchor that occurs once has no repeats; a context that occurs twice needs no comparison; of an anchor
+with several contexts, one copy of each is compared in suffix order, in one block. A block above MOST contexts is
+halved by where its windows start, with a longer common string as its key, down to single windows. Nothing is
+sampled.
+
+Texts are read in place for each step; only hashes, the contexts to compare and, at the end, the rows with their
+spans are shuffled.
 """
 
 from __future__ import annotations
@@ -23,24 +24,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeline.llm.bitmap import bitmap
+from tapeline.llm.bitmap import Bitmap, bitmap
 from tapeline.llm.shared import Rolling, mixed, slices, texts, written
 
 LENGTH = 400
-GRAM = 32
-PARTS = 4
+GRAM = 200
+SYMBOLS = 4
 MOST = 4_000
-_BATCH = 20_000
+_BATCH = 200_000
+_ROWS = 1_024
 
 
-def anchors(rolling: Rolling, offsets: np.ndarray, length: int, gram: int) -> np.ndarray:
-    """Places of the leftmost smallest gram of each window that lies within one row, ascending."""
+def anchors(rolling: Rolling, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the leftmost smallest gram of each window that lies within one row, ascending, and the first and
+    last start of the windows that have it."""
     grams = rolling.grams(gram)
     wide = length - gram + 1
     size = np.diff(offsets)
     many = np.maximum(size - length + 1, 0)
     if not many.sum():
-        return np.zeros(0, np.int64)
+        return (np.zeros(0, np.int64),) * 3
     bits = np.uint64(int(len(grams)).bit_length())
     n = -(-len(grams) // wide) * wide
     value = np.full(n, np.iinfo(np.uint64).max, np.uint64)
@@ -51,7 +54,9 @@ def anchors(rolling: Rolling, offsets: np.ndarray, length: int, gram: int) -> np
     starts = np.repeat(offsets[:-1] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
     least = np.minimum(behind[starts], ahead[starts + wide - 1])
     place = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    return place[np.concatenate([[True], place[1:] != place[:-1]])] if len(place) else place
+    first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+    last = np.concatenate([first[1:], [len(place)]]) - 1
+    return place[first], starts[first], starts[last]
 
 
 def factors(order: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,53 +81,42 @@ def factors(order: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return earlier, later
 
 
-def suffix_order(windows: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of equally long rows of bytes in lexicographic order within their blocks, and what neighbours share."""
-    n, length = windows.shape
-    keyed = np.empty((n, length + 8), np.uint8)
-    keyed[:, :8] = block.astype(">u8").view(np.uint8).reshape(n, 8)
-    keyed[:, 8:] = windows
-    order = np.argsort(_ranks(keyed), kind="stable")
-    a, b = keyed[order[:-1]], keyed[order[1:]]
-    differ = a != b
-    first = np.where(differ.any(1), differ.argmax(1), length + 8)
-    return order, np.concatenate([[0], np.maximum(first - 8, 0)])
-
-
-def _ranks(rows: np.ndarray) -> np.ndarray:
-    """Ranks of byte rows: 64-bit words from the left are compared until no ties are left."""
-    n, size = rows.shape
-    padded = np.zeros((n, -(-size // 8) * 8), np.uint8)
-    padded[:, :size] = rows
-    columns = padded.view(">u8").astype(np.uint64)
-    rank = np.zeros(n, np.int64)
-    open_ = np.arange(n)
-    for k in range(columns.shape[1]):
-        if not len(open_):
-            break
-        word = columns[open_, k]
-        order = np.lexsort((word, rank[open_]))
-        r, w = rank[open_][order], word[order]
-        new_group = np.concatenate([[True], r[1:] != r[:-1]])
-        new_value = new_group | np.concatenate([[True], w[1:] != w[:-1]])
-        group_at = np.maximum.accumulate(np.where(new_group, np.arange(len(r)), 0))
-        value_at = np.maximum.accumulate(np.where(new_value, np.arange(len(r)), 0))
-        rank[open_[order]] = r + value_at - group_at
-        sizes = np.diff(np.concatenate([np.flatnonzero(new_value), [len(r)]]))
-        open_ = open_[order][np.repeat(sizes > 1, sizes)]
-    return rank
+def suffix_order(symbols: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of equally long rows of symbols in their order within blocks, and how many symbols neighbours share."""
+    order = np.lexsort((*symbols.T[::-1], block))
+    same = np.cumprod(symbols[order[1:]] == symbols[order[:-1]], axis=1).sum(1)
+    same[block[order[1:]] != block[order[:-1]]] = 0
+    return order, np.concatenate([[0], same])[: len(order)]
+
+
+def repeated(symbols: np.ndarray, block: np.ndarray, keep_first: bool) -> np.ndarray:
+    """Which rows of symbols equal an earlier one of their block, or any other if keep_first is false.
+
+    A row that shares less than all with both neighbours in suffix order has no such match, whatever its factors."""
+    order, shared = suffix_order(symbols, block)
+    whole = symbols.shape[1]
+    near = (shared >= whole) | np.concatenate([shared[1:] >= whole, [False]])
+    some = np.sort(order[near])
+    out = np.zeros(len(order), bool)
+    if len(some):
+        number = np.zeros(len(order), np.int64)
+        number[some] = np.arange(len(some))
+        earlier, later = factors(number[order[near]], shared[near])
+        out[some] = earlier >= whole if keep_first else np.maximum(earlier, later) >= whole
+    return out
 
 
 class Layout:
-    """Window length, gram and the halvings of the window starts around an anchor."""
+    """Window length and gram; windows start at most `back` bytes before their anchor."""
 
     def __init__(self, length: int, gram: int) -> None:
         if not 1 <= gram <= length:
             raise ValueError("a gram is at least a byte and at most a window")
         self.length, self.gram, self.back = length, gram, length - gram
-        edges = np.unique(np.linspace(-self.back, 1, PARTS + 1).astype(int)) if self.back else np.array([0, 1])
-        #: For each part its first and last window start, relative to the anchor.
-        self.parts = [(int(a), int(b) - 1) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        self.cuts = np.unique(np.linspace(0, length, SYMBOLS + 1).astype(int))
+
+    def symbols(self, rolling: Rolling, starts: np.ndarray) -> np.ndarray:
+        return np.stack([rolling.of(starts + a, starts + b) for a, b in zip(self.cuts[:-1], self.cuts[1:], strict=True)], 1)
 
 
 def _row_id():
@@ -130,98 +124,71 @@ def _row_id():
 
 
 def _scan(documents: DataFrame, layout: Layout, emit, schema: str) -> DataFrame:
-    """emit(part, batch, rolling, places, rows) makes the batch's output from the anchors of a slice of texts."""
+    """emit(part, batch, rolling, at, row, start, end) makes the output of a slice of texts: its anchors at `at`
+    of the rows `row`, with their contexts from start to end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch.column("text")):
                 rolling = Rolling(part.data)
-                at = anchors(rolling, part.offsets, layout.length, layout.gram)
+                at, first, last = anchors(rolling, part.offsets, layout.length, layout.gram)
                 if len(at):
                     row = np.searchsorted(part.offsets, at, side="right") - 1
-                    made = emit(part, batch.slice(part.first, len(part)), rolling, at, row)
+                    made = emit(part, batch.slice(part.first, len(part)), rolling, at, row, first, last + layout.length)
                     if made is not None and made.num_rows:
                         yield made
 
     return texts(documents, _row_id().alias("row")).mapInArrow(run, schema)
 
 
-def _context(layout: Layout, part, at: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.maximum(at - layout.back, part.offsets[row]), np.minimum(at + layout.length, part.offsets[row + 1])
+def _place_id(row: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    return mixed(row.astype(np.int64).view(np.uint64) + pos.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
 
 
-def _identity(rolling: Rolling, at: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return mixed(rolling.of(start, end) + (at - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+def repeated_anchors(documents: DataFrame, layout: Layout) -> Bitmap:
+    """The anchors that occur more than once, in a bitmap of bounded size that may hold others."""
 
+    def emit(part, batch, rolling, at, row, start, end):
+        anchor, times = np.unique(rolling.of(at, at + layout.gram), return_counts=True)
+        return pa.record_batch([pa.array(anchor.view(np.int64)), pa.array(times)], ["anchor", "n"])
 
-def _place_id(row: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    return mixed(row.astype(np.int64).view(np.uint64) + pos.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
+    found = _scan(documents, layout, emit, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
+    return bitmap(written(found, "repeat-anchors"))
 
 
-def occurrences(documents: DataFrame, layout: Layout) -> DataFrame:
-    """row, doc_id, pos, place, anchor, context, before, size of every anchor of every row."""
+def occurrences(documents: DataFrame, layout: Layout, wanted) -> DataFrame:
+    """row, doc_id, pos, place, anchor, context, before, size of the wanted anchors of every row."""
 
-    def emit(part, batch, rolling, at, row):
-        start, end = _context(layout, part, at, row)
+    def emit(part, batch, rolling, at, row, start, end):
+        anchor = rolling.of(at, at + layout.gram).view(np.int64)
+        some = wanted.value.has(anchor)
+        at, row, start, end, anchor = at[some], row[some], start[some], end[some], anchor[some]
+        context = mixed(rolling.of(start, end) + (at - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
         pos, take = at - part.offsets[row], pa.array(row)
         rows = batch.column("row").take(take)
-        made = [pos.astype(np.int32), _place_id(np.asarray(rows), pos), rolling.of(at, at + layout.gram).view(np.int64), _identity(rolling, at, start, end), (at - start).astype(np.int32), (end - start).astype(np.int32)]
+        made = [pos.astype(np.int32), _place_id(np.asarray(rows), pos), anchor, context, (at - start).astype(np.int32), (end - start).astype(np.int32)]
         return pa.record_batch([rows, batch.column("doc_id").take(take), *map(pa.array, made)], ["row", "doc_id", "pos", "place", "anchor", "context", "before", "size"])
 
     return _scan(documents, layout, emit, "row long, doc_id long, pos int, place long, anchor long, context long, before int, size int")
 
 
-def _in_parts(layout: Layout, at: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray]]:
-    """For each part the anchors with a window of it inside their context; the string common to all its windows is then inside too."""
-    for k, (low, high) in enumerate(layout.parts):
-        yield k, low, high, np.flatnonzero(np.maximum(start - at, low) <= np.minimum(end - layout.length - at, high))
-
-
-def _part_id(place: np.ndarray, part: int) -> np.ndarray:
-    return (place.view(np.uint64) + np.uint64((part + 1) * 0x5851F42D4C957F2D % (1 << 64))).view(np.int64)
+_BLOCK_ROWS = "key long, low int, high int, place long, doc_id long, row long, pos int, shift int, bytes binary"
 
 
-def _part_keys(documents: DataFrame, layout: Layout, wanted) -> DataFrame:
-    """id (place and part), key (hash of the string common to the part's windows), context, for wanted places."""
+def _block_rows(documents: DataFrame, layout: Layout, wanted, among) -> DataFrame:
+    """The contexts of wanted places among some anchors as bytes, with the place of their anchor: shift bytes into them."""
 
-    def emit(part, batch, rolling, at, row):
-        place = _place_id(np.asarray(batch.column("row"))[row], at - part.offsets[row])
-        some = wanted.value.has(place)
-        at, row, place = at[some], row[some], place[some]
-        start, end = _context(layout, part, at, row)
-        context, out = _identity(rolling, at, start, end), []
-        for k, low, high, fits in _in_parts(layout, at, start, end):
-            key = rolling.of(at[fits] + high, at[fits] + low + layout.length) + np.uint64(k)
-            out.append((_part_id(place[fits], k), key.view(np.int64), context[fits]))
-        return pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["id", "key", "context"])
-
-    return _scan(documents, layout, emit, "id long, key long, context long")
-
-
-_BLOCK_ROWS = "key long, low int, high int, context long, place long, doc_id long, row long, pos int, shift int, bytes binary"
-
-
-def _block_rows(documents: DataFrame, layout: Layout, wanted) -> DataFrame:
-    """The bytes of the windows of wanted places and parts, with the place of their anchor: shift bytes into them."""
-
-    def emit(part, batch, rolling, at, row):
+    def emit(part, batch, rolling, at, row, start, end):
         rows = np.asarray(batch.column("row"))[row]
         place = _place_id(rows, at - part.offsets[row])
-        start, end = _context(layout, part, at, row)
-        out = []
-        for k, low, high, fits in _in_parts(layout, at, start, end):
-            fits = fits[wanted.value.has(_part_id(place[fits], k))]
-            if not len(fits):
-                continue
-            a, b = np.maximum(at[fits] + low, start[fits]), np.minimum(at[fits] + high + layout.length, end[fits])
-            key = rolling.of(at[fits] + high, at[fits] + low + layout.length) + np.uint64(k)
-            text = [part.data[x:y].tobytes() for x, y in zip(a, b, strict=True)]
-            whole = lambda v: np.full(len(fits), v, np.int32)  # noqa: B023, E731
-            made = [key.view(np.int64), whole(low), whole(high), _identity(rolling, at[fits], start[fits], end[fits]), place[fits]]
-            more = [rows[fits], (at[fits] - part.offsets[row[fits]]).astype(np.int32), (at[fits] - a).astype(np.int32)]
-            docs = batch.column("doc_id").take(pa.array(row[fits]))
-            out.append(pa.record_batch([*map(pa.array, made), docs, *map(pa.array, more), pa.array(text, pa.binary())], [x.split()[0] for x in _BLOCK_ROWS.split(", ")]))
-        return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if out else None
+        some = wanted.value.has(place) & among.value.has(rolling.of(at, at + layout.gram).view(np.int64))
+        at, row, start, end, rows, place = at[some], row[some], start[some], end[some], rows[some], place[some]
+        text = [part.data[x:y].tobytes() for x, y in zip(start, end, strict=True)]
+        whole = lambda v: pa.array(np.full(len(at), v, np.int32))
+        return pa.record_batch([
+            pa.array(rolling.of(at, at + layout.gram).view(np.int64)), whole(-layout.back), whole(0), pa.array(place), batch.column("doc_id").take(pa.array(row)),
+            pa.array(rows), pa.array((at - part.offsets[row]).astype(np.int32)), pa.array((at - start).astype(np.int32)), pa.array(text, pa.binary()),
+        ], [x.split()[0] for x in _BLOCK_ROWS.split(", ")])
 
     return _scan(documents, layout, emit, _BLOCK_ROWS)
 
@@ -249,55 +216,47 @@ def _halved(rows: DataFrame, layout: Layout) -> DataFrame:
     return rows.mapInArrow(run, _BLOCK_ROWS)
 
 
-_FOUND = "context long, place long, low int, high int"
+_FOUND = "place long, low int, high int"
 
 
 def _compared(rows: DataFrame, layout: Layout, keep_first: bool) -> DataFrame:
-    """context, place, low, high: byte ranges around an anchor whose windows have an earlier match in their block,
-    or any match if keep_first is false. Blocks follow each other in a stream; several share one suffix order."""
+    """place, low, high: byte ranges around an anchor whose windows have an earlier match in their block, or any
+    match if keep_first is false. Blocks follow each other in a stream; several share one suffix order."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, "key").sortWithinPartitions("key", "doc_id", "row", "pos")
     length = layout.length
 
-    def compare(held: list[dict]) -> pa.RecordBatch | None:
-        first = np.array([max(r["low"], -r["shift"]) for r in held])
-        last = np.array([min(r["high"], len(r["bytes"]) - r["shift"] - length) for r in held])
+    def compare(held: pa.Table) -> pa.RecordBatch:
+        key, place = (np.asarray(held.column(c)) for c in ("key", "place"))
+        held = held.filter(pa.array(np.concatenate([[True], (key[1:] != key[:-1]) | (place[1:] != place[:-1])])))  # equal rows have one place
+        key, low, high, shift, place = (np.asarray(held.column(c)).astype(np.int64) for c in ("key", "low", "high", "shift", "place"))
+        part = next(slices(held.column("bytes"), 1 << 62))
+        first = np.maximum(low, -shift)
+        last = np.minimum(high, np.diff(part.offsets) - shift - length)
         many = last - first + 1
-        owner = np.repeat(np.arange(len(held)), many)
+        owner = np.repeat(np.arange(len(many)), many)
         start = first[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
-        block = np.cumsum([0] + [x["key"] != y["key"] for x, y in zip(held[1:], held[:-1], strict=True)])[owner]
-        text = np.cumsum([0] + [x["row"] != y["row"] for x, y in zip(held[1:], held[:-1], strict=True)])[owner]
-        at = np.array([r["pos"] for r in held])[owner] + start
-        # a window that lies in two contexts is one place; places are in text order
-        _, one, number = np.unique(np.stack([block, text, at]), axis=1, return_index=True, return_inverse=True)
-        windows = np.concatenate([np.lib.stride_tricks.sliding_window_view(np.frombuffer(r["bytes"], np.uint8), length)[a + r["shift"] : b + r["shift"] + 1] for r, a, b in zip(held, first, last, strict=True)])
-        order, shared = suffix_order(windows[one], block[one])
-        earlier, later = factors(order, shared)
-        hit = (earlier >= length if keep_first else np.maximum(earlier, later) >= length)[number.ravel()]
-        begins = hit & ~np.concatenate([[False], hit[:-1] & (owner[1:] == owner[:-1])])
-        ends = hit & ~np.concatenate([hit[1:] & (owner[1:] == owner[:-1]), [False]])
-        a, b = np.flatnonzero(begins), np.flatnonzero(ends)
-        if not len(a):
-            return None
-        return pa.record_batch([
-            pa.array([held[k]["context"] for k in owner[a]], pa.int64()), pa.array([held[k]["place"] for k in owner[a]], pa.int64()),
-            pa.array(start[a].astype(np.int32)), pa.array((start[b] + length).astype(np.int32)),
-        ], ["context", "place", "low", "high"])
+        block = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))[owner]
+        hit = repeated(layout.symbols(Rolling(part.data), part.offsets[owner] + shift[owner] + start), block, keep_first)
+        same = owner[1:] == owner[:-1]
+        a = np.flatnonzero(hit & ~np.concatenate([[False], hit[:-1] & same]))
+        b = np.flatnonzero(hit & ~np.concatenate([hit[1:] & same, [False]]))
+        return pa.record_batch([pa.array(place[owner[a]]), pa.array(start[a].astype(np.int32)), pa.array((start[b] + length).astype(np.int32))], ["place", "low", "high"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-        weight = 0
+        held, weight = None, 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                for r in batch.slice(at, 256).to_pylist():
-                    if weight > _BATCH and r["key"] != held[-1]["key"]:
-                        if (made := compare(held)) is not None:
-                            yield made
-                        held, weight = [], 0
-                    held.append(r)
-                    weight += r["high"] - r["low"] + 1
-        if held and (made := compare(held)) is not None:
-            yield made
+            for at in range(0, batch.num_rows, _ROWS):
+                new = pa.Table.from_batches([batch.slice(at, _ROWS)])
+                held = pa.concat_tables([held, new]) if held is not None else new
+                weight += sum(len(x) for x in new.column("bytes").to_pylist()) - new.num_rows * length
+                key = np.asarray(held.column("key"))
+                if weight > _BATCH and key[0] != key[-1]:
+                    cut = int(np.flatnonzero(key != key[-1])[-1]) + 1
+                    yield compare(held.slice(0, cut))
+                    held, weight = held.slice(cut), 0
+        if held is not None and held.num_rows:
+            yield compare(held)
 
     return dealt.mapInArrow(run, _FOUND)
 
@@ -307,7 +266,7 @@ def _single(rows: DataFrame, layout: Layout, keep_first: bool) -> DataFrame:
     first = rows.groupBy("key").agg(F.min(F.struct("doc_id", "row", "pos")).alias("first"), F.count("*").alias("n"))
     met = rows.join(first.where("n > 1"), "key")
     met = met.where(~F.struct("doc_id", "row", "pos").eqNullSafe(F.col("first"))) if keep_first else met
-    return met.select("context", "place", "low", (F.col("low") + layout.length).alias("high"))
+    return met.select("place", "low", (F.col("low") + layout.length).alias("high"))
 
 
 def repeated_ranges(documents: DataFrame, *, length: int = LENGTH, gram: int = GRAM, keep_first: bool = True, most: int = MOST) -> DataFrame:
@@ -318,16 +277,14 @@ def repeated_ranges(documents: DataFrame, *, length: int = LENGTH, gram: int = G
     a row that repeats another's doc_id and text thus loses no more than that one does."""
     layout = Layout(length, gram)
     spark = documents.sparkSession
-    places = written(occurrences(documents, layout), "repeat-places")
+    among = spark.sparkContext.broadcast(repeated_anchors(documents, layout))
+    places = written(occurrences(documents, layout, among), "repeat-places")
     contexts = places.groupBy("context").agg(F.first("anchor").alias("anchor"), F.min(F.struct("doc_id", "row", "pos", "place")).alias("first"), F.count("*").alias("n"), F.first("before").alias("before"), F.first("size").alias("size"))
     contexts = written(contexts.select("context", "anchor", F.col("first.place").alias("place"), "n", "before", "size"), "repeat-contexts")
-    several = contexts.groupBy("anchor").count().where("count > 1").select("anchor")
-    wanted = spark.sparkContext.broadcast(bitmap(contexts.join(several, "anchor", "left_semi").select("place")))
-    keys = written(_part_keys(documents, layout, wanted), "repeat-keys")
-    blocks = written(keys.groupBy("key").agg(F.min("context").alias("a"), F.max("context").alias("b"), F.count("*").alias("n")).where("a != b"), "repeat-blocks")
-    wanted = spark.sparkContext.broadcast(bitmap(keys.join(blocks.select("key"), "key", "left_semi").select("id")))
-    rows = _block_rows(documents, layout, wanted)
-    large = blocks.where(F.col("n") > most).select("key")
+    several = written(contexts.groupBy("anchor").count().where("count > 1"), "repeat-blocks")
+    wanted = spark.sparkContext.broadcast(bitmap(written(contexts.join(several, "anchor", "left_semi").select("place"), "repeat-wanted")))
+    rows = _block_rows(documents, layout, wanted, among)
+    large = several.where(F.col("count") > most).select(F.col("anchor").alias("key"))
     found = []
     if large.isEmpty():
         found.append(_compared(rows, layout, keep_first))
@@ -347,13 +304,10 @@ def repeated_ranges(documents: DataFrame, *, length: int = LENGTH, gram: int = G
     ranges = found[0]
     for more in found[1:]:
         ranges = ranges.unionByName(more)
-    whole = contexts.where("n > 1").select("context", (-F.col("before")).alias("low"), (F.col("size") - F.col("before")).alias("high"))
-    if not keep_first:
-        cover = ranges.select("context", "low", "high").unionByName(whole)
-        met = places.select("context", "row", "pos").join(cover, "context")
-    else:
-        later = places.join(contexts.where("n > 1").select("context", F.col("place").alias("head")), "context").where("place != head")
-        met = later.select("context", "row", "pos").join(whole, "context").unionByName(places.select("place", "row", "pos").join(ranges.select("place", "low", "high"), "place").select(F.lit(0).cast("long").alias("context"), "row", "pos", "low", "high"))
+    whole = contexts.where("n > 1").select("context", (-F.col("before")).alias("low"), (F.col("size") - F.col("before")).alias("high"), F.col("place").alias("head"))
+    copies = places.select("context", "place", "row", "pos").join(whole, "context").where(F.col("place") != F.col("head") if keep_first else F.lit(True))
+    single = places.select("place", "row", "pos").join(ranges.distinct(), "place")
+    met = copies.select("row", "pos", "low", "high").unionByName(single.select("row", "pos", "low", "high"))
     return met.select("row", (F.col("pos") + F.col("low")).alias("start"), (F.col("pos") + F.col("high")).alias("end"))
 
 
