@@ -33,6 +33,7 @@ SYMBOLS = 4
 MOST = 4_000
 _BATCH = 200_000
 _ROWS = 1_024
+_SLICE = 1 << 20
 
 
 def anchors(rolling: Rolling, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,7 +130,7 @@ def _scan(documents: DataFrame, layout: Layout, emit, schema: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch.column("text")):
+            for part in slices(batch.column("text"), _SLICE):
                 rolling = Rolling(part.data)
                 at, first, last = anchors(rolling, part.offsets, layout.length, layout.gram)
                 if len(at):
