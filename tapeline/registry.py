@@ -6,5 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from tapeline.operators import anomaly, backtest, ledger, reconcile, validate, windows
+from tapeline.plans import rotation
+from tapeline.shipping import ready
+from tapeline.sources import files
+from tapeline.streaming import quotes
+
+_MODULES = (windows, anomaly, validate, reconcile, backtest, rotation, ledger, quotes, files)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: ready(query) for m in _MODULES for name, query in m.QUERIES.items()}
+ORACLE: dict[str, str] = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
