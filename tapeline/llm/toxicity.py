@@ -24,14 +24,22 @@ from tapeline.llm.shared import Rolling, gathered, held_out, letter_words, lower
 TRAIN_ROWS = 4_500
 BUCKET_BITS = 17
 DIMENSIONS = 4
+STRETCH = 1 << 20
 _CHUNK = 1 << 15
 GRAMS = (3, 4, 5)
 _MARK = np.frombuffer(b"<>", np.uint8)
 
 
 def distinct_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct words among some byte ranges as one buffer and its offsets, and each range's number among them."""
-    _, first, number = np.unique(Rolling(data).of(starts, ends), return_index=True, return_inverse=True)
+    """The distinct words among some ascending byte ranges as one buffer and its offsets, and each range's number
+    among them. Hashes are made in stretches of about STRETCH bytes."""
+    hashes, at = [np.zeros(0, np.uint64)], 0
+    while at < len(starts):
+        end = max(at + 1, int(np.searchsorted(starts, starts[at] + STRETCH)))
+        low = starts[at]
+        hashes.append(Rolling(data[low : ends[end - 1]]).of(starts[at:end] - low, ends[at:end] - low))
+        at = end
+    _, first, number = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
     lengths = ends[first] - starts[first]
     return gathered(data, starts[first], lengths), np.concatenate([[0], np.cumsum(lengths)]), number
 
@@ -103,9 +111,10 @@ def fit(many: list[str], y: np.ndarray, weight: np.ndarray, *, steps: int = 100,
     raw = [x.encode() for x in many]
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
     data = lowered(np.frombuffer(b"".join(raw), np.uint8))
+    del raw
     starts, ends, count = letter_words(data, offsets)
     table = 1 << BUCKET_BITS
-    if not len(starts) or y.min() == y.max():
+    if not len(starts) or not len(y) or y.min() == y.max():
         mean = (y.sum() + 0.5) / (len(y) + 1)
         return Scorer(float(np.log(mean / (1 - mean))), np.zeros(table, np.float32))
     buffer, bounds, number = distinct_words(data, starts, ends)
@@ -119,9 +128,13 @@ def fit(many: list[str], y: np.ndarray, weight: np.ndarray, *, steps: int = 100,
     of_uses = _begins(np.bincount(place))
     word_of = np.repeat(np.arange(len(grams), dtype=np.int32), grams)[by_row]
     del parted, by_row
-    doc = np.repeat(np.arange(len(many)), count)
-    pair, times = np.unique(doc * len(grams) + number, return_counts=True)
-    pair_doc, pair_word = (pair // len(grams)).astype(np.int32), (pair % len(grams)).astype(np.int32)
+    bound = np.concatenate([[0], np.cumsum(count)])
+    pairs = []
+    for a in range(0, len(count), 256):  # words of some texts at a time
+        some = slice(bound[a], bound[min(a + 256, len(count))])
+        pair, times = np.unique(np.repeat(np.arange(a, min(a + 256, len(count))), count[a : a + 256]) * len(grams) + number[some], return_counts=True)
+        pairs.append(((pair // len(grams)).astype(np.int32), (pair % len(grams)).astype(np.int32), times.astype(np.int32)))
+    pair_doc, pair_word, times = (np.concatenate(x) for x in zip(*pairs, strict=True))
     share = (times / count[pair_doc]).astype(np.float32)[:, None]
     by_word = np.argsort(pair_word, kind="stable")
     of_pairs = _begins(np.bincount(pair_word))
@@ -129,7 +142,7 @@ def fit(many: list[str], y: np.ndarray, weight: np.ndarray, *, steps: int = 100,
     of_texts = np.searchsorted(pair_doc, filled)
     per_word = (1 / grams).astype(np.float32)[:, None]
     share_by_word, doc_by_word = share[by_word], pair_doc[by_word]
-    del data, doc, number, pair, times, by_word
+    del data, number, pairs, times, by_word
     rng = np.random.default_rng(seed)
     parts = [rng.normal(0, 0.01, (len(used), DIMENSIONS)).astype(np.float32), rng.normal(0, 1, (DIMENSIONS, 2)).astype(np.float32), np.zeros(2, np.float32)]
     momentum, square = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts]
@@ -166,10 +179,10 @@ def toxicity_model(documents: DataFrame, labels: DataFrame, *, train: Column, tr
     rare = min(total, key=lambda k: (total[k], k), default=1)
     most = {rare: train_rows // 3, 1 - rare: train_rows - train_rows // 3}
     found = [labelled(texts(documents), known.where(F.col("toxic") == k), "toxic", F.lit(True), most[k]).select("doc_id", "text", "label") for k in (0, 1)]
-    sample = found[0].unionByName(found[1]).toPandas().sort_values(["doc_id", "text"], ignore_index=True)
+    sample = found[0].unionByName(found[1]).toPandas().sort_values(["doc_id", "text"], ignore_index=True)  # of bounded size
     y = sample["label"].to_numpy(np.int64)
     weight = np.array([total.get(k, 0) / max(1, (y == k).sum()) for k in (0, 1)])[y] if len(y) else np.zeros(0)
-    return fit(sample["text"].tolist(), y, weight)
+    return fit(sample.pop("text").tolist(), y, weight)
 
 
 def with_toxicity(documents: DataFrame, scorer: Scorer) -> DataFrame:
