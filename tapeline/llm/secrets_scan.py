@@ -1,6 +1,10 @@
 """Secret scans: candidate strings by a byte scan, false positives removed by a random forest over candidate length,
 character transitions, dictionary coverage, path and neighbouring words.
 
+Candidates are runs of key characters with a letter and a digit from LEAST characters on, with their padding; such
+runs joined by dots; and any value of SHORT or more characters that a secret word assigns by = or :, quoted or bare,
+whatever its characters. Kept candidates that overlap are one finding.
+
 The forest is trained here from labelled findings, by default a seeded set of FINDINGS rows that a generator
 writes: keys and tokens of common forms where they are assigned, against hashes, identifiers, paths, encoded data
 and placeholders. Each tree is grown in a Spark task. Texts are scanned in one pass, without a shuffle.
@@ -25,6 +29,8 @@ FINDINGS = 6_000
 TREES = 48
 DEPTH = 12
 LEAST = 16
+SHORT = 6
+KEY = 128
 NEAR = 48
 
 # Common words of prose and code, for the share of a candidate that words cover.
@@ -44,6 +50,8 @@ WORDS = (
 SECRET_WORDS = rb"token|secret|passw|pwd|api[_-]?key|apikey|auth|credential|private|access|bearer|client_secret|signing"
 HARMLESS_WORDS = rb"commit|sha-?\d|md5|checksum|digest|uuid|guid|hash|revision|etag|integrity|build|version|example|sample|dummy|placeholder|your|base64|href|src=|url|http|class=|id="
 TEST_PATHS = r"test|example|sample|mock|fixture|doc|vendor|demo"
+# What stands in the place of a secret without being one.
+PLACEHOLDERS = rb"your|example|change_?me|x{4}|\*{3}|dummy|placeholder|insert|^<.*>$|\$\{|\{\{|^\$|%\(|getenv|environ|process\.env|^(?:none|null|true|false|undefined|string|str|bytes|varchar|optional|required|disabled|enabled|default|public|private|protected|granted|denied|restricted|invalid|missing|expired|hidden)\b"
 
 _TOKEN = np.zeros(256, bool)
 _TOKEN[[*b"+/_-", *range(48, 58), *range(65, 91), *range(97, 123)]] = True
@@ -53,10 +61,18 @@ _ALPHA[[*range(65, 91), *range(97, 123)]] = 1
 _CLASS = np.zeros(256, np.int64)
 _CLASS[48:58], _CLASS[65:91], _CLASS[97:123] = 1, 2, 3
 _DICTIONARY = re.compile("|".join(sorted(WORDS, key=lambda w: (-len(w), w))).encode())
+_AFTER_KEY = rb"[A-Za-z0-9_.-]*[\"'`\])]{0,3}[ \t]*(?::[ \t]*[A-Za-z][A-Za-z0-9_.\[\]|]*[ \t]*)?"
+_KEY = re.compile(rb"(?:" + SECRET_WORDS + rb")" + _AFTER_KEY + rb"\Z", re.I)
+_SECRET_KEY = re.compile(rb"(?:" + SECRET_WORDS.replace(b"auth", b"auth(?!or(?!i[sz]))") + rb")" + _AFTER_KEY + rb"[:=]{1,3}>?[ \t]*(?:bearer[ \t]+)?[\"'`]{0,3}(?:bearer[ \t]+)?\Z", re.I)
+_PASSWORD_KEY = re.compile(rb"(?:passw|pwd)" + _AFTER_KEY + rb"[:=]{1,3}>?[ \t]*[\"'`]{0,3}\Z", re.I)
+_BARE = rb"(?:[^\s\"'`,;&<]|[\"'`](?=[A-Za-z0-9])|<(?![/A-Za-z!])|[,;&](?=[^\s\"'`])(?![A-Za-z0-9_.-]+[\"'`]?[ \t]*[=:]))"
+_VALUE = re.compile(rb"[:=]{1,3}>?[ \t]*(?:bearer[ \t]+)?(?:([\"'`])(?:bearer[ \t]+)?((?:\\.|(?!\1)[^\\\r\n]){%d,})\1|[\"'`]{0,3}(%s{%d,}))" % (SHORT, _BARE, SHORT), re.I)
+_PLACEHOLDER = re.compile(PLACEHOLDERS, re.I)
 _NEAR_SECRET, _NEAR_HARMLESS, _TESTS = re.compile(SECRET_WORDS, re.I), re.compile(HARMLESS_WORDS, re.I), re.compile(TEST_PATHS, re.I)
 FEATURES = (
     "length transitions digits upper lower symbols distinct entropy hexadecimal longest_run dictionary vowels groups "
-    "assigned quoted secret_before harmless_before secret_after harmless_after word_before digits_only_tail test_path known_prefix"
+    "assigned quoted secret_before harmless_before secret_after harmless_after word_before digits_only_tail test_path known_prefix "
+    "secret_key password_key placeholder calls spaces dots padding"
 ).split()
 
 
@@ -79,6 +95,8 @@ def features(before: bytes, candidate: bytes, after: bytes, path: str) -> list[f
         float(_NEAR_SECRET.search(before) is not None), float(_NEAR_HARMLESS.search(before) is not None), float(_NEAR_SECRET.search(after[:24]) is not None), float(_NEAR_HARMLESS.search(after[:24]) is not None),
         float(re.search(rb"[A-Za-z]{3,}[ \t]*$", before) is not None), float(re.fullmatch(rb"[A-Za-z_-]+\d{1,8}", candidate) is not None), float(_TESTS.search(path) is not None),
         float(re.match(rb"AKIA|ASIA|ghp_|gho_|glpat-|xox[abps]-|sk-|sk_live|pk_live|eyJ|AIza", candidate) is not None),
+        float(_SECRET_KEY.search(before) is not None), float(_PASSWORD_KEY.search(before) is not None), float(_PLACEHOLDER.search(candidate) is not None), float(re.search(rb"[A-Za-z_][(\[]", candidate) is not None),
+        float(candidate.count(b" ")), float(candidate.count(b".")), float(candidate.endswith(b"=")),
     ]
 
 
@@ -92,6 +110,9 @@ def labelled_findings(n: int = FINDINGS, seed: int = 23) -> pd.DataFrame:
     word = lambda: pick(WORDS) if rng.random() < 0.5 else "".join(pick(syllables) for _ in range(int(rng.integers(1, 5))))
     prose = lambda k: " ".join(word() for _ in range(k))
     path = lambda: pick(["src/app", "config", "deploy/env", "web/page", "notes", "src", "tests/data", "docs/examples", "crawl", "mail"]) + str(int(rng.integers(30)))
+    letters, leet = string.ascii_letters, str.maketrans("aeios", "43105")
+    syllabic = lambda low, high: "".join(pick(syllables) for _ in range(int(rng.integers(low, high))))
+    jwt = lambda: ".".join(["eyJ" + chars(alnum, int(rng.integers(14, 40))), "eyJ" + chars(alnum + "_-", int(rng.integers(20, 120))), chars(alnum + "_-", int(rng.integers(27, 60)))])
     rows = []
     for _ in range(n):
         ending = pick([" ", "\n", "*** ", "%%% ", ", ", "### ", ". "]) + prose(4)
@@ -104,8 +125,37 @@ def labelled_findings(n: int = FINDINGS, seed: int = 23) -> pd.DataFrame:
                 lambda: "eyJ" + chars(alnum + "_-", 60), lambda: chars(alnum + "_-", int(rng.integers(20, 44))),
             ])()
             quote, sign = pick(['"', '"', '"', "'", ""]), pick([" = ", "=", ": ", ":", " => "])
+            if rng.random() < 0.4:  # short, of one kind of characters, with other characters, padded, dotted
+                value = pick([
+                    lambda: (pick(WORDS) + pick(WORDS)).title().translate(leet)[: int(rng.integers(8, 15))] + chars(string.digits, 2), lambda: (syllabic(2, 5).title().translate(leet) + chars(string.digits, int(rng.integers(1, 5)))).ljust(6, "7"),
+                    lambda: chars(alnum, int(rng.integers(6, 18))), lambda: chars(string.ascii_lowercase, int(rng.integers(8, 33))), lambda: chars(letters, int(rng.integers(6, 40))), lambda: chars(string.digits, int(rng.integers(6, 33))),
+                    lambda: chars(alnum + "!@$#%^*.?~", int(rng.integers(8, 33))), lambda: pick(WORDS).title() + str(int(rng.integers(1950, 2030))) + pick("!@$#?"), lambda: chars(alnum + "+/", int(rng.integers(10, 62))) + pick(["=", "=="]), jwt, jwt,
+                ])()
+                if rng.random() < 0.1:
+                    key, value = pick(["password", "db_password", "PASSWORD", "pwd"]), (pick([word(), syllabic(2, 4)]) + chars(string.digits, int(rng.integers(1, 4)))).rjust(6, "k")
+                elif rng.random() < 0.1:  # words as a password, where it is quoted
+                    key, value, quote = pick(["password", "db_password", "PASSWORD", "admin_pwd"]), pick([" ", "-", ""]).join(pick(WORDS) for _ in range(int(rng.integers(2, 5)))), pick(['"', "'"])
+                if quote and rng.random() < 0.2:
+                    key, sign = f"{quote}{key}{quote}", pick([": ", ":"])
             rows.append((prose(4) + pick([" ", "\n", "*** ", "| "]) + key + sign + quote, value, quote + ending, path(), 1))
             continue
+        if rng.random() < 0.4:  # assigned by a secret word, or dotted or padded, and no secret
+            key = pick(["token", "secret", "password", "api_key", "auth_token", "access_key", "client_secret", "db_password", "PASSWORD", "Token"])
+            before, value, after = pick([
+                lambda: (prose(3) + " " + key + pick([": ", " = ", ": \""]), pick(["string", "String", "optional", "required", "undefined", "disabled", "default", "varchar(255)", "Optional[str]", "None_or_str"]), ending),
+                lambda: (prose(3) + " " + key + pick([" = ", "=", ": "]), pick(["os.getenv", "get_secret", "getpass.getpass", "config.get", "self.client.login", "next_token", "load"]) + "(" + pick(['"', "'", ""]) + pick([pick(WORDS), pick(WORDS).upper() + "_PASSWORD"]), pick(['")', "')", ")"]) + ending),
+                lambda: (prose(3) + " " + key + pick([" = ", "=", ": "]), pick(["self.", "config.", "settings.", "request.", "process.env.", "args."]) + "_".join(pick(WORDS) for _ in range(int(rng.integers(1, 3)))), ending),
+                lambda: (prose(3) + " " + key + pick([' = "', '="', ': "']), pick(["********", "<" + pick(WORDS) + ">", "${" + pick(WORDS).upper() + "}", "$" + pick(WORDS).upper() + "_KEY", "{{ " + pick(WORDS) + " }}", "changeme", "xxxxxxxx", "your-" + pick(WORDS) + "-here", "your_" + pick(WORDS), "example-" + pick(WORDS)]), '"' + ending),
+                lambda: (prose(3) + " " + pick(["token", "access", "private", "secret", "authorship", "Access", "auth", "signing", "Secret", "password"]) + ": ", pick([pick([w for w in WORDS if len(w) >= 6]), syllabic(3, 6).ljust(6, "e")]), " " + prose(4)),
+                lambda: (prose(3) + " " + pick(["author", "Author", "authors", '"author"']) + pick([': "', ' = "']), syllabic(2, 4).title() + " " + syllabic(2, 4).title().ljust(4, "n"), '"' + ending),
+                lambda: (prose(3) + " " + pick(["token", "access", "private", "secret", "auth", "api_key"]) + pick([': "', ' = "']), prose(int(rng.integers(4, 9))), '"' + ending),
+                lambda: (prose(4) + " ", ".".join(word().replace("ó", "o") for _ in range(int(rng.integers(2, 5)))) + str(int(rng.integers(99))) + pick([".com", ".html", ".min.js", ".tar.gz", ""]), ending),
+                lambda: (prose(3) + " https://", pick(["www", "cdn", "img2"]) + "." + syllabic(2, 4).replace("ó", "o") + pick([".com/", ".org/", ".de/"]) + "/".join(pick(WORDS) for _ in range(3)) + str(int(rng.integers(999))), ending),
+                lambda: ('src="data:image/png;base64,', chars(alnum + "+/", int(rng.integers(60, 200))) + pick(["=", "=="]), '"' + ending),
+                lambda: (prose(3) + " " + pick(["commit", "md5", "checksum", "build", "digest"]) + pick([": ", " = ", "="]), pick([chars(hexes, 32), chars(hexes, 40), chars(alnum + "+/", 43) + "="]), ending),
+            ])()
+            rows.append((before, value, after, path(), 0))
+            continue
         before, value, after = pick([
             lambda: (prose(5) + " commit ", chars(hexes, 40), ending), lambda: (prose(4) + " sha256:", chars(hexes, 64), ending), lambda: ("checksum = \"", chars(hexes, 32), "\"" + ending),
             lambda: (prose(3) + ' id="', "-".join(chars(hexes, k) for k in (8, 4, 4, 4, 12)), '"' + ending), lambda: ('src="data:image/png;base64,', chars(alnum + "+/", int(rng.integers(60, 200))), '"' + ending),
@@ -164,7 +214,8 @@ def grow(x: np.ndarray, y: np.ndarray, seed: int, depth: int = DEPTH, least: int
             impurity = np.where(cut, k * a * (1 - a) + (len(rows) - k) * b * (1 - b), np.inf)
             i = int(impurity.argmin())
             if best is None or impurity[i] < best[0]:
-                best = (impurity[i], int(j), float((value[i] + value[i + 1]) / 2))
+                middle = float((value[i] + value[i + 1]) / 2)
+                best = (impurity[i], int(j), middle if middle < value[i + 1] else float(value[i]))
         if best is None:
             continue
         _, j, threshold = best
@@ -192,15 +243,55 @@ def fit_forest(spark: SparkSession, findings: pd.DataFrame | None = None, trees:
     return Forest(rows["feature"].to_numpy(np.int64), rows["threshold"].to_numpy(), rows["left"].to_numpy(np.int64) + shift, roots)
 
 
+def assigned(data: np.ndarray, offsets: np.ndarray, least: int = SHORT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, start and end of the values of `least` or more bytes that a secret word assigns by = or :.
+
+    A quoted value ends at its quote; a bare one at a space, a quote, a tag, or a comma, semicolon or & that ends it
+    or that a further key follows, and without the punctuation after it. Keys are looked for in KEY bytes."""
+    sign = (data == 0x3D) | (data == 0x3A)
+    first = sign.copy()
+    first[1:] &= ~sign[:-1]
+    places = np.flatnonzero(first)
+    if not len(places):
+        return (np.zeros(0, np.int64),) * 3
+    rows = np.searchsorted(offsets, places, side="right") - 1
+    raw, found, done = data.tobytes(), [], 0
+    for row, at in zip(rows.tolist(), places.tolist(), strict=True):
+        low, high = int(offsets[row]), int(offsets[row + 1])
+        if at < done or not _KEY.search(raw[max(low, at - KEY) : at]) or not (match := _VALUE.match(raw, at, high)):
+            continue
+        start, end = match.span(2) if match[1] else match.span(3)
+        if not match[1]:
+            done = end if end - start > 2 * KEY else done
+            while end > start and (raw[end - 1] in b".,;:" or any(raw[end - 1] == shut and opened not in raw[start:end] for opened, shut in zip(b"([{", b")]}", strict=True))):
+                end -= 1
+        if end - start >= least:
+            found.append((row, start, end))
+    return tuple(np.array(found, np.int64).reshape(-1, 3).T)
+
+
 def candidates(data: np.ndarray, offsets: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, start and end of the runs of key characters that are long enough and have a letter and a digit."""
+    """Row, start and end of the runs of key characters, with = or == after them, that are long enough and have a
+    letter and a digit, of those runs joined by dots, and of the assigned values; each place once."""
     starts, ends, count = words(data, offsets, _TOKEN)
     row = np.repeat(np.arange(len(count)), count)
+    stop = offsets[row + 1]
+    byte = lambda at: np.where(at < stop, data[np.minimum(at, len(data) - 1)], 0x20) if len(data) else at
+    equal = [byte(ends + k) == 0x3D for k in range(3)]
+    padding = np.where(equal[0] & equal[1] & ~equal[2], 2, np.where(equal[0] & ~equal[1], 1, 0))
+    padded = ends + np.where(_TOKEN[byte(ends + padding)], 0, padding)
+    dotted = np.zeros(len(starts), bool)
+    dotted[1:] = (starts[1:] == ends[:-1] + 1) & (row[1:] == row[:-1]) & (byte(ends)[:-1] == 0x2E)
+    head = np.flatnonzero(~dotted)
+    tail = np.append(head[1:], len(starts))[: len(head)] - 1
+    several = tail > head
+    row, starts, ends = (np.concatenate([x, y]) for x, y in ((row, row[head[several]]), (starts, starts[head[several]]), (padded, padded[tail[several]])))
     long = np.flatnonzero(ends - starts >= least)
     starts, ends, row = starts[long], ends[long], row[long]
     good = [bool(_DIGIT[data[a:b]].any() and _ALPHA[data[a:b]].any()) for a, b in zip(starts, ends, strict=True)]
     good = np.array(good, bool)
-    return row[good], starts[good], ends[good]
+    found = np.concatenate([np.stack([row[good], starts[good], ends[good]]), np.stack(assigned(data, offsets))], axis=1)
+    return tuple(np.unique(found.astype(np.int64), axis=1))
 
 
 def _scored(part, forest: Forest, paths: list[str]) -> tuple[np.ndarray, ...]:
@@ -213,8 +304,23 @@ def _scored(part, forest: Forest, paths: list[str]) -> tuple[np.ndarray, ...]:
     return row, start - part.offsets[row], end - part.offsets[row], score
 
 
+def _kept(part, forest: Forest, paths: list[str], least_score: float) -> tuple[np.ndarray, ...]:
+    """Row, start, end and best score of the candidates that the forest keeps; those that overlap are one."""
+    row, start, end, score = (x.tolist() for x in _scored(part, forest, paths))
+    found: list[list] = []
+    for r, a, b, p in zip(row, start, end, score, strict=True):
+        if p < least_score:
+            continue
+        if found and found[-1][0] == r and a < found[-1][2]:
+            found[-1][2:] = [max(b, found[-1][2]), max(p, found[-1][3])]
+        else:
+            found.append([r, a, b, p])
+    columns = list(zip(*found, strict=True)) or [()] * 4
+    return *(np.array(c, np.int64) for c in columns[:3]), np.array(columns[3], np.float64)
+
+
 def secrets(documents: DataFrame, forest: Forest, *, least_score: float = 0.5, path_column: str | None = None) -> DataFrame:
-    """doc_id, start, end (bytes), score of every candidate that the forest keeps, with the string's SHA-256.
+    """doc_id, start, end (bytes), score of every finding that the forest keeps, with the string's SHA-256.
 
     path_column names a column with each text's path or source. Null and empty texts have no findings; equal rows
     are reported each for itself."""
@@ -225,11 +331,10 @@ def secrets(documents: DataFrame, forest: Forest, *, least_score: float = 0.5, p
         for batch in batches:
             for part in slices(batch.column("text")):
                 paths = batch.column("path").slice(part.first, len(part)).to_pylist()
-                row, start, end, score = _scored(part, shared.value, paths)
-                k = np.flatnonzero(score >= least_score)
-                found = [part.data[part.offsets[row[i]] + start[i] : part.offsets[row[i]] + end[i]].tobytes() for i in k]
-                docs = batch.column("doc_id").slice(part.first, len(part)).take(pa.array(row[k]))
-                yield pa.record_batch([docs, pa.array(start[k]), pa.array(end[k]), pa.array(score[k]), pa.array(found, pa.binary())], ["doc_id", "start", "end", "score", "string"])
+                row, start, end, score = _kept(part, shared.value, paths, least_score)
+                found = [part.data[part.offsets[r] + a : part.offsets[r] + b].tobytes() for r, a, b in zip(row, start, end, strict=True)]
+                docs = batch.column("doc_id").slice(part.first, len(part)).take(pa.array(row))
+                yield pa.record_batch([docs, pa.array(start), pa.array(end), pa.array(score), pa.array(found, pa.binary())], ["doc_id", "start", "end", "score", "string"])
 
     found = texts(documents, path.alias("path")).mapInArrow(run, "doc_id long, start long, end long, score double, string binary")
     return found.select("doc_id", "start", "end", "score", F.sha2("string", 256).alias("sha256"))
@@ -246,10 +351,10 @@ def redacted(documents: DataFrame, forest: Forest, *, least_score: float = 0.5,
             out, column = [], batch.column("text")
             paths = [str(x or "") for x in batch.column(path_column).to_pylist()] if path_column else [""] * batch.num_rows
             for part in slices(column.fill_null("")):
-                row, start, end, score = _scored(part, shared.value, paths[part.first : part.first + len(part)])
+                row, start, end, _ = _kept(part, shared.value, paths[part.first : part.first + len(part)], least_score)
                 cut: dict[int, list[tuple[int, int]]] = {}
-                for k in np.flatnonzero(score >= least_score):
-                    cut.setdefault(int(row[k]), []).append((int(start[k]), int(end[k])))
+                for r, a, b in zip(row.tolist(), start.tolist(), end.tolist(), strict=True):
+                    cut.setdefault(r, []).append((a, b))
                 for i in range(len(part)):
                     raw = part.bytes(i)
                     for a, b in reversed(cut.get(i, ())):

@@ -214,6 +214,21 @@ def test_forest_on_unseen_findings(spark):
     assert ((forest.probability(x) >= 0.5) == fresh["label"]).mean() > 0.95
 
 
+def test_short_plain_dotted_and_padded_secrets(spark):
+    forest = secrets_scan.fit_forest(spark)
+    jwt = "eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U"
+    held = ["Tr0ub4dor3x", "qwhzkvbnmplrtx", "83920174", "p.ss!w@rd$1", jwt, "c2VjcmV0cGFzc3dvcmQxMjM="]
+    rows = [(i, f'here password = "{x}" and more') for i, x in enumerate(held)] + [(10, f"see Authorization: Bearer {jwt} end"), (11, "db_password=hunter2, user=bob"), (12, '{"password": "S3cr3t!", "user": "bob"}')]
+    clean = {r["doc_id"]: r["text"] for r in secrets_scan.redacted(frame(spark, rows), forest).collect()}
+    assert [clean[i] for i in range(6)] == ['here password = "[SECRET]" and more'] * 6
+    assert [clean[i] for i in (10, 11, 12)] == ["see Authorization: Bearer [SECRET] end", "db_password=[SECRET], user=bob", '{"password": "[SECRET]", "user": "bob"}']
+    found = {r["doc_id"]: (r["start"], r["end"], r["sha256"]) for r in secrets_scan.secrets(frame(spark, rows), forest).collect()}
+    assert found == {d: (s := t.index(x), s + len(x), hashlib.sha256(x.encode()).hexdigest()) for (d, t), x in zip(rows, [*held, jwt, "hunter2", "S3cr3t!"], strict=True)}
+    harmless = ["password: required field", "the token: string is", 'password = os.getenv("DB_PASSWORD")', 'password = "********"', 'author: "John Smithson"', "access: public and", "see https://www.example.com/foo/bar1 now", 'password = "" or none']
+    left = secrets_scan.redacted(frame(spark, list(enumerate(harmless))), forest).orderBy("doc_id").collect()
+    assert [r["text"] for r in left] == harmless
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     assert jaccard_join.jaccard_classes(none).count() == 0 and repeats.without_repeats(none).count() == 0
