@@ -346,7 +346,7 @@ def _cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
             if sum(x.shape[1] for x in found) > _PAIRS:
                 yield counted(found)
                 found = []
-        if found:
+        if any(x.shape[1] for x in found):
             yield counted(found)
 
     found = dealt.mapInArrow(run, "a long, b long, na long, nb long, blocks long").groupBy("a", "b", "na", "nb").agg(F.sum("blocks").alias("blocks"))

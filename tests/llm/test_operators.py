@@ -242,3 +242,75 @@ def test_pipeline_keeps_clean_documents(spark, docs):
     ids = {r["doc_id"] for r in rows.select("doc_id").collect()}
     assert ids <= {r["doc_id"] for r in docs.select("doc_id").collect()} and len(ids) > 0.5 * docs.count() / 2
     assert rows.where(F.col("n_tokens") < 0).isEmpty()
+
+
+ITEMS = ["The quick survey of coastal lighthouses lists forty towers and their keepers in order", "Every third ledger in the archive was bound in green cloth before the great flood came"]
+
+
+@pytest.fixture(scope="module")
+def corpus(spark, tmp_path_factory):
+    """A folder with benchmark and labels, and documents of which some have no doc_id or a repeated one."""
+    folder = tmp_path_factory.mktemp("corpus")
+    spark.createDataFrame(list(enumerate(ITEMS)), "item_id long, text string").write.parquet(f"file://{folder}/benchmark.parquet")
+    rng = random.Random(5)
+    base = [" ".join(rng.choice("abcdefghij") * rng.randint(1, 3) for _ in range(60)) for _ in range(7)]
+    near = lambda i: base[i] + " end"
+    rows = [(1, base[0]), (1, near(0)), (2, near(0) + " of"), (None, base[0]), (None, base[1]), (None, near(1)), (3, base[2]), (None, near(2)), (3, base[3]), (3, near(3)), (4, base[3])]
+    rows += [(None, None), (None, ""), (None, " \n"), (None, " \n"), (5, base[4]), (5, base[4]), (None, base[5] + " " + ITEMS[0]), (6, base[6]), (6, base[6] + " " + ITEMS[1].replace("green", "grean")), (None, base[5])]
+    rows += [(7, base[1][:40] + ' password = "Tr0ub4dor3x" '), (None, base[2][:40] + ' password = "Tr0ub4dor3x" '), (7, base[2][:40])]
+    frame = spark.createDataFrame([(d, t, "en", "crawl", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    labels = spark.createDataFrame([(i, 1, int(i > 3)) for i in range(1, 8)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"file://{folder}/labels.parquet")
+    return f"file://{folder}", rows, frame
+
+
+def kept(df):
+    return Counter((r["doc_id"], r["text"]) for r in df.collect())
+
+
+def test_stage_toxicity_decides_each_text(spark, corpus):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    folder, rows, frame = corpus
+    scorer = toxicity.toxicity_model(frame, spark.read.parquet(f"{folder}/labels.parquet"), train=~held_out(5, 0))
+    alone = lambda t: scorer.probability(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0]
+    assert kept(corpus_pipeline.not_toxic(spark, frame, folder)) == Counter(r for r in rows if alone(r[1] or "") < 0.5)
+
+
+def test_stage_keeps_one_of_each_class(spark, corpus):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    folder, rows, frame = corpus
+    found = kept(corpus_pipeline.one_of_each(spark, frame, folder))
+    different = sorted(set(rows), key=str)
+    classes = defaultdict(list)
+    for i, (_, head) in brute_classes([(i, t) for i, (_, t) in enumerate(different)]).items():
+        classes[head].append(different[i])
+    assert set(found.values()) == {1} and len(found) == len(classes)
+    for members in classes.values():
+        held = [m for m in members if m in found]
+        assert len(held) == 1 and held[0][0] == min((d for d, _ in members if d is not None), default=None)
+
+
+def test_stage_drops_each_text_with_an_item(spark, corpus):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    folder, rows, frame = corpus
+
+    def edits(item, text):
+        row = [0] * (len(text) + 1)
+        for x in item:
+            above, row = row, [row[0] + 1]
+            for j, y in enumerate(text):
+                row.append(min(above[j] + (x != y), above[j + 1] + 1, row[j] + 1))
+        return min(row)
+
+    clean = Counter(r for r in rows if all(edits(i.lower(), (r[1] or "").lower()) > 0.08 * len(i) for i in ITEMS))
+    assert len(rows) - clean.total() == 2 and kept(corpus_pipeline.not_leaked(spark, frame, folder)) == clean
+
+
+def test_stages_of_secrets_and_encoding_keep_each_row(spark, corpus):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    folder, rows, frame = corpus
+    clean = corpus_pipeline.without_secrets(spark, frame, folder)
+    wanted = Counter((d, t and t.replace("Tr0ub4dor3x", "[SECRET]")) for d, t in rows)
+    assert kept(clean) == wanted and clean.where("n_chars <> length(text)").isEmpty()
+    back = corpus_pipeline.encoded_and_decoded(spark, frame, folder).collect()
+    assert Counter((r["doc_id"], r["decoded_sha256"]) for r in back) == Counter((d, hashlib.sha256((t or "").encode()).hexdigest()) for d, t in rows)
