@@ -129,6 +129,34 @@ def engine_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics(backtest(signalled(bars(spark, sf_dir), runs)))
 
 
+def index_of(series: DataFrame) -> DataFrame:
+    """day, close of an index: the mean close of the symbols that have a bar."""
+    return series.groupBy("day").agg(F.avg("close").alias("close"))
+
+
+def with_index(series: DataFrame, index: DataFrame) -> DataFrame:
+    """series with index_close, the index's close at the same position (not day), null beyond its end."""
+    at = F.row_number().over(Window.orderBy("day")).alias("at")
+    places = index.select(at, F.col("close").alias("index_close"))
+    return series.withColumn("at", F.row_number().over(by_day())).join(places, "at", "left").drop("at")
+
+
+def with_alpha(figures: DataFrame, index: DataFrame) -> DataFrame:
+    """metrics() with the index's total return and benchmark_alpha_percent, the annual return less that total; without
+    an index of two bars the return is null and alpha 0."""
+    total = F.when(F.count("*") > 1, (F.max_by("close", "day") / F.min_by("close", "day") - 1) * 100)
+    out = figures.crossJoin(index.agg(total.alias("benchmark")))
+    return out.select(*figures.columns, r6("benchmark").alias("benchmark_return_percent"), F.coalesce(r6(F.col("annual_percent") - F.col("benchmark")), F.lit(0.0)).alias("benchmark_alpha_percent"))
+
+
+def engine_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All four strategies, momentum with the mean close of all symbols as its index, and their alpha against it."""
+    series = bars(spark, sf_dir)
+    index = index_of(series)
+    runs = {"hold": hold_signal(), "breakout": breakout_signal(), "momentum": momentum_signal()} | {f"ma_{a}_{b}": ma_signal(a, b) for a, b in GRID}
+    return with_alpha(metrics(backtest(signalled(with_index(series, index), runs))), index)
+
+
 def engine_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     curve = backtest(signalled(bars(spark, sf_dir), {"ma_20_50": ma_signal(20, 50)}))
     return curve.select("symbol", "day", "side", "traded", r6("fill").alias("fill"), r6("fee").alias("fee"), r6("equity").alias("equity"))
@@ -159,6 +187,44 @@ def engine_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("symbol", "fold").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), r6(F.max_by("equity", "day") / F.min_by("equity", "day") - 1).alias("ret"), r6(F.stddev_pop("ret") * F.sqrt(F.lit(252.0))).alias("volatility"))
 
 
+def in_windows(curve: DataFrame) -> DataFrame:
+    """The curve's bars once for each window that has them, named in `part`: the holdouts after 40, 60 and 80 % of the
+    bars up to 60, 80 and 100 %, all three as one, and the thirds."""
+    n = F.count("*").over(Window.partitionBy("run", "symbol"))
+    rows = curve.withColumns({"_n": n, "_i": F.row_number().over(Window.partitionBy("run", "symbol").orderBy("day")) - 1})
+    at = [F.floor(F.col("_n") * F.lit(x)) for x in (0.4, 0.6, 0.8, 1.0)]
+    third = [F.lit(0), F.floor(F.col("_n") / 3), F.floor(F.col("_n") * 2 / 3), F.col("_n")]
+    spans = {f"holdout_{k + 1}": (at[k], at[k + 1]) for k in range(3)} | {"holdouts": (at[0], at[3])} | {f"third_{k + 1}": (third[k], third[k + 1]) for k in range(3)}
+    parts = F.array_compact(F.array(*(F.when((F.col("_i") >= low) & (F.col("_i") < high), F.lit(name)) for name, (low, high) in spans.items())))
+    return rows.withColumn("part", F.explode(parts)).drop("_n", "_i")
+
+
+def window_metrics(curve: DataFrame) -> DataFrame:
+    """run, symbol, part and the figures of each window of two bars or more, from its own first equity; years are days
+    / 365.25, deviations of the population, ratios without a denominator null."""
+    keys = ("run", "symbol", "part")
+    rows = in_windows(curve)
+    rows = rows.withColumn("ret", F.col("equity") / F.lag("equity").over(Window.partitionBy(*keys).orderBy("day")) - 1)
+    down, year = F.when(F.col("ret") < 0, F.col("ret")), F.sqrt(F.lit(252.0))
+    out = rows.groupBy(*keys).agg(
+        F.count("*").alias("bars"), F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.max_by("equity", "day").alias("final"), F.min_by("equity", "day").alias("initial"),
+        F.coalesce(F.when(F.count("ret") > 1, F.stddev_pop("ret") * year), F.lit(0.0)).alias("volatility"), F.when(F.count(down) > 1, F.stddev_pop(down) * year).alias("downside"),
+    ).where("bars > 1")
+    years = F.greatest(F.datediff("last_day", "first_day") / F.lit(365.25), 1 / F.lit(365.25))
+    out = out.withColumn("annual", F.when(F.col("final") > 0, F.pow(F.col("final") / F.col("initial"), 1 / years) - 1).otherwise(-1.0)).withColumn("total", F.col("final") / F.col("initial") - 1)
+    out = out.join(drawdown_summary(rows, "equity", keys), list(keys))
+    over = lambda c: r6(F.col("annual") / F.nullif(F.round(c, 12), F.lit(0.0)))
+    return out.select(
+        *keys, "bars", "first_day", "last_day", "longest_bars", "longest_days", *(r6(F.col(c) * 100).alias(f"{c}_percent") for c in ("total", "annual", "volatility", "max_drawdown")),
+        over(F.col("volatility")).alias("sharpe"), over(F.col("downside")).alias("sortino"), over(F.abs("max_drawdown")).alias("calmar"), r6("final").alias("final_equity"),
+    )
+
+
+def engine_holdouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of the 20/50 curve in the holdouts at 40, 60, 80 and 100 % and in thirds."""
+    return window_metrics(backtest(signalled(bars(spark, sf_dir), {"ma_20_50": ma_signal(20, 50)})))
+
+
 def engine_period_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Yearly returns of the 20/50 curve, chained from the capital."""
     curve = backtest(signalled(bars(spark, sf_dir), {"ma_20_50": ma_signal(20, 50)}))
@@ -167,7 +233,7 @@ def engine_period_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return years.select("symbol", "year", r6((F.col("equity") / before - 1) * 100).alias("return_percent"))
 
 
-QUERIES = {f.__name__: f for f in (engine_backtest_ma, engine_strategies, engine_curve, engine_closed_trades, engine_cost_stress, engine_walk_forward, engine_period_returns)}
+QUERIES = {f.__name__: f for f in (engine_backtest_ma, engine_strategies, engine_benchmark, engine_curve, engine_closed_trades, engine_cost_stress, engine_walk_forward, engine_holdouts, engine_period_returns)}
 
 
 def _signal_sql(runs: dict[str, str]) -> str:
@@ -205,10 +271,25 @@ SELECT run, symbol, bars, trades, exits, longest_bars, round(total * 100, 6) AS
 _ONE = {"ma_20_50": _ma_sql(20, 50)}
 _MAS = {f"ma_{a}_{b}": _ma_sql(a, b) for a, b in GRID}
 _BREAK = "CASE WHEN rn > 20 THEN close > max(close) OVER (PARTITION BY symbol ORDER BY day ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AND volume > avg(volume) OVER (PARTITION BY symbol ORDER BY day ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) * 1.5 END"
+_INDEX = "(SELECT avg(close) AS close, day, row_number() OVER (ORDER BY day) AS at FROM bars GROUP BY day)"
+_UP = f"(SELECT i.close > j.close FROM {_INDEX} i JOIN {_INDEX} j ON i.at = j.at + 60 WHERE i.at = rn)"
+_MOMENTUM = f"CASE WHEN rn > 60 THEN close > lag(close, 60) OVER (PARTITION BY symbol ORDER BY day) AND coalesce({_UP}, false) END"
 _Z = 1.959963984540054
 ORACLE = {
     "engine_backtest_ma": _curve_sql(_ONE) + _METRICS_SQL,
     "engine_strategies": _curve_sql({"hold": "true", "breakout": _BREAK} | _MAS) + _METRICS_SQL,
+    "engine_benchmark": f"""WITH m AS ({_curve_sql({"hold": "true", "breakout": _BREAK, "momentum": _MOMENTUM} | _MAS) + _METRICS_SQL}), b AS (WITH {BARS_SQL} SELECT (last(close ORDER BY day) / first(close ORDER BY day) - 1) * 100 AS total FROM {_INDEX})
+      SELECT m.*, round(b.total, 6) AS benchmark_return_percent, round(m.annual_percent - b.total, 6) AS benchmark_alpha_percent FROM m, b""",
+    "engine_holdouts": _curve_sql(_ONE) + """, n AS (SELECT *, count(*) OVER (PARTITION BY run, symbol) AS n FROM curve), s AS (SELECT *, [{'part': 'holdout_1', 'low': floor(n * 0.4::DOUBLE), 'high': floor(n * 0.6::DOUBLE)}, {'part': 'holdout_2', 'low': floor(n * 0.6::DOUBLE), 'high': floor(n * 0.8::DOUBLE)}, {'part': 'holdout_3', 'low': floor(n * 0.8::DOUBLE), 'high': n::DOUBLE},
+      {'part': 'holdouts', 'low': floor(n * 0.4::DOUBLE), 'high': n::DOUBLE}, {'part': 'third_1', 'low': 0::DOUBLE, 'high': (n // 3)::DOUBLE}, {'part': 'third_2', 'low': (n // 3)::DOUBLE, 'high': (n * 2 // 3)::DOUBLE}, {'part': 'third_3', 'low': (n * 2 // 3)::DOUBLE, 'high': n::DOUBLE}] AS spans FROM n),
+      u AS (SELECT * EXCLUDE (spans), unnest(spans) AS span FROM s), w AS (SELECT run, symbol, day, equity, span.part AS part FROM u WHERE rn - 1 >= span.low AND rn - 1 < span.high),
+      p AS (SELECT *, equity / lag(equity) OVER g - 1 AS ret, max(equity) OVER (g ROWS UNBOUNDED PRECEDING) AS peak FROM w WINDOW g AS (PARTITION BY run, symbol, part ORDER BY day)),
+      d AS (SELECT *, sum(CASE WHEN equity >= peak THEN 1 ELSE 0 END) OVER (PARTITION BY run, symbol, part ORDER BY day ROWS UNBOUNDED PRECEDING) AS spell FROM p),
+      sp AS (SELECT run, symbol, part, spell, min(equity / peak - 1) AS deepest, count(*) FILTER (equity < peak) AS n, max(day) - min(day) FILTER (equity < peak) AS days FROM d GROUP BY ALL), dd AS (SELECT run, symbol, part, min(deepest) AS max_drawdown, max(n) AS longest_bars, coalesce(max(days), 0) AS longest_days FROM sp GROUP BY ALL),
+      m AS (SELECT run, symbol, part, count(*) AS bars, min(day) AS first_day, max(day) AS last_day, last(equity ORDER BY day) AS final, first(equity ORDER BY day) AS initial, CASE WHEN count(ret) > 1 THEN stddev_pop(ret) * sqrt(252.0) ELSE 0.0 END AS volatility, CASE WHEN count(*) FILTER (ret < 0) > 1 THEN stddev_pop(ret) FILTER (ret < 0) * sqrt(252.0) END AS downside FROM p GROUP BY run, symbol, part HAVING count(*) > 1),
+      a AS (SELECT *, final / initial - 1 AS total, CASE WHEN final > 0 THEN pow(final / initial, 1 / greatest((last_day - first_day) / 365.25, 1 / 365.25)) - 1 ELSE -1.0 END AS annual FROM m)
+      SELECT run, symbol, part, bars, first_day, last_day, longest_bars, longest_days, round(total * 100, 6) AS total_percent, round(annual * 100, 6) AS annual_percent, round(volatility * 100, 6) AS volatility_percent, round(max_drawdown * 100, 6) AS max_drawdown_percent,
+        round(annual / nullif(round(volatility, 12), 0), 6) AS sharpe, round(annual / nullif(round(downside, 12), 0), 6) AS sortino, round(annual / nullif(round(abs(max_drawdown), 12), 0), 6) AS calmar, round(final, 6) AS final_equity FROM a JOIN dd USING (run, symbol, part)""",
     "engine_curve": _curve_sql(_ONE) + " SELECT symbol, day, side, traded, round(fill, 6) AS fill, round(fee, 6) AS fee, round(equity, 6) AS equity FROM curve",
     "engine_closed_trades": _curve_sql(_MAS) + f""", t AS (SELECT run, symbol, side, row_number() OVER (PARTITION BY run, symbol, side ORDER BY day) AS k, fill * traded + CASE side WHEN 'buy' THEN fee ELSE -fee END AS value FROM curve WHERE side IS NOT NULL),
       c AS (SELECT b.run, b.symbol, s.value - b.value AS profit FROM t b JOIN t s ON b.run = s.run AND b.symbol = s.symbol AND b.k = s.k AND b.side = 'buy' AND s.side = 'sell'),

@@ -12,6 +12,23 @@ from pyspark.sql import functions as F
 from tapeline.sources.bars import table
 
 COLUMNS = ("timestamp", "open", "high", "low", "close", "volume")
+#: The header of an exchange's table of the day.
+DAY_END = ("DATE", "TRADING CODE", "OPENP*", "HIGH", "LOW", "CLOSEP*", "VOLUME")
+#: Claims of market rules and their patterns, `key: value` to the end of the line.
+CLAIMS = {
+    "weekly_trading_days": r"(?:trading days?|weekdays?)",
+    "market_sessions": r"(?:market|trading)\s*(?:hours?|time)",
+    "tick_sizes": r"tick\s*size",
+    "price_bands": r"price\s*(?:limit|band)",
+    "settlement": r"settlement",
+    "buy_brokerage": r"buy\s*brokerage",
+    "sell_brokerage": r"sell\s*brokerage",
+    "minimum_brokerage": r"minimum\s*(?:brokerage|charge)",
+}
+CLAIMS = {claim: rf"(?i){key}\s*[:=-]\s*([^\n]+)" for claim, key in CLAIMS.items()}
+#: Kinds of lines: licence, copyright and contact.
+KINDS = {"licence": r"(?i)licen[cs]e", "copyright": r"(?i)copyright", "contact": r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[a-z]+"}
+_LINES = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 
 
 def csv_bars(spark: SparkSession, folder: str, start: str | None = None, end: str | None = None, *, attested: bool = False) -> DataFrame:
@@ -105,8 +122,114 @@ def text_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.withColumn("kind", kind).where("kind is not null").select("doc_id", (F.col("line") + 1).cast("long").alias("line"), "kind")
 
 
-QUERIES = {f.__name__: f for f in (html_tables, text_claims)}
+class _Cells(HTMLParser):
+    """Rows of cell texts of each table of a page, in the order in which tables start; a nested table is one of its
+    own, and end tags of rows and cells may be left out. An empty header cell has its aria-label."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.tables: list[list[list[str]]] = []
+        self.open: list[list] = []  # of each open table: its rows, the open row, the open cell's texts, its fallback
+
+    def handle_starttag(self, tag: str, attrs) -> None:
+        if tag == "table":
+            self.open.append([[], None, None, ""])
+            self.tables.append(self.open[-1][0])
+        elif self.open and tag == "tr":
+            self.end_row()
+            self.open[-1][1] = []
+        elif self.open and tag in ("td", "th") and self.open[-1][1] is not None:
+            self.end_cell()
+            self.open[-1][2:] = [[], dict(attrs).get("aria-label") or "" if tag == "th" else ""]
+
+    def handle_data(self, data: str) -> None:
+        if self.open and self.open[-1][2] is not None:
+            self.open[-1][2].append(data)
+
+    def handle_endtag(self, tag: str) -> None:
+        if not self.open:
+            return
+        if tag in ("td", "th"):
+            self.end_cell()
+        elif tag == "tr":
+            self.end_row()
+        elif tag == "table":
+            self.end_row()
+            self.open.pop()
+
+    def end_cell(self) -> None:
+        _, row, cell, fallback = self.open[-1]
+        if cell is not None:
+            row.append(" ".join("".join(cell).split()) or " ".join(fallback.split()))
+            self.open[-1][2:] = [None, ""]
+
+    def end_row(self) -> None:
+        self.end_cell()
+        rows, row, _, _ = self.open[-1]
+        if row:
+            rows.append(row)
+        self.open[-1][1] = None
+
+    def close(self) -> None:
+        super().close()
+        while self.open:
+            self.end_row()
+            self.open.pop()
+
+
+def cells_of(pages: DataFrame, required: tuple[str, ...] = DAY_END) -> DataFrame:
+    """page_id, table, row, cell (from 1) and text of every cell of the tables in which some row has all the required
+    columns; rows without cells count for nothing."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for page, html in zip(batch["page_id"], batch["html"], strict=True):
+                parser = _Cells()
+                parser.feed(html or "")
+                parser.close()
+                out = [
+                    (page, t, r, c, text) for t, rows in enumerate(parser.tables, 1) if any(set(required) <= set(row) for row in rows) for r, row in enumerate(rows, 1) for c, text in enumerate(row, 1)
+                ]
+                yield pd.DataFrame(out, columns=["page_id", "table", "row", "cell", "text"])
+
+    return pages.select("page_id", "html").mapInPandas(run, "page_id long, table int, row int, cell int, text string")
+
+
+def html_table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells of the day-end tables of pages."""
+    return cells_of(table(spark, sf_dir, "pages"))
+
+
+def claims_of(documents: DataFrame) -> DataFrame:
+    """doc_id, line (from 1), claim, value: a row for each pattern of CLAIMS that a line has, with the text after it."""
+    lines = documents.select("doc_id", F.posexplode(F.split("text", _LINES)).alias("line", "text"))
+    found = [F.when(F.col("text").rlike(p), F.struct(F.lit(claim).alias("claim"), F.trim(F.regexp_extract("text", p, 1), F.lit(" \t")).alias("value"))) for claim, p in CLAIMS.items()]
+    return lines.select("doc_id", (F.col("line") + 1).cast("long").alias("line"), F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("x")).select("doc_id", "line", "x.claim", "x.value")
+
+
+def text_claim_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The claims of market rules in documents, with their values."""
+    return claims_of(table(spark, sf_dir, "documents"))
+
+
+def kinds_of(documents: DataFrame) -> DataFrame:
+    """doc_id, line (from 1), kind: a row for each kind of KINDS that a line states."""
+    lines = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    found = [F.when(F.col("text").rlike(p), F.lit(kind)) for kind, p in KINDS.items()]
+    return lines.select("doc_id", (F.col("line") + 1).cast("long").alias("line"), F.explode(F.array_compact(F.array(*found))).alias("kind"))
+
+
+def text_line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All kinds that lines of documents state."""
+    return kinds_of(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (html_tables, html_table_cells, text_claims, text_claim_values, text_line_kinds)}
 ORACLE = {
     "text_claims": r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),
       k AS (SELECT doc_id, line, CASE WHEN regexp_matches(text, '(?i)licen[cs]e') THEN 'licence' WHEN regexp_matches(text, '(?i)copyright') THEN 'copyright' WHEN regexp_matches(text, '[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[a-z]+') THEN 'contact' END AS kind FROM l) SELECT * FROM k WHERE kind IS NOT NULL""",
+    "text_claim_values": rf"""WITH l AS (SELECT doc_id, unnest(string_split_regex(text, '{_LINES}')) AS text, generate_subscripts(string_split_regex(text, '{_LINES}'), 1) AS line FROM documents)
+      """ + " UNION ALL ".join(f"SELECT doc_id, line, '{claim}' AS claim, trim(regexp_extract(text, '{p}', 1), ' ' || chr(9)) AS value FROM l WHERE regexp_matches(text, '{p}')" for claim, p in CLAIMS.items()),
+    "text_line_kinds": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)
+      """ + " UNION ALL ".join(f"SELECT doc_id, line, '{kind}' AS kind FROM l WHERE regexp_matches(text, '{p}')" for kind, p in KINDS.items()),
 }

@@ -132,3 +132,45 @@ def test_empty_tables(spark):
 def test_html_tables_of_pages(spark):
     found = registry.QUERIES["html_tables"](spark, SF)
     assert found.count() == spark.read.parquet(f"{SF}/pages.parquet").count() and found.where("rows < 0 or cells < 0").isEmpty()
+
+
+def test_cells_of_tables_with_the_header(spark):
+    head = "<tr><th>Code</th><th aria-label='Close'> </th></tr>"
+    pages = [
+        (1, f"<table>{head}<tr><td> A &amp;  B </td><td>1<b>.5</b></td></tr></table><table><tr><td>other</td></tr></table>"),
+        (2, f"<table><tr><td>x<table>{head}<tr><td>C<td>2<tr></table></td></tr></table>"),
+        (3, None),
+    ]
+    found = files.cells_of(spark.createDataFrame(pages, "page_id long, html string"), ("Code", "Close"))
+    assert sorted(tuple(r) for r in found.collect()) == [
+        (1, 1, 1, 1, "Code"), (1, 1, 1, 2, "Close"), (1, 1, 2, 1, "A & B"), (1, 1, 2, 2, "1.5"), (2, 2, 1, 1, "Code"), (2, 2, 1, 2, "Close"), (2, 2, 2, 1, "C"), (2, 2, 2, 2, "2"),
+    ]
+
+
+def test_all_claims_and_kinds_of_a_line(spark):
+    text = "Trading days: Sun-Thu\nmarket hours = 10:00-14:30 \r\nTick size: 0.1; settlement: T+2\nprice band - 10%\nBuy brokerage: 0.4%\nsell  brokerage: 0.3%\nMinimum charge: 5\nnothing here"
+    rows = spark.createDataFrame([(1, text), (2, None), (3, "Copyright a@b.org, MIT licence\nno")], "doc_id long, text string")
+    assert sorted(tuple(r) for r in files.claims_of(rows).collect()) == [
+        (1, 1, "weekly_trading_days", "Sun-Thu"), (1, 2, "market_sessions", "10:00-14:30"), (1, 3, "settlement", "T+2"), (1, 3, "tick_sizes", "0.1; settlement: T+2"), (1, 4, "price_bands", "10%"),
+        (1, 5, "buy_brokerage", "0.4%"), (1, 6, "sell_brokerage", "0.3%"), (1, 7, "minimum_brokerage", "5"),
+    ]
+    assert sorted(tuple(r) for r in files.kinds_of(rows).collect()) == [(3, 1, "contact"), (3, 1, "copyright"), (3, 1, "licence")]
+
+
+def test_momentum_needs_a_rising_index(spark):
+    series = source.cyclic_bars(spark, 200)
+    falling = series.select("day", (1000 - F.col("close")).alias("close"))
+    for index, some in ((series, True), (falling, False), (series.limit(0), False)):
+        rows = backtest.signalled(backtest.with_index(series, index.select("day", "close")), {"momentum": backtest.momentum_signal()})
+        assert rows.count() == 200 and rows.where("desired").isEmpty() != some
+    figures = backtest.metrics(backtest.backtest(backtest.signalled(series, {"hold": backtest.hold_signal()})))
+    closes = [r["close"] for r in series.orderBy("day").collect()]
+    row = backtest.with_alpha(figures, series.select("day", "close")).first()
+    assert abs(row["benchmark_alpha_percent"] - (row["annual_percent"] - (closes[-1] / closes[0] - 1) * 100)) < 1e-5
+    assert backtest.with_alpha(figures, series.limit(0)).first()["benchmark_alpha_percent"] == 0.0
+
+
+def test_holdouts_and_thirds_cut_by_bars(spark):
+    curve = backtest.backtest(backtest.signalled(source.cyclic_bars(spark, 101), {"hold": backtest.hold_signal()}))
+    sizes = {r["part"]: r["bars"] for r in backtest.window_metrics(curve).collect()}
+    assert sizes == {"holdout_1": 20, "holdout_2": 20, "holdout_3": 21, "holdouts": 61, "third_1": 33, "third_2": 34, "third_3": 34}
