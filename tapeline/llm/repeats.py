@@ -4,6 +4,9 @@ The factor arrays come from the suffix order of candidate places: for a place, t
 larger place in suffix order before and after it give its longest earlier (or later) match. Suffixes are compared
 by SYMBOLS hashes of consecutive parts of the window, so that a shared length counts in such parts.
 
+Equality of all parts decides which windows are repeats; the factor arrays tell the earlier of equal windows where
+the first is kept, and decide nothing where it is not (op2_repeats).
+
 Candidates over all documents: every window of LENGTH bytes has an anchor, its leftmost GRAM of smallest hash, so
 equal windows have equal anchors at equal offsets. The windows of one anchor stand next to each other and are its
 context. An anchor that occurs once has no repeats; a context that occurs twice needs no comparison; of an anchor
