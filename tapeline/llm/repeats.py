@@ -1,21 +1,19 @@
-"""Suffix-array dedup: byte strings of a given length that occur more than once, by longest-previous-factor arrays.
-
-The factor arrays come from the suffix order of candidate places: for a place, the nearest smaller and the nearest
-larger place in suffix order before and after it give its longest earlier (or later) match. Suffixes are compared
-by SYMBOLS hashes of consecutive parts of the window, so that a shared length counts in such parts.
-
-Equality of all parts decides which windows are repeats; the factor arrays tell the earlier of equal windows where
-the first is kept, and decide nothing where it is not (op2_repeats).
-
-Candidates over all documents: every window of LENGTH bytes has an anchor, its leftmost GRAM of smallest hash, so
-equal windows have equal anchors at equal offsets. The windows of one anchor stand next to each other and are its
-context. An anchor that occurs once has no repeats; a context that occurs twice needs no comparison; of an anchor
-with several contexts, one copy of each is compared in suffix order, in one block. A block above MOST contexts is
-halved by where its windows start, with a longer common string as its key, down to single windows. Nothing is
-sampled.
-
-Texts are read in place for each step; only hashes, the contexts to compare and, at the end, the rows with their
-spans are shuffled.
+"""Suffix-array dedup: strings of a given length that occur more than once, by longest-previous-factor arrays.
+
+Strings are of bytes, or of words for passages that documents share. The factor arrays decide: a place starts a
+repeat where its longest match with an earlier place (or with an earlier or a later one, or with another document)
+is as long as asked for, and the match covers its units. They are read from suffix arrays (suffixes.py) of blocks:
+
+Every window of `length` units has an anchor, its leftmost gram of smallest hash, so equal windows have equal
+anchors at equal offsets. The windows of one anchor stand next to each other and are its context. The contexts of
+one anchor make a block, and a block has one suffix array, in which a context that occurs several times stands
+twice, for its first place and for all others. An anchor that occurs once has no repeats. A block of more than
+`most` contexts is halved by where its windows start, with a longer common string as its key; parts of contexts
+that have become equal are one context again, so that blocks end where they have one window start at the latest.
+Nothing is sampled. Anchors, contexts and keys are compared by 64-bit hashes, the strings themselves by their units.
+
+Texts are read in place for each step; only hashes, the different contexts of repeated anchors and, at the end, the
+rows with their spans are shuffled.
 """
 
 from __future__ import annotations
@@ -24,18 +22,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeline.llm.bitmap import Bitmap, bitmap
-from tapeline.llm.shared import Rolling, mixed, slices, texts, written
+from tapeline.llm.shared import Rolling, lowered, mixed, slices, texts, words, written
+from tapeline.llm.suffixes import Suffixes, factors, factors_elsewhere
 
 LENGTH = 400
 GRAM = 200
-SYMBOLS = 4
-MOST = 4_000
-_BATCH = 200_000
-_ROWS = 1_024
+#: A passage that documents share has so many words or more.
+PASSAGE = 50
+#: Contexts that one suffix array may hold.
+MOST = 500
+_BATCH = 1 << 18
+_ROWS = 512
 _SLICE = 1 << 20
 
 
@@ -63,64 +65,22 @@ def anchors(rolling: Rolling, offsets: np.ndarray, length: int, gram: int) -> tu
     return place[first], starts[first], starts[last]
 
 
-def factors(order: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each place the length of its longest match with an earlier and with a later place.
-
-    order lists the places in suffix order and shared[k] is what suffixes k - 1 and k have in common. A scan with
-    a stack meets, for each place, the nearest smaller place before it and, when it leaves, the one after it."""
-    n = len(order)
-    earlier, later = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    if n < 2 or not shared[1:].any():
-        return earlier, later
-    for out, sign in ((earlier, 1), (later, -1)):
-        stack: list[tuple[int, int]] = []  # place, and what it shares with the smaller place below it
-        for place, common in zip((sign * order).tolist(), shared.tolist(), strict=True):
-            while stack and stack[-1][0] > place:
-                top, below = stack.pop()
-                out[sign * top] = max(below, common)
-                common = min(common, below)
-            stack.append((place, common if stack else 0))
-        for place, below in stack:
-            out[sign * place] = below
-    return earlier, later
-
-
-def suffix_order(symbols: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of equally long rows of symbols in their order within blocks, and how many symbols neighbours share."""
-    order = np.lexsort((*symbols.T[::-1], block))
-    same = np.cumprod(symbols[order[1:]] == symbols[order[:-1]], axis=1).sum(1)
-    same[block[order[1:]] != block[order[:-1]]] = 0
-    return order, np.concatenate([[0], same])[: len(order)]
-
-
-def repeated(symbols: np.ndarray, block: np.ndarray, keep_first: bool) -> np.ndarray:
-    """Which rows of symbols equal an earlier one of their block, or any other if keep_first is false.
-
-    A row that shares less than all with both neighbours in suffix order has no such match, whatever its factors."""
-    order, shared = suffix_order(symbols, block)
-    whole = symbols.shape[1]
-    near = (shared >= whole) | np.concatenate([shared[1:] >= whole, [False]])
-    some = np.sort(order[near])
-    out = np.zeros(len(order), bool)
-    if len(some):
-        number = np.zeros(len(order), np.int64)
-        number[some] = np.arange(len(some))
-        earlier, later = factors(number[order[near]], shared[near])
-        out[some] = earlier >= whole if keep_first else np.maximum(earlier, later) >= whole
-    return out
-
-
 class Layout:
-    """Window length and gram; windows start at most `back` bytes before their anchor."""
+    """Window length and gram in bytes or words; windows start at most `back` units before their anchor."""
 
-    def __init__(self, length: int, gram: int) -> None:
+    def __init__(self, length: int, gram: int, unit: str = "byte") -> None:
         if not 1 <= gram <= length:
-            raise ValueError("a gram is at least a byte and at most a window")
-        self.length, self.gram, self.back = length, gram, length - gram
-        self.cuts = np.unique(np.linspace(0, length, SYMBOLS + 1).astype(int))
+            raise ValueError("a gram is at least a unit and at most a window")
+        self.length, self.gram, self.back, self.unit = length, gram, length - gram, unit
+        self.kind = np.dtype(np.uint8 if unit == "byte" else np.uint32)
 
-    def symbols(self, rolling: Rolling, starts: np.ndarray) -> np.ndarray:
-        return np.stack([rolling.of(starts + a, starts + b) for a, b in zip(self.cuts[:-1], self.cuts[1:], strict=True)], 1)
+    def units(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A slice's units, as bytes or as hashes of lower-cased words, and where each row's begin and end."""
+        if self.unit == "byte":
+            return data, offsets
+        data = lowered(data)
+        starts, ends, count = words(data, offsets)
+        return Rolling(data).of(starts, ends), np.concatenate([[0], np.cumsum(count)])
 
 
 def _row_id():
@@ -128,17 +88,18 @@ def _row_id():
 
 
 def _scan(documents: DataFrame, layout: Layout, emit, schema: str) -> DataFrame:
-    """emit(part, batch, rolling, at, row, start, end) makes the output of a slice of texts: its anchors at `at`
-    of the rows `row`, with their contexts from start to end."""
+    """emit(units, offsets, batch, rolling, at, row, start, end) makes the output of a slice of texts: its anchors
+    at `at` of the rows `row`, with their contexts from start to end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch.column("text"), _SLICE):
-                rolling = Rolling(part.data)
-                at, first, last = anchors(rolling, part.offsets, layout.length, layout.gram)
+                units, offsets = layout.units(part.data, part.offsets)
+                rolling = Rolling(units)
+                at, first, last = anchors(rolling, offsets, layout.length, layout.gram)
                 if len(at):
-                    row = np.searchsorted(part.offsets, at, side="right") - 1
-                    made = emit(part, batch.slice(part.first, len(part)), rolling, at, row, first, last + layout.length)
+                    row = np.searchsorted(offsets, at, side="right") - 1
+                    made = emit(units, offsets, batch.slice(part.first, len(part)), rolling, at, row, first, last + layout.length)
                     if made is not None and made.num_rows:
                         yield made
 
@@ -149,10 +110,14 @@ def _place_id(row: np.ndarray, pos: np.ndarray) -> np.ndarray:
     return mixed(row.astype(np.int64).view(np.uint64) + pos.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
 
 
+def _context_id(rolling: Rolling, at: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return mixed(rolling.of(start, end) + (at - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+
+
 def repeated_anchors(documents: DataFrame, layout: Layout) -> Bitmap:
     """The anchors that occur more than once, in a bitmap of bounded size that may hold others."""
 
-    def emit(part, batch, rolling, at, row, start, end):
+    def emit(units, offsets, batch, rolling, at, row, start, end):
         anchor, times = np.unique(rolling.of(at, at + layout.gram), return_counts=True)
         return pa.record_batch([pa.array(anchor.view(np.int64)), pa.array(times)], ["anchor", "n"])
 
@@ -161,190 +126,301 @@ def repeated_anchors(documents: DataFrame, layout: Layout) -> Bitmap:
 
 
 def occurrences(documents: DataFrame, layout: Layout, wanted) -> DataFrame:
-    """row, doc_id, pos, place, anchor, context, before, size of the wanted anchors of every row."""
+    """row, doc_id, pos, place, anchor, context of the wanted anchors of every row."""
 
-    def emit(part, batch, rolling, at, row, start, end):
+    def emit(units, offsets, batch, rolling, at, row, start, end):
         anchor = rolling.of(at, at + layout.gram).view(np.int64)
         some = wanted.value.has(anchor)
         at, row, start, end, anchor = at[some], row[some], start[some], end[some], anchor[some]
-        context = mixed(rolling.of(start, end) + (at - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
-        pos, take = at - part.offsets[row], pa.array(row)
+        pos, take = at - offsets[row], pa.array(row)
         rows = batch.column("row").take(take)
-        made = [pos.astype(np.int32), _place_id(np.asarray(rows), pos), anchor, context, (at - start).astype(np.int32), (end - start).astype(np.int32)]
-        return pa.record_batch([rows, batch.column("doc_id").take(take), *map(pa.array, made)], ["row", "doc_id", "pos", "place", "anchor", "context", "before", "size"])
+        made = [pos.astype(np.int32), _place_id(np.asarray(rows), pos), anchor, _context_id(rolling, at, start, end)]
+        return pa.record_batch([rows, batch.column("doc_id").take(take), *map(pa.array, made)], ["row", "doc_id", "pos", "place", "anchor", "context"])
 
-    return _scan(documents, layout, emit, "row long, doc_id long, pos int, place long, anchor long, context long, before int, size int")
+    return _scan(documents, layout, emit, "row long, doc_id long, pos int, place long, anchor long, context long")
 
 
-_BLOCK_ROWS = "key long, low int, high int, place long, doc_id long, row long, pos int, shift int, bytes binary"
+#: A context, or the part of it that belongs to a key: its first place, how many places it has and whether in several
+#: rows, the units from `shift` before the anchor on, of which windows start between low and high around the anchor.
+_STRINGS = "key long, context long, doc_id long, row long, pos int, place long, n long, several boolean, low int, high int, shift int, units binary"
+_NAMES = [x.split()[0] for x in _STRINGS.split(", ")]
 
 
-def _block_rows(documents: DataFrame, layout: Layout, wanted, among) -> DataFrame:
-    """The contexts of wanted places among some anchors as bytes, with the place of their anchor: shift bytes into them."""
+def _units_of(documents: DataFrame, layout: Layout, wanted, among) -> DataFrame:
+    """The units of the contexts of wanted places among some anchors; what else a row of _STRINGS has is null."""
 
-    def emit(part, batch, rolling, at, row, start, end):
+    def emit(units, offsets, batch, rolling, at, row, start, end):
         rows = np.asarray(batch.column("row"))[row]
-        place = _place_id(rows, at - part.offsets[row])
-        some = wanted.value.has(place) & among.value.has(rolling.of(at, at + layout.gram).view(np.int64))
-        at, row, start, end, rows, place = at[some], row[some], start[some], end[some], rows[some], place[some]
-        text = [part.data[x:y].tobytes() for x, y in zip(start, end, strict=True)]
-        whole = lambda v: pa.array(np.full(len(at), v, np.int32))
+        place = _place_id(rows, at - offsets[row])
+        anchor = rolling.of(at, at + layout.gram).view(np.int64)
+        some = wanted.value.has(place) & among.value.has(anchor)
+        at, start, end, place, anchor = at[some], start[some], end[some], place[some], anchor[some]
+        small = units.astype(layout.kind)
         return pa.record_batch([
-            pa.array(rolling.of(at, at + layout.gram).view(np.int64)), whole(-layout.back), whole(0), pa.array(place), batch.column("doc_id").take(pa.array(row)),
-            pa.array(rows), pa.array((at - part.offsets[row]).astype(np.int32)), pa.array((at - start).astype(np.int32)), pa.array(text, pa.binary()),
-        ], [x.split()[0] for x in _BLOCK_ROWS.split(", ")])
-
-    return _scan(documents, layout, emit, _BLOCK_ROWS)
-
-
-def _halved(rows: DataFrame, layout: Layout) -> DataFrame:
-    """Each block row twice, for the first and the second half of its window starts, under keys of longer strings."""
+            pa.array(anchor), pa.array(_context_id(rolling, at, start, end)), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int32()), pa.array(place),
+            pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.bool_()), pa.array(np.full(len(at), -layout.back, np.int32)), pa.array(np.zeros(len(at), np.int32)), pa.array((at - start).astype(np.int32)),
+            pa.array([small[x:y].tobytes() for x, y in zip(start, end, strict=True)], pa.binary()),
+        ], _NAMES)
+
+    return _scan(documents, layout, emit, _STRINGS)
+
+
+def _joined(held: pa.Table) -> pa.Table:
+    """Rows of _STRINGS that have n and those that have units, put together by key, context and place."""
+    known, raw = held.column("n").is_valid().to_numpy(), held.column("units").is_valid().to_numpy()
+    if (known & raw).all():
+        return held
+    ids = [np.asarray(held.column(c)) for c in ("key", "context", "place")]
+    order = np.lexsort((~known, *ids[::-1]))
+    ids, known = [x[order] for x in ids], known[order]
+    same = np.all([x[1:] == x[:-1] for x in ids], axis=0)
+    pair = np.flatnonzero(same & known[:-1] & ~known[1:])
+    about, units = held.take(pa.array(order[pair])), held.take(pa.array(order[pair + 1]))
+    return about.select(_NAMES[:8]).append_column("low", units.column("low")).append_column("high", units.column("high")).append_column("shift", units.column("shift")).append_column("units", units.column("units"))
+
+
+def _without_repeats(held: pa.Table) -> pa.Table:
+    """One row of each (key, context, place) and kind: equal rows of documents give theirs more than once."""
+    ids = [np.asarray(held.column(c)) for c in ("key", "context", "place")] + [held.column("n").is_valid().to_numpy()]
+    order = np.lexsort(ids[::-1])
+    new = np.concatenate([[True], np.any([x[order][1:] != x[order][:-1] for x in ids], axis=0)])
+    return held.take(pa.array(np.sort(order[new])))
+
+
+def _stream(batches: Iterator[pa.RecordBatch], use) -> Iterator[pa.RecordBatch]:
+    """use() of tables of some whole keys, of a stream in the order of keys."""
+    held, weight = None, 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, _ROWS):
+            new = pa.Table.from_batches([batch.slice(at, _ROWS)])
+            held = _without_repeats(pa.concat_tables([held, new]) if held is not None else new)
+            weight += new.nbytes
+            if weight > _BATCH:
+                key = np.asarray(held.column("key"))
+                if key[0] != key[-1]:
+                    cut = int(np.flatnonzero(key != key[-1])[-1]) + 1
+                    yield from use(held.slice(0, cut))
+                    held = held.slice(cut)
+                weight = held.nbytes
+    if held is not None and held.num_rows:
+        yield from use(held)
+
+
+_FOUND = "context long, first long, other boolean, low int, high int"
+
+
+def longest(held: pa.Table, layout: Layout, by: str) -> tuple[np.ndarray, ...]:
+    """For every context of some keys: its number twice, for the first place and the others, with where its units
+    begin in the buffer, how many there are, and the buffer's longest factors of `length` or more.
+
+    by is "earlier" (matches before a place count), "any" (all other places) or "row" (places of other rows)."""
+    part = next(slices(held.column("units"), 1 << 62))
+    n, low, high, shift = (np.asarray(held.column(c)).astype(np.int64) for c in ("n", "low", "high", "shift"))
+    size = layout.kind.itemsize
+    first = np.maximum(low + shift, 0)  # units that the key's windows have
+    last = np.minimum(high + shift + layout.length, np.diff(part.offsets) // size)
+    number = np.repeat(np.arange(len(n)), np.where(n > 1, 2, 1))
+    other = np.concatenate([[False], number[1:] == number[:-1]])
+    lengths = (last - first)[number] + 1
+    begins = np.cumsum(lengths) - lengths
+    units = np.zeros(int(lengths.sum()), layout.kind)
+    flat = np.frombuffer(part.data.tobytes(), layout.kind)
+    at = np.ones(len(units), bool)
+    at[begins + lengths - 1] = False
+    take = np.repeat(part.offsets[:-1][number] // size + first[number] - begins, lengths) + np.arange(len(units))
+    units[at] = flat[take[at]]
+    suffixes = Suffixes(units, np.repeat(begins + lengths - 1, lengths), layout.length)
+    shared = suffixes.shared(layout.length)
+    if by == "row":
+        rows = np.unique(np.asarray(held.column("row")), return_inverse=True)[1]
+        owner = np.where(other & np.asarray(held.column("several"))[number], -1 - np.arange(len(number)), rows[number])
+        found = factors_elsewhere(suffixes.order, shared, np.repeat(owner, lengths))
+    else:
+        earlier, later = factors(suffixes.order, shared, layout.length)
+        found = earlier if by == "earlier" else np.maximum(earlier, later)
+    return number, other, begins, lengths - 1, found, first - shift
+
+
+def _compared(strings: DataFrame, layout: Layout, by: str) -> DataFrame:
+    """context, first (its first place), other (whether for its other places), low, high: the ranges around the anchor
+    that longest factors cover. Keys follow each other in a stream; several share one suffix array."""
+    parts = int(strings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def compare(held: pa.Table) -> Iterator[pa.RecordBatch]:
+        held = _joined(held)
+        if not held.num_rows:
+            return
+        held = held.take(pc.sort_indices(held, [(c, "ascending") for c in ("doc_id", "row", "pos", "key", "context")], null_placement="at_start"))
+        number, other, begins, lengths, found, from_anchor = longest(held, layout, by)
+        hit = found >= layout.length
+        a = np.flatnonzero(hit & ~np.concatenate([[False], hit[:-1]]))  # separators have no factors and part the strings
+        if not len(a):
+            return
+        cover = np.maximum.reduceat(np.append(np.arange(len(found)) + found, 0), np.stack([a, np.flatnonzero(hit & ~np.concatenate([hit[1:], [False]])) + 1], 1).ravel())[::2]
+        string = np.searchsorted(begins, a, side="right") - 1
+        shift = from_anchor[number[string]] - begins[string]
+        take = pa.array(number[string])
+        yield pa.record_batch([
+            held.column("context").take(take).combine_chunks(), held.column("place").take(take).combine_chunks(), pa.array(other[string]),
+            pa.array((a + shift).astype(np.int32)), pa.array((np.minimum(cover, (begins + lengths)[string]) + shift).astype(np.int32)),
+        ], ["context", "first", "other", "low", "high"])
+
+    dealt = strings.repartition(parts, "key").sortWithinPartitions("key")
+    return dealt.mapInArrow(lambda batches: _stream(batches, compare), _FOUND)
+
+
+def _whole(strings: DataFrame) -> DataFrame:
+    """The rows of _STRINGS put together, dealt by key and context: a large block lies in many tasks."""
+    parts = int(strings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = strings.repartition(parts, "key", "context").sortWithinPartitions("key", "context")
+    names = [f"`{x}`" for x in _NAMES]
+    return dealt.select(*names).mapInArrow(lambda batches: _stream_contexts(batches), _STRINGS)
+
+
+def _stream_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = None
+    for batch in batches:
+        for at in range(0, batch.num_rows, _ROWS):
+            new = pa.Table.from_batches([batch.slice(at, _ROWS)])
+            held = _without_repeats(pa.concat_tables([held, new]) if held is not None else new)
+            key, context = np.asarray(held.column("key")), np.asarray(held.column("context"))
+            own = (key != key[-1]) | (context != context[-1])
+            if own.any():
+                cut = int(np.flatnonzero(own)[-1]) + 1
+                yield from _joined(held.slice(0, cut)).to_batches()
+                held = held.slice(cut)
+    if held is not None and held.num_rows:
+        yield from _joined(held).to_batches()
+
+
+def _halved(strings: DataFrame, layout: Layout) -> DataFrame:
+    """Each row of _STRINGS twice, for the first and the second half of its window starts, under keys of longer
+    strings and with the context's own part of them; `parent` is the context that it comes from."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = layout.kind.itemsize
         for batch in batches:
-            table = batch.to_pylist()
             out = []
-            for r in table:
+            for r in batch.to_pylist():
+                units = np.frombuffer(r["units"], layout.kind)
+                rolling = Rolling(units if size == 1 else mixed(units.astype(np.uint64)))
                 middle = (r["low"] + r["high"]) // 2
                 for low, high in ((r["low"], middle), (middle + 1, r["high"])):
-                    first, last = max(low, -r["shift"]), min(high, len(r["bytes"]) - r["shift"] - layout.length)
+                    first, last = max(low, -r["shift"]), min(high, len(units) - r["shift"] - layout.length)
                     if first > last:
                         continue
-                    text = np.frombuffer(r["bytes"], np.uint8)
-                    a, b = np.array([high + r["shift"]]), np.array([low + layout.length + r["shift"]])
-                    key = mixed(Rolling(text).of(a, b) + np.array([r["key"]]).view(np.uint64) + np.uint64(high - layout.back & 0xFFFF)).view(np.int64)[0]
-                    out.append(r | {"key": int(key), "low": low, "high": high})
+                    a, b = first + r["shift"], last + r["shift"] + layout.length
+                    own = rolling.of(np.array([a, high + r["shift"]]), np.array([b, low + layout.length + r["shift"]]))
+                    key = mixed(own[1:] + np.array([r["key"]]).view(np.uint64) + np.uint64(high - layout.back & 0xFFFF)).view(np.int64)[0]
+                    context = mixed(own[:1] + np.array([key]).view(np.uint64) + np.uint64(first + layout.back & 0xFFFF)).view(np.int64)[0]
+                    out.append(r | {"parent": r["context"], "key": int(key), "context": int(context), "low": low, "high": high, "shift": -first, "units": r["units"][a * size : b * size]})
             if out:
-                yield pa.RecordBatch.from_pylist(out, schema=batch.schema)
-
-    return rows.mapInArrow(run, _BLOCK_ROWS)
-
-
-_FOUND = "place long, low int, high int"
-
-
-def _compared(rows: DataFrame, layout: Layout, keep_first: bool) -> DataFrame:
-    """place, low, high: byte ranges around an anchor whose windows have an earlier match in their block, or any
-    match if keep_first is false. Blocks follow each other in a stream; several share one suffix order."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(parts, "key").sortWithinPartitions("key", "doc_id", "row", "pos")
-    length = layout.length
-
-    def compare(held: pa.Table) -> pa.RecordBatch:
-        key, place = (np.asarray(held.column(c)) for c in ("key", "place"))
-        held = held.filter(pa.array(np.concatenate([[True], (key[1:] != key[:-1]) | (place[1:] != place[:-1])])))  # equal rows have one place
-        key, low, high, shift, place = (np.asarray(held.column(c)).astype(np.int64) for c in ("key", "low", "high", "shift", "place"))
-        part = next(slices(held.column("bytes"), 1 << 62))
-        first = np.maximum(low, -shift)
-        last = np.minimum(high, np.diff(part.offsets) - shift - length)
-        many = last - first + 1
-        owner = np.repeat(np.arange(len(many)), many)
-        start = first[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
-        block = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))[owner]
-        hit = repeated(layout.symbols(Rolling(part.data), part.offsets[owner] + shift[owner] + start), block, keep_first)
-        same = owner[1:] == owner[:-1]
-        a = np.flatnonzero(hit & ~np.concatenate([[False], hit[:-1] & same]))
-        b = np.flatnonzero(hit & ~np.concatenate([hit[1:] & same, [False]]))
-        return pa.record_batch([pa.array(place[owner[a]]), pa.array(start[a].astype(np.int32)), pa.array((start[b] + length).astype(np.int32))], ["place", "low", "high"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, weight = None, 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, _ROWS):
-                new = pa.Table.from_batches([batch.slice(at, _ROWS)])
-                held = pa.concat_tables([held, new]) if held is not None else new
-                weight += sum(len(x) for x in new.column("bytes").to_pylist()) - new.num_rows * length
-                key = np.asarray(held.column("key"))
-                if weight > _BATCH and key[0] != key[-1]:
-                    cut = int(np.flatnonzero(key != key[-1])[-1]) + 1
-                    yield compare(held.slice(0, cut))
-                    held, weight = held.slice(cut), 0
-        if held is not None and held.num_rows:
-            yield compare(held)
+                yield pa.RecordBatch.from_pylist(out, schema=batch.schema.append(pa.field("parent", pa.int64())))
 
-    return dealt.mapInArrow(run, _FOUND)
+    return strings.mapInArrow(run, _STRINGS + ", parent long")
 
 
-def _single(rows: DataFrame, layout: Layout, keep_first: bool) -> DataFrame:
-    """The same for blocks of one window start, in which all windows are equal."""
-    first = rows.groupBy("key").agg(F.min(F.struct("doc_id", "row", "pos")).alias("first"), F.count("*").alias("n"))
-    met = rows.join(first.where("n > 1"), "key")
-    met = met.where(~F.struct("doc_id", "row", "pos").eqNullSafe(F.col("first"))) if keep_first else met
-    return met.select("place", "low", (F.col("low") + layout.length).alias("high"))
+def _once(halves: DataFrame) -> DataFrame:
+    """One row of _STRINGS for each context: the first of its places, with the number of all."""
+    first = F.min(F.struct("doc_id", "row", "pos", "place")).alias("first")
+    same = halves.groupBy("key", "context", "low", "high", "shift").agg(first, F.sum("n").alias("n"), (F.bool_or("several") | (F.min("row") != F.max("row"))).alias("several"), F.first("units").alias("units"))
+    return same.select("key", "context", *(F.col(f"first.{c}").alias(c) for c in ("doc_id", "row", "pos", "place")), "n", "several", "low", "high", "shift", "units")
 
 
-def repeated_ranges(documents: DataFrame, *, length: int = LENGTH, gram: int = GRAM, keep_first: bool = True, most: int = MOST) -> DataFrame:
-    """row (xxhash64 of doc_id and text), start, end: byte ranges covered by strings of `length` bytes that occur
-    at another place too; with keep_first, by those that occur at an earlier place, in order of (doc_id, place).
+def repeated_ranges(documents: DataFrame, *, length: int = LENGTH, gram: int = GRAM, unit: str = "byte", by: str = "earlier", most: int = MOST) -> DataFrame:
+    """row (xxhash64 of doc_id and text), start, end: the ranges of bytes or words that longest factors of `length` or
+    more cover, by matches with an "earlier" place, in order of (doc_id, row, place), with "any" other place, or with
+    a place of another "row".
 
-    Ranges of a row may overlap. Equal rows count as places of their own and share their ranges; with keep_first
-    a row that repeats another's doc_id and text thus loses no more than that one does."""
-    layout = Layout(length, gram)
+    Ranges of a row may overlap. Rows that are equal in doc_id and text are one row where matches are judged by
+    "earlier" or "row"; by "any", the places of one are other places for the next, and they share their ranges."""
+    layout = Layout(length, gram, unit)
     spark = documents.sparkSession
     among = spark.sparkContext.broadcast(repeated_anchors(documents, layout))
     places = written(occurrences(documents, layout, among), "repeat-places")
-    contexts = places.groupBy("context").agg(F.first("anchor").alias("anchor"), F.min(F.struct("doc_id", "row", "pos", "place")).alias("first"), F.count("*").alias("n"), F.first("before").alias("before"), F.first("size").alias("size"))
-    contexts = written(contexts.select("context", "anchor", F.col("first.place").alias("place"), "n", "before", "size"), "repeat-contexts")
-    several = written(contexts.groupBy("anchor").count().where("count > 1"), "repeat-blocks")
-    wanted = spark.sparkContext.broadcast(bitmap(written(contexts.join(several, "anchor", "left_semi").select("place"), "repeat-wanted")))
-    rows = _block_rows(documents, layout, wanted, among)
-    large = several.where(F.col("count") > most).select(F.col("anchor").alias("key"))
-    found = []
+    own = F.min(F.struct("doc_id", "row", "pos", "place")).alias("first")
+    contexts = places.groupBy("context").agg(F.first("anchor").alias("key"), own, F.count("*").alias("n"), (F.min("row") != F.max("row")).alias("several"))
+    contexts = written(contexts.select("key", "context", *(F.col(f"first.{c}").alias(c) for c in ("doc_id", "row", "pos", "place")), "n", "several"), "repeat-contexts")
+    blocks = written(contexts.groupBy("key").agg(F.count("*").alias("contexts"), F.sum("n").alias("n")).where("n > 1"), "repeat-blocks")
+    met = contexts.join(blocks.select("key"), "key", "left_semi")
+    wanted = spark.sparkContext.broadcast(bitmap(written(met.select("place"), "repeat-wanted")))
+    none = {"low": "int", "high": "int", "shift": "int", "units": "binary"}
+    strings = _units_of(documents, layout, wanted, among).unionByName(met.select("*", *(F.lit(None).cast(t).alias(c) for c, t in none.items())))
+    large = blocks.where(F.col("contexts") > most).select("key")
     if large.isEmpty():
-        found.append(_compared(rows, layout, keep_first))
-    else:
-        rows = written(rows, "repeat-rows")
-        while True:
-            found.append(_compared(rows.join(large, "key", "left_anti"), layout, keep_first))
-            halves = written(_halved(rows.join(large, "key", "left_semi"), layout), "repeat-rows")
-            sizes = halves.groupBy("key").agg(F.count("*").alias("n"), F.max(F.col("high") - F.col("low")).alias("span")).where("n > 1")
-            sizes = written(sizes, "repeat-blocks")
-            found.append(_single(halves.join(sizes.where("span = 0").select("key"), "key", "left_semi"), layout, keep_first))
-            rows = halves.join(sizes.where("span > 0").select("key"), "key", "left_semi")
-            large = sizes.where((F.col("span") > 0) & (F.col("n") > most)).select("key")
-            if large.isEmpty():
-                found.append(_compared(rows, layout, keep_first))
-                break
-    ranges = found[0]
-    for more in found[1:]:
-        ranges = ranges.unionByName(more)
-    whole = contexts.where("n > 1").select("context", (-F.col("before")).alias("low"), (F.col("size") - F.col("before")).alias("high"), F.col("place").alias("head"))
-    copies = places.select("context", "place", "row", "pos").join(whole, "context").where(F.col("place") != F.col("head") if keep_first else F.lit(True))
-    single = places.select("place", "row", "pos").join(ranges.distinct(), "place")
-    met = copies.select("row", "pos", "low", "high").unionByName(single.select("row", "pos", "low", "high"))
+        found = _compared(strings, layout, by)
+        return _placed(places, found, layout)
+    found = _placed(places, _compared(strings.join(large, "key", "left_anti"), layout, by), layout)
+    rows = written(_whole(strings.join(large, "key", "left_semi")), "repeat-strings")
+    parts = rows.select(F.col("context").alias("root"), "context")
+    while True:
+        halves = written(_halved(rows, layout), "repeat-halves")
+        parts = parts.join(halves.select(F.col("parent").alias("context"), F.col("context").alias("part")).distinct(), "context").select("root", F.col("part").alias("context"))
+        parts = written(parts, "repeat-parts")
+        rows = written(_once(halves), "repeat-strings")
+        sizes = written(rows.groupBy("key").agg(F.count("*").alias("contexts"), F.sum("n").alias("n")).where("n > 1"), "repeat-blocks")
+        small = rows.join(sizes.where(F.col("contexts") <= most).select("key"), "key", "left_semi")
+        found = found.unionByName(_placed(places, _compared(small, layout, by), layout, parts))
+        rows = rows.join(sizes.where(F.col("contexts") > most).select("key"), "key", "left_semi")
+        if rows.isEmpty():
+            return found
+
+
+def _placed(places: DataFrame, found: DataFrame, layout: Layout, parts: DataFrame | None = None) -> DataFrame:
+    """row, start, end of the ranges around the anchors of all places of the contexts, or of what contexts they had."""
+    if parts is not None:
+        found = found.join(parts, "context").drop("context").withColumnRenamed("root", "context")
+    met = places.select("context", "place", "row", "pos").join(found, "context").where((F.col("place") != F.col("first")) == F.col("other"))
     return met.select("row", (F.col("pos") + F.col("low")).alias("start"), (F.col("pos") + F.col("high")).alias("end"))
 
 
-def without_repeats(documents: DataFrame, *, length: int = LENGTH, gram: int = GRAM, keep_first: bool = True, most: int = MOST) -> DataFrame:
-    """doc_id, n_bytes, n_removed, spans (maximal removed byte ranges, ascending), kept (the other bytes) of every row.
+def _packed(ranges: DataFrame, name: str) -> DataFrame:
+    return ranges.distinct().groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias(name))
+
+
+def _merged(ranges: list[dict] | None) -> list[tuple[int, int]]:
+    spans: list[tuple[int, int]] = []
+    for a, b in sorted((r["start"], r["end"]) for r in ranges or ()):
+        if spans and a <= spans[-1][1]:
+            spans[-1] = (spans[-1][0], max(spans[-1][1], b))
+        else:
+            spans.append((a, b))
+    return spans
+
+
+def without_repeats(documents: DataFrame, *, length: int = LENGTH, gram: int = GRAM, by: str = "earlier", most: int = MOST, passage: int | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, spans (maximal removed byte ranges, ascending), kept (the other bytes) and
+    shared_words of every row. With `passage`, shared_words is how many words of the row lie in passages of so many
+    words or more (lower-cased, whatever the white space between them) that another row has too; without, it is null.
 
     Null texts count as empty; texts shorter than `length` lose nothing. kept is binary, as a cut may part a
-    character's bytes."""
-    ranges = repeated_ranges(documents, length=length, gram=gram, keep_first=keep_first, most=most)
-    packed = ranges.distinct().groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    character's bytes. What equal rows lose is said at repeated_ranges()."""
+    cut = _packed(repeated_ranges(documents, length=length, gram=gram, by=by, most=most), "ranges")
+    rows = texts(documents, _row_id().alias("row")).join(cut, "row", "left")
+    if passage:
+        rows = rows.join(_packed(repeated_ranges(documents, length=passage, gram=max(1, passage // 2), unit="word", by="row", most=most), "passages"), "row", "left")
+    else:
+        rows = rows.withColumn("passages", F.lit(None).cast("array<struct<start:int,end:int>>"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, ranges in zip(batch.column("text").cast(pa.binary()), batch.column("ranges"), strict=True):
-                raw, spans = text.as_py(), []
-                for r in sorted((r["start"], r["end"]) for r in ranges.as_py() or ()):
-                    if spans and r[0] <= spans[-1][1]:
-                        spans[-1] = (spans[-1][0], max(spans[-1][1], r[1]))
-                    else:
-                        spans.append(r)
+            for text, ranges, passages in zip(batch.column("text").cast(pa.binary()), batch.column("ranges"), batch.column("passages"), strict=True):
+                raw, spans = text.as_py(), _merged(ranges.as_py())
                 edges = [0, *(x for s in spans for x in s), len(raw)]
                 kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                out.append((len(raw), len(raw) - len(kept), [{"start": a, "end": b} for a, b in spans], kept))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 4
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.binary()]
-            yield pa.record_batch([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
+                shared = sum(b - a for a, b in _merged(passages.as_py())) if passage else None
+                out.append((len(raw), len(raw) - len(kept), [{"start": a, "end": b} for a, b in spans], kept, shared))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 5
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.binary(), pa.int64()]
+            yield pa.record_batch([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "spans", "kept", "shared_words"])
 
-    rows = texts(documents, _row_id().alias("row")).join(packed, "row", "left").select("doc_id", "text", "ranges")
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept binary")
+    found = rows.select("doc_id", "text", "ranges", "passages")
+    return found.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept binary, shared_words long")
 
 
 def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text of documents without the 400-byte strings that also start elsewhere."""
-    found = without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep_first=False)
-    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    """Every text of documents without the 400-byte strings that also start elsewhere, and how many of its words lie
+    in passages of PASSAGE words or more that another document has."""
+    found = without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), by="any", passage=PASSAGE)
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "shared_words")

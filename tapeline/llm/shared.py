@@ -1,6 +1,6 @@
 """Small helpers shared by the text operators: shared scratch tables and Arrow text slices.
 
-Texts arrive in Arrow batches. A batch is cut into slices of a few MB, so that the numpy
+Texts arrive in Arrow batches. A batch is cut into slices of about a MB, so that the numpy
 temporaries of a task stay small whatever the batch holds; a text is never cut.
 """
 
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -140,11 +140,12 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 class Rolling:
-    """Hashes of any byte ranges of one buffer, from one prefix sum modulo 2 ** 64."""
+    """Hashes of any ranges of one buffer, of bytes or of 64-bit units, from one prefix sum modulo 2 ** 64."""
 
     def __init__(self, data: np.ndarray) -> None:
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE_CODE[data] * powers(_BASE, len(data)), out=self.sums[1:])
+        code = _BYTE_CODE[data] if data.dtype == np.uint8 else data
+        np.cumsum(code * powers(_BASE, len(data)), out=self.sums[1:])
         self.back = powers(_BASE_INVERSE, len(data) + 1)
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

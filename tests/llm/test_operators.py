@@ -7,10 +7,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tapeline.llm import bpe, decontamination, jaccard_join, lattice, media, quality, repeats, secrets_scan, token_files, toxicity
+from tapeline.llm import bpe, decontamination, jaccard_join, lattice, media, quality, repeats, secrets_scan, suffixes, token_files, toxicity
 from tapeline.llm.shared import held_out, scratch
 
 SF = "/root/testdata/sf0.001"
@@ -85,22 +86,98 @@ def brute_repeats(rows, length):
     return out
 
 
-@pytest.mark.parametrize("most", [4_000, 3])
-def test_repeats_equal_brute_force(spark, most):
+def repeat_rows():
     rng = random.Random(5)
     letters = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
     shared = [letters(60) for _ in range(4)]
     rows = [(i, letters(rng.randint(0, 80)) + rng.choice(shared)[rng.randint(0, 20) : rng.randint(35, 60)] + letters(20)) for i in range(80)]
-    rows += [(200, None), (201, ""), (202, "abab" * 40), (203, "a" * 100), (204, rows[3][1]), (205, "é" * 60)]
-    found = repeats.without_repeats(frame(spark, rows), length=20, gram=10, keep_first=False, most=most)
-    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], len(r["spans"]), hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in found.collect()} == brute_repeats(rows, 20)
+    return [*rows, (200, None), (201, ""), (202, "abab" * 40), (203, "a" * 100), (204, rows[3][1]), (205, "é" * 60), (None, rows[4][1]), (206, "x" + rows[5][1]), (206, rows[6][1])]
+
 
+def cut(found):
+    return Counter((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in found.collect())
 
-def test_repeats_keep_the_first(spark):
+
+@pytest.mark.parametrize("most", [500, 3])
+def test_repeats_equal_brute_force(spark, most):
+    rows = repeat_rows()
+    found = cut(repeats.without_repeats(frame(spark, rows), length=20, gram=10, by="any", most=most))
+    assert found == Counter((rows[i][0], *x) for i, x in brute_repeats([(i, t) for i, (_, t) in enumerate(rows)], 20).items())
+
+
+def test_repeats_come_from_the_factors(spark, monkeypatch):
+    units = np.frombuffer(b"abcdefgh|xbcdefgh|", np.uint8)
+    ends = np.repeat([8, 17], 9)
+    order = suffixes.Suffixes(units, ends, 20)
+    earlier, later = suffixes.factors(order.order, order.shared())
+    assert earlier.tolist()[10:17] == [7, 6, 5, 4, 3, 2, 1] and later.tolist()[1:8] == [7, 6, 5, 4, 3, 2, 1] and not earlier[:9].any()
+    held = pa.table({"key": [1, 1], "context": [1, 2], "doc_id": [1, 2], "row": [1, 2], "n": [1, 1], "several": [False, False], "low": [-4, -4], "high": [0, 0], "shift": [4, 4], "units": pa.array([b"zabcdefgh", b"yabcdefgh"], pa.binary())})
+    layout = repeats.Layout(8, 4)
+    assert (repeats.longest(held, layout, "any")[4] == 8).sum() == 2 and (repeats.longest(held, layout, "earlier")[4] == 8).sum() == 1
+    monkeypatch.setattr(repeats, "factors", lambda order, shared, least: (np.zeros(len(order), np.int64),) * 2)
+    assert not repeats.longest(held, layout, "any")[4].any()
+
+
+@pytest.mark.parametrize("kind", [np.uint8, np.uint32])
+def test_factors_equal_brute_force(kind):
+    rng = random.Random(1)
+    for _ in range(40):
+        strings = [[rng.choice([0, 1, 255]) for _ in range(rng.randint(1, 25))] for _ in range(rng.randint(1, 6))]
+        strings += strings[: rng.randint(0, 1)]
+        lengths = np.array([len(x) + 1 for x in strings])
+        last = np.cumsum(lengths) - 1
+        order = suffixes.Suffixes(np.concatenate([np.array([*x, 0], kind) for x in strings]), np.repeat(last, lengths), 30)
+        owner = np.repeat(np.arange(len(strings)) % 3, lengths)
+        earlier, later = suffixes.factors(order.order, order.shared())
+        elsewhere = suffixes.factors_elsewhere(order.order, order.shared(), owner)
+        places = [(last[k] - len(x) + i, x[i:], k % 3) for k, x in enumerate(strings) for i in range(len(x))]
+        common = lambda x, y: next((i for i, (a, b) in enumerate(zip(x, y, strict=False)) if a != b), min(len(x), len(y)))
+        for at, own, of in places:
+            met = [(p, common(own, x), o) for p, x, o in places]
+            longest = [max((m for p, m, o in met if rule(p, o)), default=0) for rule in (lambda p, o: p < at, lambda p, o: p > at, lambda p, o: o != of)]  # noqa: B023
+            assert [earlier[at], later[at], elsewhere[at]] == longest
+
+
+@pytest.mark.parametrize("most", [500, 3])
+def test_repeats_keep_the_first(spark, most):
     rng = random.Random(8)
     text = "".join(rng.choice("abcdefgh") for _ in range(90))
-    found = {r["doc_id"]: r["n_removed"] for r in repeats.without_repeats(frame(spark, [(2, text), (1, text), (3, "z")]), length=20, gram=10).collect()}
+    found = {r["doc_id"]: r["n_removed"] for r in repeats.without_repeats(frame(spark, [(2, text), (1, text), (3, "z")]), length=20, gram=10, most=most).collect()}
     assert found == {1: 0, 2: 90, 3: 0}
+    rows = [(i, t) for i, (_, t) in enumerate(repeat_rows())]
+    kept, seen = {r["doc_id"]: [(x["start"], x["end"]) for x in r["spans"]] for r in repeats.without_repeats(frame(spark, rows), length=20, gram=10, most=most).collect()}, set()
+    for d, t in rows:  # every window is kept once: where it starts first
+        raw = (t or "").encode()
+        gone = bytearray(len(raw))
+        for i in range(len(raw) - 19):
+            if raw[i : i + 20] in seen:
+                gone[i : i + 20] = b"\1" * 20
+            seen.add(raw[i : i + 20])
+        assert sum(b - a for a, b in kept[d]) == sum(gone), d
+
+
+@pytest.mark.parametrize("most", [500, 3])
+def test_shared_passages_equal_brute_force(spark, most):
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(400)]
+    some = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    passages = [some(k) for k in (51, 60, 80, 49, 55)]
+    rows = [(i, " ".join(some(rng.randint(0, 30)) + rng.choice(passages)[rng.randint(0, 1) :] + some(5))) for i in range(30)]
+    rows += [(100, " ".join(passages[2]).upper().replace(" ", " \n ")), (101, " ".join(some(60) * 2)), (102, None), (103, "a " * 200), (104, rows[0][1]), (104, rows[0][1])]
+    places = defaultdict(set)
+    for d, t in rows:
+        w = words(t)
+        for i in range(len(w) - 49):
+            places[tuple(w[i : i + 50])].add((d, t))
+    wanted = {}
+    for d, t in rows:
+        w, own = words(t), set()
+        for i in range(len(w) - 49):
+            if places[tuple(w[i : i + 50])] - {(d, t)}:
+                own |= {*range(i, i + 50)}
+        wanted[d] = len(own)
+    found = {r["doc_id"]: r["shared_words"] for r in repeats.without_repeats(frame(spark, rows), most=most, passage=50).collect()}
+    assert found == wanted and wanted[101] == 0 and wanted[100] == 80
 
 
 def test_leaks_find_edited_items(spark):
