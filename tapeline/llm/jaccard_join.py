@@ -2,17 +2,21 @@
 traversal prunes node pairs by their maximum possible overlap.
 
 All documents can't stand under one tree. Any two sets of a Jaccard similarity t or more share a token among the
-first |x| - ceil(t |x|) + 1 of each in any common order of tokens, so that documents meet in blocks, one for each
-such token, and a tree is built for a block. The order is by hash, with the most frequent tokens last (a list
-of bounded size) and before them the tokens that more than HEAVY sets have among their first by hash (a bitmap of
-bounded size), so that a passage common to many documents makes no block. Equal sets are one row throughout.
-
-1. Every set is linked to its block's smallest member where that passes the bitmap bound; of those the member
-   with the most shared blocks is verified on the whole sets, and the links found make first components.
-2. In blocks of more than HEAVY sets that still hold several components, each set is verified against the next
-   NEXT ones of its block, so that a large group of near copies comes to one component without all its pairs.
-3. Blocks that still hold several components are traversed, and every pair across components that passes the
-   bound is verified. Nothing is left out: pairs within a component need no more links.
+first |x| - ceil(t |x|) + 1 of each in any common order of tokens, and their sizes differ by 1 / t at most, so that
+documents meet in blocks, one for each such token and size class, and every block of two or more sets is a tree.
+Bitmaps are as wide as a class's sizes ask for; a set just above a class's sizes is a guest in it with its bitmap
+folded. The order of tokens is by hash, with the most frequent ones last (a list of bounded size) and before them
+those that more than HEAVY sets have among their first by hash (a bitmap of bounded size), so that a passage common
+to many documents makes no block. Equal sets are one row throughout. All pairs come from the trees:
+
+1. A tree's sets stand in order of size, FANOUT to a node. Each set is paired with the first set of its node, and
+   that with the first of the node above; of a set's pairs that pass the bitmap bound, the one of most blocks is
+   verified on the whole sets. The links make first components.
+2. In blocks of more than HEAVY sets that still hold several components, the pairs within nodes are verified, so
+   that a large group of near copies comes to one component without all its pairs.
+3. Blocks that still hold several components are traversed from their roots. A pair of nodes goes on unless all
+   below has one component, or sizes or bitmaps leave no link possible, and every pair of sets across components
+   that is left is verified. Nothing is left out: pairs within a component need no more links.
 
 Tables of rows, blocks, links and labels stay in the shared folder; nothing of them goes to the driver.
 """
@@ -35,10 +39,10 @@ WORDS = 5
 PERCENT = 80
 #: Tokens in more than one of RARE documents come last in the order.
 RARE = 1_000
-#: Tokens in the prefixes of more sets come after the others; larger blocks are linked along their order first.
+#: Tokens in the prefixes of more sets come after the others; larger blocks are linked within nodes first.
 HEAVY = 16
-NEXT = 8
-SIGNATURE_BYTES = 128
+#: Bits of a bitmap as powers of two: at least, at most; about twice the largest size of a class in between.
+SIGNATURE_BITS = (8, 12)
 FANOUT = 16
 _STEPS = [pow(0xA24BAED4963EE407, k, 1 << 64) for k in range(1, 64)]
 
@@ -69,18 +73,45 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = WORDS) -> tu
     return np.concatenate([*out, np.zeros(0, np.uint64)]), sizes
 
 
-def signature(own: np.ndarray) -> bytes:
-    """The set's bitmap: one bit for each token, by its low bits."""
-    bits = np.zeros(SIGNATURE_BYTES * 8, np.uint8)
-    bits[(own & np.uint64(SIGNATURE_BYTES * 8 - 1)).astype(np.int64)] = 1
+def _step(percent: int) -> int:
+    """Bits between size classes: the ratio of two classes is at least that of two sizes that may link."""
+    return max(1, (-(-100 // percent) - 1).bit_length())
+
+
+def size_class(n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each size's class, and whether it is so near the class's least that it may link with sets of the class below."""
+    k = (np.frexp(np.maximum(n, 1).astype(np.float64))[1].astype(np.int64) - 1) // _step(percent)
+    return k, (k > 0) & (percent * n.astype(np.int64) < np.int64(100) << np.minimum(k * _step(percent), 40))
+
+
+def signature_bytes(k: int, percent: int) -> int:
+    return 1 << min(max((int(k) + 1) * _step(percent) + 1, SIGNATURE_BITS[0]), SIGNATURE_BITS[1]) - 3
+
+
+def signature(own: np.ndarray, percent: int = PERCENT) -> bytes:
+    """The set's bitmap: one bit for each token, by its low bits, as wide as its class's."""
+    size = signature_bytes((max(len(own), 1).bit_length() - 1) // _step(percent), percent) * 8
+    bits = np.zeros(size, np.uint8)
+    bits[(own & np.uint64(size - 1)).astype(np.int64)] = 1
     return np.packbits(bits).tobytes()
 
 
+def folded(many: list[bytes], size: int) -> np.ndarray:
+    """Bitmaps of `size` bytes or wider ones as rows of 64-bit words of that size: halves are put together by OR."""
+    out = np.empty((len(many), size // 8), np.uint64)
+    lengths = np.array([len(x) for x in many])
+    for wide in np.unique(lengths):
+        rows = np.flatnonzero(lengths == wide)
+        bits = np.frombuffer(b"".join(many[i] for i in rows), np.uint64).reshape(len(rows), -1, size // 8)
+        out[rows] = np.bitwise_or.reduce(bits, axis=1)
+    return out
+
+
 def set_id(own: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def row_sets(documents: DataFrame, rare: int = RARE) -> DataFrame:
+def row_sets(documents: DataFrame, rare: int = RARE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n, fp (the set's identity), sig, and on some rows the tokens that are frequent among the rows of an
     Arrow batch with their counts."""
 
@@ -94,7 +125,7 @@ def row_sets(documents: DataFrame, rare: int = RARE) -> DataFrame:
                 often = times > max(2, len(part) // rare)
                 rows = len(part)
                 yield pa.record_batch([
-                    batch.column("doc_id").slice(part.first, rows), pa.array(sizes.astype(np.int32)), pa.array([set_id(s) for s in sets]), pa.array([signature(s) for s in sets], pa.binary()),
+                    batch.column("doc_id").slice(part.first, rows), pa.array(sizes.astype(np.int32)), pa.array([set_id(s) for s in sets]), pa.array([signature(s, percent) for s in sets], pa.binary()),
                     pa.array([token[often].view(np.int64)] + [None] * (rows - 1), pa.list_(pa.int64())), pa.array([times[often]] + [None] * (rows - 1), pa.list_(pa.int64())),
                 ], ["doc_id", "n", "fp", "sig", "often", "times"])
 
@@ -110,8 +141,9 @@ def frequent_tokens(rows: DataFrame, rare: int = RARE) -> np.ndarray:
 
 
 def block_rows(documents: DataFrame, last: np.ndarray, heavy: Bitmap | None = None, percent: int = PERCENT) -> DataFrame:
-    """token, fp, n: a row for each token of each set's prefix, with the tokens of `heavy` after the others and
-    those of `last` at the end. Equal sets of one slice give their rows once."""
+    """token, k, fp, n: a row for each token of each set's prefix and each size class in which the set is, with the
+    tokens of `heavy` after the others and those of `last` at the end. Without `heavy`, rows of the set's own class
+    alone. Equal sets of one slice give their rows once."""
     shared = documents.sparkSession.sparkContext.broadcast((last, heavy))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,10 +166,16 @@ def block_rows(documents: DataFrame, last: np.ndarray, heavy: Bitmap | None = No
                     tokens.append(values[a:b][np.argsort(late[a:b], kind="stable")[:prefix]])
                     ids.append(np.full(prefix, fp))
                     ns.append(np.full(prefix, n, np.int32))
-                if tokens:
-                    yield pa.record_batch([pa.array(np.concatenate(x)) for x in ([t.view(np.int64) for t in tokens], ids, ns)], ["token", "fp", "n"])
+                if not tokens:
+                    continue
+                token, fp, n = (np.concatenate(x) for x in ([t.view(np.int64) for t in tokens], ids, ns))
+                k, guest = size_class(n, percent)
+                rows = np.arange(len(token))
+                if heavy is not None:
+                    rows, k = np.concatenate([rows, rows[guest]]), np.concatenate([k, k[guest] - 1])
+                yield pa.record_batch([pa.array(token[rows]), pa.array(k.astype(np.int8)), pa.array(fp[rows]), pa.array(n[rows])], ["token", "k", "fp", "n"])
 
-    return texts(documents).mapInArrow(run, "token long, fp long, n int")
+    return texts(documents).mapInArrow(run, "token long, k byte, fp long, n int")
 
 
 def heavy_tokens(rows: DataFrame) -> Bitmap:
@@ -146,42 +184,64 @@ def heavy_tokens(rows: DataFrame) -> Bitmap:
 
 
 def shared_blocks(rows: DataFrame) -> DataFrame:
-    """token, fp, n, leader: the rows whose token several sets have, once for each set; leader is the smallest fp.
+    """token, k, fp, n, head, leader: the rows of blocks (token, k) of several sets, once for each set. head is the
+    block's first set in order of size; leader is the set that the tree pairs it with: the first one of its node, or
+    for that one the first of the lowest node above that starts elsewhere. The head is its own.
 
-    Rows are dealt and sorted by (token, fp) and read as a stream that keeps one row: a block of any size is
-    never gathered."""
+    Rows are dealt and sorted by (token, k, n, fp) and read as a stream that keeps one row and the first sets of the
+    nodes that are open: a block of any size is never gathered."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(parts, "token").sortWithinPartitions("token", "fp")
+    dealt = rows.repartition(parts, "token").sortWithinPartitions("token", "k", "n", "fp")
+    names = ["token", "k", "fp", "n", "head", "leader"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 2 + [np.zeros(0, np.int32)]  # the last row, not yet written
-        lead = held_written = None
+        held = [np.zeros(0, t) for t in (np.int64, np.int8, np.int64, np.int32)]  # the last row, not yet written
+        held_written, at, opened = False, 0, {}  # of the block that goes on: sets before, first sets of open nodes
         for batch in _then_none(batches):
             new = [np.asarray(x) for x in batch.columns] if batch is not None else [h[:0] for h in held]
-            token, fp, n = (np.concatenate([h, x]) for h, x in zip(held, new, strict=True))
+            token, k, fp, n = (np.concatenate([h, x]) for h, x in zip(held, new, strict=True))
             if not len(token):
                 continue
-            fresh = np.concatenate([[True], (token[1:] != token[:-1]) | (fp[1:] != fp[:-1])])
-            token, fp, n = token[fresh], fp[fresh], n[fresh]
-            begins = np.concatenate([[True], token[1:] != token[:-1]])
-            first = np.maximum.accumulate(np.where(begins, np.arange(len(token)), 0))
-            leader = fp[first]
-            if lead is not None and lead[0] == token[0]:
-                leader[first == 0] = lead[1]
+            fresh = np.concatenate([[True], (token[1:] != token[:-1]) | (k[1:] != k[:-1]) | (fp[1:] != fp[:-1])])
+            token, k, fp, n = token[fresh], k[fresh], fp[fresh], n[fresh]
+            begins = np.concatenate([[True], (token[1:] != token[:-1]) | (k[1:] != k[:-1])])
+            place = np.arange(len(token))
+            begin = np.maximum.accumulate(np.where(begins, place, 0))
+            index = place - begin + np.where(begin == 0, at, 0)  # in the block
+            leader, head = fp.copy(), fp[begin]
+            if at:
+                head[begin == 0] = opened[-1]
+            size, todo = 1, index > 0
+            while todo.any():
+                own = np.flatnonzero(todo & (index // size % FANOUT > 0))
+                todo[own] = False
+                of = begin[own] + index[own] // (size * FANOUT) * (size * FANOUT) - np.where(begin[own] == 0, at, 0)
+                leader[own] = np.where(of >= 0, fp[np.maximum(of, 0)], opened.get(size, opened.get(-1, 0)))
+                size *= FANOUT
             same_before = ~begins
-            same_before[0] = bool(held_written)
-            same_after = np.concatenate([token[1:] == token[:-1], [False]])
+            same_before[0] = held_written
+            same_after = np.concatenate([~begins[1:], [False]])
             keep = same_before | same_after
             if batch is not None:
                 keep[-1] = False
-                held = [token[-1:], fp[-1:], n[-1:]]
+                held = [token[-1:], k[-1:], fp[-1:], n[-1:]]
                 held_written = bool(same_before[-1])
-                lead = (token[-1], leader[-1])
+                if begin[-1] > 0:
+                    opened = {}
+                start, at, size = begin[-1] - (0 if begin[-1] else at), int(index[-1]), 1
+                opened[-1] = head[-1]
+                while True:  # the first set of the node that holds the last row, on each level
+                    of = start + at // (size * FANOUT) * (size * FANOUT)
+                    if of >= 0:
+                        opened[size] = fp[of]
+                    if at < size * FANOUT:
+                        break
+                    size *= FANOUT
             some = np.flatnonzero(keep)
             if len(some):
-                yield pa.record_batch([pa.array(x[some]) for x in (token, fp, n, leader)], ["token", "fp", "n", "leader"])
+                yield pa.record_batch([pa.array(x[some]) for x in (token, k, fp, n, head, leader)], names)
 
-    return dealt.mapInArrow(run, "token long, fp long, n int, leader long")
+    return dealt.select("token", "k", "fp", "n").mapInArrow(run, "token long, k byte, fp long, n int, head long, leader long")
 
 
 def _then_none(items: Iterator) -> Iterator:
@@ -198,60 +258,70 @@ def possible(n_a: np.ndarray, sig_a: np.ndarray, n_b: np.ndarray, sig_b: np.ndar
     return (100 + percent) * most >= percent * (n_a + n_b)
 
 
-class SignatureTree:
-    """A tree over one block's sets, in order of size and then bitmap, FANOUT to a node. levels[0] holds the sets;
-    a node has the OR of its bitmaps, the least and largest size, the most tokens that share a bit, and its
-    component if all below have the same."""
+class SignatureForest:
+    """A tree over each block's sets, in order of size, component and bitmap, FANOUT to a node, level by level. A node
+    has the OR of its bitmaps, the least and largest size, the most tokens that share a bit, its component if all
+    below have the same, and whether all below are guests of the block. levels[0] holds the sets."""
 
-    def __init__(self, n: np.ndarray, sig: np.ndarray, component: np.ndarray) -> None:
-        self.order = np.lexsort((sig[:, 0], component, n))
-        n, sig, component = n[self.order], sig[self.order], component[self.order]
+    def __init__(self, block: np.ndarray, n: np.ndarray, sig: np.ndarray, component: np.ndarray, guest: np.ndarray) -> None:
+        self.order = np.lexsort((sig[:, 0], component, n, block))
+        block, n, sig, component, guest = (x[self.order] for x in (block, n, sig, component, guest))
         extra = n - np.bitwise_count(sig).sum(1, dtype=np.int64)
-        self.levels = [(sig, n, n, extra, component)]
-        while len(n) > 1:
-            cut = np.arange(0, len(n), FANOUT)
-            sig, low, high, extra = np.bitwise_or.reduceat(sig, cut), np.minimum.reduceat(self.levels[-1][1], cut), np.maximum.reduceat(self.levels[-1][2], cut), np.maximum.reduceat(extra, cut)
-            least, most = np.minimum.reduceat(component, cut), np.maximum.reduceat(self.levels[-1][4], cut)
-            mixed_ = (least != most) | (least == _MIXED)
-            component = np.where(mixed_, _MIXED, least)
-            n = low  # as many as there are nodes
-            self.levels.append((sig, low, high, extra, component))
-
-    def pairs(self, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of all pairs of different components that pass the bound, by dual traversal from the root."""
-        a = b = np.zeros(1, np.int64)
-        for level in range(len(self.levels) - 1, -1, -1):
-            sig, low, high, extra, component = self.levels[level]
-            if level < len(self.levels) - 1:
-                grid = np.arange(FANOUT)
-                x = (a[:, None, None] * FANOUT + grid[:, None]).repeat(FANOUT, 2).ravel()
-                y = (b[:, None, None] * FANOUT + grid[None, None, :]).repeat(FANOUT, 1).ravel()
-                real = (x < len(low)) & (y < len(low)) & (x <= y)
-                a, b = x[real], y[real]
-            keep = []
-            for k in range(0, len(a), 1 << 15):
-                x, y = a[k : k + (1 << 15)], b[k : k + (1 << 15)]
-                fine = ~((component[x] == component[y]) & (component[x] != _MIXED))
-                fine &= (percent * low[y] <= 100 * high[x]) & (percent * low[x] <= 100 * high[y])
-                if level == 0:
-                    fine &= x != y
-                at = np.flatnonzero(fine)
-                common = np.bitwise_count(sig[x[at]] & sig[y[at]]).sum(1, dtype=np.int64) + np.minimum(extra[x[at]], extra[y[at]])
-                most = np.minimum(common, np.minimum(high[x[at]], high[y[at]]))
-                keep.append(at[(100 + percent) * most >= percent * (low[x[at]] + low[y[at]])] + k)
-            keep = np.concatenate([*keep, np.zeros(0, np.int64)])
-            a, b = a[keep], b[keep]
-        return self.order[a], self.order[b]
-
-
+        self.levels = [(sig, n, n, extra, component, guest)]
+        self.first: list[np.ndarray] = [np.arange(len(n) + 1)]  # where each node's children begin, on the level below
+        while (block[1:] == block[:-1]).any():
+            new = np.concatenate([[True], block[1:] != block[:-1]])
+            place = np.arange(len(block))
+            place -= np.maximum.accumulate(np.where(new, place, 0))
+            cut = np.flatnonzero(place % FANOUT == 0)
+            sig, low, high, extra, component, guest = self.levels[-1]
+            least, most = np.minimum.reduceat(component, cut), np.maximum.reduceat(component, cut)
+            component = np.where((least != most) | (most == _MIXED), _MIXED, least)
+            self.levels.append((np.bitwise_or.reduceat(sig, cut), np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut), np.maximum.reduceat(extra, cut), component, np.logical_and.reduceat(guest, cut)))
+            self.first.append(np.append(cut, len(block)))
+            block = block[cut]
+
+    def pairs(self, percent: int, within: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Positions of all pairs of different components that pass the bound, by dual traversal from each root with
+        itself; with `within`, of the pairs in the lowest nodes alone. Some thousand node pairs go down at a time."""
+        top = len(self.levels) - 1
+        nodes = np.arange(len(self.levels[top][1]))
+        todo = [(top, nodes[i : i + _TURN], nodes[i : i + _TURN]) for i in range(0, len(nodes), _TURN)][::-1]
+        while todo:
+            level, a, b = todo.pop()
+            sig, low, high, extra, component, guest = self.levels[level]
+            fine = ~((component[a] == component[b]) & (component[a] != _MIXED)) & ~(guest[a] & guest[b])
+            fine &= (percent * low[b] <= 100 * high[a]) & (percent * low[a] <= 100 * high[b])
+            if within or level == 0:
+                fine &= (a == b) if level else (a != b)
+            a, b = a[fine], b[fine]
+            common = np.bitwise_count(sig[a] & sig[b]).sum(1, dtype=np.int64) + np.minimum(extra[a], extra[b])
+            most = np.minimum(common, np.minimum(high[a], high[b]))
+            fine = (100 + percent) * most >= percent * (low[a] + low[b])
+            a, b = a[fine], b[fine]
+            if not len(a):
+                continue
+            if level == 0:
+                yield self.order[a], self.order[b]
+                continue
+            first = self.first[level]
+            many = first[b + 1] - first[b]
+            count = (first[a + 1] - first[a]) * many
+            each = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+            many = np.repeat(many, count)
+            x, y = np.repeat(first[a], count) + each // many, np.repeat(first[b], count) + each % many
+            real = (x <= y) | np.repeat(a != b, count)
+            x, y = x[real], y[real]
+            todo += [(level - 1, x[i : i + _TURN], y[i : i + _TURN]) for i in range(0, len(x), _TURN)]
+
+
+_TURN = 1 << 13
 _MIXED = np.iinfo(np.int64).max
-#: Blocks of one smallest member go to at most so many tasks, where pairs that come up again are counted in groups of this size.
-_DEALS = 8
-_PAIRS = 1 << 19
-
-
-def _signatures(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), SIGNATURE_BYTES // 8)
+#: Blocks of one head go to at most so many tasks, where pairs that come up again are counted in groups of _PAIRS.
+_DEALS = 32
+_PAIRS = 1 << 18
+#: About so many bytes of bitmaps stand in one forest; a block is never cut.
+_FOREST = 4 << 20
 
 
 def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
@@ -260,60 +330,74 @@ def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                good = possible(np.asarray(batch.column("na")), _signatures(batch.column("siga")), np.asarray(batch.column("nb")), _signatures(batch.column("sigb")), percent)
-                yield batch.drop_columns(["siga", "sigb"]).filter(pa.array(good))
+            na, nb, a, b = (np.asarray(batch.column("na")), np.asarray(batch.column("nb")), batch.column("siga").to_pylist(), batch.column("sigb").to_pylist())
+            width = np.array([min(len(x), len(y)) for x, y in zip(a, b, strict=True)], np.int64)
+            good = np.zeros(len(width), bool)
+            for wide in np.unique(width):
+                at = np.flatnonzero(width == wide)
+                good[at] = possible(na[at], folded([a[i] for i in at], wide), nb[at], folded([b[i] for i in at], wide), percent)
+            yield batch.drop_columns(["siga", "sigb"]).filter(pa.array(good))
 
     return pairs.mapInArrow(run, ", ".join(columns))
 
 
-def _next_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """a, b: each set of a block with the next NEXT of other components in the order of fp, where the bound allows it.
-
-    Rows are dealt by range, so that a large block lies in several tasks; where it is cut some pairs are missed."""
+def _forests(batches: Iterator[pa.RecordBatch], percent: int, whole: bool) -> Iterator[tuple[SignatureForest, np.ndarray, np.ndarray]]:
+    """Forests of the blocks of a stream in the order of (k, token), with fp and n of their sets. A block that batches
+    cut stays whole if asked for, else its parts are trees of their own."""
+    held: pa.Table | None = None
+
+    def made(rows: pa.Table):
+        token, k, fp, n, component = (np.asarray(rows.column(c)) for c in ("token", "k", "fp", "n", "component"))
+        n = n.astype(np.int64)
+        block = np.cumsum(np.concatenate([[0], token[1:] != token[:-1]]))
+        sig = folded(rows.column("sig").to_pylist(), signature_bytes(k[0], percent))
+        return SignatureForest(block, n, sig, component, size_class(n, percent)[0] != k[0]), fp, n
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, 4096):
+            new = pa.Table.from_batches([batch.slice(at, 4096)])
+            held = pa.concat_tables([held, new]) if held is not None else new
+            k = np.asarray(held.column("k"))
+            for end in [*(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist()]:
+                done = len(k) - held.num_rows
+                yield made(held.slice(0, end - done))
+                held = held.slice(end - done)
+            if held.nbytes > _FOREST:
+                token = np.asarray(held.column("token"))
+                end = held.num_rows if not whole else int(np.flatnonzero(token != token[-1])[-1]) + 1 if token[0] != token[-1] else 0
+                if end:
+                    yield made(held.slice(0, end))
+                    held = held.slice(end)
+    if held is not None and held.num_rows:
+        yield made(held)
+
+
+_SETS = ["token", "k", "fp", "n", "component", "sig"]
+
+
+def _node_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """a, b: the pairs of different components within the lowest nodes of each block's tree that pass the bound.
+
+    Rows are dealt by range, so that a large block lies in several tasks, as a tree in each."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select("token", "fp", "n", "component", "sig").repartitionByRange(parts, "token", "fp").sortWithinPartitions("token", "fp")
+    dealt = rows.select(_SETS).repartitionByRange(parts, "k", "token", "n", "fp").sortWithinPartitions("k", "token", "n", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            token, fp, n, component = (np.asarray(batch.column(c)) for c in ("token", "fp", "n", "component"))
-            sig, n, found = _signatures(batch.column("sig")), n.astype(np.int64), []
-            for k in range(1, min(NEXT, len(token) - 1) + 1):
-                a = np.flatnonzero((token[k:] == token[:-k]) & (component[k:] != component[:-k]))
-                a = a[possible(n[a], sig[a], n[a + k], sig[a + k], percent)]
-                found.append(np.stack([fp[a], fp[a + k]], 1))
-            if found:
-                pairs = np.unique(np.concatenate(found), axis=0)
+        for forest, fp, _ in _forests(batches, percent, whole=False):
+            for a, b in forest.pairs(percent, within=True):
+                pairs = np.unique(np.stack([np.minimum(fp[a], fp[b]), np.maximum(fp[a], fp[b])], 1), axis=0)
                 yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def _cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """a, b: by a signature tree for each token, the pairs of different components in its block that may link.
+    """a, b: by the traversal of each block's tree, the pairs of different components that may link.
 
     Of two similar sets x and y with at least o tokens in common, the first min(|prefix x| - |x| + o, |prefix y| -
-    |y| + o) common ones are in both prefixes, so that a pair must come up in at least so many blocks."""
+    |y| + o) common ones are in both prefixes, so that a pair must come up in at least so many blocks of its class."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select("leader", "token", "fp", "n", "component", "sig").repartition(parts, "leader", F.pmod("token", F.lit(_DEALS))).sortWithinPartitions("leader", "token")
-
-    def of_blocks(token: np.ndarray, fp: np.ndarray, n: np.ndarray, component: np.ndarray, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Positions of the pairs of whole blocks: shifted against each other where blocks are small, else by a tree."""
-        cuts = np.concatenate([[0], np.flatnonzero(token[1:] != token[:-1]) + 1, [len(token)]])
-        size = np.diff(cuts)
-        few = np.flatnonzero(np.repeat(size <= HEAVY, size))
-        for k in range(1, min(HEAVY, len(few))):
-            a, b = few[:-k], few[k:]
-            some = (token[a] == token[b]) & (component[a] != component[b])
-            if not some.any():
-                continue
-            a, b = a[some], b[some]
-            good = possible(n[a], sig[a], n[b], sig[b], percent)
-            yield a[good], b[good]
-        for k in np.flatnonzero(size > HEAVY):
-            own = slice(cuts[k], cuts[k + 1])
-            a, b = SignatureTree(n[own], sig[own], component[own]).pairs(percent)
-            yield a + cuts[k], b + cuts[k]
+    dealt = rows.select("head", *_SETS).repartition(parts, "head", F.pmod("token", F.lit(_DEALS))).sortWithinPartitions("k", "head", "token").select(_SETS)
 
     def counted(found: list[np.ndarray]) -> pa.RecordBatch:
         """a, b, na, nb and in how many blocks each pair came up."""
@@ -324,29 +408,15 @@ def _cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
         return pa.record_batch([*(pa.array(x[order[cut]]) for x in every), pa.array(np.diff(np.concatenate([cut, [len(order)]])))], ["a", "b", "na", "nb", "blocks"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []  # the rows of the last block, which may go on
         found: list[np.ndarray] = []
-        for batch in _then_none(batches):
-            if batch is not None and batch.num_rows:
-                held.append([*(np.asarray(batch.column(c)).astype(np.int64) for c in ("token", "fp", "n", "component")), _signatures(batch.column("sig"))])
-                if batch.column("token")[-1].as_py() == held[0][0][0]:
-                    continue
-            if not held:
-                continue
-            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
-            token = columns[0]
-            whole = len(token) if batch is None else int(np.flatnonzero(token != token[-1])[-1]) + 1 if token[0] != token[-1] else 0
-            held = [[c[whole:] for c in columns]] if whole < len(token) else []
-            if not whole:
-                continue
-            _, fp, n, _, _ = columns = [c[:whole] for c in columns]
-            for a, b in of_blocks(*columns):
+        for forest, fp, n in _forests(batches, percent, whole=True):
+            for a, b in forest.pairs(percent):
                 a, b = np.where(fp[a] < fp[b], a, b), np.where(fp[a] < fp[b], b, a)
                 found.append(np.stack([fp[a], fp[b], n[a], n[b]]))
-            if sum(x.shape[1] for x in found) > _PAIRS:
-                yield counted(found)
-                found = []
-        if any(x.shape[1] for x in found):
+                if sum(x.shape[1] for x in found) > _PAIRS:
+                    yield counted(found)
+                    found = []
+        if found:
             yield counted(found)
 
     found = dealt.mapInArrow(run, "a long, b long, na long, nb long, blocks long").groupBy("a", "b", "na", "nb").agg(F.sum("blocks").alias("blocks"))
@@ -404,7 +474,7 @@ def jaccard_classes(documents: DataFrame, *, percent: int = PERCENT, rare: int =
     Two rows link when 100 times their sets' intersection is at least `percent` times the union; rows with equal
     sets do. Null, empty and blank texts have no set and link with nothing: component_id is their own doc_id.
     Rows that repeat a doc_id are rows like others; a null doc_id is no component_id."""
-    all_rows = written(row_sets(documents, rare), "shingle-rows")
+    all_rows = written(row_sets(documents, rare, percent), "shingle-rows")
     rows = all_rows.select("doc_id", "n", "fp", "sig")
     last = frequent_tokens(all_rows, rare)
     heavy = heavy_tokens(block_rows(documents, last, percent=percent))
@@ -427,16 +497,16 @@ def jaccard_classes(documents: DataFrame, *, percent: int = PERCENT, rare: int =
     def undecided(labels: DataFrame, least: int) -> DataFrame:
         """The rows of the blocks of more than `least` sets and of several components."""
         where = placed(labels)
-        several = live.join(where.select("fp", "component"), "fp").groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("sets"))
-        split = written(several.where(f"low != high and sets > {least}").select("token"), "split-blocks")
-        return live.join(split, "token", "left_semi").select("token", "fp", "n", "leader").join(where, "fp")
+        several = live.join(where.select("fp", "component"), "fp").groupBy("token", "k").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("sets"))
+        split = written(several.where(f"low != high and sets > {least}").select("token", "k"), "split-blocks")
+        return live.join(split, ["token", "k"], "left_semi").select("token", "k", "fp", "n", "head").join(where, "fp")
 
     def decided(pairs: DataFrame, links: DataFrame) -> DataFrame:
         """The links and those among the pairs."""
         ends = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
         return links.union(written(verified(pairs, sets_of(documents, rows, ends), percent), "links"))
 
-    links = decided(written(_next_pairs(undecided(components(links), HEAVY), percent), "next-pairs"), links)
+    links = decided(written(_node_pairs(undecided(components(links), HEAVY), percent), "node-pairs"), links)
     links = decided(written(_cross_pairs(undecided(components(links), 1), percent), "cross-pairs"), links)
     labels = components(links)
 

@@ -68,6 +68,43 @@ def test_classes_equal_all_pairs(spark, docs):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_classes(docs).collect()} == brute_classes(whole)
 
 
+def test_pairs_come_from_the_trees(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    base = np.sort(rng.integers(0, 1 << 62, 300).astype(np.uint64))
+    sets = [base]
+    for _ in range(400):  # chains of changes, some sets larger, all sharing a block
+        own = sets[rng.integers(len(sets))].copy()
+        own[rng.integers(0, len(own), rng.integers(1, 60))] = rng.integers(0, 1 << 62, 1).astype(np.uint64)
+        sets.append(np.unique(np.concatenate([own, rng.integers(0, 1 << 62, rng.integers(0, 90)).astype(np.uint64)])))
+    n = np.array([len(x) for x in sets])
+    k, guest = jaccard_join.size_class(n, 80)
+    met = set()
+    for c in range(k.min() - 1, k.max() + 1):
+        own = np.flatnonzero((k == c) | (guest & (k == c + 1)))
+        if not len(own):
+            continue
+        sig = jaccard_join.folded([jaccard_join.signature(sets[i]) for i in own], jaccard_join.signature_bytes(c, 80))
+        forest = jaccard_join.SignatureForest(np.arange(len(own)) % 3, n[own], sig, own, k[own] != c)
+        for a, b in forest.pairs(80):
+            met |= {(min(x, y), max(x, y)) for x, y in zip(own[a], own[b], strict=True)}
+            assert (a % 3 == b % 3).all()
+    linked = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
+    in_block = {(i, j) for i, j in linked for c in {k[i], k[j]} for own in [np.flatnonzero((k == c) | (guest & (k == c + 1))).tolist()] if i in own and j in own and own.index(i) % 3 == own.index(j) % 3}
+    assert in_block and in_block <= met and len(met) < 0.2 * len(sets) ** 2 / 2
+    rows = [(i, " ".join(f"w{(i // 4, j) if j % 15 else (i, j)}" for j in range(90))) for i in range(20)]
+    assert len({r["component_id"] for r in jaccard_join.jaccard_classes(frame(spark, rows), percent=60).collect()}) == 5
+
+
+def test_block_leaders_are_first_sets_of_nodes(spark):
+    rows = [(t, 8, fp, 300 + fp // 50) for t, many in ((1, 1), (2, 5), (3, 700), (4, 17), (5, 2)) for fp in range(many)] + [(2, 8, 3, 300)]
+    blocks = spark.createDataFrame(rows, "token long, k byte, fp long, n int").repartition(5)
+    found = defaultdict(dict)
+    for r in jaccard_join.shared_blocks(blocks).collect():
+        found[r["token"]][r["fp"]] = (r["head"], r["leader"])
+    first = lambda i: i if i == 0 else i // 16 * 16 if i % 16 else i // 256 * 256 if i % 256 else 0
+    assert found == {t: {i: (0, first(i)) for i in range(many)} for t, many in ((2, 5), (3, 700), (4, 17), (5, 2))}
+
+
 def brute_repeats(rows, length):
     where = defaultdict(int)
     for _, text in rows:
