@@ -1,8 +1,8 @@
 """Byte-level BPE: encoding by a priority queue of merge ranks over a doubly linked symbol list, skipping
 stale entries; decoding by concatenating vocabulary strings.
 
-Each Python worker keeps the encodings of the words it has met (a bounded table), so the queue runs once
-for a word; ids of a slice of texts are then gathered by numpy. No shuffle.
+Each Python worker keeps the encodings of the words it has met in a table bounded in bytes, so the queue runs
+once for a word; ids of a slice of texts are then gathered by numpy. No shuffle.
 """
 
 from __future__ import annotations
@@ -19,11 +19,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeline.llm.shared import gathered, slices, texts
+from tapeline.llm.shared import Slice, gathered, slices, texts
 
 #: Fixed value: the published pattern that splits a text before byte-level merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-KEPT_WORDS = 500_000
+#: A worker forgets its words when their table is larger: text, ids and about WORD_BYTES for the entry of each.
+KEPT_BYTES = 48 << 20
+WORD_BYTES = 150
 _SHIFT = 20
 
 
@@ -64,6 +66,7 @@ class ByteBpe:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.held = 0
         self.flat, self.start, self.length = array("I"), array("q"), array("q")
         for i in self.special.values():
             self._keep(None, [i])
@@ -75,6 +78,7 @@ class ByteBpe:
         self.flat.extend(ids)
         if word is not None:
             self.known[word] = slot
+            self.held += WORD_BYTES + 4 * (len(word) + len(ids))
         return slot
 
     def merged(self, word: str) -> list[int]:
@@ -127,7 +131,7 @@ class ByteBpe:
 
     def encode_many(self, many: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and how many each has."""
-        if len(self.known) > KEPT_WORDS:
+        if self.held > KEPT_BYTES:
             self._forget()
         found: list[int] = []
         ends = [0]
@@ -160,6 +164,19 @@ def tokenizer(path: str) -> ByteBpe:
     return _LOADED[path]
 
 
+def _encoded(bpe: ByteBpe, part: Slice) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of a slice's texts one after the other, and where each text's begin and end."""
+    ids, lengths = bpe.encode_many([part.bytes(i).decode("utf-8", errors="replace") for i in range(len(part))])
+    return ids, np.concatenate([[0], np.cumsum(lengths)])
+
+
+def _decoded(bpe: ByteBpe, ids: np.ndarray, bounds: np.ndarray) -> list[pa.Array]:
+    """n_tokens, ids_sha256 and the text of each run of ids."""
+    runs = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    digests = [hashlib.sha256(x.astype("<u4", copy=False).tobytes()).hexdigest() for x in runs]
+    return [pa.array([len(x) for x in runs], pa.int64()), pa.array(digests, pa.string()), pa.array([bpe.decode(x) for x in runs], pa.string())]
+
+
 def encoded(documents: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, ids (array of int) of every whole text. Null and empty texts have no ids; strings of special
     tokens in a text become their ids, as the vocabulary's own library does."""
@@ -168,15 +185,17 @@ def encoded(documents: DataFrame, vocabulary: str) -> DataFrame:
         bpe = tokenizer(vocabulary)
         for batch in batches:
             for part in slices(batch.column("text")):
-                many = [part.bytes(i).decode("utf-8", errors="replace") for i in range(len(part))]
-                ids, lengths = bpe.encode_many(many)
-                offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.view(np.int32)))
+                ids, bounds = _encoded(bpe, part)
+                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.view(np.int32)))
                 yield pa.record_batch([batch.column("doc_id").slice(part.first, len(part)), lists], ["doc_id", "ids"])
 
     return texts(documents).mapInArrow(run, "doc_id long, ids array<int>")
 
 
+_TEXTS = "doc_id long, n_tokens long, ids_sha256 string, text string"
+_NAMES = ["doc_id", "n_tokens", "ids_sha256", "text"]
+
+
 def decoded(tokens: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of the ids as little-endian 32-bit), text: the ids' strings concatenated.
     Null and empty id lists give an empty text; bytes that are no UTF-8 become the replacement character."""
@@ -185,22 +204,35 @@ def decoded(tokens: DataFrame, vocabulary: str) -> DataFrame:
         bpe = tokenizer(vocabulary)
         for batch in batches:
             lists = batch.column("ids")
-            bounds = np.asarray(lists.offsets)
-            flat = np.asarray(lists.values).astype("<u4", copy=False)
+            bounds, flat = np.asarray(lists.offsets), np.asarray(lists.values)
             row = 0
             while row < len(lists):
-                end = max(row + 1, int(np.searchsorted(bounds, bounds[row] + (1 << 20), side="right")) - 1)
+                end = max(row + 1, int(np.searchsorted(bounds, bounds[row] + (1 << 18), side="right")) - 1)
                 end = min(end, len(lists))
-                ids = [flat[bounds[i] : bounds[i + 1]] for i in range(row, end)]
-                out = [bpe.decode(x) for x in ids]
-                yield pa.record_batch(
-                    [batch.column("doc_id").slice(row, end - row), pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids]), pa.array(out, pa.string())],
-                    ["doc_id", "n_tokens", "ids_sha256", "text"],
-                )
+                yield pa.record_batch([batch.column("doc_id").slice(row, end - row), *_decoded(bpe, flat, bounds[row : end + 1])], _NAMES)
                 row = end
 
     tokens = tokens.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
-    return tokens.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, text string")
+    return tokens.mapInArrow(run, _TEXTS)
+
+
+def round_trip(documents: DataFrame, vocabulary: str) -> DataFrame:
+    """What decoded() gives for encoded(): both in one pass of one Python worker for each task, in which the ids of
+    about a MB of texts exist at a time. Nulls and odd texts as in those two."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = tokenizer(vocabulary)
+        for batch in batches:
+            for part in slices(batch.column("text")):
+                yield pa.record_batch([batch.column("doc_id").slice(part.first, len(part)), *_decoded(bpe, *_encoded(bpe, part))], _NAMES)
+
+    return texts(documents).mapInArrow(run, _TEXTS)
+
+
+def digests(documents: DataFrame, vocabulary: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text, encoded and decoded again. Every row gives one,
+    rows without a text or doc_id and rows that repeat another too."""
+    return round_trip(documents, vocabulary).select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -211,6 +243,4 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of documents encoded and decoded again."""
-    path = vocabulary_path()
-    tokens = encoded(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
-    return decoded(tokens, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+    return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary_path())

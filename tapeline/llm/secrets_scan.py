@@ -341,28 +341,27 @@ def secrets(documents: DataFrame, forest: Forest, *, least_score: float = 0.5, p
 
 
 def redacted(documents: DataFrame, forest: Forest, *, least_score: float = 0.5, path_column: str | None = None, mark: str = "[SECRET]") -> DataFrame:
-    """The rows and columns of documents with `mark` in place of each secret in text; a null text stays null."""
+    """The rows and columns of documents with `mark` in place of each secret in text; a null text stays null. Only the
+    text and its path go to Python."""
     shared = documents.sparkSession.sparkContext.broadcast(forest)
-    names = documents.columns
-    at = names.index("text")
+    path = F.coalesce(F.col(path_column).cast("string"), F.lit("")) if path_column else F.lit("")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out, column = [], batch.column("text")
-            paths = [str(x or "") for x in batch.column(path_column).to_pylist()] if path_column else [""] * batch.num_rows
-            for part in slices(column.fill_null("")):
-                row, start, end, _ = _kept(part, shared.value, paths[part.first : part.first + len(part)], least_score)
-                cut: dict[int, list[tuple[int, int]]] = {}
-                for r, a, b in zip(row.tolist(), start.tolist(), end.tolist(), strict=True):
-                    cut.setdefault(r, []).append((a, b))
-                for i in range(len(part)):
-                    raw = part.bytes(i)
-                    for a, b in reversed(cut.get(i, ())):
-                        raw = raw[:a] + mark.encode() + raw[b:]
-                    out.append(raw.decode("utf-8", errors="replace") if column[part.first + i].is_valid else None)
-            yield pa.record_batch([*batch.columns[:at], pa.array(out, pa.string()), *batch.columns[at + 1 :]], names)
-
-    return documents.mapInArrow(run, documents.schema)
+    @F.arrow_udf("string")
+    def clean(column: pa.Array, paths: pa.Array) -> pa.Array:
+        out: list[str | None] = []
+        for part in slices(column.fill_null("")):
+            row, start, end, _ = _kept(part, shared.value, paths.slice(part.first, len(part)).to_pylist(), least_score)
+            cut: dict[int, list[tuple[int, int]]] = {}
+            for r, a, b in zip(row.tolist(), start.tolist(), end.tolist(), strict=True):
+                cut.setdefault(r, []).append((a, b))
+            for i in range(len(part)):
+                raw = part.bytes(i)
+                for a, b in reversed(cut.get(i, ())):
+                    raw = raw[:a] + mark.encode() + raw[b:]
+                out.append(raw.decode("utf-8", errors="replace") if column[part.first + i].is_valid else None)
+        return pa.array(out, pa.string())
+
+    return documents.withColumn("text", clean("text", path))
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
