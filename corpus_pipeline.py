@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeline.llm.bpe import decoded, encoded, vocabulary_path
+from tapeline.llm.bpe import digests, vocabulary_path
 from tapeline.llm.decontamination import leaks
 from tapeline.llm.jaccard_join import jaccard_classes
 from tapeline.llm.secrets_scan import fit_forest, redacted
@@ -58,9 +58,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encoded_and_decoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of the text that they decode to."""
-    path = vocabulary_path()
-    back = decoded(encoded(docs, path), path)
-    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+    return digests(docs, vocabulary_path())
 
 
 STAGES = [
