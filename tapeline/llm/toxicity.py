@@ -18,32 +18,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeline.llm.quality import labelled
-from tapeline.llm.shared import Rolling, gathered, held_out, letter_words, lowered, slices, sums_by_row, texts
+from tapeline.llm.shared import Rolling, Slice, gathered, held_out, letter_words, lowered, slices, sums_by_row, texts
 
 #: About so many labelled texts fit the model, a third of them of the rarer label where there are enough.
 TRAIN_ROWS = 4_500
 BUCKET_BITS = 17
 DIMENSIONS = 4
-STRETCH = 1 << 20
 _CHUNK = 1 << 15
 GRAMS = (3, 4, 5)
 _MARK = np.frombuffer(b"<>", np.uint8)
 
 
-def distinct_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct words among some ascending byte ranges as one buffer and its offsets, and each range's number
-    among them. Hashes are made in stretches of about STRETCH bytes."""
-    hashes, at = [np.zeros(0, np.uint64)], 0
-    while at < len(starts):
-        end = max(at + 1, int(np.searchsorted(starts, starts[at] + STRETCH)))
-        low = starts[at]
-        hashes.append(Rolling(data[low : ends[end - 1]]).of(starts[at:end] - low, ends[at:end] - low))
-        at = end
-    _, first, number = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-    lengths = ends[first] - starts[first]
-    return gathered(data, starts[first], lengths), np.concatenate([[0], np.cumsum(lengths)]), number
-
-
 def subwords(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For words in one buffer: the hashed rows of each word's subwords, one word after the other, and how many it has."""
     n = len(offsets) - 1
@@ -79,27 +64,35 @@ class Scorer:
     row: np.ndarray
 
     def probability(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        data = lowered(data)
-        starts, ends, count = letter_words(data, offsets)
-        if not len(starts):
+        _, buffer, lengths, number, count = _bag(Slice(0, data, offsets))
+        if not len(lengths):
             return np.full(len(count), 1 / (1 + np.exp(-self.bias)))
-        buffer, bounds, number = distinct_words(data, starts, ends)
-        rows, many = subwords(buffer, bounds)
+        rows, many = subwords(buffer, np.concatenate([[0], np.cumsum(lengths)]))
         word = sums_by_row(self.row[rows].astype(np.float64), many) / many
         odds = self.bias + sums_by_row(word[number], count) / np.maximum(count, 1)
         return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
 
 
+def _bag(part: Slice) -> tuple[np.ndarray, ...]:
+    """Of a slice of texts: the hashes, letters and lengths of the distinct words, each word's number among them, and
+    how many words each text has."""
+    data = lowered(part.data)
+    starts, ends, count = letter_words(data, part.offsets)
+    hashes, first, number = np.unique(Rolling(data).of(starts, ends), return_index=True, return_inverse=True)
+    lengths = ends[first] - starts[first]
+    return hashes, gathered(data, starts[first], lengths), lengths, number.astype(np.int32), count
+
+
 def _begins(counts: np.ndarray) -> np.ndarray:
     return np.cumsum(counts) - counts
 
 
-def _summed(table: np.ndarray, rows: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """Sums of table[rows] over segments, none of them empty, in chunks of segments."""
-    out = np.empty((len(begins), table.shape[1]), table.dtype)
-    for a in range(0, len(begins), _CHUNK):
-        first, last = begins[a], begins[a + _CHUNK] if a + _CHUNK < len(begins) else len(rows)
-        np.add.reduceat(table[rows[first:last]], begins[a : a + _CHUNK] - first, axis=0, out=out[a : a + _CHUNK])
+def _summed(table: np.ndarray, rows: np.ndarray, begins: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
+    """Sums of table[k][rows], times weight, over segments, none of them empty, for each k."""
+    out = np.empty((len(table), len(begins)), table.dtype)
+    for k, values in enumerate(table):
+        values = values[rows]
+        np.add.reduceat(values if weight is None else values * weight, begins, out=out[k])
     return out
 
 
@@ -108,58 +101,64 @@ def fit(many: list[str], y: np.ndarray, weight: np.ndarray, *, steps: int = 100,
 
     A step is a momentum step whose size adapts to each parameter's past gradients, but only by their power of
     a quarter relative to the table's mean: subwords that many texts share stay ahead of those of a single one."""
-    raw = [x.encode() for x in many]
-    offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
-    data = lowered(np.frombuffer(b"".join(raw), np.uint8))
-    del raw
-    starts, ends, count = letter_words(data, offsets)
     table = 1 << BUCKET_BITS
-    if not len(starts) or not len(y) or y.min() == y.max():
+    parts = [_bag(part) for part in slices(pa.array(many, pa.large_string()))]
+    count = np.concatenate([np.zeros(0, np.int64), *(c for *_, c in parts)])
+    if not count.any() or y.min() == y.max():
         mean = (y.sum() + 0.5) / (len(y) + 1)
         return Scorer(float(np.log(mean / (1 - mean))), np.zeros(table, np.float32))
-    buffer, bounds, number = distinct_words(data, starts, ends)
+    hashes, letters, lengths = (np.concatenate([part[k] for part in parts]) for k in range(3))
+    _, first, number_of = np.unique(hashes, return_index=True, return_inverse=True)
+    bounds = np.concatenate([[0], np.cumsum(lengths[first])])
+    buffer = gathered(letters, (np.cumsum(lengths) - lengths)[first], lengths[first])
+    del hashes, letters, lengths
     cuts = [*range(0, len(bounds) - 1, _CHUNK), len(bounds) - 1]
-    parted = [subwords(buffer[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
-    grams = np.concatenate([g for _, g in parted])
-    used, place = np.unique(np.concatenate([r.astype(np.int32) for r, _ in parted]), return_inverse=True)
-    place = place.astype(np.int32)
+    place, grams = [], []
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        rows, many_rows = subwords(buffer[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
+        place.append(rows.astype(np.int32))
+        grams.append(many_rows)
+    place, grams = np.concatenate(place), np.concatenate(grams)
+    seen = np.bincount(place, minlength=table) > 0
+    used = np.flatnonzero(seen)
+    place = (np.cumsum(seen, dtype=np.int32) - 1)[place]
     of_words = _begins(grams)
     by_row = np.argsort(place, kind="stable").astype(np.int32)
     of_uses = _begins(np.bincount(place))
     word_of = np.repeat(np.arange(len(grams), dtype=np.int32), grams)[by_row]
-    del parted, by_row
-    bound = np.concatenate([[0], np.cumsum(count)])
-    pairs = []
-    for a in range(0, len(count), 256):  # words of some texts at a time
-        some = slice(bound[a], bound[min(a + 256, len(count))])
-        pair, times = np.unique(np.repeat(np.arange(a, min(a + 256, len(count))), count[a : a + 256]) * len(grams) + number[some], return_counts=True)
+    del by_row, buffer
+    pairs, before, texts_before = [], 0, 0
+    for own, _, _, number, many_words in parts:
+        row = np.repeat(np.arange(len(many_words)) + texts_before, many_words)
+        pair, times = np.unique(row * len(grams) + number_of[before + number], return_counts=True)
         pairs.append(((pair // len(grams)).astype(np.int32), (pair % len(grams)).astype(np.int32), times.astype(np.int32)))
+        before, texts_before = before + len(own), texts_before + len(many_words)
+    del parts, number_of
     pair_doc, pair_word, times = (np.concatenate(x) for x in zip(*pairs, strict=True))
-    share = (times / count[pair_doc]).astype(np.float32)[:, None]
+    share = (times / count[pair_doc]).astype(np.float32)
     by_word = np.argsort(pair_word, kind="stable")
     of_pairs = _begins(np.bincount(pair_word))
     filled = np.unique(pair_doc)
     of_texts = np.searchsorted(pair_doc, filled)
-    per_word = (1 / grams).astype(np.float32)[:, None]
+    per_word = (1 / grams).astype(np.float32)
     share_by_word, doc_by_word = share[by_word], pair_doc[by_word]
-    del data, number, pairs, times, by_word
+    del pairs, times, by_word
     rng = np.random.default_rng(seed)
-    parts = [rng.normal(0, 0.01, (len(used), DIMENSIONS)).astype(np.float32), rng.normal(0, 1, (DIMENSIONS, 2)).astype(np.float32), np.zeros(2, np.float32)]
+    parts = [rng.normal(0, 0.01, (DIMENSIONS, len(used))).astype(np.float32), rng.normal(0, 1, (2, DIMENSIONS)).astype(np.float32), np.zeros((2, 1), np.float32)]
     momentum, square = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts]
     weight = (weight / weight.sum()).astype(np.float32)
     for step in range(1, steps + 1):
         e, w, b = parts
         word = _summed(e, place, of_words) * per_word
-        text = np.zeros((len(many), DIMENSIONS), np.float32)
-        text[filled] = np.add.reduceat(word[pair_word] * share, of_texts, axis=0)
-        odds = text @ w + b
-        p = np.exp(odds - odds.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(len(y)), y] -= 1
-        d_odds = p * weight[:, None]
-        d_text = d_odds @ w.T
-        d_word = np.add.reduceat(d_text[doc_by_word] * share_by_word, of_pairs, axis=0) * per_word
-        for k, g in enumerate((_summed(d_word, word_of, of_uses), text.T @ d_odds, d_odds.sum(0))):
+        text = np.zeros((DIMENSIONS, len(many)), np.float32)
+        text[:, filled] = _summed(word, pair_word, of_texts, share)
+        odds = w @ text + b
+        p = np.exp(odds - odds.max(0))
+        p /= p.sum(0)
+        p[y, np.arange(len(y))] -= 1
+        d_odds = p * weight
+        d_word = _summed(w.T @ d_odds, doc_by_word, of_pairs, share_by_word) * per_word
+        for k, g in enumerate((_summed(d_word, word_of, of_uses), d_odds @ text.T, d_odds.sum(1, keepdims=True))):
             momentum[k] += 0.1 * (g - momentum[k])
             square[k] += 0.02 * (g * g - square[k])
             size = square[k] / (1 - 0.98**step)
@@ -167,8 +166,8 @@ def fit(many: list[str], y: np.ndarray, weight: np.ndarray, *, steps: int = 100,
             parts[k] = parts[k] - rate * (momentum[k] / (1 - 0.9**step)) / (scale + 1e-12)
     e, w, b = parts
     row = np.zeros(table, np.float32)
-    row[used] = e @ (w[:, 1] - w[:, 0])
-    return Scorer(float(b[1] - b[0]), row)
+    row[used] = (w[1] - w[0]) @ e
+    return Scorer(float(b[1, 0] - b[0, 0]), row)
 
 
 def toxicity_model(documents: DataFrame, labels: DataFrame, *, train: Column, train_rows: int = TRAIN_ROWS) -> Scorer:
@@ -185,34 +184,28 @@ def toxicity_model(documents: DataFrame, labels: DataFrame, *, train: Column, tr
     return fit(sample.pop("text").tolist(), y, weight)
 
 
+def toxicity_of(spark: SparkSession, scorer: Scorer, text: Column) -> Column:
+    """The probability of label 1 of a text column; null and empty texts get the bias alone. Only the text goes to
+    Python; a row's other columns stay in the JVM."""
+    shared = spark.sparkContext.broadcast(scorer)
+
+    @F.arrow_udf("double")
+    def probability(column: pa.Array) -> pa.Array:
+        parts = [shared.value.probability(part.data, part.offsets) for part in slices(column)]
+        return pa.array(np.concatenate([*parts, np.zeros(0)]))
+
+    return probability(F.coalesce(text, F.lit("")))
+
+
 def with_toxicity(documents: DataFrame, scorer: Scorer) -> DataFrame:
-    """The rows of documents with `toxicity`, the probability of label 1; null and empty texts get the bias alone.
-    A column of that name is an error."""
+    """The rows of documents with `toxicity`, the probability of label 1. A column of that name is an error."""
     if "toxicity" in documents.columns:
         raise ValueError("a column toxicity is already there")
-    names = documents.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch.column("text").fill_null("")):
-                score = pa.array(scorer.probability(part.data, part.offsets))
-                rows = batch.slice(part.first, len(part))
-                yield pa.record_batch([*rows.columns, score], [*names, "toxicity"])
-
-    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
-    return documents.mapInArrow(run, f"{own}, toxicity double")
+    return documents.withColumn("toxicity", toxicity_of(documents.sparkSession, scorer, F.col("text")))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score for every text of documents."""
     documents, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    scorer = toxicity_model(documents, labels, train=~held_out(5, 0))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch.column("text")):
-                score = pa.array(scorer.probability(part.data, part.offsets))
-                yield pa.record_batch([batch.column("doc_id").slice(part.first, len(part)), score], ["doc_id", "score"])
-
-    scores = texts(documents).mapInArrow(run, "doc_id long, score double")
-    return scores.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    scores = with_toxicity(documents.select("doc_id", "text"), toxicity_model(documents, labels, train=~held_out(5, 0)))
+    return scores.select("doc_id", held_out(5, 0).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
