@@ -29,6 +29,10 @@ END = b" "  # stands for the end of a text among words
 _START = "▁".encode()
 _SLOT_BITS = 22
 _CELLS = 400_000
+#: Longer words, in bytes, go through the recursion one by one, their arcs found for so many places at a time.
+LONG = 256
+_PLACES = 1 << 16
+_SCALED = 16
 
 
 @dataclass
@@ -109,15 +113,84 @@ def marginals(pieces: Pieces, data: np.ndarray, offsets: np.ndarray, times: np.n
     """Natural-log marginal probability of each word in the buffer, and the pieces' expected counts when the words
     occur so many times."""
     lengths = np.diff(offsets)
+    short = np.flatnonzero(lengths <= LONG)
     out = np.zeros(len(lengths))
     expected = None if times is None else np.zeros(len(pieces.strings))
+    out[short] = _together(pieces, data, offsets[:-1][short], lengths[short], None if times is None else times[short], expected)
+    for i in np.flatnonzero(lengths > LONG):
+        out[i] = _alone(pieces, data[offsets[i] : offsets[i + 1]], None if times is None else float(times[i]), expected)
+    return out, expected
+
+
+def _arcs(pieces: Pieces, letters: np.ndarray, low: int, high: int, by_start: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and piece of the arcs that end (or start) in low < place <= high (low <= place < high), in order."""
+    far = pieces.lengths[-1]
+    first, last = (low, min(len(letters), high + far)) if by_start else (max(0, low - far), high)
+    rolling = Rolling(letters[first:last])
+    found = [np.zeros((3, 0), np.int64)]
+    for length in pieces.lengths:
+        start = np.arange(low, min(high, last - length + 1)) if by_start else np.arange(max(low + 1, length), high + 1) - length
+        piece = pieces.find(rolling.of(start - first, start - first + length))
+        hit = piece >= 0
+        found.append(np.stack([start[hit], start[hit] + length, piece[hit].astype(np.int64)]))
+    start, end, piece = np.concatenate(found, axis=1)
+    order = np.argsort(start if by_start else end, kind="stable")
+    return start[order], end[order], piece[order]
+
+
+def _recursion(pieces: Pieces, letters: np.ndarray, backward: bool) -> np.ndarray:
+    """The natural log of each place's sum over the paths from the first place (or to the last), in time linear in the
+    letters: the last places' sums are kept near 1, with what they were multiplied by in `shift`."""
+    n, far = len(letters), pieces.lengths[-1]
+    out, value, shift = np.full(n + 1, -np.inf), [0.0] * (n + 1), 0.0
+    value[n if backward else 0] = 1.0
+    out[n if backward else 0] = 0.0
+    for turn in range(0, n, _PLACES):
+        low, high = (max(0, n - turn - _PLACES), n - turn) if backward else (turn, min(n, turn + _PLACES))
+        start, end, piece = _arcs(pieces, letters, low, high, backward)
+        share = np.exp(pieces.weight[piece]).tolist()
+        here, there = (start, end) if backward else (end, start)
+        steps = range(high, low, -_SCALED) if backward else range(low, high, _SCALED)
+        for step in steps:
+            a, b = (max(low, step - _SCALED), step) if backward else (step + 1, min(high, step + _SCALED) + 1)  # places a <= place < b
+            i, j = np.searchsorted(here, [a, b])
+            arcs = zip(here[i:j].tolist(), there[i:j].tolist(), share[i:j], strict=True)
+            for x, y, p in reversed([*arcs]) if backward else arcs:
+                value[x] += value[y] * p
+            with np.errstate(divide="ignore"):
+                out[a:b] = np.log(value[a:b]) + shift
+            near = range(a, min(n + 1, a + far + 1)) if backward else range(max(0, b - far - 1), b)
+            most = max(value[x] for x in near)
+            if 0 < most < 1e-30:
+                for x in near:
+                    value[x] /= most
+                shift += float(np.log(most))
+    return out
+
+
+def _alone(pieces: Pieces, word: np.ndarray, times: float | None, expected: np.ndarray | None) -> float:
+    """The marginal of one word of any length; adds to the expected counts if the word occurs `times` times."""
+    letters = np.concatenate([np.frombuffer(_START, np.uint8), word])
+    alpha = _recursion(pieces, letters, backward=False)
+    total = float(alpha[-1])
+    if expected is not None and times and np.isfinite(total):
+        beta = _recursion(pieces, letters, backward=True)
+        for low in range(0, len(letters), _PLACES):
+            start, end, piece = _arcs(pieces, letters, low, min(len(letters), low + _PLACES), False)
+            expected += np.bincount(piece, times * np.exp(alpha[start] + pieces.weight[piece] + beta[end] - total), len(expected))
+    return total
+
+
+def _together(pieces: Pieces, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, times: np.ndarray | None, expected: np.ndarray | None) -> np.ndarray:
+    """The marginals of many short words, place by place for all words of like length at once."""
+    out = np.zeros(len(lengths))
     for rows in _chunks(lengths):
         size = lengths[rows]
         n, most = len(rows), int(size[-1]) + len(_START)
         letters = np.zeros((n, most), np.uint8)
         letters[:, : len(_START)] = np.frombuffer(_START, np.uint8)
         inner = np.arange(most - len(_START)) < size[:, None]
-        letters[:, len(_START) :][inner] = gathered(data, offsets[rows], size)
+        letters[:, len(_START) :][inner] = gathered(data, starts[rows], size)
         whole = size + len(_START)
         rolling = Rolling(letters.ravel())
         base = np.arange(n) * most
@@ -150,7 +223,7 @@ def marginals(pieces: Pieces, data: np.ndarray, offsets: np.ndarray, times: np.n
                 onward = pieces.weight[piece] + beta[hit, end]
                 expected += np.bincount(piece, np.exp(alpha[hit, start] + onward + weight[hit]), len(expected))
                 beta[hit, start] = np.logaddexp(beta[hit, start], onward)
-    return out, expected
+    return out
 
 
 def _distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
