@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -225,6 +226,47 @@ def test_leaks_find_edited_items(spark):
     assert found == {(1, 1): 0, (2, 1): 2}
 
 
+def brute_leaks(rows, items, share=0.08):
+    """(doc, item) pairs by plain edit distance over all places; short items as whole words."""
+    clean = lambda t: re.sub(r"\s+", " ", t.lower())
+    out = set()
+    for i, item in items:
+        x = clean(item or "").strip()
+        for d, text in rows:
+            y = clean(text or "")
+            if not x or not y:
+                continue
+            now = [(0, j) for j in range(len(y) + 1)]  # edits and start of the best alignment that ends here
+            for a, c in enumerate(x):
+                row = [(a + 1, 0)]
+                for j, o in enumerate(y):
+                    row.append(min((now[j][0] + (c != o), now[j][1]), (now[j + 1][0] + 1, now[j + 1][1]), (row[j][0] + 1, row[j][1])))
+                now = row
+            inside = lambda a, b: a > 0 and y[a - 1].isalnum() and y[a].isalnum() or b < len(y) and y[b].isalnum() and y[b - 1].isalnum()  # noqa: E731, B023
+            if any(e <= int(share * len(x) + 1e-9) and not (len(x) < 24 and inside(s, j)) for j, (e, s) in enumerate(now) if s < j):
+                out.add((d, i))
+    return out
+
+
+def test_leaks_equal_plain_edit_distance(spark):
+    rng = random.Random(21)
+    letters = lambda n: "".join(rng.choice("abcde ") for _ in range(n)).strip() or "a"
+    items = [(i, letters(n)) for i, n in enumerate([2, 5, 7, 11, 12, 13, 18, 22, 24, 26, 29, 38, 39, 60, 90])] + [(50, None), (51, "  "), (52, "ABCDE eabc\tdbac ddcba")]
+    rows = []
+    for d in range(60):
+        x = list(rng.choice(items[:15])[1])
+        for _ in range(rng.randint(0, max(1, len(x) // 9))):
+            k = rng.randrange(len(x))
+            x[k : k + rng.randint(0, 1)] = rng.choice(["x", "", "yz"])
+        rows.append((d, rng.choice(["", "q ", "qq"]) + "".join(x) + rng.choice(["", " z", "zz", "! "])))
+    rows += [(100, "ab"), (101, "abx"), (102, "we say " + items[1][1] + "."), (103, "so abcde  EABC dbac ddcba it is"), *ODD[:4]]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    wanted = brute_leaks(rows, items)
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(frame(spark, rows), table).collect()} == wanted and (103, 52) in wanted
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(frame(spark, rows), table, block=100).collect()} == wanted
+    assert decontamination.leaks(frame(spark, rows), table.limit(0)).isEmpty() and decontamination.leaks(frame(spark, rows), table.where("text is null")).isEmpty()
+
+
 def test_bpe_equals_the_library(spark, docs):
     from tokenizers import Tokenizer
 
@@ -273,6 +315,45 @@ def test_lattice_sums_all_segmentations(spark):
     assert np.exp(found) == pytest.approx(0.1 * 0.3 * 0.2 + 0.1 * 0.2 + 0.2 * 0.2)
 
 
+def test_lattice_of_long_words(spark):
+    rng = random.Random(2)
+    strings = [b"\xe2\x96\x81", *(bytes([c]) for c in b"abc"), b"ab", b"abc", b"ca", b"\xe2\x96\x81ab", b"bcabca"]
+    pieces = lattice.Pieces(strings, np.log(np.array([1, 3, 2, 2, 3, 1, 2, 1, 1]) / 16))
+    many = ["".join(rng.choice("abc") for _ in range(n)).encode() for n in (1, 5, 255, 256, 257, 300, 2_000)]
+
+    def plain(word):
+        letters = b"\xe2\x96\x81" + word
+        alpha = [0.0] + [-np.inf] * len(letters)
+        for end in range(1, len(letters) + 1):
+            for x, w in zip(strings, pieces.weight, strict=True):
+                if letters[:end].endswith(x):
+                    alpha[end] = np.logaddexp(alpha[end], alpha[end - len(x)] + w)
+        return alpha[-1]
+
+    data, offsets = np.frombuffer(b"".join(many), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in many])])
+    found, expected = lattice.marginals(pieces, data, offsets, np.arange(1.0, 8.0))
+    assert found == pytest.approx([plain(x) for x in many])
+    assert lattice.marginals(pieces, np.frombuffer(b"abz" * 200, np.uint8), np.array([0, 600]))[0][0] == -np.inf
+    assert (expected * [len(x) for x in strings]).sum() == pytest.approx(sum((k + 1) * (len(x) + 3) for k, x in enumerate(many)))
+    monkey = lattice.LONG
+    try:
+        lattice.LONG = 0  # every word alone: the same counts
+        alone = lattice.marginals(pieces, data, offsets, np.arange(1.0, 8.0))
+    finally:
+        lattice.LONG = monkey
+    assert alone[0] == pytest.approx(found) and alone[1] == pytest.approx(expected)
+
+
+def test_lattice_of_a_megabyte_without_white_space():
+    import public_tokenizers
+
+    pieces = lattice.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    word = np.frombuffer(("".join(random.Random(1).choice(["the", "ing", "漢", "q", "0x9f"]) for _ in range(400_000))).encode()[: 1 << 20], np.uint8)
+    start = time.perf_counter()
+    score = lattice.marginals(pieces, word, np.array([0, len(word)]), np.ones(1))[0][0]
+    assert -np.inf < score < 0 and time.perf_counter() - start < 60
+
+
 def test_base_scores_equal_counts(spark):
     import public_tokenizers
 
