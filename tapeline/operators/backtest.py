@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from tapeline.functions.columns import by_day, r6, wilson
 from tapeline.functions.folds import fold
-from tapeline.operators.windows import drawdown_summary
-from tapeline.sources.bars import BARS_SQL, bars
+from tapeline.operators.windows import drawdown_summary, with_drawdown
+from tapeline.sources.bars import BARS_SQL, CYCLE, bars, cyclic_bars, cyclic_index
 
+# Capital, cost rates and parameters of the runs.
 CAPITAL, FEE, SLIPPAGE = 25_000.0, 0.004, 0.001
 GRID = ((10, 30), (20, 50), (30, 100))
 COSTS = ((0.0, 0.0), (0.004, 0.001), (0.008, 0.0025))
@@ -59,24 +60,23 @@ def _bar(state: list, want: bool, open_: float, volume: int, *, fee_rate: float,
     return side, traded, fill, fee, *state
 
 
-def backtest(signals: DataFrame, *, capital: float = CAPITAL, fee: float = FEE, slippage: float = SLIPPAGE, lot: int = 1) -> DataFrame:
+def backtest(signals: DataFrame, *, capital: float = CAPITAL, fee: float = FEE, slippage: float = SLIPPAGE, lot: int = 1, rates: tuple[str, str] | None = None) -> DataFrame:
     """run, symbol, day, desired, side, traded, fill, fee, cash, quantity, open, close, equity of signals (run, symbol,
-    day, open, close, volume, desired). A null volume counts as 0; one bar alone trades nothing."""
+    day, open, close, volume, desired). A null volume counts as 0; one bar alone trades nothing. rates names columns
+    with a row's fee and slippage rates, in place of the two values."""
     window = Window.partitionBy("run", "symbol").orderBy("day")
     rows = signals.withColumn("want", F.coalesce(F.lag("desired").over(window), F.lit(False)))
-    step = partial(_bar, fee_rate=fee, slip_rate=slippage, lot=lot)
-    traded = fold(rows, ["run", "symbol", "day"][:2], ["day"], ["want", "open", "volume", "day", "close", "desired"], lambda: [capital, 0], _Step(step), "side string, traded long, fill double, fee double, cash double, quantity long, open double, day date, close double, desired boolean")
+    fee_column, slip_column = rates or ("_fee", "_slip")
+    if not rates:
+        rows = rows.withColumns({"_fee": F.lit(fee), "_slip": F.lit(slippage)})
+    columns = ["want", "open", "volume", "day", "close", "desired", fee_column, slip_column]
+    traded = fold(rows, ["run", "symbol"], ["day"], columns, lambda: [capital, 0], partial(_step, lot=lot), "side string, traded long, fill double, fee double, cash double, quantity long, open double, day date, close double, desired boolean")
     return traded.withColumn("equity", F.col("cash") + F.col("quantity") * F.col("close"))
 
 
-class _Step:
+def _step(state, want, open_, volume, day, close, desired, fee_rate, slip_rate, *, lot):
     """_bar with the bar's other columns passed through."""
-
-    def __init__(self, step) -> None:
-        self.step = step
-
-    def __call__(self, state, want, open_, volume, day, close, desired):
-        return *self.step(state, want, open_, volume), open_, day, close, desired
+    return *_bar(state, want, open_, volume, fee_rate=fee_rate, slip_rate=slip_rate, lot=lot), open_, day, close, desired
 
 
 def closed_trades(curve: DataFrame) -> DataFrame:
@@ -93,16 +93,17 @@ def metrics(curve: DataFrame, *, capital: float = CAPITAL, slippage: float = SLI
 
     Years are bars / 252, deviations are of the population, the Sortino ratio needs two falling bars."""
     window = Window.partitionBy("run", "symbol").orderBy("day")
-    rows = curve.withColumn("ret", F.col("equity") / F.nullif(F.lag("equity").over(window), F.lit(0.0)) - 1)
+    rows = with_drawdown(curve, "equity", ("run", "symbol")).withColumn("ret", F.col("equity") / F.nullif(F.lag("equity").over(window), F.lit(0.0)) - 1)
+    rows = rows.withColumn("under", F.row_number().over(Window.partitionBy("run", "symbol", "spell").orderBy("day")) - 1)  # a spell begins at its peak
     down = F.when(F.col("ret") < 0, F.col("ret"))
     year = F.sqrt(F.lit(252.0))
     out = rows.groupBy("run", "symbol").agg(
+        F.min("drawdown").alias("max_drawdown"), F.max("under").cast("long").alias("longest_bars"),
         F.count("*").alias("bars"), (F.max_by("equity", "day") / capital - 1).alias("total"), (F.stddev_pop("ret") * year).alias("volatility"), F.when(F.count(down) > 1, F.stddev_pop(down) * year).alias("downside"),
         F.count("side").alias("trades"), F.count_if(F.col("side") == "sell").alias("exits"), F.sum("fee").alias("fees"), F.sum(F.when(F.col("side").isNotNull(), F.col("open") * slippage * F.col("traded")).otherwise(0.0)).alias("slippage"),
         (F.sum(F.col("fill") * F.col("traded")) / capital).alias("turnover"), F.avg(F.col("desired").cast("double")).alias("exposure"),
     )
     out = out.withColumn("annual", F.when(F.col("total") > -1, F.pow(1 + F.col("total"), F.lit(252.0) / F.col("bars")) - 1).otherwise(-1.0))
-    out = out.join(drawdown_summary(curve, "equity", ("run", "symbol")), ["run", "symbol"])
     over = lambda c: F.col("annual") / F.nullif(F.round(c, 12), F.lit(0.0))
     return out.select(
         "run", "symbol", "bars", "trades", "exits", "longest_bars", *(r6(F.col(c) * 100).alias(f"{c}_percent") for c in ("total", "annual", "volatility", "exposure", "max_drawdown")),
@@ -112,7 +113,6 @@ def metrics(curve: DataFrame, *, capital: float = CAPITAL, slippage: float = SLI
 
 def signalled(series: DataFrame, runs: dict) -> DataFrame:
     """series once for each named signal, in one pass: the signals are columns first and then rows."""
-    marks = F.explode(F.array(*(F.struct(F.lit(name).alias("run"), signal.alias("desired")) for name, signal in runs.items())))
     wide = series.withColumns({f"_{i}": s for i, s in enumerate(runs.values())})
     marks = F.explode(F.array(*(F.struct(F.lit(name).alias("run"), F.col(f"_{i}").alias("desired")) for i, name in enumerate(runs))))
     return wide.select("symbol", "day", "open", "close", "volume", marks.alias("x")).select("x.run", "symbol", "day", "open", "close", "volume", "x.desired")
@@ -157,6 +157,15 @@ def engine_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_alpha(metrics(backtest(signalled(with_index(series, index), runs))), index)
 
 
+def engine_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four strategies on the 500-bar cycle with a capital of 1,000,000, whose figures are known; the tables of
+    sf_dir are not read."""
+    index = cyclic_index(spark)
+    runs = {"hold": hold_signal(), "ma_20_50": ma_signal(20, 50), "momentum": momentum_signal(60), "breakout": breakout_signal(20, 1.5)}
+    curve = backtest(signalled(with_index(cyclic_bars(spark), index), runs), capital=1_000_000.0)
+    return with_alpha(metrics(curve, capital=1_000_000.0), index)
+
+
 def engine_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     curve = backtest(signalled(bars(spark, sf_dir), {"ma_20_50": ma_signal(20, 50)}))
     return curve.select("symbol", "day", "side", "traded", r6("fill").alias("fill"), r6("fee").alias("fee"), r6("equity").alias("equity"))
@@ -174,8 +183,10 @@ def engine_closed_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 def engine_cost_stress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Final equity of the 20/50 run under three levels of cost."""
     series = signalled(bars(spark, sf_dir), {"ma_20_50": ma_signal(20, 50)})
-    parts = [backtest(series, fee=f, slippage=s).groupBy("symbol").agg(F.max_by("equity", "day").alias("equity")).select("symbol", F.lit(k).alias("level"), r6("equity").alias("final_equity")) for k, (f, s) in enumerate(COSTS)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    levels = F.explode(F.array(*(F.struct(F.lit(k).alias("level"), F.lit(f).alias("fee_rate"), F.lit(s).alias("slip_rate")) for k, (f, s) in enumerate(COSTS))))
+    runs = series.withColumn("x", levels).select("*", F.col("x.level").cast("string").alias("run_level"), "x.fee_rate", "x.slip_rate").drop("run", "x").withColumnRenamed("run_level", "run")
+    curve = backtest(runs, rates=("fee_rate", "slip_rate"))
+    return curve.groupBy("symbol", F.col("run").cast("int").alias("level")).agg(r6(F.max_by("equity", "day")).alias("final_equity"))
 
 
 def engine_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,7 +244,7 @@ def engine_period_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return years.select("symbol", "year", r6((F.col("equity") / before - 1) * 100).alias("return_percent"))
 
 
-QUERIES = {f.__name__: f for f in (engine_backtest_ma, engine_strategies, engine_benchmark, engine_curve, engine_closed_trades, engine_cost_stress, engine_walk_forward, engine_holdouts, engine_period_returns)}
+QUERIES = {f.__name__: f for f in (engine_backtest_ma, engine_strategies, engine_benchmark, engine_golden, engine_curve, engine_closed_trades, engine_cost_stress, engine_walk_forward, engine_holdouts, engine_period_returns)}
 
 
 def _signal_sql(runs: dict[str, str]) -> str:
@@ -274,6 +285,12 @@ _BREAK = "CASE WHEN rn > 20 THEN close > max(close) OVER (PARTITION BY symbol OR
 _INDEX = "(SELECT avg(close) AS close, day, row_number() OVER (ORDER BY day) AS at FROM bars GROUP BY day)"
 _UP = f"(SELECT i.close > j.close FROM {_INDEX} i JOIN {_INDEX} j ON i.at = j.at + 60 WHERE i.at = rn)"
 _MOMENTUM = f"CASE WHEN rn > 60 THEN close > lag(close, 60) OVER (PARTITION BY symbol ORDER BY day) AND coalesce({_UP}, false) END"
+_CYCLE_SQL = f"""steps_c AS (SELECT CAST(0 AS BIGINT) AS i, {CYCLE['start']}::DOUBLE * {CYCLE['steps'][0][1]}::DOUBLE AS close, {CYCLE['index']}::DOUBLE * {CYCLE['index_step']}::DOUBLE AS index_close UNION ALL
+  SELECT i + 1, close * CASE WHEN (i + 1) % 40 < 20 THEN {CYCLE['steps'][0][1]}::DOUBLE WHEN (i + 1) % 40 < 25 THEN {CYCLE['steps'][1][1]}::DOUBLE ELSE {CYCLE['steps'][2][1]}::DOUBLE END, index_close * {CYCLE['index_step']}::DOUBLE FROM steps_c WHERE i < 499),
+bars AS (SELECT 'CYCLE' AS symbol, CAST(DATE '2023-01-01' + CAST(i AS INT) AS DATE) AS day, close * {CYCLE['open']}::DOUBLE AS open, close, CAST(CASE WHEN i % 40 < 20 THEN {CYCLE['steps'][0][2]} WHEN i % 40 < 25 THEN {CYCLE['steps'][1][2]} ELSE {CYCLE['steps'][2][2]} END AS BIGINT) AS volume FROM steps_c), cycle_index AS (SELECT i + 1 AS pos, index_close AS close FROM steps_c)"""
+_CYCLE_SQL = "RECURSIVE " + _CYCLE_SQL
+_UP_CYCLE = "(SELECT i.close > j.close FROM cycle_index i JOIN cycle_index j ON i.pos = j.pos + 60 WHERE i.pos = rn)"
+_GOLDEN = _curve_sql({"hold": "true", "ma_20_50": _ma_sql(20, 50), "momentum": f"CASE WHEN rn > 60 THEN close > lag(close, 60) OVER (PARTITION BY symbol ORDER BY day) AND coalesce({_UP_CYCLE}, false) END", "breakout": _BREAK}).replace(f"WITH RECURSIVE {BARS_SQL}", f"WITH {_CYCLE_SQL}").replace(f"{CAPITAL}::DOUBLE AS cash", "1000000.0::DOUBLE AS cash")
 _Z = 1.959963984540054
 ORACLE = {
     "engine_backtest_ma": _curve_sql(_ONE) + _METRICS_SQL,
@@ -290,6 +307,8 @@ ORACLE = {
       a AS (SELECT *, final / initial - 1 AS total, CASE WHEN final > 0 THEN pow(final / initial, 1 / greatest((last_day - first_day) / 365.25, 1 / 365.25)) - 1 ELSE -1.0 END AS annual FROM m)
       SELECT run, symbol, part, bars, first_day, last_day, longest_bars, longest_days, round(total * 100, 6) AS total_percent, round(annual * 100, 6) AS annual_percent, round(volatility * 100, 6) AS volatility_percent, round(max_drawdown * 100, 6) AS max_drawdown_percent,
         round(annual / nullif(round(volatility, 12), 0), 6) AS sharpe, round(annual / nullif(round(downside, 12), 0), 6) AS sortino, round(annual / nullif(round(abs(max_drawdown), 12), 0), 6) AS calmar, round(final, 6) AS final_equity FROM a JOIN dd USING (run, symbol, part)""",
+    "engine_golden": f"""WITH m AS ({_GOLDEN}{_METRICS_SQL.replace(str(CAPITAL), "1000000.0")}), b AS (WITH {_CYCLE_SQL} SELECT (last(close ORDER BY pos) / first(close ORDER BY pos) - 1) * 100 AS total FROM cycle_index)
+      SELECT m.*, round(b.total, 6) AS benchmark_return_percent, round(m.annual_percent - b.total, 6) AS benchmark_alpha_percent FROM m, b""",
     "engine_curve": _curve_sql(_ONE) + " SELECT symbol, day, side, traded, round(fill, 6) AS fill, round(fee, 6) AS fee, round(equity, 6) AS equity FROM curve",
     "engine_closed_trades": _curve_sql(_MAS) + f""", t AS (SELECT run, symbol, side, row_number() OVER (PARTITION BY run, symbol, side ORDER BY day) AS k, fill * traded + CASE side WHEN 'buy' THEN fee ELSE -fee END AS value FROM curve WHERE side IS NOT NULL),
       c AS (SELECT b.run, b.symbol, s.value - b.value AS profit FROM t b JOIN t s ON b.run = s.run AND b.symbol = s.symbol AND b.k = s.k AND b.side = 'buy' AND s.side = 'sell'),

@@ -5,7 +5,7 @@ Each table has its SQL twin, a CTE that the queries' oracles start from.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BARS_SQL = """priced AS (SELECT 'S' || CAST(l_suppkey % 5 AS VARCHAR) AS symbol, CAST(l_shipdate AS DATE) AS day, l_orderkey, l_linenumber, l_quantity, l_extendedprice / l_quantity AS price FROM lineitem),
@@ -68,13 +68,11 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def synthetic_bars(spark: SparkSession, symbols: list[str], start: str, end: str) -> DataFrame:
     """Deterministic weekday bars: a base from the symbol's digest, a small trend and a sine wave; no randomness."""
-    from pyspark.sql import Window
-
-    days = spark.sql(f"SELECT explode(sequence(DATE'{start}', DATE'{end}')) AS day").where("weekday(day) < 5")
     names = spark.createDataFrame([(s,) for s in symbols], "symbol string")
+    days = F.explode(F.expr(f"filter(sequence(DATE'{start}', DATE'{end}'), d -> weekday(d) < 5)"))
     i = F.row_number().over(Window.partitionBy("symbol").orderBy("day")) - 1
     base = F.lit(50) + F.conv(F.substring(F.sha2("symbol", 256), 1, 4), 16, 10).cast("long") % 450
-    rows = names.join(days, F.lit(True)).withColumn("i", i).withColumn("base", base)
+    rows = names.withColumn("day", days).withColumn("i", i).withColumn("base", base)
     close = F.col("base") * (1 + 0.0008 * F.col("i") + 0.025 * F.sin(F.col("i") / 8))
     rows = rows.withColumn("close", F.round(close, 4)).withColumn("open", F.round(close * 0.998, 4))
     return rows.select(
@@ -82,10 +80,21 @@ def synthetic_bars(spark: SparkSession, symbols: list[str], start: str, end: str
     )
 
 
+# The 500-bar series of 40-day cycles, its volumes, and its steady index.
+CYCLE = {"start": 200.0, "steps": ((20, 1.005, 10_000), (25, 1.03, 50_000), (40, 0.99, 8_000)), "open": 0.995, "high": 1.01, "low": 0.99, "index": 6000.0, "index_step": 1.001}
+
+
 def cyclic_bars(spark: SparkSession, n: int = 500) -> DataFrame:
-    """A series of 40-day cycles (20 bars up 0.5 %, 5 up 3 % on high volume, 15 down 1 % on low volume) and its index."""
-    step = F.when(F.col("i") % 40 < 20, 0.005).when(F.col("i") % 40 < 25, 0.03).otherwise(-0.01)
-    grown = F.expr("aggregate(sequence(0, i), 100.0D, (p, k) -> p * (1 + CASE WHEN k % 40 < 20 THEN 0.005D WHEN k % 40 < 25 THEN 0.03D ELSE -0.01D END))")
-    rows = spark.range(n).select(F.col("id").cast("int").alias("i")).withColumn("close", grown).withColumn("open", F.col("close") / (1 + step))
-    volume = F.when(F.col("i") % 40 < 20, 20_000).when(F.col("i") % 40 < 25, 50_000).otherwise(8_000).cast("long")
-    return rows.select(F.lit("CYCLE").alias("symbol"), F.expr("date_add(DATE'2022-01-03', i)").alias("day"), "open", F.greatest("open", "close").alias("high"), F.least("open", "close").alias("low"), "close", volume.alias("volume"))
+    """A series of 40-day cycles (20 bars up 0.5 %, 5 up 3 % on high volume, 15 down 1 % on low volume)."""
+    (a, up, plain), (b, leap, high), (_, down, low) = CYCLE["steps"]
+    at = F.col("i") % 40
+    grown = F.expr(f"aggregate(sequence(0, i), {CYCLE['start']}D, (p, k) -> p * CASE WHEN k % 40 < {a} THEN {up}D WHEN k % 40 < {b} THEN {leap}D ELSE {down}D END)")
+    rows = spark.range(n).select(F.col("id").cast("int").alias("i")).withColumn("close", grown)
+    volume = F.when(at < a, plain).when(at < b, high).otherwise(low).cast("long")
+    return rows.select(F.lit("CYCLE").alias("symbol"), F.expr("date_add(DATE'2023-01-01', i)").alias("day"), *((F.col("close") * CYCLE[c]).alias(c) for c in ("open", "high", "low")), "close", volume.alias("volume"))
+
+
+def cyclic_index(spark: SparkSession, n: int = 500) -> DataFrame:
+    """day, close of the index of cyclic_bars: 0.1 % up each bar."""
+    grown = F.expr(f"aggregate(sequence(0, i), {CYCLE['index']}D, (p, k) -> p * {CYCLE['index_step']}D)")
+    return spark.range(n).select(F.col("id").cast("int").alias("i")).select(F.expr("date_add(DATE'2023-01-01', i)").alias("day"), grown.alias("close"))
