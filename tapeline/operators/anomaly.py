@@ -103,10 +103,10 @@ def event_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Evidence is available from the later of publication and observation, so that nothing later is used."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("user_id") % 50).alias("code"), F.greatest(F.to_date("ts"), F.date_add(F.to_date("ts"), (F.col("event_id") % 3).cast("int"))).alias("available"), F.element_at(F.array(*map(F.lit, "ABCDE")), (F.col("event_id") % 5 + 1).cast("int")).alias("tier"))
-    first = events.groupBy("code", "tier").agg(F.min("available").alias("since"))
-    days = events.select(F.col("available").alias("as_of")).distinct()
-    known = first.join(days, F.col("since") <= F.col("as_of")).groupBy("code", "as_of").agg(F.collect_set("tier").alias("tiers"))
-    any_of = lambda *tiers: F.arrays_overlap("tiers", F.array(*map(F.lit, tiers)))
+    since = events.groupBy("code").agg(*(F.min(F.when(F.col("tier") == t, F.col("available"))).alias(t) for t in "ABCDE"))
+    days = events.select("available").distinct().agg(F.array_sort(F.collect_list("available")))  # as many as there are days
+    known = since.withColumn("as_of", F.explode(days.scalar())).where(F.least(*"ABCDE") <= F.col("as_of"))
+    any_of = lambda *tiers: F.coalesce(F.least(*tiers) if len(tiers) > 1 else F.col(tiers[0]), F.lit("9999-12-31").cast("date")) <= F.col("as_of")
     status = F.when(any_of("A", "B"), "OFFICIAL_EVENT_PRESENT").when(any_of("C", "D"), "CORROBORATING_EVENT_PRESENT").when(any_of("E"), "RUMOUR_ONLY_INVESTIGATE").otherwise("NO_EXPLANATION_FOUND")
     return known.select("code", "as_of", status.alias("status"))
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeline.functions.columns import by_day, r6, ratio, returns
+from tapeline.functions.folds import fold
 from tapeline.sources.bars import BARS_SQL, CALENDAR_SQL, bars, common, sessions
 
 WITH = f"WITH {BARS_SQL}, {CALENDAR_SQL}"
@@ -71,22 +74,35 @@ def win_drawdown_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def market_index(series: DataFrame) -> DataFrame:
     """day, level: the mean of close over first close, once all symbols have been seen; last closes carry forward."""
     first = F.min(F.struct("day", "close")).over(Window.partitionBy("symbol")).getField("close")
-    relative = series.select("symbol", "day", (F.col("close") / first).alias("relative"))
-    days, symbols = series.select("day").distinct(), series.select("symbol").distinct()
-    grid = days.join(F.broadcast(symbols), F.lit(True))  # a row for each symbol and day
-    filled = grid.join(relative, ["symbol", "day"], "left").select("symbol", "day", F.last("relative", ignorenulls=True).over(by_day().rowsBetween(Window.unboundedPreceding, 0)).alias("relative"))
-    return filled.groupBy("day").agg(F.avg("relative").alias("level"), F.count("relative").alias("have"), F.count("*").alias("all")).where(F.col("have") == F.col("all")).select("day", "level")
+    relative = F.col("close") / first
+    changes = series.withColumn("relative", relative).select("symbol", "day", F.col("relative"), F.lag("relative").over(by_day()).alias("was"))
+    daily = changes.groupBy("day").agg(F.sum(F.col("relative") - F.coalesce("was", F.lit(0.0))).alias("change"), F.count_if(F.col("was").isNull()).alias("new"))
+    so_far = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)  # a row for each day
+    symbols = series.agg(F.count_distinct("symbol"))
+    return daily.select("day", F.sum("change").over(so_far).alias("total"), F.sum("new").over(so_far).alias("seen")).where(F.col("seen") == symbols.scalar()).select("day", (F.col("total") / F.col("seen")).alias("level"))
 
 
 def win_market_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return market_index(bars(spark, sf_dir)).select("day", r6("level").alias("level"))
 
 
+def _median_before(state: list, day, value: float) -> tuple:
+    """The median of the values before this one, by two heaps: the lower half negated, and the upper half."""
+    low, high = state
+    median = None if not low else (-low[0] if len(low) > len(high) else (high[0] - low[0]) / 2)
+    if value is not None and value == value:
+        heapq.heappush(high, -heapq.heappushpop(low, -value))
+        if len(high) > len(low):
+            heapq.heappush(low, -heapq.heappop(high))
+    return day, median
+
+
 def win_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trend and volatility labels of each symbol's bar from what came strictly before it."""
     rows = bars(spark, sf_dir).withColumn("ret", returns("close"))
     rows = rows.withColumn("vol20", F.when(F.count("ret").over(back(20, -1)) == 20, F.stddev_pop("ret").over(back(20, -1))))
-    rows = rows.withColumn("usual", F.percentile("vol20", 0.5).over(by_day().rowsBetween(Window.unboundedPreceding, -1))).withColumn("mean200", F.when(F.count("close").over(back(200, -1)) == 200, F.avg("close").over(back(200, -1))))
+    usual = fold(rows, ["symbol"], ["day"], ["day", "vol20"], lambda: [[], []], _median_before, "day date, usual double")
+    rows = rows.join(usual, ["symbol", "day"]).withColumn("mean200", F.when(F.count("close").over(back(200, -1)) == 200, F.avg("close").over(back(200, -1))))
     before = F.lag("close").over(by_day())
     trend = F.when(F.col("mean200").isNull(), "unknown").when(before > F.col("mean200"), "up").otherwise("down")
     calm = F.when(F.col("vol20").isNull() | F.col("usual").isNull(), "unknown").when(F.round("vol20", 9) > F.round("usual", 9), "high").otherwise("low")

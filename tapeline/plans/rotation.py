@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import partial
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeline.functions.columns import r6, returns
+from tapeline.functions.folds import fold
 from tapeline.sources.bars import BARS_SQL, CALENDAR_SQL, bars, common, sessions
+from tapeline.sources.scratch import written
 
+# Months, choices, cap, capital and cost rates of the plans.
 LOOKBACK, TOP, CAP, CAPITAL, FEE, SLIPPAGE = 12, 3, 0.35, 1_000_000.0, 0.004, 0.0025
 
 
@@ -70,18 +72,18 @@ def volatility_at(series: DataFrame, n: int = 60) -> DataFrame:
 
 def plan_momentum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top three symbols by 12-1 momentum at each month's end, in equal parts."""
-    return momentum_plan(bars(spark, sf_dir)).select("signal_date", "execution_date", "symbol", r6("score").alias("score"), "rank", r6("weight").alias("weight"))
+    return momentum_plan(written(bars(spark, sf_dir), "plan-bars")).select("signal_date", "execution_date", "symbol", r6("score").alias("score"), "rank", r6("weight").alias("weight"))
 
 
 def plan_absolute(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Symbols of positive momentum at quarter ends, each the same part of at most the cap; it may be all cash."""
-    scores = momentum_scores(bars(spark, sf_dir)).where(F.month("signal_date").isin(3, 6, 9, 12) & (F.round("score", 12) > 0))
+    scores = momentum_scores(written(bars(spark, sf_dir), "plan-bars")).where(F.month("signal_date").isin(3, 6, 9, 12) & (F.round("score", 12) > 0))
     return scores.select("signal_date", "execution_date", "symbol", r6("score").alias("score"), r6(F.least(1 / F.count("*").over(Window.partitionBy("signal_date")), F.lit(CAP))).alias("weight"))
 
 
 def plan_low_volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top three symbols of least 60-session volatility at each quarter's last common session."""
-    series = bars(spark, sf_dir)
+    series = written(bars(spark, sf_dir), "plan-bars")
     days = sessions(series).withColumn("execution_date", F.lead("day").over(Window.orderBy("day")))
     ends = days.groupBy(F.trunc("day", "quarter").alias("quarter")).agg(F.max(F.struct("day", "execution_date")).alias("x")).select("x.day", "x.execution_date").where("execution_date is not null")
     rows = volatility_at(series).where("volatility is not null").join(ends, "day").withColumnRenamed("day", "signal_date")
@@ -91,7 +93,7 @@ def plan_low_volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def plan_inverse_volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The momentum choice weighted by inverse volatility under a cap."""
-    series = bars(spark, sf_dir)
+    series = written(bars(spark, sf_dir), "plan-bars")
     best = momentum_plan(series).drop("weight")
     chosen = best.join(volatility_at(series).withColumnRenamed("day", "signal_date"), ["signal_date", "symbol"]).where("volatility > 0").withColumn("raw", 1 / F.col("volatility"))
     return capped_weights(chosen, "raw").select("signal_date", "symbol", r6("weight").alias("weight"))
@@ -101,45 +103,51 @@ def simulated(series: DataFrame, plan: DataFrame, *, capital: float = CAPITAL, f
     """execution_date, symbol, quantity, cash after each rebalance of a plan (run, execution_date, symbol, rank,
     weight): targets in whole shares on the opening equity, sells by symbol before buys by rank, cash never below 0.
 
-    A run's rebalances are some rows a month, so that a run is one group; daily values are a join (curve())."""
+    A date's symbols are one row; a run's dates are read in turn by a fold that holds cash and shares alone."""
     marks = common(series).select(F.col("day").alias("execution_date"), "symbol", "open")
-    dates = plan.select("run", "execution_date").distinct()
-    rows = dates.join(marks, "execution_date").join(plan.select("run", "execution_date", "symbol", "rank", "weight"), ["run", "execution_date", "symbol"], "left")
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        cash, held, out = capital, {}, []
-        for day, group in rows.sort_values(["execution_date", "symbol"]).groupby("execution_date", sort=True):
-            price = dict(zip(group["symbol"], group["open"], strict=True))
-            equity = cash + sum(q * price[s] for s, q in held.items())
-            target = {s: int(equity * w / (price[s] * (1 + slippage) * (1 + fee))) for s, w in zip(group["symbol"], group["weight"].fillna(0.0), strict=True)}
-            for s in sorted(held):
-                if (size := held[s] - target.get(s, 0)) > 0:
-                    cash += size * price[s] * (1 - slippage) * (1 - fee)
-                    held[s] -= size
-            for s in group.dropna(subset=["weight"]).sort_values("rank")["symbol"]:
-                cost = price[s] * (1 + slippage) * (1 + fee)
-                if (size := min(target[s] - held.get(s, 0), int(cash / cost))) > 0:
-                    cash -= size * cost
-                    held[s] = held.get(s, 0) + size
-            out += [(rows["run"].iloc[0], day, s, float(held.get(s, 0)), cash) for s in price]
-        return pd.DataFrame(out, columns=["run", "execution_date", "symbol", "quantity", "cash"])
-
-    return rows.groupBy("run").applyInPandas(run, "run string, execution_date date, symbol string, quantity double, cash double")
+    named = plan.select("run", "execution_date", "symbol", "rank", "weight")
+    rows = named.select("run", "execution_date").distinct().join(marks, "execution_date").join(named, ["run", "execution_date", "symbol"], "left")
+    dates = rows.groupBy("run", "execution_date").agg(F.array_sort(F.collect_list(F.struct("symbol", "open", "rank", "weight"))).alias("market"))
+    done = fold(dates, ["run"], ["execution_date"], ["execution_date", "market"], lambda: [capital, {}], partial(_rebalance, fee=fee, slippage=slippage), "execution_date date, held array<struct<symbol:string,quantity:double>>, cash double")
+    return done.select("run", "execution_date", F.explode("held").alias("x"), "cash").select("run", "execution_date", "x.symbol", "x.quantity", "cash")
+
+
+def _rebalance(state: list, day, market: list, *, fee: float, slippage: float) -> tuple:
+    """One date of a run: state is [cash, shares by symbol]."""
+    cash, held = state
+    price = {x["symbol"]: x["open"] for x in market}
+    chosen = sorted((x for x in market if x["weight"] is not None), key=lambda x: x["rank"])
+    equity = cash + sum(q * price[s] for s, q in held.items())
+    target = {x["symbol"]: int(equity * x["weight"] / (x["open"] * (1 + slippage) * (1 + fee))) for x in chosen}
+    for s in sorted(held):
+        if (size := held[s] - target.get(s, 0)) > 0:
+            cash += size * price[s] * (1 - slippage) * (1 - fee)
+            held[s] -= size
+    for x in chosen:
+        s, cost = x["symbol"], x["open"] * (1 + slippage) * (1 + fee)
+        if (size := min(target[s] - held.get(s, 0), int(cash / cost))) > 0:
+            cash -= size * cost
+            held[s] = held.get(s, 0) + size
+    state[0] = cash
+    return day, [{"symbol": s, "quantity": float(held.get(s, 0))} for s in price], cash
 
 
 def curve(series: DataFrame, holdings: DataFrame) -> DataFrame:
     """run, day, equity: every common session valued at its close with the holdings of the last rebalance."""
-    spans = holdings.select("run", "execution_date").distinct().withColumn("until", F.lead("execution_date").over(Window.partitionBy("run").orderBy("execution_date")))
-    days = sessions(series).join(spans, F.col("day").between(F.col("execution_date"), F.coalesce(F.date_sub("until", 1), F.lit("9999-12-31").cast("date"))))
+    dates = holdings.select("run", "execution_date").distinct()
+    runs = dates.agg(F.collect_set("run"))  # configurations
+    each = sessions(series).withColumn("run", F.explode(runs.scalar())).join(dates.withColumn("day", F.col("execution_date")), ["run", "day"], "left")
+    last = F.last("execution_date", ignorenulls=True).over(Window.partitionBy("run").orderBy("day").rowsBetween(Window.unboundedPreceding, 0))
+    days = each.select("run", "day", last.alias("execution_date")).where("execution_date is not null")
     rows = days.join(holdings, ["run", "execution_date"]).join(series.select("day", "symbol", "close"), ["day", "symbol"])
     return rows.groupBy("run", "day").agg((F.first("cash") + F.sum(F.col("quantity") * F.col("close"))).alias("equity"))
 
 
 def rotation_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Month-end equity of the momentum rotation."""
-    series = bars(spark, sf_dir)
-    plan = momentum_plan(series).withColumn("run", F.lit("momentum"))
-    rows = curve(series, simulated(series, plan))
+    series = written(bars(spark, sf_dir), "rotation-bars")  # read many times
+    plan = written(momentum_plan(series).withColumn("run", F.lit("momentum")), "rotation-plan")
+    rows = curve(series, written(simulated(series, plan), "rotation-holdings"))
     return rows.groupBy("run", F.trunc("day", "MM").alias("month")).agg(r6(F.max_by("equity", "day")).alias("equity"))
 
 

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tapeline.operators import anomaly, backtest, curves, ledger, orders, reconcile, review, validate, windows
 from tapeline.plans import rotation
 from tapeline.shipping import ready
-from tapeline.sources import files
+from tapeline.sources import files, uploads
 from tapeline.streaming import quotes
 
-_MODULES = (windows, anomaly, validate, reconcile, backtest, curves, review, rotation, ledger, orders, quotes, files)
+_MODULES = (windows, anomaly, validate, reconcile, backtest, curves, review, rotation, ledger, orders, quotes, files, uploads)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: ready(query) for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE: dict[str, str] = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}

@@ -55,15 +55,16 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     row missing, moved slightly or by half, repeated, of another grain, or with the volume in hundredths."""
     code = (F.year("day") * 372 + F.month("day") * 31 + F.dayofmonth("day")) % 11
     base = bars(spark, sf_dir).withColumn("code", code)
-    name = lambda prefix: F.concat(F.lit(prefix + ":"), "symbol", F.lit(":"), F.col("day").cast("string")).alias("row_id")
-    first = base.where("code <> 4").select(F.lit("A").alias("source"), F.lit("unadjusted").alias("grain"), "symbol", "day", "open", "high", "low", "close", "volume", name("A"))
-    second = base.where("code <> 0").select(
-        F.lit("B").alias("source"), F.when(F.col("code") == 6, "adjusted").otherwise("unadjusted").alias("grain"), "symbol", "day", "open", "high", "low",
-        (F.col("close") * F.when(F.col("code") == 1, 1.0005).when(F.col("code") == 2, 1.5).otherwise(1.0)).alias("close"),
-        (F.col("volume") * F.when(F.col("code") == 5, 100).otherwise(1)).cast("long").alias("volume"), name("B"),
-    )
-    again = base.where("code = 3").select(F.lit("B").alias("source"), F.lit("unadjusted").alias("grain"), "symbol", "day", "open", "high", "low", "close", "volume", name("B2"))
-    return first.unionByName(second).unionByName(again)
+    row = lambda source, prefix, grain, close, volume: F.struct(
+        F.lit(source).alias("source"), grain.alias("grain"), close.alias("close"), volume.cast("long").alias("volume"), F.concat(F.lit(prefix + ":"), "symbol", F.lit(":"), F.col("day").cast("string")).alias("row_id")
+    )
+    plain, close, volume = F.lit("unadjusted"), F.col("close"), F.col("volume")
+    moved = close * F.when(F.col("code") == 1, 1.0005).when(F.col("code") == 2, 1.5).otherwise(1.0)
+    rows = F.array(
+        F.when(F.col("code") != 4, row("A", "A", plain, close, volume)), F.when(F.col("code") != 0, row("B", "B", F.when(F.col("code") == 6, "adjusted").otherwise(plain), moved, volume * F.when(F.col("code") == 5, 100).otherwise(1))), F.when(F.col("code") == 3, row("B", "B2", plain, close, volume))
+    )
+    found = base.withColumn("x", F.explode(F.array_compact(rows)))  # one scan and one aggregation for both sources
+    return found.select("x.source", "x.grain", "symbol", "day", "open", "high", "low", "x.close", "x.volume", "x.row_id")
 
 
 def synthetic_bars(spark: SparkSession, symbols: list[str], start: str, end: str) -> DataFrame:
