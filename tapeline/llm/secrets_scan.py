@@ -1,9 +1,11 @@
 """Secret scans: candidate strings by a byte scan, false positives removed by a random forest over candidate length,
 character transitions, dictionary coverage, path and neighbouring words.
 
-Candidates are runs of key characters with a letter and a digit from LEAST characters on, with their padding; such
-runs joined by dots; and any value of SHORT or more characters that a secret word assigns by = or :, quoted or bare,
-whatever its characters. Kept candidates that overlap are one finding.
+Candidates are runs of key characters from LEAST characters on, whatever their kind, and those from MIXED on with a
+letter and a digit, with their padding; such runs joined by dots; and any value of SHORT or more characters that a
+secret word assigns by = or :, quoted or bare, whatever its characters. The forest decides; kept candidates that
+overlap are one finding. Shorter values, and words or numbers under LEAST that nothing assigns, are not looked at:
+nothing tells them from prose.
 
 The forest is trained here from labelled findings, by default a seeded set of FINDINGS rows that a generator
 writes: keys and tokens of common forms where they are assigned, against hashes, identifiers, paths, encoded data
@@ -29,6 +31,7 @@ FINDINGS = 6_000
 TREES = 48
 DEPTH = 12
 LEAST = 16
+MIXED = 8
 SHORT = 6
 KEY = 128
 NEAR = 48
@@ -137,8 +140,21 @@ def labelled_findings(n: int = FINDINGS, seed: int = 23) -> pd.DataFrame:
                     key, value, quote = pick(["password", "db_password", "PASSWORD", "admin_pwd"]), pick([" ", "-", ""]).join(pick(WORDS) for _ in range(int(rng.integers(2, 5)))), pick(['"', "'"])
                 if quote and rng.random() < 0.2:
                     key, sign = f"{quote}{key}{quote}", pick([": ", ":"])
+            if rng.random() < 0.15:  # told, not assigned
+                told = pick(["the password is ", "password is now ", "my token is ", "use the api key ", "api key ", "the secret key is ", "access token ", "private key is ", "with the bearer token ", "login with password "])
+                rows.append((prose(3) + " " + told, pick([lambda: chars(alnum, int(rng.integers(10, 41))), lambda: chars(letters, int(rng.integers(18, 41))), lambda: chars(hexes, int(rng.choice([16, 32, 40]))), lambda: chars(string.digits, int(rng.integers(16, 25))), lambda: (syllabic(2, 4).title().translate(leet) + chars(string.digits, 3)).ljust(9, "4")])(), ending, path(), 1))
+                continue
             rows.append((prose(4) + pick([" ", "\n", "*** ", "| "]) + key + sign + quote, value, quote + ending, path(), 1))
             continue
+        if rng.random() < 0.25:  # words, numbers and names of their kind, and short mixtures
+            before = prose(int(rng.integers(2, 5))) + pick([" ", " ", "\n", " (", ", "]) + pick(["", "", "", "the ", "id ", "number ", "order ", "phone ", "file ", "room "])
+            value = pick([
+                lambda: pick([str, str.upper])(syllabic(7, 13).replace("ó", "o").ljust(16, "e")), lambda: "".join(pick(WORDS).title() for _ in range(int(rng.integers(3, 6)))).ljust(16, "s"), lambda: "-".join(word().replace("ó", "o") for _ in range(int(rng.integers(3, 6)))).ljust(16, "s"), lambda: "_".join(pick(WORDS) for _ in range(int(rng.integers(3, 5)))).ljust(16, "s"),
+                lambda: chars(string.digits, int(rng.integers(16, 21))), lambda: "/".join(pick(WORDS) for _ in range(4)).ljust(16, "s"), lambda: pick(["-", "_", "=", "+"]) * int(rng.integers(16, 60)), lambda: pick(WORDS) + chars(string.digits, int(rng.integers(1, 5))).rjust(4, "1"), lambda: (pick(WORDS).upper()[:3] + "-" + chars(string.digits, 6)), lambda: str(int(rng.integers(1990, 2030))) + "-" + pick(["jan", "feb", "mar"]) + "-" + str(int(rng.integers(10, 28))),
+                lambda: (chars(string.digits, 2) + pick(WORDS) + chars(string.digits, 2)).ljust(8, "0"), lambda: "v" + str(int(rng.integers(9))) + pick(["alpha", "beta", "release"]) + str(int(rng.integers(99))), lambda: chars(hexes, 8), lambda: "x".join([chars(string.digits, 4), chars(string.digits, 4)]), lambda: pick(["a", "e", "x", "ha", "na"]) * int(rng.integers(16, 40)), lambda: word().replace("ó", "o").rjust(7, "b") + "2",
+            ])()
+            rows.append((before, value, ending, path(), 0))
+            continue
         if rng.random() < 0.4:  # assigned by a secret word, or dotted or padded, and no secret
             key = pick(["token", "secret", "password", "api_key", "auth_token", "access_key", "client_secret", "db_password", "PASSWORD", "Token"])
             before, value, after = pick([
@@ -271,8 +287,8 @@ def assigned(data: np.ndarray, offsets: np.ndarray, least: int = SHORT) -> tuple
 
 
 def candidates(data: np.ndarray, offsets: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, start and end of the runs of key characters, with = or == after them, that are long enough and have a
-    letter and a digit, of those runs joined by dots, and of the assigned values; each place once."""
+    """Row, start and end of the runs of key characters, with = or == after them, that are long enough, or a little
+    shorter and of letters and digits, of those runs joined by dots, and of the assigned values; each place once."""
     starts, ends, count = words(data, offsets, _TOKEN)
     row = np.repeat(np.arange(len(count)), count)
     stop = offsets[row + 1]
@@ -286,10 +302,10 @@ def candidates(data: np.ndarray, offsets: np.ndarray, least: int = LEAST) -> tup
     tail = np.append(head[1:], len(starts))[: len(head)] - 1
     several = tail > head
     row, starts, ends = (np.concatenate([x, y]) for x, y in ((row, row[head[several]]), (starts, starts[head[several]]), (padded, padded[tail[several]])))
-    long = np.flatnonzero(ends - starts >= least)
-    starts, ends, row = starts[long], ends[long], row[long]
-    good = [bool(_DIGIT[data[a:b]].any() and _ALPHA[data[a:b]].any()) for a, b in zip(starts, ends, strict=True)]
-    good = np.array(good, bool)
+    some = np.flatnonzero(ends - starts >= min(MIXED, least))
+    starts, ends, row = starts[some], ends[some], row[some]
+    count = lambda kind: (sums := np.concatenate([[0], np.cumsum(kind[data])]))[ends] - sums[starts]
+    good = (ends - starts >= least) | (count(_DIGIT) > 0) & (count(_ALPHA) > 0)
     found = np.concatenate([np.stack([row[good], starts[good], ends[good]]), np.stack(assigned(data, offsets))], axis=1)
     return tuple(np.unique(found.astype(np.int64), axis=1))
 

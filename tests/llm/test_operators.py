@@ -424,6 +424,36 @@ def test_short_plain_dotted_and_padded_secrets(spark):
     assert [r["text"] for r in left] == harmless
 
 
+def test_secrets_of_each_kind_are_found_among_prose(spark, docs):
+    rng = random.Random(77)
+    chars = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    lower, alnum = "abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    kinds = {
+        "letters": lambda: f'token = "{chars(lower, rng.randint(18, 40))}"', "digits": lambda: f"secret: {chars('0123456789', rng.randint(12, 24))}", "short": lambda: f'password = "{chars(alnum, rng.randint(8, 12))}"', "long": lambda: f"api_key={chars(alnum, rng.randint(20, 48))}",
+        "signs": lambda: f"db_password: {chars(alnum + '!@$#%', rng.randint(10, 20))}", "told": lambda: f"the password is {chars(alnum, rng.randint(12, 30))}", "hex": lambda: f'auth_token = "{chars("0123456789abcdef", 40)}"',
+    }
+    prose = [r["text"] for r in docs.where("length(text) between 200 and 800").orderBy("doc_id").limit(60).collect()]
+    rows, planted = [], {}
+    for d, (kind, made) in enumerate((k, m) for k, m in kinds.items() for _ in range(40)):
+        before, text = rng.choice(prose), made()
+        rows.append((d, f"{before}\n{text}\n{rng.choice(prose)}"))
+        value = re.split(r'= "|=|: | is ', text)[-1].rstrip('"')
+        at = len(before.encode()) + 1 + text.index(value)
+        planted[d] = (kind, at, at + len(value))
+    met = defaultdict(list)
+    for r in secrets_scan.secrets(frame(spark, rows), secrets_scan.fit_forest(spark)).collect():
+        met[r["doc_id"]].append((r["start"], r["end"]))
+    found = Counter(kind for d, (kind, a, b) in planted.items() if any(x <= a and y >= b for x, y in met[d]))
+    assert min(found[k] for k in kinds) >= 36, found
+
+
+def test_secrets_leave_prose_alone(spark, docs):
+    forest = secrets_scan.fit_forest(spark)
+    found = secrets_scan.secrets(docs, forest, path_column="source").count()
+    assigned = docs.where(F.col("text").rlike(r"(?i)(token|secret|passw|api[_-]?key)[\w.-]*[\"']?\s*[:=]")).count()
+    assert found <= assigned + 0.01 * docs.count()
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     assert jaccard_join.jaccard_classes(none).count() == 0 and repeats.without_repeats(none).count() == 0
