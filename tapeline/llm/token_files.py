@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from tapeline.llm.shared import gathered, lowered, scratch, slices, texts
 
 KEPT_WORDS = 1_000_000
+NO_ID = -(1 << 63)
 MANIFEST = "part int, n_docs long, n_tokens long, width int"
 
 
@@ -140,7 +141,7 @@ def write_token_files(documents: DataFrame, path: str, vocabulary: str, end_id:
     """Writes the file set of all texts under path, in ascending doc_id order, and returns its manifest.
 
     Null and empty texts have the end id alone. Rows of one doc_id stand in the order of their texts; null
-    doc_ids come first and are written as the smallest 64-bit integer. An empty table gives an empty manifest."""
+    doc_ids come first, are written as the smallest 64-bit integer and read as null again. An empty table gives an empty manifest."""
     spark = documents.sparkSession
     width = width or id_width(vocabulary)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -159,7 +160,7 @@ def write_token_files(documents: DataFrame, path: str, vocabulary: str, end_id:
                     ids, lengths = encoder.encode_many(some.data, some.offsets, end_id)
                     ids_out.write(ids.astype(f"<u{width}").tobytes())
                     off_out.write((n_tokens + np.cumsum(lengths)).astype("<u8").tobytes())
-                    docs = batch.column("doc_id").slice(some.first, len(some)).fill_null(np.iinfo(np.int64).min)
+                    docs = batch.column("doc_id").slice(some.first, len(some)).fill_null(NO_ID)
                     doc_out.write(docs.to_numpy(zero_copy_only=False).astype("<i8").tobytes())
                     n_docs += len(some)
                     n_tokens += len(ids)
@@ -208,7 +209,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                     sums = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                     yield pd.DataFrame({"doc_id": docs[at : at + 10_000], "start": base + bounds[:-1], "n_tokens": np.diff(bounds), "ids_crc32": sums})
 
-    return parts.repartition(count, "part").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    rows = parts.repartition(count, "part").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return rows.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
