@@ -6,16 +6,16 @@ temporaries of a task stay small whatever the batch holds; a text is never cut.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tapeline.sources.scratch import scratch, written  # noqa: F401
+
 SLICE_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, bool)
@@ -29,22 +29,6 @@ _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _POWERS: dict[int, np.ndarray] = {}
 
 
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder of spark.checkpoint.dir; a temporary folder only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tapeline-")
-    return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex[:12]}"
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """The rows of df written to the shared folder and read again: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def texts(documents: DataFrame, *more: str) -> DataFrame:
     """doc_id, text (null: empty) and the columns asked for; every other column stays unread."""
     return documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
