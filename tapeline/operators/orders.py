@@ -103,8 +103,9 @@ def fill(state: list, side: str, quantity: int, limit: float, price: float, volu
 
 def account_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
-    price = F.round(F.col("o_totalprice") / 1000, 2)
-    return table(spark, sf_dir, "orders").select((F.col("o_custkey") % 40).alias("account"), F.col("o_orderdate").cast("date").alias("day"), "o_orderkey", F.when(k % 3 == 0, "sell").otherwise("buy").alias("side"), (k % 200 + 1).alias("quantity"), F.round(price * (1 + (k % 7 - 3) / 100), 2).alias("limit_price"), price.alias("price"), (F.col("o_custkey") % 11 * 200).alias("volume"))
+    cent = lambda x: F.floor(F.round(x * 100, 6) + 0.5) / 100
+    price = cent(F.col("o_totalprice") / 1000)
+    return table(spark, sf_dir, "orders").select((F.col("o_custkey") % 40).alias("account"), F.col("o_orderdate").cast("date").alias("day"), "o_orderkey", F.when(k % 3 == 0, "sell").otherwise("buy").alias("side"), (k % 200 + 1).alias("quantity"), cent(price * (1 + (k % 7 - 3) / 100)).alias("limit_price"), price.alias("price"), (F.col("o_custkey") % 11 * 200).alias("volume"))
 
 
 def filled_orders(rows: DataFrame) -> DataFrame:
@@ -278,8 +279,8 @@ _PROPOSED = f"""WITH p AS (SELECT o_orderkey, o_orderkey AS k, o_custkey AS c, o
 _LITERAL = lambda v: f"'{v}'" if isinstance(v, str) else str(v).upper() if isinstance(v, bool) else f"{v!r}::DOUBLE"
 _SCENARIOS = " UNION ALL ".join("SELECT " + ", ".join([f"'{name}' AS scenario", *(f"{_LITERAL(v)} AS {c}" for c, v in (SAFE | change).items())]) for name, change in [("SAFE", {}), *zip(RULES, BREAKS, strict=True)])
 _C = lambda x: f"(floor(round(({x}) * 100, 6) + 0.5) / 100)"
-_FILLS = f"""WITH RECURSIVE o AS (SELECT o_custkey % 40 AS account, CAST(o_orderdate AS DATE) AS day, o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'sell' ELSE 'buy' END AS side, o_orderkey % 200 + 1 AS quantity, round(o_totalprice / 1000, 2) AS price, o_custkey % 11 * 200 AS volume FROM orders),
-n AS (SELECT *, round(price * (1 + (o_orderkey % 7 - 3) / 100), 2) AS lim, least(quantity, greatest(0, CAST(floor(round(volume * {PARTICIPATION}::DOUBLE, 6)) AS BIGINT))) AS size, row_number() OVER (PARTITION BY account ORDER BY day, o_orderkey) AS rn FROM o),
+_FILLS = f"""WITH RECURSIVE o AS (SELECT o_custkey % 40 AS account, CAST(o_orderdate AS DATE) AS day, o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'sell' ELSE 'buy' END AS side, o_orderkey % 200 + 1 AS quantity, {_C('o_totalprice / 1000')} AS price, o_custkey % 11 * 200 AS volume FROM orders),
+n AS (SELECT *, {_C('price * (1 + (o_orderkey % 7 - 3) / 100)')} AS lim, least(quantity, greatest(0, CAST(floor(round(volume * {PARTICIPATION}::DOUBLE, 6)) AS BIGINT))) AS size, row_number() OVER (PARTITION BY account ORDER BY day, o_orderkey) AS rn FROM o),
 m AS (SELECT *, CASE side WHEN 'buy' THEN lim >= price ELSE lim <= price END AND size > 0 AS crosses, CASE side WHEN 'buy' THEN {_C(f'least(price * (1 + {SLIP_PERCENT}::DOUBLE / 100), lim)')} ELSE {_C(f'greatest(price * (1 - {SLIP_PERCENT}::DOUBLE / 100), lim)')} END AS fp FROM n),
 c AS (SELECT *, {_C(f'fp * size * {FEE_RATE}::DOUBLE')} AS f FROM m),
 s AS (SELECT DISTINCT account, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS o_orderkey, '' AS side, '' AS status, CAST(0 AS BIGINT) AS filled, 0.0::DOUBLE AS fill, 0.0::DOUBLE AS fee, {START_CASH}::DOUBLE AS cash, CAST(0 AS BIGINT) AS shares, CAST(NULL AS DATE) AS day FROM c
