@@ -12,8 +12,9 @@ to many documents makes no block. Equal sets are one row throughout. All pairs c
 1. A tree's sets stand in order of size, FANOUT to a node. Each set is paired with the first set of its node, and
    that with the first of the node above; of a set's pairs that pass the bitmap bound, the one of most blocks is
    verified on the whole sets. The links make first components.
-2. In blocks of more than HEAVY sets that still hold several components, the pairs within nodes are verified, so
-   that a large group of near copies comes to one component without all its pairs.
+2. In blocks of more than HEAVY sets that still hold several components, trees in an order of hashes, whose nodes mix
+   components, give the pairs of each node's children, by the first set of each, on every level: some eight for a set
+   in all. These are verified, so that a large group of near copies comes to one component without all its pairs.
 3. Blocks that still hold several components are traversed from their roots. A pair of nodes goes on unless all
    below has one component, or sizes or bitmaps leave no link possible, and every pair of sets across components
    that is left is verified. Nothing is left out: pairs within a component need no more links.
@@ -41,9 +42,11 @@ PERCENT = 80
 RARE = 1_000
 #: Tokens in the prefixes of more sets come after the others; larger blocks are linked within nodes first.
 HEAVY = 16
-#: Bits of a bitmap as powers of two: at least, at most; about twice the largest size of a class in between.
-SIGNATURE_BITS = (8, 12)
+#: Bits of a bitmap as powers of two: at least, at most; four times the largest size of a class in between.
+SIGNATURE_BITS = (8, 13)
 FANOUT = 16
+#: Blocks of more than LIGHT sets are linked within nodes first, in so many turns of other orders.
+LIGHT, TURNS = 4, 2
 _STEPS = [pow(0xA24BAED4963EE407, k, 1 << 64) for k in range(1, 64)]
 
 
@@ -85,7 +88,7 @@ def size_class(n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signature_bytes(k: int, percent: int) -> int:
-    return 1 << min(max((int(k) + 1) * _step(percent) + 1, SIGNATURE_BITS[0]), SIGNATURE_BITS[1]) - 3
+    return 1 << min(max((int(k) + 1) * _step(percent) + 2, SIGNATURE_BITS[0]), SIGNATURE_BITS[1]) - 3
 
 
 def signature(own: np.ndarray, percent: int = PERCENT) -> bytes:
@@ -259,12 +262,12 @@ def possible(n_a: np.ndarray, sig_a: np.ndarray, n_b: np.ndarray, sig_b: np.ndar
 
 
 class SignatureForest:
-    """A tree over each block's sets, in order of size, component and bitmap, FANOUT to a node, level by level. A node
+    """A tree over each block's sets, in order of size, component and bitmap or as asked for, FANOUT to a node, level by level. A node
     has the OR of its bitmaps, the least and largest size, the most tokens that share a bit, its component if all
     below have the same, and whether all below are guests of the block. levels[0] holds the sets."""
 
-    def __init__(self, block: np.ndarray, n: np.ndarray, sig: np.ndarray, component: np.ndarray, guest: np.ndarray) -> None:
-        self.order = np.lexsort((sig[:, 0], component, n, block))
+    def __init__(self, block: np.ndarray, n: np.ndarray, sig: np.ndarray, component: np.ndarray, guest: np.ndarray, by: np.ndarray | None = None) -> None:
+        self.order = np.lexsort((sig[:, 0], component, n, block) if by is None else (by, block))
         block, n, sig, component, guest = (x[self.order] for x in (block, n, sig, component, guest))
         extra = n - np.bitwise_count(sig).sum(1, dtype=np.int64)
         self.levels = [(sig, n, n, extra, component, guest)]
@@ -281,47 +284,70 @@ class SignatureForest:
             self.first.append(np.append(cut, len(block)))
             block = block[cut]
 
-    def pairs(self, percent: int, within: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def _may_link(self, level: int, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+        """Whether sets of different components below two nodes may link, by sizes and bitmaps."""
+        sig, low, high, extra, component, guest = self.levels[level]
+        fine = ~((component[a] == component[b]) & (component[a] != _MIXED)) & ~(guest[a] & guest[b])
+        fine &= (percent * low[b] <= 100 * high[a]) & (percent * low[a] <= 100 * high[b])
+        at = np.flatnonzero(fine)
+        x, y = a[at], b[at]
+        common = np.bitwise_count(sig[x] & sig[y]).sum(1, dtype=np.int64) + np.minimum(extra[x], extra[y])
+        most = np.minimum(common, np.minimum(high[x], high[y]))
+        fine[at] = (100 + percent) * most >= percent * (low[x] + low[y])
+        return fine
+
+    def _children(self, level: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs of a child of a and one of b, each once where both are one node."""
+        first = self.first[level]
+        many = first[b + 1] - first[b]
+        count = (first[a + 1] - first[a]) * many
+        each = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        many = np.repeat(many, count)
+        x, y = np.repeat(first[a], count) + each // many, np.repeat(first[b], count) + each % many
+        real = (x <= y) | np.repeat(a != b, count)
+        return x[real], y[real]
+
+    def pairs(self, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Positions of all pairs of different components that pass the bound, by dual traversal from each root with
-        itself; with `within`, of the pairs in the lowest nodes alone. Some thousand node pairs go down at a time."""
+        itself. Some thousand node pairs go down at a time."""
         top = len(self.levels) - 1
         nodes = np.arange(len(self.levels[top][1]))
         todo = [(top, nodes[i : i + _TURN], nodes[i : i + _TURN]) for i in range(0, len(nodes), _TURN)][::-1]
         while todo:
             level, a, b = todo.pop()
-            sig, low, high, extra, component, guest = self.levels[level]
-            fine = ~((component[a] == component[b]) & (component[a] != _MIXED)) & ~(guest[a] & guest[b])
-            fine &= (percent * low[b] <= 100 * high[a]) & (percent * low[a] <= 100 * high[b])
-            if within or level == 0:
-                fine &= (a == b) if level else (a != b)
-            a, b = a[fine], b[fine]
-            common = np.bitwise_count(sig[a] & sig[b]).sum(1, dtype=np.int64) + np.minimum(extra[a], extra[b])
-            most = np.minimum(common, np.minimum(high[a], high[b]))
-            fine = (100 + percent) * most >= percent * (low[a] + low[b])
+            if level == 0:
+                a, b = a[a != b], b[a != b]
+            fine = self._may_link(level, a, b, percent)
             a, b = a[fine], b[fine]
-            if not len(a):
-                continue
             if level == 0:
-                yield self.order[a], self.order[b]
-                continue
-            first = self.first[level]
-            many = first[b + 1] - first[b]
-            count = (first[a + 1] - first[a]) * many
-            each = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-            many = np.repeat(many, count)
-            x, y = np.repeat(first[a], count) + each // many, np.repeat(first[b], count) + each % many
-            real = (x <= y) | np.repeat(a != b, count)
-            x, y = x[real], y[real]
-            todo += [(level - 1, x[i : i + _TURN], y[i : i + _TURN]) for i in range(0, len(x), _TURN)]
-
-
-_TURN = 1 << 13
+                if len(a):
+                    yield self.order[a], self.order[b]
+            elif len(a):
+                x, y = self._children(level, a, b)
+                todo += [(level - 1, x[i : i + _TURN], y[i : i + _TURN]) for i in range(0, len(x), _TURN)]
+
+    def node_pairs(self, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Positions of the pairs of each node's children, by the first set below each, that pass the bound."""
+        leaf = np.arange(len(self.levels[0][1]))  # the first set below each node of the level
+        for level in range(1, len(self.levels)):
+            nodes = np.arange(len(self.levels[level][1]))
+            for i in range(0, len(nodes), _TURN // 8):  # the bitmaps of all pairs are compared
+                x, y = self._children(level, nodes[i : i + _TURN // 8], nodes[i : i + _TURN // 8])
+                x, y = leaf[x[x != y]], leaf[y[x != y]]
+                fine = self._may_link(0, x, y, percent)
+                if fine.any():
+                    yield self.order[x[fine]], self.order[y[fine]]
+            leaf = leaf[self.first[level][:-1]]
+
+
+#: So many node pairs go down at a time: each may have FANOUT * FANOUT pairs of children.
+_TURN = 1 << 11
 _MIXED = np.iinfo(np.int64).max
 #: Blocks of one head go to at most so many tasks, where pairs that come up again are counted in groups of _PAIRS.
 _DEALS = 32
 _PAIRS = 1 << 18
 #: About so many bytes of bitmaps stand in one forest; a block is never cut.
-_FOREST = 4 << 20
+_FOREST = 2 << 20
 
 
 def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
@@ -341,9 +367,9 @@ def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(run, ", ".join(columns))
 
 
-def _forests(batches: Iterator[pa.RecordBatch], percent: int, whole: bool) -> Iterator[tuple[SignatureForest, np.ndarray, np.ndarray]]:
-    """Forests of the blocks of a stream in the order of (k, token), with fp and n of their sets. A block that batches
-    cut stays whole if asked for, else its parts are trees of their own."""
+def _forests(batches: Iterator[pa.RecordBatch], percent: int, turn: int | None = None) -> Iterator[tuple[SignatureForest, np.ndarray, np.ndarray]]:
+    """Forests of the blocks of a stream in the order of (k, token), with fp and n of their sets. A block stays whole,
+    or else, with a turn, may be several trees, in an order of hashes that differs between turns."""
     held: pa.Table | None = None
 
     def made(rows: pa.Table):
@@ -351,7 +377,7 @@ def _forests(batches: Iterator[pa.RecordBatch], percent: int, whole: bool) -> It
         n = n.astype(np.int64)
         block = np.cumsum(np.concatenate([[0], token[1:] != token[:-1]]))
         sig = folded(rows.column("sig").to_pylist(), signature_bytes(k[0], percent))
-        return SignatureForest(block, n, sig, component, size_class(n, percent)[0] != k[0]), fp, n
+        return SignatureForest(block, n, sig, component, size_class(n, percent)[0] != k[0], None if turn is None else mixed(fp.view(np.uint64) + np.uint64(turn))), fp, n
 
     for batch in batches:
         for at in range(0, batch.num_rows, 4096):
@@ -364,7 +390,7 @@ def _forests(batches: Iterator[pa.RecordBatch], percent: int, whole: bool) -> It
                 held = held.slice(end - done)
             if held.nbytes > _FOREST:
                 token = np.asarray(held.column("token"))
-                end = held.num_rows if not whole else int(np.flatnonzero(token != token[-1])[-1]) + 1 if token[0] != token[-1] else 0
+                end = held.num_rows if turn is not None else int(np.flatnonzero(token != token[-1])[-1]) + 1 if token[0] != token[-1] else 0
                 if end:
                     yield made(held.slice(0, end))
                     held = held.slice(end)
@@ -375,27 +401,25 @@ def _forests(batches: Iterator[pa.RecordBatch], percent: int, whole: bool) -> It
 _SETS = ["token", "k", "fp", "n", "component", "sig"]
 
 
-def _node_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """a, b: the pairs of different components within the lowest nodes of each block's tree that pass the bound.
+def _node_pairs(rows: DataFrame, percent: int, turn: int) -> DataFrame:
+    """a, b: the pairs of different components among each node's children in the blocks' trees that pass the bound.
 
     Rows are dealt by range, so that a large block lies in several tasks, as a tree in each."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select(_SETS).repartitionByRange(parts, "k", "token", "n", "fp").sortWithinPartitions("k", "token", "n", "fp")
+    dealt = rows.select(_SETS).repartitionByRange(parts, "k", "token", "fp").sortWithinPartitions("k", "token")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for forest, fp, _ in _forests(batches, percent, whole=False):
-            for a, b in forest.pairs(percent, within=True):
+        for forest, fp, _ in _forests(batches, percent, turn):
+            for a, b in forest.node_pairs(percent):
                 pairs = np.unique(np.stack([np.minimum(fp[a], fp[b]), np.maximum(fp[a], fp[b])], 1), axis=0)
                 yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def _cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """a, b: by the traversal of each block's tree, the pairs of different components that may link.
-
-    Of two similar sets x and y with at least o tokens in common, the first min(|prefix x| - |x| + o, |prefix y| -
-    |y| + o) common ones are in both prefixes, so that a pair must come up in at least so many blocks of its class."""
+def _traversed(rows: DataFrame, percent: int) -> DataFrame:
+    """a, b, na, nb, blocks: by the traversal of each block's tree, the pairs of different components that may link, and
+    in how many of some blocks each came up."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.select("head", *_SETS).repartition(parts, "head", F.pmod("token", F.lit(_DEALS))).sortWithinPartitions("k", "head", "token").select(_SETS)
 
@@ -409,7 +433,7 @@ def _cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[np.ndarray] = []
-        for forest, fp, n in _forests(batches, percent, whole=True):
+        for forest, fp, n in _forests(batches, percent):
             for a, b in forest.pairs(percent):
                 a, b = np.where(fp[a] < fp[b], a, b), np.where(fp[a] < fp[b], b, a)
                 found.append(np.stack([fp[a], fp[b], n[a], n[b]]))
@@ -419,7 +443,15 @@ def _cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
         if found:
             yield counted(found)
 
-    found = dealt.mapInArrow(run, "a long, b long, na long, nb long, blocks long").groupBy("a", "b", "na", "nb").agg(F.sum("blocks").alias("blocks"))
+    return dealt.mapInArrow(run, "a long, b long, na long, nb long, blocks long")
+
+
+def _cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """a, b: the pairs of different components that may link.
+
+    Of two similar sets x and y with at least o tokens in common, the first min(|prefix x| - |x| + o, |prefix y| -
+    |y| + o) common ones are in both prefixes, so that a pair must come up in at least so many blocks of its class."""
+    found = _traversed(rows, percent).groupBy("a", "b", "na", "nb").agg(F.sum("blocks").alias("blocks"))
     common = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
     outside = [F.col(n) - (F.col(n) - F.ceil(percent * F.col(n) / 100) + 1) for n in ("na", "nb")]
     return found.where(F.col("blocks") >= common - F.greatest(*outside)).select("a", "b")
@@ -501,14 +533,16 @@ def jaccard_classes(documents: DataFrame, *, percent: int = PERCENT, rare: int =
         split = written(several.where(f"low != high and sets > {least}").select("token", "k"), "split-blocks")
         return live.join(split, ["token", "k"], "left_semi").select("token", "k", "fp", "n", "head").join(where, "fp")
 
-    def decided(pairs: DataFrame, links: DataFrame) -> DataFrame:
-        """The links and those among the pairs."""
+    def joined(labels: DataFrame, pairs: DataFrame) -> DataFrame:
+        """The components with those of the pairs that are links: a set's label stands for all its links so far."""
         ends = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
-        return links.union(written(verified(pairs, sets_of(documents, rows, ends), percent), "links"))
+        links = written(verified(pairs, sets_of(documents, rows, ends), percent), "links")
+        return components(links.union(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
 
-    links = decided(written(_node_pairs(undecided(components(links), HEAVY), percent), "node-pairs"), links)
-    links = decided(written(_cross_pairs(undecided(components(links), 1), percent), "cross-pairs"), links)
     labels = components(links)
+    for turn in range(TURNS):
+        labels = joined(labels, written(_node_pairs(undecided(labels, LIGHT), percent, turn), "node-pairs"))
+    labels = joined(labels, written(_cross_pairs(undecided(labels, 1), percent), "cross-pairs"))
 
     smallest = rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"))
     named = smallest.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
