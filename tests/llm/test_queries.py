@@ -44,13 +44,14 @@ def folder(spark, tmp_path_factory):
     frame.select("*", *(F.lit(k).alias(c) for k, c in enumerate(CLASHING))).repartition(3).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([(i, i % 2, int(i % 7 == 0)) for i in range(60)] + [(3, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     spark.createDataFrame([(1, shared[:200]), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    spark.createDataFrame([(1, 0, "user", "Hi.")], "conv_id long, turn long, role string, text string").write.parquet(f"{path}/conversations.parquet")
     return path, rows
 
 
 @pytest.fixture(scope="module")
 def empty(spark, folder, tmp_path_factory):
     path = f"file://{tmp_path_factory.mktemp('none')}"
-    for t in ("documents", "labels", "benchmark"):
+    for t in ("documents", "labels", "benchmark", "conversations"):
         spark.read.parquet(f"{folder[0]}/{t}.parquet").limit(0).write.parquet(f"{path}/{t}.parquet")
     return path
 
