@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeline.operators import anomaly, backtest, curves, ledger, orders, reconcile, research, review, validate, windows
-from tapeline.plans import rotation
+from tapeline.operators import anomaly, backtest, curves, evidence, intervals, ledger, orders, reconcile, research, review, validate, windows
+from tapeline.plans import pending, rotation
 from tapeline.shipping import ready
-from tapeline.sources import files, uploads
-from tapeline.streaming import quotes
+from tapeline.sources import files, uploads, versions
+from tapeline.streaming import outbox, quotes, replay
 
-_MODULES = (windows, anomaly, validate, reconcile, backtest, curves, research, review, rotation, ledger, orders, quotes, files, uploads)
+_MODULES = (windows, anomaly, validate, reconcile, backtest, curves, research, review, evidence, intervals, rotation, pending, ledger, orders, quotes, replay, outbox, files, uploads, versions)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: ready(query) for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE: dict[str, str] = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
