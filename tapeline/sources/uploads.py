@@ -9,9 +9,13 @@ from __future__ import annotations
 import csv
 import io
 import json
+import lzma
 import re
 import zipfile
+import zlib
+from collections import deque
 from collections.abc import Iterator
+from itertools import islice
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -21,70 +25,125 @@ from pyspark.sql.types import BinaryType
 
 from tapeline.functions.columns import codes, codes_sql
 from tapeline.sources.bars import BARS_SQL, SOURCES_SQL, bars, observations, table
+from tapeline.sources.files import fingerprint
 from tapeline.sources.scratch import scratch
 
 # Limits of an archive.
 MOST_MEMBERS, MEMBER_BYTES, TOTAL_BYTES, MOST_RATIO = 50, 25 << 20, 100 << 20, 200
 # Names that a column may have, the first one that a file has being taken; a second set for public sources.
 ALIASES = {
-    "symbol": ("symbol", "ticker", "trading_code", "scrip", "code", "instrument"), "trading_date": ("trading_date", "date", "day", "timestamp"), "open": ("open", "openp", "open_price", "opening_price"), "high": ("high", "high_price"),
-    "low": ("low", "low_price"), "close": ("close", "closep", "close_price", "closing_price", "ltp", "last"), "volume": ("volume", "vol", "total_volume", "traded_volume"),
-}
-PUBLIC_ALIASES = ALIASES | {"symbol": ("scrip", "symbol", "name"), "close": ("close", "adj_close", "price")}
+    "symbol": ("symbol", "trading_code", "ticker", "scrip", "code"),
+    "trading_date": ("date", "trading_date"),
+    "open": ("open",),
+    "high": ("high",),
+    "low": ("low",),
+    "close": ("close",),
+    "volume": ("volume",),
+}
+PUBLIC_ALIASES = {
+    "symbol": ("symbol", "trading_code", "scrip", "code"),
+    "trading_date": ("trading_date", "date"),
+    "open": ("open",),
+    "high": ("high",),
+    "low": ("low",),
+    "close": ("close",),
+    "volume": ("volume",),
+}
+#: Further names, after those above, for files that exchanges export.
+WIDE_ALIASES = ALIASES | {"open": ("open", "openp"), "close": ("close", "closep", "ltp"), "volume": ("volume", "vol")}
 REQUIRED = tuple(ALIASES)
 # Columns that a portfolio file must not have.
-FORBIDDEN = ("password", "pin", "token", "secret", "api_key", "account_number")
+FORBIDDEN = (
+    "password",
+    "broker_password",
+    "trading_password",
+    "pin",
+    "otp",
+    "api_key",
+    "api_secret",
+    "token",
+    "credential",
+)
 # Columns of a day-end file.
 DAY_END = ("DATE", "TRADING CODE", "LTP*", "HIGH", "LOW", "OPENP*", "CLOSEP*", "YCP", "TRADE", "VALUE (mn)", "VOLUME")
+#: Columns of a sheet, and rows of a file that go out at once.
+MOST_COLUMNS, ROWS_AT_ONCE = 1 << 14, 5_000
+#: What damaged, encrypted, too deep or misnamed files raise.
+UNREADABLE = (ValueError, LookupError, RuntimeError, OverflowError, EOFError, csv.Error, zlib.error, lzma.LZMAError, OSError, zipfile.BadZipFile, ElementTree.ParseError)
 _SPACE = {"s": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 
 
-def members(raw: bytes) -> list[tuple[str, bytes]]:
-    """Names and contents of an archive's files; an archive beyond the limits, or with a path that leaves it, a link or
-    another archive in it, is an error."""
+def checked(archive: zipfile.ZipFile) -> list[zipfile.ZipInfo]:
+    """An archive's files; one beyond the limits, or with a path that leaves it, a link, an encrypted file or another
+    archive in it, is an error."""
+    files = [x for x in archive.infolist() if not x.is_dir()]
+    if len(files) > MOST_MEMBERS:
+        raise ValueError("too many files")
+    total = 0
+    for x in files:
+        parts = x.filename.replace("\\", "/").split("/")
+        if x.filename.startswith(("/", "\\")) or ".." in parts or ":" in parts[0]:
+            raise ValueError("a path leaves the archive")
+        if x.external_attr >> 16 & 0o170000 == 0o120000:
+            raise ValueError("a link")
+        if x.flag_bits & 1:
+            raise ValueError("an encrypted file")
+        if x.filename.lower().endswith((".zip", ".gz", ".7z", ".rar", ".tar")):
+            raise ValueError("an archive in an archive")
+        total += x.file_size
+        if x.file_size > MEMBER_BYTES or total > TOTAL_BYTES:
+            raise ValueError("too large")
+        if x.file_size > MOST_RATIO * max(x.compress_size, 1):
+            raise ValueError("too dense")
+    return files
+
+
+def members(raw: bytes) -> Iterator[tuple[str, bytes]]:
+    """Names and contents of an archive's files, one after the other."""
     with zipfile.ZipFile(io.BytesIO(raw)) as archive:
-        files = [x for x in archive.infolist() if not x.is_dir()]
-        if len(files) > MOST_MEMBERS:
-            raise ValueError("too many files")
-        total = 0
-        for x in files:
-            parts = x.filename.replace("\\", "/").split("/")
-            if x.filename.startswith(("/", "\\")) or ".." in parts or ":" in parts[0]:
-                raise ValueError("a path leaves the archive")
-            if x.external_attr >> 16 & 0o170000 == 0o120000:
-                raise ValueError("a link")
-            if x.filename.lower().endswith((".zip", ".gz", ".7z", ".rar", ".tar")):
-                raise ValueError("an archive in an archive")
-            total += x.file_size
-            if x.file_size > MEMBER_BYTES or total > TOTAL_BYTES:
-                raise ValueError("too large")
-            if x.file_size > MOST_RATIO * max(x.compress_size, 1):
-                raise ValueError("too dense")
-        return [(x.filename, archive.read(x)) for x in files]
-
-
-def cells(raw: bytes) -> list[list[str]]:
-    """The first sheet of a workbook as rows of text; cells that are left out are empty."""
+        for x in checked(archive):
+            yield x.filename, archive.read(x)
+
+
+def _elements(book: zipfile.ZipFile, name: str, tag: str) -> Iterator[ElementTree.Element]:
+    """The elements of a tag of one part of a workbook, each dropped after its turn; a part with a document type, which
+    could define entities, is an error."""
+    with book.open(name) as part:
+        if b"<!DOCTYPE" in part.read(4096).upper():
+            raise ValueError("a document type")
+    with book.open(name) as part:
+        root = None
+        for event, element in ElementTree.iterparse(part, ("start", "end")):
+            root = element if root is None else root
+            if event == "end" and element.tag == f"{{{_SPACE['s']}}}{tag}":
+                yield element
+                root.clear()
+
+
+def cells(raw: bytes) -> Iterator[list[str]]:
+    """The first sheet of a workbook as rows of text, read as a stream within an archive's limits; cells that are left out
+    are empty, and a row ends with MOST_COLUMNS of them at the latest."""
+    text_of = lambda x: "".join(t.text or "" for t in x.iter(f"{{{_SPACE['s']}}}t"))
     with zipfile.ZipFile(io.BytesIO(raw)) as book:
-        names = book.namelist()
-        shared = []
-        if "xl/sharedStrings.xml" in names:
-            shared = ["".join(t.text or "" for t in x.iter(f"{{{_SPACE['s']}}}t")) for x in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).findall("s:si", _SPACE)]
-        sheet = sorted(n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n))[0]
-        rows = []
-        for row in ElementTree.fromstring(book.read(sheet)).iter(f"{{{_SPACE['s']}}}row"):
+        names = [x.filename for x in checked(book)]
+        shared = list(map(text_of, _elements(book, "xl/sharedStrings.xml", "si"))) if "xl/sharedStrings.xml" in names else []
+        sheets = sorted(n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n))
+        if not sheets:
+            raise ValueError("a workbook without a sheet")
+        for row in _elements(book, sheets[0], "row"):
             out: list[str] = []
             for cell in row.findall("s:c", _SPACE):
-                letters = re.match(r"[A-Z]+", cell.get("r", "A"))[0]
+                letters = re.match(r"[A-Z]{0,3}", cell.get("r", ""))[0]
                 column = 0
                 for c in letters:
                     column = column * 26 + ord(c) - 64
+                if max(column, len(out) + 1) > MOST_COLUMNS:
+                    raise ValueError("too many columns")
                 out += [""] * (column - 1 - len(out))
                 value = cell.find("s:v", _SPACE)
-                text = "".join(t.text or "" for t in cell.iter(f"{{{_SPACE['s']}}}t")) if cell.get("t") == "inlineStr" else (value.text or "") if value is not None else ""
+                text = text_of(cell) if cell.get("t") == "inlineStr" else (value.text or "") if value is not None else ""
                 out.append(shared[int(text)] if cell.get("t") == "s" and text else text)
-            rows.append(out)
-        return rows
+            yield out
 
 
 def parsed(name: str, raw: bytes) -> Iterator[tuple[str, int, dict[str, str]]]:
@@ -98,16 +157,20 @@ def parsed(name: str, raw: bytes) -> Iterator[tuple[str, int, dict[str, str]]]:
                 raise ValueError("an archive may hold CSV files alone")
             yield from ((member, line, fields) for _, line, fields in parsed(member, content))
     elif kind == "csv":
+        csv.field_size_limit(MEMBER_BYTES)
         for line, fields in enumerate(csv.DictReader(io.StringIO(raw.decode("utf-8-sig"))), 2):
             yield name, line, {k: v for k, v in fields.items() if k is not None and v is not None}
     elif kind == "json":
         found = json.loads(raw)
         if not isinstance(found, list):
             raise ValueError("a JSON file holds a list of rows")
+        if not all(isinstance(fields, dict) for fields in found):
+            raise ValueError("a row of a JSON file is an object")
         for line, fields in enumerate(found, 2):
             yield name, line, {k: str(v) for k, v in fields.items() if v is not None}
     elif kind == "xlsx":
-        header, *rows = cells(raw) or [[]]
+        rows = cells(raw)
+        header = next(rows, [])
         for line, row in enumerate(rows, 2):
             yield name, line, dict(zip(header, row, strict=False))
     else:
@@ -116,16 +179,24 @@ def parsed(name: str, raw: bytes) -> Iterator[tuple[str, int, dict[str, str]]]:
 
 def file_rows(files: DataFrame) -> DataFrame:
     """path, member, line, fields, error of the rows of files (path, content): CSV, ZIP of CSV, JSON lists, XLSX. A file
-    that can't be taken apart gives one row with its error; an empty one gives none."""
+    that can't be taken apart gives one row with its error, whatever its error; an empty one gives none.
+
+    A file is read twice, to its end before any of its rows goes out, and rows go out some at a time: a task holds a
+    file and one part of its rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["path", "member", "line", "fields", "error"]
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
+                name, raw = path.rsplit("/", 1)[-1], bytes(content or b"")
                 try:
-                    out = [(path, member, line, fields, None) for member, line, fields in parsed(path.rsplit("/", 1)[-1], bytes(content))]
-                except (ValueError, KeyError, IndexError, zipfile.BadZipFile, ElementTree.ParseError) as error:
-                    out = [(path, None, None, None, str(error)[:200])]
-                yield pd.DataFrame(out, columns=["path", "member", "line", "fields", "error"])
+                    deque(parsed(name, raw), maxlen=0)
+                except UNREADABLE as error:
+                    yield pd.DataFrame([(path, None, None, None, (str(error) or type(error).__name__)[:200])], columns=columns)
+                    continue
+                rows = parsed(name, raw)
+                while part := [(path, member, line, fields, None) for member, line, fields in islice(rows, ROWS_AT_ONCE)]:
+                    yield pd.DataFrame(part, columns=columns)
 
     return files.select("path", "content").mapInPandas(run, "path string, member string, line int, fields map<string,string>, error string")
 
@@ -178,7 +249,7 @@ def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def archive_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of all archives by symbol and error, with volume of the good ones and the greatest line."""
-    rows = mapped(file_rows(archives(spark, sf_dir))).withColumn("wrong", row_error())
+    rows = mapped(file_rows(archives(spark, sf_dir)), WIDE_ALIASES).withColumn("wrong", row_error())
     good = F.when(F.col("wrong").isNull(), F.expr("try_cast(volume as long)")).otherwise(0)
     return rows.groupBy("symbol", F.coalesce("wrong", F.lit("")).alias("wrong")).agg(F.count("*").alias("rows"), F.sum(good).alias("volume"), F.max("line").alias("last_line"))
 
@@ -187,10 +258,64 @@ def archive_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many files have which headers, as they are and normalised, with the canonical names that are found."""
     first = file_rows(archives(spark, sf_dir)).where("line = 2")
     headers = F.array_sort(F.map_keys("fields"))
-    found = F.array_sort(F.filter(F.transform(headers, normal), lambda k: F.array_contains(F.array(*map(F.lit, sorted({a for names in ALIASES.values() for a in names}))), k)))
+    found = F.array_sort(F.filter(F.transform(headers, normal), lambda k: F.array_contains(F.array(*map(F.lit, sorted({a for names in WIDE_ALIASES.values() for a in names}))), k)))
     return first.groupBy(F.concat_ws(",", headers).alias("headers"), F.concat_ws(",", found).alias("known")).agg(F.count("*").alias("files"))
 
 
+def mapping_survey(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By set of aliases and canonical column: the rows of all archives that have it, and the greatest line."""
+    rows = file_rows(archives(spark, sf_dir))
+    sets = {"canonical": ALIASES, "public": PUBLIC_ALIASES, "wide": WIDE_ALIASES}
+    found = rows.withColumn("_fields", F.transform_keys("fields", lambda k, v: normal(k)))
+    had = lambda names: F.greatest(*(F.map_contains_key("_fields", a).cast("int") for a in names), F.lit(0))
+    each = F.array(*(F.struct(F.lit(kind).alias("aliases"), F.lit(c).alias("column"), had(names).alias("had")) for kind, aliases in sets.items() for c, names in aliases.items()))
+    return found.select("line", F.inline(each)).groupBy("aliases", "column").agg(F.sum("had").alias("rows"), F.max(F.when(F.col("had") == 1, F.col("line"))).alias("last_line"))
+
+
+TRANSACTIONS = ("buy", "sell", "dividend", "bonus", "split", "rights", "fee", "tax", "adjustment", "cash_balance")
+
+
+def transaction_error(day: str = "occurred_at") -> Column:
+    """What is wrong with a portfolio file's row of text, by column; an empty string for nothing."""
+    number = lambda c: F.expr(f"try_cast({c} as double)")
+    return codes((F.expr(f"try_cast({day} as date)").isNull(), day), (~F.coalesce(F.col("transaction_type").isin(*TRANSACTIONS), F.lit(False)), "transaction_type"), (F.coalesce(F.col("symbol") == "", F.lit(True)), "symbol"), (F.coalesce(number("quantity") < 0, F.lit(True)), "quantity"))
+
+
+def portfolio_preview(files: DataFrame) -> DataFrame:
+    """path, source_hash, duplicate_of, rows, errors, refused, allowed of portfolio files (path, content): a file of equal
+    content with an earlier path is a duplicate; columns for credentials refuse the file whatever its rows; only a file
+    without duplicate, errors, refused columns and with rows is allowed. Files that can't be read have an error."""
+    hashes = files.select("path", F.sha2("content", 256).alias("source_hash"))
+    first = hashes.groupBy("source_hash").agg(F.min("path").alias("first"))
+    rows = file_rows(files)
+    names = F.transform(F.map_keys("fields"), lambda k: F.lower(F.trim(k)))
+    refused = F.array_intersect(names, F.array(*map(F.lit, FORBIDDEN)))
+    columns = ("occurred_at", "transaction_type", "symbol", "quantity", "price")
+    rows = rows.select("path", "error", F.array_join(F.array_sort(refused), ",").alias("refused"), *(F.try_element_at("fields", F.lit(c)).alias(c) for c in columns))
+    wrong = F.col("error").isNotNull() | (transaction_error() != "")
+    counts = rows.groupBy("path").agg(F.count_if(F.col("error").isNull()).alias("rows"), F.count_if(wrong).alias("errors"), F.coalesce(F.max("refused"), F.lit("")).alias("refused"))
+    met = hashes.join(first, "source_hash").join(counts, "path", "left").na.fill(0, ["rows", "errors"]).na.fill("", ["refused"])
+    duplicate = F.when(F.col("first") != F.col("path"), F.col("first"))
+    return met.select("path", "source_hash", duplicate.alias("duplicate_of"), "rows", "errors", "refused", (duplicate.isNull() & (F.col("errors") == 0) & (F.col("refused") == "") & (F.col("rows") > 0)).alias("allowed"))
+
+
+def portfolio_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Previews of CSV files of orders, one for each of 40 accounts and month: those of accounts that leave 3 of 8 have a
+    PIN column, those of March come twice, and orders whose key leaves 0 of 97 have no type. A file is a month's orders of
+    one of 40 accounts, and is split by the customers' hundreds."""
+    k = F.col("o_orderkey")
+    kind = F.when(k % 97 == 0, "").when(k % 2 == 0, "buy").otherwise("sell")
+    pin = F.when(F.col("o_custkey") % 8 == 3, ",7").otherwise("")
+    line = F.concat(F.concat_ws(",", k.cast("string"), F.date_format("o_orderdate", "yyyy-MM-dd"), kind, F.concat(F.lit("P"), (k % 50).cast("string")), (k % 90 + 1).cast("string"), (k % 500).cast("string")), pin)
+    name = F.concat_ws("-", (F.col("o_custkey") % 40).cast("string"), F.floor(F.col("o_custkey") / 4000).cast("string"), F.date_format("o_orderdate", "yyyy-MM"))
+    files = table(spark, sf_dir, "orders").select(name.alias("name"), (F.col("o_custkey") % 8 == 3).alias("pin"), F.month("o_orderdate").alias("month"), line.alias("line"))
+    bodies = files.groupBy("name", "pin", "month").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("body"))
+    head = F.concat(F.lit("id,occurred_at,transaction_type,symbol,quantity,price"), F.when(F.col("pin"), ", PIN ").otherwise(""))
+    copies = F.explode(F.when(F.col("month") == 3, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a"))))
+    made = bodies.select(copies.alias("copy"), "name", F.concat(head, F.lit("\n"), "body").cast("binary").alias("content"))
+    return portfolio_preview(made.select(F.concat("name", F.lit("-"), "copy", F.lit(".csv")).alias("path"), "content"))
+
+
 def csv_profile(rows: DataFrame) -> DataFrame:
     """Rows, symbols, days, repeated keys and wrong rows of mapped rows, in one aggregation of keys and one of all."""
     keys = rows.withColumn("wrong", row_error()).groupBy("symbol", "trading_date").agg(F.count("*").alias("n"), F.count("wrong").alias("wrong"))
@@ -271,12 +396,12 @@ def day_end_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def day_end_sessions(files: DataFrame) -> DataFrame:
     """day, status, files, rows of day-end files: a file must have all columns and one date; files of a date with equal
-    content are one, with other content an error of that date."""
+    content are one, with other content an error of that date. Files that can't be read stand under a null day."""
     rows = file_rows(files.withColumn("sha", F.sha2("content", 256)).select("path", "content")).join(files.select("path", F.sha2("content", 256).alias("sha")), "path")
     whole = F.map_keys("fields")
     complete = F.size(F.array_intersect(whole, F.array(*map(F.lit, DAY_END)))) == len(DAY_END)
-    each = rows.groupBy("path", "sha").agg(F.bool_and(complete).alias("complete"), F.count_distinct(F.col("fields")["DATE"]).alias("days"), F.min(F.col("fields")["DATE"]).alias("day"), F.count("*").alias("rows"), (F.count("*") - F.count_distinct(F.col("fields")["TRADING CODE"])).alias("repeated"))
-    each = each.withColumn("error", F.when(~F.col("complete"), "missing_columns").when(F.col("days") != 1, "several_dates").when(F.col("repeated") > 0, "repeated_code"))
+    each = rows.groupBy("path", "sha").agg(F.bool_and(complete).alias("complete"), F.count_distinct(F.col("fields")["DATE"]).alias("days"), F.min(F.col("fields")["DATE"]).alias("day"), F.count("*").alias("rows"), (F.count("*") - F.count_distinct(F.col("fields")["TRADING CODE"])).alias("repeated"), F.count("error").alias("unreadable"))
+    each = each.withColumn("error", F.when(F.col("unreadable") > 0, "unreadable").when(~F.coalesce("complete", F.lit(False)), "missing_columns").when(F.col("days") != 1, "several_dates").when(F.col("repeated") > 0, "repeated_code"))
     days = each.groupBy("day").agg(F.count("*").alias("files"), F.count_distinct("sha").alias("contents"), F.max("error").alias("error"), F.max("rows").alias("rows"))
     status = F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("contents") > 1, "conflicting_files").otherwise("usable")
     return days.select(F.to_date("day").alias("day"), status.alias("status"), "files", F.when(status == "usable", F.col("rows")).otherwise(0).cast("long").alias("rows"))
@@ -334,8 +459,6 @@ def import_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def write_once(rows: DataFrame, path: str) -> bool:
     """Writes rows as Parquet where nothing is; the same rows again change nothing (False), other rows are an error."""
-    from tapeline.sources.files import fingerprint
-
     spark = rows.sparkSession
     store = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
     if not store.exists(spark._jvm.org.apache.hadoop.fs.Path(path)):
@@ -346,13 +469,21 @@ def write_once(rows: DataFrame, path: str) -> bool:
     return False
 
 
-QUERIES = {f.__name__: f for f in (archive_rows, archive_headers, csv_round_trip, jsonl_gates, combined_datasets, day_end, instrument_master, event_evidence, manual_eod, import_preview, import_ledger)}
+QUERIES = {f.__name__: f for f in (archive_rows, archive_headers, mapping_survey, portfolio_files, csv_round_trip, jsonl_gates, combined_datasets, day_end, instrument_master, event_evidence, manual_eod, import_preview, import_ledger)}
 
 _CODE = "day(day) % 10"
+# whether files of odd years, whose header is Trading Code, Trading-Date, OpenP*, High, Low, CloseP*, Vol, have the column
+_ODD = {kind: {c: bool({"trading_code", "trading_date", "openp", "high", "low", "closep", "vol"} & set(names)) for c, names in aliases.items()} for kind, aliases in (("canonical", ALIASES), ("public", PUBLIC_ALIASES), ("wide", WIDE_ALIASES))}
+_SETS = "[" + ", ".join(f"{{'aliases': '{kind}', 'col': '{c}', 'odd': {str(odd).lower()}}}" for kind, columns in _ODD.items() for c, odd in columns.items()) + "]"
 ORACLE = {
     "archive_rows": f"""WITH {BARS_SQL}, r AS (SELECT symbol, day, volume, {_CODE} AS code, row_number() OVER (PARTITION BY symbol, year(day) ORDER BY day) + 1 AS line FROM bars), e AS (SELECT *, CASE code WHEN 3 THEN 'invalid_date' WHEN 4 THEN 'invalid_low' WHEN 5 THEN 'negative_volume' ELSE '' END AS wrong FROM r)
       SELECT symbol, wrong, count(*) AS rows, CAST(sum(CASE WHEN wrong = '' THEN volume ELSE 0 END) AS BIGINT) AS volume, CAST(max(line) AS INT) AS last_line FROM e GROUP BY ALL""",
     "archive_headers": f"""WITH {BARS_SQL}, f AS (SELECT DISTINCT symbol, year(day) % 2 = 0 AS even, year(day) AS y FROM bars) SELECT CASE WHEN even THEN 'Close,Date,High,Low,Open,Symbol,Volume' ELSE 'CloseP*,High,Low,OpenP*,Trading Code,Trading-Date,Vol' END AS headers, CASE WHEN even THEN 'close,date,high,low,open,symbol,volume' ELSE 'closep,high,low,openp,trading_code,trading_date,vol' END AS known, count(*) AS files FROM f GROUP BY even""",
+    "mapping_survey": f"""WITH {BARS_SQL}, f AS (SELECT year(day) % 2 = 0 AS even, count(*) AS n FROM bars GROUP BY symbol, year(day)), k AS (SELECT unnest({_SETS}) AS x) SELECT x.aliases AS aliases, x.col AS "column", CAST(sum(CASE WHEN even OR x.odd THEN n ELSE 0 END) AS BIGINT) AS rows, CAST(max(CASE WHEN even OR x.odd THEN n + 1 END) AS INT) AS last_line FROM f, k GROUP BY ALL""",
+    "portfolio_files": """WITH l AS (SELECT concat_ws('-', o_custkey % 40, CAST(floor(o_custkey / 4000) AS BIGINT), strftime(o_orderdate, '%Y-%m')) AS name, o_custkey % 8 = 3 AS pin, month(o_orderdate) AS m, o_orderkey % 97 = 0 AS wrong,
+        concat_ws(',', o_orderkey, strftime(o_orderdate, '%Y-%m-%d'), CASE WHEN o_orderkey % 97 = 0 THEN '' WHEN o_orderkey % 2 = 0 THEN 'buy' ELSE 'sell' END, 'P' || (o_orderkey % 50), o_orderkey % 90 + 1, o_orderkey % 500) || CASE WHEN o_custkey % 8 = 3 THEN ',7' ELSE '' END AS line FROM orders),
+      b AS (SELECT name, pin, m, count(*) AS rows, count(*) FILTER (wrong) AS errors, sha256('id,occurred_at,transaction_type,symbol,quantity,price' || CASE WHEN pin THEN ', PIN ' ELSE '' END || chr(10) || string_agg(line, chr(10) ORDER BY line)) AS source_hash FROM l GROUP BY name, pin, m),
+      c AS (SELECT *, unnest(CASE WHEN m = 3 THEN ['a', 'b'] ELSE ['a'] END) AS copy FROM b) SELECT name || '-' || copy || '.csv' AS path, source_hash, CASE WHEN copy = 'b' THEN name || '-a.csv' END AS duplicate_of, rows, errors, CASE WHEN pin THEN 'pin' ELSE '' END AS refused, copy = 'a' AND errors = 0 AND NOT pin AS allowed FROM c""",
     "csv_round_trip": f"""WITH {BARS_SQL}, o AS (SELECT symbol, CAST(day AS VARCHAR) AS d FROM bars WHERE day(day) % 2 = 1), k AS (SELECT symbol, d, CASE symbol WHEN 'S1' THEN 2 ELSE 1 END AS n FROM o)
       SELECT CAST(sum(n) AS BIGINT) AS rows, count(DISTINCT symbol) AS symbols, min(d) AS first_day, max(d) AS last_day, CAST(sum(n - 1) AS BIGINT) AS repeated, CAST(0 AS BIGINT) AS wrong, count(*) AS keys FROM k""",
     "jsonl_gates": f"WITH {BARS_SQL}, {SOURCES_SQL}, k AS (SELECT grain, symbol, day, source, count(*) AS n FROM observations GROUP BY ALL) SELECT grain, CAST(sum(n) AS BIGINT) AS rows, CAST(sum(n - 1) AS BIGINT) AS repeated, CAST(0 AS BIGINT) AS unknown, CAST(0 AS BIGINT) AS missing, true AS verified FROM k GROUP BY grain",

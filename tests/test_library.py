@@ -12,7 +12,7 @@ from tapeline.functions.folds import fold
 from tapeline.operators import backtest, ledger, reconcile, validate
 from tapeline.plans import rotation
 from tapeline.sources import bars as source
-from tapeline.sources import files
+from tapeline.sources import files, listings
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -141,7 +141,7 @@ def test_cells_of_tables_with_the_header(spark):
         (2, f"<table><tr><td>x<table>{head}<tr><td>C<td>2<tr></table></td></tr></table>"),
         (3, None),
     ]
-    found = files.cells_of(spark.createDataFrame(pages, "page_id long, html string"), ("Code", "Close"))
+    found = listings.cells_of(spark.createDataFrame(pages, "page_id long, html string"), ("Code", "Close"))
     assert sorted(tuple(r) for r in found.collect()) == [
         (1, 1, 1, 1, "Code"), (1, 1, 1, 2, "Close"), (1, 1, 2, 1, "A & B"), (1, 1, 2, 2, "1.5"), (2, 2, 1, 1, "Code"), (2, 2, 1, 2, "Close"), (2, 2, 2, 1, "C"), (2, 2, 2, 2, "2"),
     ]
