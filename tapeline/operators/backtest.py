@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tapeline.functions.columns import by_day, r6, wilson
 from tapeline.functions.folds import fold
 from tapeline.operators.windows import drawdown_summary, with_drawdown
-from tapeline.sources.bars import BARS_SQL, CYCLE, bars, cyclic_bars, cyclic_index
+from tapeline.sources.bars import BARS_SQL, bars, cyclic_bars, cyclic_index
 
 # Capital, cost rates and parameters of the runs.
 CAPITAL, FEE, SLIPPAGE = 25_000.0, 0.004, 0.001
@@ -80,12 +80,13 @@ def _step(state, want, open_, volume, day, close, desired, fee_rate, slip_rate,
 
 
 def closed_trades(curve: DataFrame) -> DataFrame:
-    """run, symbol, k, profit: the k-th buy with the k-th sell."""
+    """run, symbol, k, buy_day, sell_day, profit: the k-th buy with the k-th sell, in one pass over the curve."""
     window = Window.partitionBy("run", "symbol", "side").orderBy("day")
     trades = curve.where("side is not null").withColumn("k", F.row_number().over(window))
-    side = lambda s, value: trades.where(F.col("side") == s).select("run", "symbol", "k", F.col("day").alias(f"{s}_day"), value.alias(s))
-    buys, sells = side("buy", F.col("fill") * F.col("traded") + F.col("fee")), side("sell", F.col("fill") * F.col("traded") - F.col("fee"))
-    return buys.join(sells, ["run", "symbol", "k"]).select("run", "symbol", "k", "buy_day", "sell_day", (F.col("sell") - F.col("buy")).alias("profit"))
+    value = F.col("fill") * F.col("traded") + F.when(F.col("side") == "buy", F.col("fee")).otherwise(-F.col("fee"))
+    of = lambda side, c: F.max(F.when(F.col("side") == side, c))
+    both = trades.groupBy("run", "symbol", "k").agg(*(of(side, F.col("day")).alias(f"{side}_day") for side in ("buy", "sell")), *(of(side, value).alias(side) for side in ("buy", "sell")))
+    return both.where("buy is not null and sell is not null").select("run", "symbol", "k", "buy_day", "sell_day", (F.col("sell") - F.col("buy")).alias("profit"))
 
 
 def metrics(curve: DataFrame, *, capital: float = CAPITAL, slippage: float = SLIPPAGE) -> DataFrame:
@@ -244,7 +245,7 @@ def engine_period_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return years.select("symbol", "year", r6((F.col("equity") / before - 1) * 100).alias("return_percent"))
 
 
-QUERIES = {f.__name__: f for f in (engine_backtest_ma, engine_strategies, engine_benchmark, engine_golden, engine_curve, engine_closed_trades, engine_cost_stress, engine_walk_forward, engine_holdouts, engine_period_returns)}
+QUERIES = {f.__name__: f for f in (engine_backtest_ma, engine_strategies, engine_benchmark, engine_curve, engine_closed_trades, engine_cost_stress, engine_walk_forward, engine_holdouts, engine_period_returns)}
 
 
 def _signal_sql(runs: dict[str, str]) -> str:
@@ -285,12 +286,6 @@ _BREAK = "CASE WHEN rn > 20 THEN close > max(close) OVER (PARTITION BY symbol OR
 _INDEX = "(SELECT avg(close) AS close, day, row_number() OVER (ORDER BY day) AS at FROM bars GROUP BY day)"
 _UP = f"(SELECT i.close > j.close FROM {_INDEX} i JOIN {_INDEX} j ON i.at = j.at + 60 WHERE i.at = rn)"
 _MOMENTUM = f"CASE WHEN rn > 60 THEN close > lag(close, 60) OVER (PARTITION BY symbol ORDER BY day) AND coalesce({_UP}, false) END"
-_CYCLE_SQL = f"""steps_c AS (SELECT CAST(0 AS BIGINT) AS i, {CYCLE['start']}::DOUBLE * {CYCLE['steps'][0][1]}::DOUBLE AS close, {CYCLE['index']}::DOUBLE * {CYCLE['index_step']}::DOUBLE AS index_close UNION ALL
-  SELECT i + 1, close * CASE WHEN (i + 1) % 40 < 20 THEN {CYCLE['steps'][0][1]}::DOUBLE WHEN (i + 1) % 40 < 25 THEN {CYCLE['steps'][1][1]}::DOUBLE ELSE {CYCLE['steps'][2][1]}::DOUBLE END, index_close * {CYCLE['index_step']}::DOUBLE FROM steps_c WHERE i < 499),
-bars AS (SELECT 'CYCLE' AS symbol, CAST(DATE '2023-01-01' + CAST(i AS INT) AS DATE) AS day, close * {CYCLE['open']}::DOUBLE AS open, close, CAST(CASE WHEN i % 40 < 20 THEN {CYCLE['steps'][0][2]} WHEN i % 40 < 25 THEN {CYCLE['steps'][1][2]} ELSE {CYCLE['steps'][2][2]} END AS BIGINT) AS volume FROM steps_c), cycle_index AS (SELECT i + 1 AS pos, index_close AS close FROM steps_c)"""
-_CYCLE_SQL = "RECURSIVE " + _CYCLE_SQL
-_UP_CYCLE = "(SELECT i.close > j.close FROM cycle_index i JOIN cycle_index j ON i.pos = j.pos + 60 WHERE i.pos = rn)"
-_GOLDEN = _curve_sql({"hold": "true", "ma_20_50": _ma_sql(20, 50), "momentum": f"CASE WHEN rn > 60 THEN close > lag(close, 60) OVER (PARTITION BY symbol ORDER BY day) AND coalesce({_UP_CYCLE}, false) END", "breakout": _BREAK}).replace(f"WITH RECURSIVE {BARS_SQL}", f"WITH {_CYCLE_SQL}").replace(f"{CAPITAL}::DOUBLE AS cash", "1000000.0::DOUBLE AS cash")
 _Z = 1.959963984540054
 ORACLE = {
     "engine_backtest_ma": _curve_sql(_ONE) + _METRICS_SQL,
@@ -307,8 +302,6 @@ ORACLE = {
       a AS (SELECT *, final / initial - 1 AS total, CASE WHEN final > 0 THEN pow(final / initial, 1 / greatest((last_day - first_day) / 365.25, 1 / 365.25)) - 1 ELSE -1.0 END AS annual FROM m)
       SELECT run, symbol, part, bars, first_day, last_day, longest_bars, longest_days, round(total * 100, 6) AS total_percent, round(annual * 100, 6) AS annual_percent, round(volatility * 100, 6) AS volatility_percent, round(max_drawdown * 100, 6) AS max_drawdown_percent,
         round(annual / nullif(round(volatility, 12), 0), 6) AS sharpe, round(annual / nullif(round(downside, 12), 0), 6) AS sortino, round(annual / nullif(round(abs(max_drawdown), 12), 0), 6) AS calmar, round(final, 6) AS final_equity FROM a JOIN dd USING (run, symbol, part)""",
-    "engine_golden": f"""WITH m AS ({_GOLDEN}{_METRICS_SQL.replace(str(CAPITAL), "1000000.0")}), b AS (WITH {_CYCLE_SQL} SELECT (last(close ORDER BY pos) / first(close ORDER BY pos) - 1) * 100 AS total FROM cycle_index)
-      SELECT m.*, round(b.total, 6) AS benchmark_return_percent, round(m.annual_percent - b.total, 6) AS benchmark_alpha_percent FROM m, b""",
     "engine_curve": _curve_sql(_ONE) + " SELECT symbol, day, side, traded, round(fill, 6) AS fill, round(fee, 6) AS fee, round(equity, 6) AS equity FROM curve",
     "engine_closed_trades": _curve_sql(_MAS) + f""", t AS (SELECT run, symbol, side, row_number() OVER (PARTITION BY run, symbol, side ORDER BY day) AS k, fill * traded + CASE side WHEN 'buy' THEN fee ELSE -fee END AS value FROM curve WHERE side IS NOT NULL),
       c AS (SELECT b.run, b.symbol, s.value - b.value AS profit FROM t b JOIN t s ON b.run = s.run AND b.symbol = s.symbol AND b.k = s.k AND b.side = 'buy' AND s.side = 'sell'),

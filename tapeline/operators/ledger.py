@@ -15,6 +15,7 @@ LIMITS = {"value": 250_000, "quantity": 100_000, "position_percent": 20, "orders
 TICKS, BAND = ((100, 0.1), (500, 0.5), (1_000_000, 1.0)), 10
 # Cautious trade costs, in percent of the value or as amounts.
 COSTS = {"brokerage": 0.5, "minimum": 10.0, "exchange": 0.02, "regulatory": 0.01, "tax_sell": 0.1, "settlement": 5.0}
+ALL_KINDS = ("buy", "buy", "buy", "rights", "sell", "dividend", "bonus", "split", "fee", "tax", "adjustment")
 KINDS = ("buy", "buy", "buy", "sell", "dividend", "bonus", "fee")
 
 
@@ -135,7 +136,71 @@ def hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", F.sha2(F.concat(F.lit("seed|"), F.col("o_orderkey").cast("string")), 256).alias("digest")).orderBy("digest").limit(50)
 
 
-QUERIES = {f.__name__: f for f in (ledger_holdings, ledger_allocation, order_risk, order_ticks, trade_costs, quote_quality, latest_quotes, hash_sample)}
+def account_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as transactions of their customer in three symbols of all ten kinds; a tenth of what a line has is sold."""
+    k = F.pmod(F.col("l_linenumber") * 3 + F.col("l_orderkey"), F.lit(len(ALL_KINDS)))
+    line = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("account")), "l_orderkey")
+    kind = F.when((F.col("l_orderkey") % 13 == 0) & (F.col("l_linenumber") == 1), "cash_balance").otherwise(F.element_at(F.array(*map(F.lit, ALL_KINDS)), (k + 1).cast("int")))
+    price = F.when(kind == "split", 2.0).otherwise(F.col("l_extendedprice") / F.col("l_quantity"))
+    return line.select(
+        "account", F.concat(F.lit("P"), (F.col("l_partkey") % 3).cast("string")).alias("symbol"), "l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice", kind.alias("kind"), F.when(kind == "sell", F.col("l_quantity") / 10).otherwise(F.col("l_quantity")).alias("quantity"), price.alias("price"),
+        (F.col("l_tax") * 10).alias("fees"), (F.col("l_discount") * 10).alias("taxes"),
+    )
+
+
+def derive(state: list, kind: str, quantity: float, price: float, fees: float, taxes: float) -> tuple:
+    """One transaction of an account's symbol; state: shares, cost, realised, dividends, and whether more was sold than was
+    held, after which nothing changes."""
+    held, cost, realised, income, oversold = state
+    if kind in ("buy", "rights"):
+        held, cost = held + quantity, cost + (quantity * price + fees + taxes)
+    elif kind == "sell" and not oversold:
+        if oversold := quantity > held:
+            held = cost = realised = income = 0.0
+        else:
+            average = cost / held if held else 0.0
+            realised += quantity * price - fees - taxes - quantity * average
+            held, cost = held - quantity, cost - quantity * average
+    elif kind == "dividend":
+        income += price if quantity == 0 else quantity * price
+    elif kind in ("bonus", "adjustment"):
+        held += quantity
+    elif kind == "split" and price > 0:
+        held *= price
+    elif kind in ("fee", "tax"):
+        realised -= (fees if kind == "fee" else taxes) or price
+    state[:] = [held, cost, realised, income, oversold]
+    return tuple(state)
+
+
+def portfolio(rows: DataFrame, order: list[str], prices: DataFrame) -> DataFrame:
+    """account, symbol, status, quantity, average, cost, value, unrealised, allocation_percent, realised, dividends, cash of
+    transactions (account, symbol, kind, quantity, price, fees, taxes) in the given order: what is held, valued at
+    `prices` (symbol, current).
+
+    A history that sells more than is held is none: the account's rows are `oversold` and have no figures. cash is the
+    last cash_balance, 0 without one. A symbol without a price has no value, and its account then no allocations."""
+    moves = rows.where("kind <> 'cash_balance'")
+    held = fold(moves, ["account", "symbol"], order, ["kind", "quantity", "price", "fees", "taxes"], lambda: [0.0, 0.0, 0.0, 0.0, False], derive, "quantity double, cost double, realised double, dividends double, oversold boolean", last_only=True)
+    cash = rows.where("kind = 'cash_balance'").groupBy("account").agg(F.max_by("price", F.struct(*order)).alias("cash"))
+    own = Window.partitionBy("account")
+    every = held.join(prices, "symbol", "left").withColumns({"bad": F.max("oversold").over(own), "value": F.when(F.col("quantity") > 0, F.col("current") * F.col("quantity"))})
+    whole = F.when(F.count_if((F.col("quantity") > 0) & F.col("value").isNull()).over(own) == 0, F.sum("value").over(own))
+    figures = {"quantity": F.col("quantity"), "average": F.col("cost") / F.col("quantity"), "cost": F.col("cost"), "value": F.col("value"), "unrealised": F.col("value") - F.col("cost"), "allocation_percent": F.col("value") / F.col("whole") * 100, "realised": F.col("realised"), "dividends": F.col("dividends")}
+    shown = every.withColumn("whole", whole).where("bad OR quantity > 0").join(cash, "account", "left")
+    return shown.select("account", "symbol", F.when(F.col("bad"), "oversold").otherwise("held").alias("status"), *(F.when(~F.col("bad"), v).alias(c) for c, v in figures.items()), F.coalesce("cash", F.lit(0.0)).alias("cash"))
+
+
+def portfolio_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The positions of every customer's account at each symbol's last price."""
+    rows = account_transactions(spark, sf_dir)
+    order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice"]
+    prices = rows.where("kind = 'buy'").groupBy("symbol").agg(F.max_by("price", F.struct(*order)).alias("current"))
+    found = portfolio(rows, order, prices)
+    return found.select("account", "symbol", "status", *(F.round(c, 4).alias(c) for c in found.columns[3:]))
+
+
+QUERIES = {f.__name__: f for f in (ledger_holdings, ledger_allocation, portfolio_positions, order_risk, order_ticks, trade_costs, quote_quality, latest_quotes, hash_sample)}
 _T = """t AS (SELECT 'P' || CAST(l_partkey % 40 AS VARCHAR) AS symbol, ['buy', 'buy', 'buy', 'sell', 'dividend', 'bonus', 'fee'][CAST((l_linenumber - 1) % 7 + 1 AS INT)] AS kind, l_quantity AS quantity, l_extendedprice / l_quantity AS price, l_tax * 10 AS fees,
   row_number() OVER (PARTITION BY l_partkey % 40 ORDER BY l_shipdate, l_orderkey, l_linenumber, l_quantity, l_extendedprice) AS rn FROM lineitem)"""
 _TICK = lambda p: "CASE " + " ".join(f"WHEN {p} <= {b} THEN {s}" for b, s in TICKS) + f" ELSE {TICKS[-1][1]} END"
@@ -149,6 +214,18 @@ ORACLE = {
         CASE WHEN t.kind = 'sell' AND s.held > 0 THEN s.realised + (least(t.quantity, s.held) * t.price - t.fees - least(t.quantity, s.held) * (s.cost / s.held)) WHEN t.kind = 'fee' THEN s.realised - CASE WHEN t.fees <> 0 THEN t.fees ELSE t.price END ELSE s.realised END,
         CASE WHEN t.kind = 'dividend' THEN s.income + CASE WHEN t.quantity = 0 THEN t.price ELSE t.quantity * t.price END ELSE s.income END, s.oversold + CASE WHEN t.kind = 'sell' AND t.quantity > s.held THEN 1 ELSE 0 END FROM s JOIN t ON t.symbol = s.symbol AND t.rn = s.rn + 1)
       SELECT symbol, round(last(held ORDER BY rn), 3) AS held, round(last(cost ORDER BY rn), 3) AS cost, round(last(realised ORDER BY rn), 3) AS realised, round(last(income ORDER BY rn), 3) AS income, last(oversold ORDER BY rn) AS oversold FROM s GROUP BY symbol""",
+    "portfolio_positions": f"""WITH RECURSIVE k AS (SELECT o_custkey AS account, 'P' || (l_partkey % 3) AS symbol, l.*, CASE WHEN l_orderkey % 13 = 0 AND l_linenumber = 1 THEN 'cash_balance' ELSE {list(ALL_KINDS)}[CAST((l_linenumber * 3 + l_orderkey) % {len(ALL_KINDS)} + 1 AS INT)] END AS kind FROM lineitem l JOIN orders ON o_orderkey = l_orderkey),
+      t AS (SELECT *, CASE WHEN kind = 'sell' THEN l_quantity / 10 ELSE l_quantity END AS quantity, CASE WHEN kind = 'split' THEN 2.0::DOUBLE ELSE l_extendedprice / l_quantity END AS price, l_tax * 10 AS fees, l_discount * 10 AS taxes FROM k),
+      m AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY account, symbol ORDER BY l_shipdate, l_orderkey, l_linenumber, l_extendedprice) AS rn FROM t WHERE kind <> 'cash_balance'),
+      s AS (SELECT DISTINCT account, symbol, 0::BIGINT AS rn, 0.0::DOUBLE AS held, 0.0::DOUBLE AS cost, 0.0::DOUBLE AS realised, 0.0::DOUBLE AS income, false AS over FROM m UNION ALL
+        SELECT m.account, m.symbol, m.rn, CASE WHEN kind IN ('buy', 'rights', 'bonus', 'adjustment') THEN held + quantity WHEN kind = 'sell' THEN held - quantity WHEN kind = 'split' THEN held * price ELSE held END,
+          CASE WHEN kind IN ('buy', 'rights') THEN cost + (quantity * price + fees + taxes) WHEN kind = 'sell' THEN cost - quantity * (CASE WHEN held = 0 THEN 0 ELSE cost / held END) ELSE cost END,
+          CASE WHEN kind = 'sell' THEN realised + (quantity * price - fees - taxes - quantity * (CASE WHEN held = 0 THEN 0 ELSE cost / held END)) WHEN kind = 'fee' THEN realised - CASE WHEN fees <> 0 THEN fees ELSE price END WHEN kind = 'tax' THEN realised - CASE WHEN taxes <> 0 THEN taxes ELSE price END ELSE realised END,
+          CASE WHEN kind = 'dividend' THEN income + CASE WHEN quantity = 0 THEN price ELSE quantity * price END ELSE income END, over OR (kind = 'sell' AND quantity > held) FROM s JOIN m ON s.account = m.account AND s.symbol = m.symbol AND m.rn = s.rn + 1),
+      e AS (SELECT account, symbol, last(held ORDER BY rn) AS quantity, last(cost ORDER BY rn) AS cost, last(realised ORDER BY rn) AS realised, last(income ORDER BY rn) AS dividends, bool_or(over) AS over FROM s GROUP BY ALL),
+      p AS (SELECT symbol, last(price ORDER BY l_shipdate, l_orderkey, l_linenumber, l_extendedprice) AS current FROM t WHERE kind = 'buy' GROUP BY symbol), c AS (SELECT account, last(price ORDER BY l_shipdate, l_orderkey, l_linenumber, l_extendedprice) AS cash FROM t WHERE kind = 'cash_balance' GROUP BY account),
+      v AS (SELECT e.*, bool_or(over) OVER (PARTITION BY account) AS bad, CASE WHEN quantity > 0 THEN current * quantity END AS value FROM e LEFT JOIN p USING (symbol)), w AS (SELECT *, sum(value) OVER (PARTITION BY account) AS whole FROM v)
+      SELECT w.account, symbol, CASE WHEN bad THEN 'oversold' ELSE 'held' END AS status, {", ".join(f"CASE WHEN NOT bad THEN round({x}, 4) END AS {c}" for c, x in (("quantity", "quantity"), ("average", "cost / quantity"), ("cost", "cost"), ("value", "value"), ("unrealised", "value - cost"), ("allocation_percent", "value / whole * 100"), ("realised", "realised"), ("dividends", "dividends")))}, round(coalesce(cash, 0.0), 4) AS cash FROM w LEFT JOIN c ON c.account = w.account WHERE bad OR quantity > 0""",
     "ledger_allocation": f"WITH {_T}, v AS (SELECT symbol, sum(quantity * price) AS value FROM t WHERE kind = 'buy' GROUP BY symbol) SELECT symbol, round(value / (SELECT sum(value) FROM v) * 100, 6) AS share_percent, round(value / (SELECT sum(value) FROM v) * 100, 9) > 25 AS concentrated FROM v",
     "order_risk": f"""WITH r AS (SELECT o_orderkey, o_orderkey % 400 * 300 AS quantity, o_totalprice / 1000 AS price, 1 + (o_orderkey % 7 - 3) / 100 AS factor, o_custkey % 40 * 500 AS volume, o_orderkey % 45 AS age, row_number() OVER (PARTITION BY o_custkey, date_trunc('month', o_orderdate) ORDER BY o_orderkey) AS today, o_orderkey % 5 * 0.5 AS spread FROM orders),
       c AS (SELECT o_orderkey, {codes_sql((f"age > {LIMITS['age']}", 'STALE_OR_UNSAFE_DATA'), (f"round({_VALUE}, 6) > {LIMITS['value']}", 'MAX_TRADE_VALUE'), (f"quantity > {LIMITS['quantity']}", 'MAX_QUANTITY'), (f"round({_VALUE} / 1000000 * 100, 6) > {LIMITS['position_percent']}", 'MAX_POSITION_PERCENT'), (f"today > {LIMITS['orders']}", 'MAX_DAILY_ORDERS'), (f"volume < {LIMITS['volume']}", 'INSUFFICIENT_LIQUIDITY'), (f"round(abs(factor - 1) * 100, 6) > {LIMITS['deviation_percent']}", 'PRICE_DEVIATION'), (f"spread > {LIMITS['spread_percent']}", 'SPREAD_TOO_WIDE'))} AS reasons FROM r)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tapeline.functions.columns import codes, codes_sql, r6
 from tapeline.functions.folds import fold
 from tapeline.operators.ledger import LIMITS
-from tapeline.sources.bars import table
+from tapeline.sources.bars import BARS_SQL, bars, table
 
 # Limits of the rules beside those of a single order.
 ACCOUNT_LIMITS = {"daily_loss": 3, "drawdown": 10, "losses": 3, "disagreement": 1, "open_orders": 10}
@@ -73,12 +73,27 @@ def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.explode("codes").alias("rule"), (F.size("codes") == 1).alias("alone")).groupBy("rule").agg(F.count("*").alias("broken"), F.count_if("alone").alias("alone"))
 
 
+def scenario_verdicts(rows: DataFrame) -> DataFrame:
+    """The rows (scenario and the columns of SAFE) with the reasons against each, and whether just its own rule speaks."""
+    return rows.withColumn("reasons", rule_codes()).withColumn("passed", F.when(F.col("scenario") == "SAFE", F.col("reasons") == "").otherwise(F.col("reasons") == F.col("scenario")))
+
+
 def rule_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A safe proposal and one for each rule that breaks it: whether just that rule speaks. No table is read."""
-    rows = [("SAFE", *SAFE.values())] + [(rule, *(SAFE | change).values()) for rule, change in zip(RULES, BREAKS, strict=True)]
-    kinds = {str: "string", bool: "boolean", float: "double"}
-    frame = spark.createDataFrame(rows, "scenario string, " + ", ".join(f"`{c}` {kinds[type(v)]}" for c, v in SAFE.items()))
-    return frame.select("scenario", rule_codes().alias("reasons")).withColumn("passed", F.when(F.col("scenario") == "SAFE", F.col("reasons") == "").otherwise(F.col("reasons") == F.col("scenario")))
+    """Every order as a safe proposal at its own price, and for each rule with the change that breaks it: by scenario how
+    many orders there are, for how many just that rule speaks, and what else does."""
+    cases = [("SAFE", SAFE), *((rule, SAFE | change) for rule, change in zip(RULES, BREAKS, strict=True))]
+    scale = F.col("o_totalprice") / 100_000
+    priced = {"limit_price", "price", "bid", "ask"}
+
+    def value(rule: str, c: str, v: object) -> Column:
+        if rule == "MAX_QUANTITY" or c not in priced | {"quantity"}:
+            return F.lit(v).alias(c)
+        return (F.lit(v) * scale if c in priced else F.lit(v) / scale).alias(c)
+
+    each = F.inline(F.array(*(F.struct(F.lit(rule).alias("scenario"), *(value(rule, c, v) for c, v in case.items())) for rule, case in cases)))
+    rows = scenario_verdicts(table(spark, sf_dir, "orders").where("o_totalprice > 0").select(each))
+    other = F.max(F.when(~F.col("passed"), F.col("reasons")))
+    return rows.groupBy("scenario").agg(F.count("*").alias("orders"), F.count_if("passed").alias("passed"), other.alias("other"))
 
 
 def cents(x: float) -> float:
@@ -253,12 +268,17 @@ def contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("account", F.round("gain", 3).alias("gain"), F.round("fees", 3).alias("fees"), r6(F.col("gain") / F.sum("gain").over(every)).alias("share"), F.rank().over(every.orderBy(F.desc("gain"), "account")).alias("place"), r6(F.sum(F.col("weight") * F.col("weight")).over(every)).alias("concentration"))
 
 
+# The dimensions of an experiment.
+DESIGN = {"fast": (10, 20, 30), "slow": (50, 100), "rebalance": ("monthly", "quarterly"), "cost": ("base", "double")}
+
+
 def experiment_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All designs of four short dimensions. No table is read."""
-    designs = spark.range(1).select(F.explode(F.array(*map(F.lit, (10, 20, 30)))).alias("fast")).select("fast", F.explode(F.array(*map(F.lit, (50, 100)))).alias("slow"))
-    for name, values in (("rebalance", ("monthly", "quarterly")), ("cost", ("base", "double"))):
-        designs = designs.select("*", F.explode(F.array(*map(F.lit, values))).alias(name))
-    return designs.withColumn("design", F.concat_ws("-", "fast", "slow", "rebalance", "cost"))
+    """Each symbol with every design of four short dimensions: the design's name, the symbol's bars, and whether they are
+    three times its longer mean."""
+    rows = bars(spark, sf_dir).groupBy("symbol").agg(F.count("*").alias("bars"))
+    for name, values in DESIGN.items():
+        rows = rows.select("*", F.explode(F.array(*map(F.lit, values))).alias(name))
+    return rows.select("symbol", F.concat_ws("-", *DESIGN).alias("design"), "bars", (F.col("bars") >= 3 * F.col("slow")).alias("usable"))
 
 
 QUERIES = {
@@ -301,7 +321,8 @@ _QUOTE_PAIRS = (
 ORACLE = {
     "order_rules": f"{_PROPOSED} SELECT o_orderkey, reasons, reasons = '' AS approved FROM ruled",
     "rule_counts": f"{_PROPOSED}, l AS (SELECT string_split(reasons, ',') AS codes FROM ruled WHERE reasons <> ''), u AS (SELECT unnest(codes) AS rule, len(codes) = 1 AS alone FROM l) SELECT rule, count(*) AS broken, count(*) FILTER (alone) AS alone FROM u GROUP BY rule",
-    "rule_scenarios": f"WITH s AS ({_SCENARIOS}), r AS (SELECT scenario, {_RULES_SQL} AS reasons FROM s) SELECT scenario, reasons, CASE WHEN scenario = 'SAFE' THEN reasons = '' ELSE reasons = scenario END AS passed FROM r",
+    "rule_scenarios": f"""WITH c AS ({_SCENARIOS}), s AS (SELECT c.* REPLACE ({", ".join(f"CASE WHEN scenario = 'MAX_QUANTITY' THEN {x} ELSE {x} {sign} (o_totalprice / 100000) END AS {x}" for x, sign in (("limit_price", "*"), ("price", "*"), ("bid", "*"), ("ask", "*"), ("quantity", "/")))}) FROM orders, c WHERE o_totalprice > 0),
+      r AS (SELECT scenario, {_RULES_SQL} AS reasons FROM s), p AS (SELECT *, CASE WHEN scenario = 'SAFE' THEN reasons = '' ELSE reasons = scenario END AS passed FROM r) SELECT scenario, count(*) AS orders, count(*) FILTER (passed) AS passed, max(reasons) FILTER (NOT passed) AS other FROM p GROUP BY scenario""",
     "order_fills": f"{_FILLS} SELECT account, o_orderkey, side, status, filled, fill, fee, cash, shares FROM fills",
     "cash_reconciliation": f"""{_FILLS}, a AS (SELECT account, {START_CASH} + sum(CASE side WHEN 'buy' THEN -filled * fill - fee ELSE filled * fill - fee END) AS derived, CAST(sum(CASE side WHEN 'buy' THEN filled ELSE -filled END) AS BIGINT) AS held, last(cash ORDER BY rn) AS cash, last(shares ORDER BY rn) AS shares, {", ".join(f"count(*) FILTER (status = '{x}') AS {x}" for x in ("filled", "partially_filled", "rejected", "submitted"))} FROM fills GROUP BY account)
       SELECT account, round(derived, 2) AS derived, held, filled, partially_filled, rejected, submitted, abs(derived - cash) <= 0.011 AND held = shares AND cash >= 0 AS healthy FROM a""",
@@ -322,5 +343,5 @@ ORACLE = {
     "redacted_properties": """SELECT event_type, regexp_replace(props, '("k":\\s*)[^,}]+', '\\1"[REDACTED]"', 'g') AS props, count(*) AS events FROM events GROUP BY ALL""",
     "contributions": f"""{_FILLS}, a AS (SELECT account, sum(CASE WHEN side = 'sell' THEN filled * fill ELSE 0.0 END) AS sold, sum(CASE WHEN side = 'buy' THEN filled * fill ELSE 0.0 END) AS bought, sum(CASE side WHEN 'buy' THEN filled ELSE -filled END) AS held, last(fill ORDER BY rn) AS last, sum(fee) AS fees FROM fills WHERE filled > 0 GROUP BY account),
       g AS (SELECT *, round(sold + held * last - bought, 4) AS gain, bought / sum(bought) OVER () AS weight FROM a) SELECT account, round(gain, 3) AS gain, round(fees, 3) AS fees, round(gain / sum(gain) OVER (), 6) AS share, CAST(rank() OVER (ORDER BY gain DESC, account) AS INT) AS place, round(sum(weight * weight) OVER (), 6) AS concentration FROM g""",
-    "experiment_matrix": "SELECT f AS fast, s AS slow, r AS rebalance, c AS cost, concat_ws('-', f, s, r, c) AS design FROM (SELECT unnest([10, 20, 30]) AS f), (SELECT unnest([50, 100]) AS s), (SELECT unnest(['monthly', 'quarterly']) AS r), (SELECT unnest(['base', 'double']) AS c)",
+    "experiment_matrix": f"WITH {BARS_SQL}, n AS (SELECT symbol, count(*) AS bars FROM bars GROUP BY symbol) SELECT symbol, concat_ws('-', f, s, r, c) AS design, bars, bars >= 3 * s AS usable FROM n, (SELECT unnest([10, 20, 30]) AS f), (SELECT unnest([50, 100]) AS s), (SELECT unnest(['monthly', 'quarterly']) AS r), (SELECT unnest(['base', 'double']) AS c)",
 }

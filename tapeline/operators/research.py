@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tapeline.functions.columns import by_day, r6
 from tapeline.operators.backtest import CAPITAL, _curve_sql, _ma_sql, backtest, hold_signal, ma_signal, signalled
 from tapeline.sources.bars import BARS_SQL, CALENDAR_SQL, bars, common
+from tapeline.sources.scratch import written
 
 # The grid, the registered pair, and the folds: ends of training and validation as shares of all bars (half, 70 %
 # and 85 % of what is before the holdout), and where the holdout begins.
@@ -53,17 +54,15 @@ def tuned_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per symbol and fold the run of best Sharpe ratio on the bars up to the end of training, and what it returned on the
     validation bars, from its own equity there; the run of best mean validation return on the holdout as fold 3."""
     rows = grid_curves(spark, sf_dir)
-    edge = lambda share: F.floor(F.col("n") * F.lit(share))
-    folds = [
-        rows.groupBy("symbol", "run", "fast", "slow").agg(
-            F.lit(k).alias("fold"), sharpe(F.when(F.col("i") <= edge(a), F.col("ret"))).alias("sharpe"), F.round(F.max_by("equity", F.when(F.col("i") <= edge(b), F.col("i"))) / F.max_by("equity", F.when(F.col("i") <= edge(a), F.col("i"))) - 1, 9).alias("ret"),
-        )
-        for k, (a, b) in enumerate((*FOLDS, (HOLDOUT, 1.0)))
-    ]
-    every = folds[0].unionByName(folds[1]).unionByName(folds[2])
+    parts = F.array(*(F.struct(F.lit(k).alias("fold"), F.floor(F.col("n") * F.lit(a)).alias("trained"), F.floor(F.col("n") * F.lit(b)).alias("tested")) for k, (a, b) in enumerate((*FOLDS, (HOLDOUT, 1.0)))))
+    each = rows.select("*", F.inline(parts)).where(F.col("i") <= F.col("tested"))
+    at = lambda edge: F.max(F.when(F.col("i") == F.col(edge), F.col("equity")))
+    made = each.groupBy("symbol", "run", "fast", "slow", "fold").agg(sharpe(F.when(F.col("i") <= F.col("trained"), F.col("ret"))).alias("sharpe"), F.round(at("tested") / at("trained") - 1, 9).alias("ret"))
+    folds = written(made, "walk-forward")  # nine runs and four folds a symbol, from one pass over the curves
+    every, last = folds.where("fold < 3"), folds.where("fold = 3")
     chosen = every.groupBy("symbol", "fold").agg(_best("sharpe").alias("run"), F.max_by("ret", F.struct("sharpe", -F.col("fast"), -F.col("slow"))).alias("ret"))
     means = every.groupBy("symbol", "run", "fast", "slow").agg(F.round(F.avg("ret"), 9).alias("mean"))
-    final = means.groupBy("symbol").agg(_best("mean").alias("run")).join(folds[3].select("symbol", "run", "fold", "ret"), ["symbol", "run"])
+    final = means.groupBy("symbol").agg(_best("mean").alias("run")).join(last.select("symbol", "run", "fold", "ret"), ["symbol", "run"])
     return chosen.unionByName(final).select("symbol", "fold", "run", r6("ret").alias("ret"))
 
 
@@ -105,7 +104,7 @@ def trade_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dominant_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each symbol's most frequent label of losing trades, ties by name, with the pooled trade statistics."""
-    rows = trade_records(spark, sf_dir)
+    rows = written(trade_records(spark, sf_dir), "trade-records")
     counts = rows.select("symbol", F.explode("labels").alias("label")).groupBy("symbol", "label").count()
     first = counts.groupBy("symbol").agg(F.min_by("label", F.struct(-F.col("count"), "label")).alias("label"), F.max("count").alias("times"))
     sums = rows.groupBy("symbol").agg(F.count("*").alias("trades"), F.count_if(F.col("profit") < 0).alias("losing"), r6(F.avg("bars")).alias("mean_bars"), r6(F.max(F.col("peak") / F.col("price") - 1)).alias("best_peak"))
@@ -115,7 +114,7 @@ def dominant_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 def static_benchmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Final values of four benchmarks on common sessions from CAPITAL: bought and held in equal parts, half of it in cash,
     and weights restored each month and each quarter (without costs)."""
-    series = common(bars(spark, sf_dir))
+    series = written(common(bars(spark, sf_dir)), "benchmark-bars")
     rows = series.withColumn("month", F.trunc("day", "MM")).withColumn("quarter", F.trunc("day", "quarter"))
 
     def restored(period: str) -> DataFrame:

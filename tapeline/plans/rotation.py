@@ -144,11 +144,12 @@ def curve(series: DataFrame, holdings: DataFrame) -> DataFrame:
 
 
 def rotation_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Month-end equity of the momentum rotation."""
+    """Growth of the momentum rotation by each month's end, as the log of its equity over the capital."""
     series = written(bars(spark, sf_dir), "rotation-bars")  # read many times
     plan = written(momentum_plan(series).withColumn("run", F.lit("momentum")), "rotation-plan")
     rows = curve(series, written(simulated(series, plan), "rotation-holdings"))
-    return rows.groupBy("run", F.trunc("day", "MM").alias("month")).agg(r6(F.max_by("equity", "day")).alias("equity"))
+    last = F.max_by("equity", "day")
+    return rows.groupBy("run", F.trunc("day", "MM").alias("month")).agg(r6(F.log(last / CAPITAL)).alias("log_growth"))
 
 
 QUERIES = {f.__name__: f for f in (plan_momentum, plan_absolute, plan_low_volatility, plan_inverse_volatility, rotation_curve)}
@@ -168,10 +169,39 @@ def _passes() -> str:
     return out
 
 
+_K = range(5)
+
+
+def _plus(first: str, *parts: str) -> str:
+    return "(" * len(parts) + first + "".join(f" + {p})" for p in parts)
+
+
+def _rebalance_sql() -> str:
+    """One date of the rotation: each trade is a SELECT over the one before, sells by symbol, then buys by rank."""
+    sql = f"SELECT d.*, h.cash, {', '.join(f'h.q{k}' for k in _K)} FROM held h JOIN dates d ON d.i = h.i + 1"
+    sql = f"SELECT *, {_plus('cash', *(f'q{k} * o{k}' for k in _K))} AS equity FROM ({sql})"
+    cost = lambda k: f"(o{k} * (1 + {SLIPPAGE}::DOUBLE) * (1 + {FEE}::DOUBLE))"
+    sql = f"SELECT *, {', '.join(f'CASE WHEN r{k} IS NULL THEN 0.0::DOUBLE ELSE trunc(equity * (1.0::DOUBLE / {TOP}) / {cost(k)}) END AS t{k}' for k in _K)} FROM ({sql})"
+    for k in _K:
+        sql = f"SELECT * REPLACE (cash + greatest(q{k} - t{k}, 0) * o{k} * (1 - {SLIPPAGE}::DOUBLE) * (1 - {FEE}::DOUBLE) AS cash, least(q{k}, t{k}) AS q{k}) FROM ({sql})"
+    for rank in range(1, TOP + 1):
+        for k in _K:
+            sql = f"SELECT *, CASE WHEN r{k} = {rank} THEN greatest(0.0::DOUBLE, least(t{k} - q{k}, trunc(cash / {cost(k)}))) ELSE 0.0::DOUBLE END AS size FROM ({sql})"
+            sql = f"SELECT * EXCLUDE (size) REPLACE (cash - size * {cost(k)} AS cash, q{k} + size AS q{k}) FROM ({sql})"
+    return f"SELECT i, day, cash, {', '.join(f'q{k}' for k in _K)} FROM ({sql})"
+
+
+_ROTATED = _WITH.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+dates AS MATERIALIZED (SELECT c.day, {", ".join(f"max(c.open) FILTER (c.symbol = 'S{k}') AS o{k}, max(b.rank) FILTER (c.symbol = 'S{k}') AS r{k}" for k in _K)}, row_number() OVER (ORDER BY c.day) AS i
+  FROM common c LEFT JOIN best b ON b.execution_date = c.day AND b.symbol = c.symbol WHERE c.day IN (SELECT execution_date FROM best) GROUP BY c.day),
+held AS (SELECT 0::BIGINT AS i, DATE '1900-01-01' AS day, {CAPITAL}::DOUBLE AS cash, {", ".join(f"0.0::DOUBLE AS q{k}" for k in _K)} UNION ALL {_rebalance_sql()}),
+closes AS (SELECT day, {", ".join(f"max(close) FILTER (symbol = 'S{k}') AS c{k}" for k in _K)} FROM common GROUP BY day),
+valued AS (SELECT c.day, {_plus("h.cash", *(f"h.q{k} * c.c{k}" for k in _K))} AS equity FROM closes c ASOF JOIN held h ON c.day >= h.day WHERE h.i > 0)"""
 ORACLE = {
     "plan_momentum": f"{_WITH} SELECT signal_date, execution_date, symbol, round(score, 6) AS score, rank, round(1.0 / {TOP}, 6) AS weight FROM best",
     "plan_absolute": f"{_WITH} SELECT signal_date, execution_date, symbol, round(score, 6) AS score, round(least(1.0 / count(*) OVER (PARTITION BY signal_date), {CAP}), 6) AS weight FROM scores WHERE month(signal_date) IN (3, 6, 9, 12) AND round(score, 12) > 0",
     "plan_low_volatility": f"""{_WITH}, q AS (SELECT max(day) AS signal_date, last(next_day ORDER BY day) AS execution_date FROM n GROUP BY date_trunc('quarter', day)), k AS (SELECT q.*, symbol, volatility, row_number() OVER (PARTITION BY signal_date ORDER BY round(volatility, 12), symbol) AS rank FROM q JOIN v ON v.day = q.signal_date WHERE execution_date IS NOT NULL AND volatility IS NOT NULL)
       SELECT signal_date, execution_date, symbol, round(volatility, 6) AS volatility, rank, round(1.0 / {TOP}, 6) AS weight FROM k WHERE rank <= {TOP}""",
     "plan_inverse_volatility": f"{_WITH}{_passes()} SELECT signal_date, symbol, round(weight, 6) AS weight FROM p{TOP}",
+    "rotation_curve": f"{_ROTATED} SELECT 'momentum' AS run, CAST(date_trunc('month', day) AS DATE) AS month, round(ln(last(equity ORDER BY day) / {CAPITAL}), 6) AS log_growth FROM valued GROUP BY ALL",
 }

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
@@ -87,7 +87,7 @@ class _Grid(HTMLParser):
             self.flush(self.path.pop())
 
 
-@udtf(returnType="block int, kind string, row int, cell int, text string, href string", useArrow=True)
+@udtf(returnType="block int, kind string, row int, cell int, text string, href string", useArrow=False)
 class PageCells:
     """The cells of a page's tables and lists, a row each; none for a null page."""
 
@@ -104,24 +104,26 @@ def page_cells(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "html").lateralJoin(PageCells(F.col("html").outer())).drop("html")
 
 
+def table_rows(pages: DataFrame, required: tuple[str, ...] = DAY_END) -> DataFrame:
+    """page_id, table, row, texts of the rows of the tables in which some row has all the required columns, with the first
+    such row's number and texts as top and head. Pages are taken apart once; a page's table is sorted in one task."""
+    cells = page_cells(pages).where("kind = 'table'").groupBy("page_id", F.col("block").alias("table"), "row")
+    rows = cells.agg(F.transform(F.array_sort(F.collect_list(F.struct("cell", "text"))), lambda x: x.text).alias("texts"))
+    whole = F.size(F.array_except(F.array(*map(F.lit, required)), "texts")) == 0
+    first = F.min(F.when(whole, F.struct("row", "texts"))).over(Window.partitionBy("page_id", "table"))
+    return rows.withColumn("first", first).where("first IS NOT NULL").select("page_id", "table", "row", "texts", F.col("first.row").alias("top"), F.col("first.texts").alias("head"))
+
+
 def cells_of(pages: DataFrame, required: tuple[str, ...] = DAY_END) -> DataFrame:
     """page_id, table, row, cell (from 1) and text of every cell of the tables in which some row has all the required
     columns; rows without cells count for nothing. `table` counts tables and lists of a page as they open."""
-    cells = page_cells(pages).where("kind = 'table'").select("page_id", F.col("block").alias("table"), "row", "cell", "text")
-    wanted = F.array(*map(F.lit, required))
-    heads = cells.where(F.col("text").isin(*required)).groupBy("page_id", "table", "row").agg(F.collect_set("text").alias("have"))
-    good = heads.where(F.size(F.array_except(wanted, "have")) == 0).select("page_id", "table").distinct()
-    return cells.join(good, ["page_id", "table"], "left_semi")
+    return table_rows(pages, required).select("page_id", "table", "row", F.posexplode("texts").alias("cell", "text")).withColumn("cell", F.col("cell") + 1)
 
 
 def records_of(pages: DataFrame, required: tuple[str, ...] = DAY_END) -> DataFrame:
     """page_id, table, row and a column of text for each required one: the rows below the header, of as many cells as it
     has, by the header's places."""
-    cells = cells_of(pages, required)
-    rows = cells.groupBy("page_id", "table", "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("cell", "text"))), lambda x: x.text).alias("texts"))
-    wanted = F.array(*map(F.lit, required))
-    heads = rows.where(F.size(F.array_except(wanted, "texts")) == 0).groupBy("page_id", "table").agg(F.min_by("texts", "row").alias("head"), F.min("row").alias("top"))
-    body = rows.join(heads, ["page_id", "table"]).where((F.col("row") > F.col("top")) & (F.size("texts") == F.size("head")))
+    body = table_rows(pages, required).where((F.col("row") > F.col("top")) & (F.size("texts") == F.size("head")))
     return body.select("page_id", "table", "row", *(F.get("texts", F.array_position("head", name).cast("int") - 1).alias(name) for name in required))
 
 

@@ -94,7 +94,10 @@ def test_order_fills(spark):
 
 
 def test_each_scenario_breaks_its_rule_alone(spark):
-    found = orders.rule_scenarios(spark, "").collect()
+    rows = [("SAFE", *orders.SAFE.values())] + [(rule, *(orders.SAFE | change).values()) for rule, change in zip(orders.RULES, orders.BREAKS, strict=True)]
+    kinds = {str: "string", bool: "boolean", float: "double"}
+    frame = spark.createDataFrame(rows, "scenario string, " + ", ".join(f"`{c}` {kinds[type(v)]}" for c, v in orders.SAFE.items()))
+    found = orders.scenario_verdicts(frame).collect()
     assert len(found) == 20 and all(r["passed"] for r in found)
 
 
