@@ -197,7 +197,7 @@ def portfolio_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice"]
     prices = rows.where("kind = 'buy'").groupBy("symbol").agg(F.max_by("price", F.struct(*order)).alias("current"))
     found = portfolio(rows, order, prices)
-    return found.select("account", "symbol", "status", *(F.round(c, 4).alias(c) for c in found.columns[3:]))
+    return found.select("account", "symbol", "status", *((F.floor(F.col(c) * 1000 + 0.5) / 1000).alias(c) for c in found.columns[3:]))
 
 
 QUERIES = {f.__name__: f for f in (ledger_holdings, ledger_allocation, portfolio_positions, order_risk, order_ticks, trade_costs, quote_quality, latest_quotes, hash_sample)}
@@ -225,7 +225,7 @@ ORACLE = {
       e AS (SELECT account, symbol, last(held ORDER BY rn) AS quantity, last(cost ORDER BY rn) AS cost, last(realised ORDER BY rn) AS realised, last(income ORDER BY rn) AS dividends, bool_or(over) AS over FROM s GROUP BY ALL),
       p AS (SELECT symbol, last(price ORDER BY l_shipdate, l_orderkey, l_linenumber, l_extendedprice) AS current FROM t WHERE kind = 'buy' GROUP BY symbol), c AS (SELECT account, last(price ORDER BY l_shipdate, l_orderkey, l_linenumber, l_extendedprice) AS cash FROM t WHERE kind = 'cash_balance' GROUP BY account),
       v AS (SELECT e.*, bool_or(over) OVER (PARTITION BY account) AS bad, CASE WHEN quantity > 0 THEN current * quantity END AS value FROM e LEFT JOIN p USING (symbol)), w AS (SELECT *, sum(value) OVER (PARTITION BY account) AS whole FROM v)
-      SELECT w.account, symbol, CASE WHEN bad THEN 'oversold' ELSE 'held' END AS status, {", ".join(f"CASE WHEN NOT bad THEN round({x}, 4) END AS {c}" for c, x in (("quantity", "quantity"), ("average", "cost / quantity"), ("cost", "cost"), ("value", "value"), ("unrealised", "value - cost"), ("allocation_percent", "value / whole * 100"), ("realised", "realised"), ("dividends", "dividends")))}, round(coalesce(cash, 0.0), 4) AS cash FROM w LEFT JOIN c ON c.account = w.account WHERE bad OR quantity > 0""",
+      SELECT w.account, symbol, CASE WHEN bad THEN 'oversold' ELSE 'held' END AS status, {", ".join(f"CASE WHEN NOT bad THEN floor(({x}) * 1000 + 0.5) / 1000 END AS {c}" for c, x in (("quantity", "quantity"), ("average", "cost / quantity"), ("cost", "cost"), ("value", "value"), ("unrealised", "value - cost"), ("allocation_percent", "value / whole * 100"), ("realised", "realised"), ("dividends", "dividends")))}, floor(coalesce(cash, 0.0) * 1000 + 0.5) / 1000 AS cash FROM w LEFT JOIN c ON c.account = w.account WHERE bad OR quantity > 0""",
     "ledger_allocation": f"WITH {_T}, v AS (SELECT symbol, sum(quantity * price) AS value FROM t WHERE kind = 'buy' GROUP BY symbol) SELECT symbol, round(value / (SELECT sum(value) FROM v) * 100, 6) AS share_percent, round(value / (SELECT sum(value) FROM v) * 100, 9) > 25 AS concentrated FROM v",
     "order_risk": f"""WITH r AS (SELECT o_orderkey, o_orderkey % 400 * 300 AS quantity, o_totalprice / 1000 AS price, 1 + (o_orderkey % 7 - 3) / 100 AS factor, o_custkey % 40 * 500 AS volume, o_orderkey % 45 AS age, row_number() OVER (PARTITION BY o_custkey, date_trunc('month', o_orderdate) ORDER BY o_orderkey) AS today, o_orderkey % 5 * 0.5 AS spread FROM orders),
       c AS (SELECT o_orderkey, {codes_sql((f"age > {LIMITS['age']}", 'STALE_OR_UNSAFE_DATA'), (f"round({_VALUE}, 6) > {LIMITS['value']}", 'MAX_TRADE_VALUE'), (f"quantity > {LIMITS['quantity']}", 'MAX_QUANTITY'), (f"round({_VALUE} / 1000000 * 100, 6) > {LIMITS['position_percent']}", 'MAX_POSITION_PERCENT'), (f"today > {LIMITS['orders']}", 'MAX_DAILY_ORDERS'), (f"volume < {LIMITS['volume']}", 'INSUFFICIENT_LIQUIDITY'), (f"round(abs(factor - 1) * 100, 6) > {LIMITS['deviation_percent']}", 'PRICE_DEVIATION'), (f"spread > {LIMITS['spread_percent']}", 'SPREAD_TOO_WIDE'))} AS reasons FROM r)

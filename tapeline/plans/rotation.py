@@ -99,6 +99,15 @@ def plan_inverse_volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capped_weights(chosen, "raw").select("signal_date", "symbol", r6("weight").alias("weight"))
 
 
+def plan_prior_volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The momentum choice weighted by inverse volatility under a cap, the volatility being that of the 60 returns before
+    the first of the signal's month: at the month's end before."""
+    series = written(bars(spark, sf_dir), "plan-bars")
+    before = month_ends(series).select((F.col("month") + 1).alias("month"), "day").join(volatility_at(series), "day").drop("day")
+    chosen = momentum_plan(series).drop("weight").join(before, ["month", "symbol"]).where("volatility > 0").withColumn("raw", 1 / F.col("volatility"))
+    return capped_weights(chosen, "raw").select("signal_date", "symbol", r6("volatility").alias("volatility"), r6("weight").alias("weight"))
+
+
 def simulated(series: DataFrame, plan: DataFrame, *, capital: float = CAPITAL, fee: float = FEE, slippage: float = SLIPPAGE) -> DataFrame:
     """execution_date, symbol, quantity, cash after each rebalance of a plan (run, execution_date, symbol, rank,
     weight): targets in whole shares on the opening equity, sells by symbol before buys by rank, cash never below 0.
@@ -152,7 +161,7 @@ def rotation_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("run", F.trunc("day", "MM").alias("month")).agg(r6(F.log(last / CAPITAL)).alias("log_growth"))
 
 
-QUERIES = {f.__name__: f for f in (plan_momentum, plan_absolute, plan_low_volatility, plan_inverse_volatility, rotation_curve)}
+QUERIES = {f.__name__: f for f in (plan_momentum, plan_absolute, plan_low_volatility, plan_inverse_volatility, plan_prior_volatility, rotation_curve)}
 _WITH = f"""WITH {BARS_SQL}, {CALENDAR_SQL}, n AS (SELECT day, lead(day) OVER (ORDER BY day) AS next_day, year(day) * 12 + month(day) - 1 AS month FROM sessions),
 ends AS (SELECT month, max(day) AS day, last(next_day ORDER BY day) AS next_day FROM n GROUP BY month), e2 AS (SELECT *, count(*) OVER (ORDER BY month RANGE BETWEEN {LOOKBACK + 1} PRECEDING AND 1 PRECEDING) AS known FROM ends), month_close AS (SELECT month, symbol, close FROM ends JOIN bars USING (day)),
 scores AS (SELECT e.day AS signal_date, e.next_day AS execution_date, s.symbol, x.close / s.close - 1 AS score FROM e2 e JOIN month_close s ON s.month = e.month - {LOOKBACK + 1} JOIN month_close x ON x.month = e.month - 1 AND x.symbol = s.symbol WHERE known = {LOOKBACK + 1} AND next_day IS NOT NULL AND s.close > 0),
@@ -161,8 +170,8 @@ r AS (SELECT *, close / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY day
 v AS (SELECT symbol, day, CASE WHEN count(ret) OVER w = 60 THEN stddev_pop(ret) OVER w * sqrt(252.0) END AS volatility FROM r WINDOW w AS (PARTITION BY symbol ORDER BY day ROWS 59 PRECEDING))"""
 
 
-def _passes() -> str:
-    out = f", p0 AS (SELECT b.signal_date, b.symbol, 1 / v.volatility AS raw, CAST(NULL AS DOUBLE) AS weight, count(*) OVER (PARTITION BY b.signal_date) / {TOP} AS target FROM best b JOIN v ON v.symbol = b.symbol AND v.day = b.signal_date WHERE v.volatility > 0)"
+def _passes(at: str = "b.signal_date") -> str:
+    out = f", p0 AS (SELECT b.signal_date, b.symbol, 1 / v.volatility AS raw, CAST(NULL AS DOUBLE) AS weight, count(*) OVER (PARTITION BY b.signal_date) / {TOP} AS target FROM best b JOIN v ON v.symbol = b.symbol AND v.day = {at} WHERE v.volatility > 0)"
     for k in range(TOP):
         out += f""", s{k} AS (SELECT *, CASE WHEN weight IS NULL THEN raw * (target - coalesce(sum(weight) OVER (PARTITION BY signal_date), 0.0)) / sum(CASE WHEN weight IS NULL THEN raw END) OVER (PARTITION BY signal_date) END AS share FROM p{k}),
         o{k} AS (SELECT *, max(CASE WHEN share > {CAP} THEN 1 ELSE 0 END) OVER (PARTITION BY signal_date) AS above FROM s{k}), p{k + 1} AS (SELECT signal_date, symbol, raw, target, CASE WHEN weight IS NOT NULL THEN weight WHEN above = 1 AND share > {CAP} THEN {CAP} WHEN above = 0 THEN share END AS weight FROM o{k})"""
@@ -203,5 +212,6 @@ ORACLE = {
     "plan_low_volatility": f"""{_WITH}, q AS (SELECT max(day) AS signal_date, last(next_day ORDER BY day) AS execution_date FROM n GROUP BY date_trunc('quarter', day)), k AS (SELECT q.*, symbol, volatility, row_number() OVER (PARTITION BY signal_date ORDER BY round(volatility, 12), symbol) AS rank FROM q JOIN v ON v.day = q.signal_date WHERE execution_date IS NOT NULL AND volatility IS NOT NULL)
       SELECT signal_date, execution_date, symbol, round(volatility, 6) AS volatility, rank, round(1.0 / {TOP}, 6) AS weight FROM k WHERE rank <= {TOP}""",
     "plan_inverse_volatility": f"{_WITH}{_passes()} SELECT signal_date, symbol, round(weight, 6) AS weight FROM p{TOP}",
+    "plan_prior_volatility": f"""{_WITH}{_passes("(SELECT e.day FROM ends e WHERE e.month = year(b.signal_date) * 12 + month(b.signal_date) - 2)")} SELECT signal_date, symbol, round(1 / raw, 6) AS volatility, round(weight, 6) AS weight FROM p{TOP}""",
     "rotation_curve": f"{_ROTATED} SELECT 'momentum' AS run, CAST(date_trunc('month', day) AS DATE) AS month, round(ln(last(equity ORDER BY day) / {CAPITAL}), 6) AS log_growth FROM valued GROUP BY ALL",
 }
