@@ -18,10 +18,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeline.llm.quality import labelled
-from tapeline.llm.shared import Rolling, Slice, gathered, held_out, letter_words, lowered, slices, sums_by_row, texts
+from tapeline.llm.shared import Rolling, Slice, gathered, hashed, held_out, letter_words, lowered, slices, sums_by_row, texts, written
 
 #: About so many labelled texts fit the model, a third of them of the rarer label where there are enough.
-TRAIN_ROWS = 4_500
+TRAIN_ROWS = 6_000
+#: Bytes of all texts of the sample, and of one: longer ones are not in it.
+TRAIN_BYTES, TRAIN_TEXT = 32 << 20, 1 << 20
 BUCKET_BITS = 17
 DIMENSIONS = 4
 _CHUNK = 1 << 15
@@ -172,13 +174,21 @@ def fit(many: list[str], y: np.ndarray, weight: np.ndarray, *, steps: int = 100,
 
 def toxicity_model(documents: DataFrame, labels: DataFrame, *, train: Column, train_rows: int = TRAIN_ROWS) -> Scorer:
     """A scorer fitted on about train_rows labelled texts that meet the condition `train`, chosen by a hash of
-    doc_id for each label; their weights restore the labels' shares."""
+    doc_id for each label; their weights restore the labels' shares.
+
+    Of several texts of a doc_id one is taken, whichever rows there are, texts above TRAIN_TEXT bytes are not, and
+    of the others those of smallest hash that TRAIN_BYTES hold, so that the driver's part has a bound in bytes."""
     known = labels.where(train)
     total = {r["toxic"]: r["count"] for r in known.where(F.col("toxic").isin(0, 1)).groupBy("toxic").count().collect()}
     rare = min(total, key=lambda k: (total[k], k), default=1)
     most = {rare: train_rows // 3, 1 - rare: train_rows - train_rows // 3}
-    found = [labelled(texts(documents), known.where(F.col("toxic") == k), "toxic", F.lit(True), most[k]).select("doc_id", "text", "label") for k in (0, 1)]
-    sample = found[0].unionByName(found[1]).toPandas().sort_values(["doc_id", "text"], ignore_index=True)  # of bounded size
+    short = texts(documents).where(F.octet_length("text") <= TRAIN_TEXT)
+    found = [labelled(short, known.where(F.col("toxic") == k), "toxic", F.lit(True), most[k]) for k in (0, 1)]
+    one = F.min_by(F.struct("text", "label"), F.struct(F.xxhash64("text"), "text")).alias("x")
+    rows = written(found[0].unionByName(found[1]).groupBy("doc_id").agg(one).select("doc_id", "x.*", hashed("doc_id").alias("place")), "toxicity-sample")
+    sizes = rows.select("place", F.octet_length("text").alias("bytes")).toPandas().sort_values("place")  # about train_rows numbers
+    last = sizes["place"][sizes["bytes"].cumsum() <= TRAIN_BYTES].max()
+    sample = rows.where(F.col("place") <= (int(last) if len(sizes) else 0)).select("doc_id", "text", "label").toPandas().sort_values("doc_id", ignore_index=True)
     y = sample["label"].to_numpy(np.int64)
     weight = np.array([total.get(k, 0) / max(1, (y == k).sum()) for k in (0, 1)])[y] if len(y) else np.zeros(0)
     return fit(sample.pop("text").tolist(), y, weight)

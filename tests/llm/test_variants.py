@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tapeline.llm import conversations, sharding, spelling
+from tapeline.llm import conversations, sharding, spelling, toxicity
 from tapeline.llm.registry import ORACLE, QUERIES
 from tapeline.llm.wavelet import WaveletTree
 
@@ -255,3 +255,18 @@ def test_contract_of_columns(spark):
         frame = QUERIES[name](spark, "/root/testdata/sf0.001")
         assert ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frame.schema) == wanted
         assert frame.where(F.col(wanted.split()[0]).isNull()).isEmpty()
+
+
+def test_toxicity_sample_has_a_bound_in_bytes(spark, monkeypatch):
+    """One text of a doc_id however many rows it has, none above a size, and no more than the bytes of all."""
+    rows = [(1, f"text {k % 7}") for k in range(20_000)] + [(2, "x" * ((1 << 20) + 1))] + [(k, f"word {k} " * 400) for k in range(3, 60)] + [(None, "none"), (60, None)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 61)], "doc_id long, toxic int")
+    taken = []
+    monkeypatch.setattr(toxicity, "fit", lambda many, y, weight: taken.append((many, y)))
+    toxicity.toxicity_model(documents, labels, train=F.lit(True))
+    many, y = taken.pop()
+    assert len(many) == 59 and sum(t.startswith("text ") for t in many) == 1 and max(map(len, many)) < 1 << 20 and sorted(set(y)) == [0, 1]
+    monkeypatch.setattr(toxicity, "TRAIN_BYTES", 40_000)
+    toxicity.toxicity_model(documents, labels, train=F.lit(True))
+    assert 0 < sum(map(len, taken.pop()[0])) <= 40_000
