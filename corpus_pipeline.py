@@ -6,6 +6,9 @@ are replaced in the texts that stay, and what is left is encoded by byte-level B
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +21,20 @@ from tapeline.llm.toxicity import toxicity_model, with_toxicity
 from tapeline.shipping import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Bytes of an Arrow batch of the join, whose rows are pairs of whole sets.
+BATCH = "8m"
+
+
+@contextmanager
+def batches_of(spark: SparkSession, size: str) -> Iterator[None]:
+    """Arrow batches of this size for the jobs within; a longer row is a batch by itself."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +54,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     smallest key; rows equal in doc_id and text are one. A document without doc_id stays if no other of its class has
     one, and texts without words are classes of their own."""
     rows = keyed(docs)
-    classes = jaccard_classes(rows.select(F.col("key").alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), "component_id")
+    with batches_of(spark, BATCH):
+        classes = jaccard_classes(rows.select(F.col("key").alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), "component_id")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
     heads = classes.distinct().join(rows.select("key", "doc_id").distinct(), "key").groupBy("component_id").agg(first.alias("first"))
     return rows.join(heads.select(F.col("first.key").alias("key")), "key", "left_semi").select(COLUMNS).dropDuplicates(["doc_id", "text"])
