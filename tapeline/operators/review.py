@@ -87,6 +87,7 @@ def dispositions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("reconciled", F.col("rows") == reduce(lambda x, y: x + y, (F.col(k) for k in DISPOSITIONS)))
 
 
+# Dispositions in their order.
 DISPOSITIONS = ("rejected_invalid", "held_mapping", "held_genuine_conflict", "rejected_duplicate_conflict", "tier_1_cross_source_confirmed", "tier_2_single_source_high_quality", "tier_3_research_only")
 
 
