@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeline.llm.shared import Slice, gathered, slices, texts
+from tapeline.llm.shared import Slice, gathered, released, slices, texts
 
 #: Fixed value: the published pattern that splits a text before byte-level merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -189,7 +189,7 @@ def encoded(documents: DataFrame, vocabulary: str) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.view(np.int32)))
                 yield pa.record_batch([batch.column("doc_id").slice(part.first, len(part)), lists], ["doc_id", "ids"])
 
-    return texts(documents).mapInArrow(run, "doc_id long, ids array<int>")
+    return texts(documents).mapInArrow(released(run), "doc_id long, ids array<int>")
 
 
 _TEXTS = "doc_id long, n_tokens long, ids_sha256 string, text string"
@@ -213,7 +213,7 @@ def decoded(tokens: DataFrame, vocabulary: str) -> DataFrame:
                 row = end
 
     tokens = tokens.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
-    return tokens.mapInArrow(run, _TEXTS)
+    return tokens.mapInArrow(released(run), _TEXTS)
 
 
 def round_trip(documents: DataFrame, vocabulary: str) -> DataFrame:
@@ -226,7 +226,7 @@ def round_trip(documents: DataFrame, vocabulary: str) -> DataFrame:
             for part in slices(batch.column("text")):
                 yield pa.record_batch([batch.column("doc_id").slice(part.first, len(part)), *_decoded(bpe, *_encoded(bpe, part))], _NAMES)
 
-    return texts(documents).mapInArrow(run, _TEXTS)
+    return texts(documents).mapInArrow(released(run), _TEXTS)
 
 
 def digests(documents: DataFrame, vocabulary: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeline.llm.shared import gathered, powers, slices, texts, written
+from tapeline.llm.shared import gathered, powers, released, slices, texts, written
 
 Q = 10
 EDIT_SHARE = 0.08
@@ -259,7 +259,7 @@ def _searched(documents: DataFrame, shared: Broadcast) -> DataFrame:
                     ids = np.array(block.ids, np.int64)[item]
                     yield pa.record_batch([docs, pa.array(ids), *(pa.array(x.astype(np.int32)) for x in (first, last, edits))], ["doc_id", "item_id", "start", "end", "edits"])
 
-    return texts(documents).mapInArrow(run, "doc_id long, item_id long, start int, end int, edits int")
+    return texts(documents).mapInArrow(released(run), "doc_id long, item_id long, start int, end int, edits int")
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame, *, q: int = Q, edit_share: float = EDIT_SHARE, block: int = BLOCK) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tapeline.llm.bitmap import Bitmap, bitmap
 from tapeline.llm.components import components
-from tapeline.llm.shared import Rolling, lowered, mixed, slices, texts, words, written
+from tapeline.llm.shared import Rolling, lowered, mixed, released, slices, texts, words, written
 
 WORDS = 5
 PERCENT = 80
@@ -132,7 +132,7 @@ def row_sets(documents: DataFrame, rare: int = RARE, percent: int = PERCENT) ->
                     pa.array([token[often].view(np.int64)] + [None] * (rows - 1), pa.list_(pa.int64())), pa.array([times[often]] + [None] * (rows - 1), pa.list_(pa.int64())),
                 ], ["doc_id", "n", "fp", "sig", "often", "times"])
 
-    return texts(documents).mapInArrow(run, "doc_id long, n int, fp long, sig binary, often array<long>, times array<long>")
+    return texts(documents).mapInArrow(released(run), "doc_id long, n int, fp long, sig binary, often array<long>, times array<long>")
 
 
 def frequent_tokens(rows: DataFrame, rare: int = RARE) -> np.ndarray:
@@ -178,7 +178,7 @@ def block_rows(documents: DataFrame, last: np.ndarray, heavy: Bitmap | None = No
                     rows, k = np.concatenate([rows, rows[guest]]), np.concatenate([k, k[guest] - 1])
                 yield pa.record_batch([pa.array(token[rows]), pa.array(k.astype(np.int8)), pa.array(fp[rows]), pa.array(n[rows])], ["token", "k", "fp", "n"])
 
-    return texts(documents).mapInArrow(run, "token long, k byte, fp long, n int")
+    return texts(documents).mapInArrow(released(run), "token long, k byte, fp long, n int")
 
 
 def heavy_tokens(rows: DataFrame) -> Bitmap:
@@ -244,7 +244,7 @@ def shared_blocks(rows: DataFrame) -> DataFrame:
             if len(some):
                 yield pa.record_batch([pa.array(x[some]) for x in (token, k, fp, n, head, leader)], names)
 
-    return dealt.select("token", "k", "fp", "n").mapInArrow(run, "token long, k byte, fp long, n int, head long, leader long")
+    return dealt.select("token", "k", "fp", "n").mapInArrow(released(run), "token long, k byte, fp long, n int, head long, leader long")
 
 
 def _then_none(items: Iterator) -> Iterator:
@@ -364,7 +364,7 @@ def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
                 good[at] = possible(na[at], folded([a[i] for i in at], wide), nb[at], folded([b[i] for i in at], wide), percent)
             yield batch.drop_columns(["siga", "sigb"]).filter(pa.array(good))
 
-    return pairs.mapInArrow(run, ", ".join(columns))
+    return pairs.mapInArrow(released(run), ", ".join(columns))
 
 
 def _forests(batches: Iterator[pa.RecordBatch], percent: int, turn: int | None = None) -> Iterator[tuple[SignatureForest, np.ndarray, np.ndarray]]:
@@ -414,7 +414,7 @@ def _node_pairs(rows: DataFrame, percent: int, turn: int) -> DataFrame:
                 pairs = np.unique(np.stack([np.minimum(fp[a], fp[b]), np.maximum(fp[a], fp[b])], 1), axis=0)
                 yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(released(run), "a long, b long").distinct()
 
 
 def _traversed(rows: DataFrame, percent: int) -> DataFrame:
@@ -443,7 +443,7 @@ def _traversed(rows: DataFrame, percent: int) -> DataFrame:
         if found:
             yield counted(found)
 
-    return dealt.mapInArrow(run, "a long, b long, na long, nb long, blocks long")
+    return dealt.mapInArrow(released(run), "a long, b long, na long, nb long, blocks long")
 
 
 def _cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -476,7 +476,7 @@ def sets_of(documents: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFra
                 ids = pa.array([set_id(values[a:b]) for a, b in zip(bound[:-1], bound[1:], strict=True)], pa.int64())
                 yield pa.record_batch([batch.column("doc_id").slice(part.first, len(part)), ids, lists], ["doc_id", "fp", "tokens"])
 
-    found = texts(documents).mapInArrow(run, "doc_id long, fp long, tokens array<long>")
+    found = texts(documents).mapInArrow(released(run), "doc_id long, fp long, tokens array<long>")
     return found.join(own.withColumnRenamed("fp", "set"), found["doc_id"].eqNullSafe(F.col("own_id")) & (F.col("fp") == F.col("set"))).groupBy("fp").agg(F.first("tokens").alias("tokens"))
 
 
@@ -497,7 +497,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 good[i] = 100 * common >= percent * (len(own) + len(other) - common)
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(released(run), "a long, b long")
 
 
 def jaccard_classes(documents: DataFrame, *, percent: int = PERCENT, rare: int = RARE) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeline.llm.shared import slices, texts, words
+from tapeline.llm.shared import release, released, slices, texts, words
 
 FINDINGS = 6_000
 TREES = 48
@@ -352,7 +352,7 @@ def secrets(documents: DataFrame, forest: Forest, *, least_score: float = 0.5, p
                 docs = batch.column("doc_id").slice(part.first, len(part)).take(pa.array(row))
                 yield pa.record_batch([docs, pa.array(start), pa.array(end), pa.array(score), pa.array(found, pa.binary())], ["doc_id", "start", "end", "score", "string"])
 
-    found = texts(documents, path.alias("path")).mapInArrow(run, "doc_id long, start long, end long, score double, string binary")
+    found = texts(documents, path.alias("path")).mapInArrow(released(run), "doc_id long, start long, end long, score double, string binary")
     return found.select("doc_id", "start", "end", "score", F.sha2("string", 256).alias("sha256"))
 
 
@@ -375,6 +375,7 @@ def redacted(documents: DataFrame, forest: Forest, *, least_score: float = 0.5,
                 for a, b in reversed(cut.get(i, ())):
                     raw = raw[:a] + mark.encode() + raw[b:]
                 out.append(raw.decode("utf-8", errors="replace") if column[part.first + i].is_valid else None)
+        release()
         return pa.array(out, pa.string())
 
     return documents.withColumn("text", clean("text", path))

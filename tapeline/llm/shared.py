@@ -6,7 +6,9 @@ temporaries of a task stay small whatever the batch holds; a text is never cut.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,6 +31,26 @@ _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _POWERS: dict[int, np.ndarray] = {}
 
 
+def release() -> None:
+    """Gives the memory that this worker has freed back to the machine, where its C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function of a task's batches, with release() at the task's end: a worker that waits for its next task, of
+    this stage or of a later one, holds little."""
+
+    @functools.wraps(run)
+    def all_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return all_of
+
+
 def texts(documents: DataFrame, *more: str) -> DataFrame:
     """doc_id, text (null: empty) and the columns asked for; every other column stays unread."""
     return documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeline.llm.quality import labelled
-from tapeline.llm.shared import Rolling, Slice, gathered, hashed, held_out, letter_words, lowered, slices, sums_by_row, texts, written
+from tapeline.llm.shared import Rolling, Slice, gathered, hashed, held_out, letter_words, lowered, release, slices, sums_by_row, texts, written
 
 #: About so many labelled texts fit the model, a third of them of the rarer label where there are enough.
 TRAIN_ROWS = 6_000
@@ -202,6 +202,7 @@ def toxicity_of(spark: SparkSession, scorer: Scorer, text: Column) -> Column:
     @F.arrow_udf("double")
     def probability(column: pa.Array) -> pa.Array:
         parts = [shared.value.probability(part.data, part.offsets) for part in slices(column)]
+        release()
         return pa.array(np.concatenate([*parts, np.zeros(0)]))
 
     return probability(F.coalesce(text, F.lit("")))
