@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, SparkSession, WindowSpec
 from pyspark.sql import functions as F
 
@@ -39,9 +42,13 @@ def with_robust_z(rows: DataFrame, column: str, name: str) -> DataFrame:
 
 
 def features(series: DataFrame) -> DataFrame:
-    """symbol, day and the ten features; null means unavailable, `status` says why. Bars without a predecessor
-    or with a non-positive volume are not usable and count in no history."""
-    rows = series.withColumn("was", F.lag("close").over(by_day())).where("was > 0 and volume > 0")
+    """features_of the bars that have a predecessor and a positive volume, others count in no history."""
+    return features_of(series.withColumn("was", F.lag("close").over(by_day())).where("was > 0 and volume > 0"))
+
+
+def features_of(rows: DataFrame) -> DataFrame:
+    """symbol, day and the ten features of usable rows with the close before them as `was`; null means unavailable,
+    `status` says why."""
     rows = rows.select(
         "symbol", "day", "open", "high", "low", "close", F.col("volume").cast("double").alias("volume"), F.col("n").cast("double").alias("trades"), (F.col("close") * F.col("volume")).alias("value"),
         ((F.col("close") - F.col("was")) / F.col("was") * 100).alias("daily_return"), ((F.col("open") - F.col("was")) / F.col("was") * 100).alias("opening_gap"), ((F.col("high") - F.col("low")) / F.col("was") * 100).alias("intraday_range"),
@@ -55,16 +62,21 @@ def features(series: DataFrame) -> DataFrame:
     )
 
 
+def components() -> dict[str, Column]:
+    """The points of each feature of a row of features, by the feature's name in reports."""
+    fixed = lambda c: F.round(c, 9)  # noqa: E731  thresholds are met exactly or not at all
+    steps = {
+        "daily_return_pct": (F.abs("daily_return"), RETURN_STEPS), "opening_gap_pct": (F.abs("opening_gap"), GAP_STEPS), "intraday_range_pct": (F.col("intraday_range"), RANGE_STEPS),
+        "volume_multiple": (F.col("volume_multiple"), MULTIPLE_STEPS), "trade_count_multiple": (F.col("trades_multiple"), MULTIPLE_STEPS), "traded_value_multiple": (F.col("value_multiple"), MULTIPLE_STEPS),
+        "robust_return_z": (F.abs("return_z"), Z_STEPS), "robust_volume_z": (F.abs("volume_z"), Z_STEPS), "volatility_expansion": (F.col("expansion"), EXPANSION_STEPS),
+    }
+    return {name: severity(fixed(value), *points) for name, (value, points) in steps.items()} | {"recent_high_low_breakout": F.when(F.col("breakout").isin("HIGH", "LOW"), 1).otherwise(0)}
+
+
 def scored(rows: DataFrame) -> DataFrame:
     """rows of features with score and label."""
-    fixed = lambda c: F.round(c, 9)  # noqa: E731  thresholds are met exactly or not at all
-    score = (
-        severity(fixed(F.abs("daily_return")), *RETURN_STEPS) + severity(fixed(F.abs("opening_gap")), *GAP_STEPS) + severity(fixed("intraday_range"), *RANGE_STEPS)
-        + severity(fixed("volume_multiple"), *MULTIPLE_STEPS) + severity(fixed("trades_multiple"), *MULTIPLE_STEPS) + severity(fixed("value_multiple"), *MULTIPLE_STEPS)
-        + severity(fixed(F.abs("return_z")), *Z_STEPS) + severity(fixed(F.abs("volume_z")), *Z_STEPS) + severity(fixed("expansion"), *EXPANSION_STEPS) + F.when(F.col("breakout").isin("HIGH", "LOW"), 1).otherwise(0)
-    )
     label = F.when(F.col("status") != "AVAILABLE", F.col("status")).when(F.col("score") >= HIGH, "HIGH_ATTENTION").when(F.col("score") >= WATCH, "WATCH").otherwise("NORMAL")
-    return rows.withColumn("score", score).withColumn("label", label)
+    return rows.withColumn("score", reduce(add, components().values())).withColumn("label", label)
 
 
 def anomaly_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,8 +126,8 @@ def event_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (anomaly_features, anomaly_attention, anomaly_labels, market_breadth, sector_breadth, event_context)}
 
 _MULT = lambda c: f"CASE WHEN count({c}) OVER p >= {LEAST_HISTORY} THEN {c} / nullif(quantile_cont({c}, 0.5) OVER p, 0) END"
-_FEATURES = f"""WITH {BARS_SQL}, l AS (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY day) AS was FROM bars),
-u AS (SELECT symbol, day, open, high, low, close, CAST(volume AS DOUBLE) AS volume, CAST(n AS DOUBLE) AS trades, close * volume AS value, (close - was) / was * 100 AS daily_return, (open - was) / was * 100 AS opening_gap, (high - low) / was * 100 AS intraday_range, row_number() OVER (PARTITION BY symbol ORDER BY day) AS rn FROM l WHERE was > 0 AND volume > 0),
+_PRIOR_CLOSE = f"{BARS_SQL}, l AS (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY day) AS was FROM bars)"
+_FEATURES_OF = f"""u AS (SELECT symbol, day, open, high, low, close, CAST(volume AS DOUBLE) AS volume, CAST(n AS DOUBLE) AS trades, close * volume AS value, (close - was) / was * 100 AS daily_return, (open - was) / was * 100 AS opening_gap, (high - low) / was * 100 AS intraday_range, row_number() OVER (PARTITION BY symbol ORDER BY day) AS rn FROM l WHERE was > 0 AND volume > 0),
 m AS (SELECT *, abs(daily_return) AS move FROM u),
 k AS (SELECT *, count(*) OVER p AS history, {_MULT('volume')} AS volume_multiple, {_MULT('trades')} AS trades_multiple, {_MULT('value')} AS value_multiple, {_MULT('move')} AS expansion,
   quantile_cont(daily_return, 0.5) OVER p AS med_r, quantile_cont(volume, 0.5) OVER p AS med_v, max(high) OVER p AS top, min(low) OVER p AS bottom FROM m WINDOW p AS (PARTITION BY symbol ORDER BY day ROWS BETWEEN {TRAILING} PRECEDING AND 1 PRECEDING)),
@@ -124,11 +136,15 @@ f AS (SELECT k.symbol, k.day, daily_return, opening_gap, intraday_range, volume_
   CASE WHEN history < {LEAST_HISTORY} THEN NULL WHEN mad_r <> 0 THEN 0.6745 * (daily_return - med_r) / mad_r WHEN daily_return = med_r THEN 0.0 END AS return_z,
   CASE WHEN history < {LEAST_HISTORY} THEN NULL WHEN mad_v <> 0 THEN 0.6745 * (volume - med_v) / mad_v WHEN volume = med_v THEN 0.0 END AS volume_z, expansion,
   CASE WHEN history < {LEAST_HISTORY} THEN NULL WHEN close > top THEN 'HIGH' WHEN close < bottom THEN 'LOW' ELSE 'NONE' END AS breakout, CASE WHEN history >= {LEAST_HISTORY} THEN 'AVAILABLE' ELSE 'INSUFFICIENT_HISTORY' END AS status FROM k LEFT JOIN mad ON k.symbol = mad.symbol AND k.day = mad.day)"""
+_FEATURES = f"WITH {_PRIOR_CLOSE}, {_FEATURES_OF}"
 _R9 = lambda c: f"round({c}, 9)"
-_SCORE = " + ".join([
-    severity_sql(_R9("abs(daily_return)"), *RETURN_STEPS), severity_sql(_R9("abs(opening_gap)"), *GAP_STEPS), severity_sql(_R9("intraday_range"), *RANGE_STEPS),
-    *(severity_sql(_R9(c), *MULTIPLE_STEPS) for c in ("volume_multiple", "trades_multiple", "value_multiple")), *(severity_sql(_R9(f"abs({c})"), *Z_STEPS) for c in ("return_z", "volume_z")), severity_sql(_R9("expansion"), *EXPANSION_STEPS), "CASE WHEN breakout IN ('HIGH', 'LOW') THEN 1 ELSE 0 END",
-])
+_COMPONENTS = {
+    "daily_return_pct": severity_sql(_R9("abs(daily_return)"), *RETURN_STEPS), "opening_gap_pct": severity_sql(_R9("abs(opening_gap)"), *GAP_STEPS), "intraday_range_pct": severity_sql(_R9("intraday_range"), *RANGE_STEPS),
+    "volume_multiple": severity_sql(_R9("volume_multiple"), *MULTIPLE_STEPS), "trade_count_multiple": severity_sql(_R9("trades_multiple"), *MULTIPLE_STEPS), "traded_value_multiple": severity_sql(_R9("value_multiple"), *MULTIPLE_STEPS),
+    "robust_return_z": severity_sql(_R9("abs(return_z)"), *Z_STEPS), "robust_volume_z": severity_sql(_R9("abs(volume_z)"), *Z_STEPS), "volatility_expansion": severity_sql(_R9("expansion"), *EXPANSION_STEPS),
+    "recent_high_low_breakout": "CASE WHEN breakout IN ('HIGH', 'LOW') THEN 1 ELSE 0 END",
+}
+_SCORE = " + ".join(_COMPONENTS.values())
 _LABEL = f"CASE WHEN status <> 'AVAILABLE' THEN status WHEN score >= {HIGH} THEN 'HIGH_ATTENTION' WHEN score >= {WATCH} THEN 'WATCH' ELSE 'NORMAL' END"
 _SCORED = f"{_FEATURES}, s AS (SELECT *, {_SCORE} AS score FROM f)"
 ORACLE = {
