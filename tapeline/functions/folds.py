@@ -7,6 +7,16 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def dealt(rows: DataFrame, *keys: str, parts: int | None = None) -> DataFrame:
+    """The rows in tasks that hold whole keys, for functions over a task's rows.
+
+    They are dealt by a hash of the keys: a repartition by what the join below is dealt by already is left out of the plan,
+    and then a task of that join may be split for its size, or read map by map, as such functions ask for no distribution."""
+    by = F.xxhash64(*keys)
+    return rows.repartition(parts, by) if parts else rows.repartition(by)
 
 
 def fold(rows: DataFrame, keys: list[str], order: list[str], columns: list[str], start: Callable[[], list], step: Callable[..., tuple], fields: str, *, last_only: bool = False) -> DataFrame:
@@ -34,4 +44,4 @@ def fold(rows: DataFrame, keys: list[str], order: list[str], columns: list[str],
             yield pd.DataFrame([(*key, *made)], columns=names)
 
     wanted = list(dict.fromkeys([*keys, *order, *columns]))
-    return rows.select(wanted).repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    return dealt(rows.select(wanted), *keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)

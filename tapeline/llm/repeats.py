@@ -26,6 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapeline.functions.folds import dealt
 from tapeline.llm.bitmap import Bitmap, bitmap
 from tapeline.llm.shared import Rolling, lowered, mixed, slices, texts, words, written
 from tapeline.llm.suffixes import Suffixes, factors, factors_elsewhere
@@ -38,6 +39,7 @@ PASSAGE = 50
 MOST = 500
 _BATCH = 1 << 18
 _ROWS = 512
+_FEW = 1 << 20
 _SLICE = 1 << 20
 
 
@@ -265,16 +267,16 @@ def _compared(strings: DataFrame, layout: Layout, by: str) -> DataFrame:
             pa.array((a + shift).astype(np.int32)), pa.array((np.minimum(cover, (begins + lengths)[string]) + shift).astype(np.int32)),
         ], ["context", "first", "other", "low", "high"])
 
-    dealt = strings.repartition(parts, "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(lambda batches: _stream(batches, compare), _FOUND)
+    whole = dealt(strings, "key", parts=parts).sortWithinPartitions("key")
+    return whole.mapInArrow(lambda batches: _stream(batches, compare), _FOUND)
 
 
 def _whole(strings: DataFrame) -> DataFrame:
     """The rows of _STRINGS put together, dealt by key and context: a large block lies in many tasks."""
     parts = int(strings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = strings.repartition(parts, "key", "context").sortWithinPartitions("key", "context")
+    whole = dealt(strings, "key", "context", parts=parts).sortWithinPartitions("key", "context")
     names = [f"`{x}`" for x in _NAMES]
-    return dealt.select(*names).mapInArrow(lambda batches: _stream_contexts(batches), _STRINGS)
+    return whole.select(*names).mapInArrow(lambda batches: _stream_contexts(batches), _STRINGS)
 
 
 def _stream_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,9 +349,11 @@ def repeated_ranges(documents: DataFrame, *, length: int = LENGTH, gram: int = G
     none = {"low": "int", "high": "int", "shift": "int", "units": "binary"}
     strings = _units_of(documents, layout, wanted, among).unionByName(met.select("*", *(F.lit(None).cast(t).alias(c) for c, t in none.items())))
     large = blocks.where(F.col("contexts") > most).select("key")
-    if large.isEmpty():
+    many = large.count()
+    if not many:
         found = _compared(strings, layout, by)
         return _placed(places, found, layout)
+    large = F.broadcast(large) if many <= _FEW else large  # so that the strings are shuffled once
     found = _placed(places, _compared(strings.join(large, "key", "left_anti"), layout, by), layout)
     rows = written(_whole(strings.join(large, "key", "left_semi")), "repeat-strings")
     parts = rows.select(F.col("context").alias("root"), "context")

@@ -539,3 +539,18 @@ def test_stages_of_secrets_and_encoding_keep_each_row(spark, corpus):
     assert kept(clean) == wanted and clean.where("n_chars <> length(text)").isEmpty()
     back = corpus_pipeline.encoded_and_decoded(spark, frame, folder).collect()
     assert Counter((r["doc_id"], r["decoded_sha256"]) for r in back) == Counter((d, hashlib.sha256((t or "").encode()).hexdigest()) for d, t in rows)
+
+
+def test_repeats_keep_keys_whole_above_divided_joins(spark):
+    conf = {"autoBroadcastJoinThreshold": "1", "adaptive.skewJoin.skewedPartitionThresholdInBytes": "1", "adaptive.skewJoin.skewedPartitionFactor": "1", "adaptive.advisoryPartitionSizeInBytes": "500"}
+    rows = [(i, t) for i, (_, t) in enumerate(repeat_rows() * 3)]
+    rows = [(i, t if i % 3 else f"{t}{i}{t}") for i, t in rows]
+    before = {c: spark.conf.get(f"spark.sql.{c}") for c in conf}
+    try:
+        for c, value in conf.items():
+            spark.conf.set(f"spark.sql.{c}", value)
+        found = cut(repeats.without_repeats(frame(spark, rows).repartition(5), length=20, gram=10, by="any", most=3))
+    finally:
+        for c, value in before.items():
+            spark.conf.set(f"spark.sql.{c}", value)
+    assert found == Counter((rows[i][0], *x) for i, x in brute_repeats(rows, 20).items())
