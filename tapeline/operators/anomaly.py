@@ -2,43 +2,102 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame, SparkSession, WindowSpec
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeline.functions.columns import by_day, r6, ratio, severity, severity_sql
 from tapeline.sources.bars import BARS_SQL, bars
 
 TRAILING, LEAST_HISTORY = 60, 40
+MIDDLES, DEVIATIONS = ("daily_return", "volume", "trades", "value", "move"), ("daily_return", "volume")
+_ROWS = 4096
 # Thresholds and points of the attention score.
 RETURN_STEPS, GAP_STEPS, RANGE_STEPS = ((5, 1), (7.5, 2), (10, 3)), ((3, 1), (5, 2)), ((5, 1), (8, 2))
 MULTIPLE_STEPS, Z_STEPS, EXPANSION_STEPS = ((2, 1), (5, 2), (10, 3)), ((3, 1), (4, 2), (5, 3)), ((2, 1), (3, 2), (5, 3))
 WATCH, HIGH = 4, 8
 
 
-def prior() -> WindowSpec:
-    return by_day().rowsBetween(-TRAILING, -1)
+def _middle(values: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The median of each row's n values, which come first in ascending order."""
+    at = np.arange(len(n))
+    low, high = values[at, np.maximum(n - 1, 0) // 2], values[at, np.minimum(n // 2, values.shape[1] - 1)]
+    return np.where(low == high, low, 0.5 * low + 0.5 * high)
+
+
+def _behind(batch: pa.RecordBatch, first: int, last: int) -> dict[str, np.ndarray]:
+    """For the rows first to last of a batch: of each of MIDDLES how many of the TRAILING rows before it have a value (n_),
+    their median (m_) and, of DEVIATIONS, their median absolute deviation (d_); greatest high and least low. A row looks
+    back no further than its symbol goes."""
+    begin = max(first - TRAILING, 0)
+    reach = np.minimum(np.asarray(batch.column("i").slice(first, last - first)) - 1, TRAILING)
+    far = np.arange(TRAILING, 0, -1)  # so many rows back
+    own = far[None, :] <= reach[:, None]
+
+    def windows(name: str) -> np.ndarray:
+        values = batch.column(name).slice(begin, last - begin).to_numpy(zero_copy_only=False)
+        padded = np.concatenate([np.full(TRAILING - (first - begin), np.nan), values])
+        return np.where(own, np.lib.stride_tricks.sliding_window_view(padded, TRAILING)[: last - first], np.nan)
+
+    def known(name: str) -> np.ndarray:
+        column = batch.column(name).slice(begin, last - begin)
+        if not column.null_count:
+            return reach
+        padded = np.concatenate([np.zeros(TRAILING - (first - begin), bool), column.is_valid().to_numpy(zero_copy_only=False)])
+        return (own & np.lib.stride_tricks.sliding_window_view(padded, TRAILING)[: last - first]).sum(1)
+
+    out = {"top": np.fmax.reduce(windows("high"), 1), "bottom": np.fmin.reduce(windows("low"), 1)}
+    for name in MIDDLES:
+        values, n = np.sort(windows(name), 1), known(name)  # what is missing sorts last
+        out[f"n_{name}"], out[f"m_{name}"] = n, _middle(values, n)
+        if name in DEVIATIONS:
+            off = np.sort(np.abs(values - out[f"m_{name}"][:, None]), 1)
+            at = np.arange(len(n))
+            out[f"d_{name}"] = (off[at, np.maximum((n + 1) // 2 - 1, 0)] + off[at, np.minimum(n // 2, TRAILING - 1)]) / 2
+    return out
+
+
+def with_history(rows: DataFrame) -> DataFrame:
+    """rows with i, a row's number in its symbol, and what _behind() says of the TRAILING rows before it.
+
+    A symbol's rows are one sorted stream, by numpy and with the last TRAILING rows kept between batches: a median that
+    moves with the row would sort its window anew for each row and column in Spark's window functions."""
+    more = ["top", "bottom", *(f"{p}_{c}" for c in MIDDLES for p in ("n", "m")), *(f"d_{c}" for c in DEVIATIONS)]
+    types = {c: "int" if c.startswith("n_") else "double" for c in more}
+    rows = rows.withColumn("i", F.row_number().over(by_day()))  # and so whole symbols in a task, in order of days
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema), *(f"{c} {t}" for c, t in types.items())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for batch in batches:
+            first = kept.num_rows if kept is not None else 0
+            held = pa.Table.from_batches([kept, batch]).combine_chunks().to_batches()[0] if first and batch.num_rows else batch
+            if not batch.num_rows:
+                continue
+            for at in range(first, held.num_rows, _ROWS):
+                end = min(at + _ROWS, held.num_rows)
+                found = _behind(held, at, end)
+                columns = [pa.array(found[c].astype(np.int32 if t == "int" else np.float64)) for c, t in types.items()]
+                yield pa.RecordBatch.from_arrays([*held.slice(at, end - at).columns, *columns], [*batch.schema.names, *more])
+            kept = held.slice(max(held.num_rows - TRAILING, 0))
+
+    return rows.repartition("symbol").sortWithinPartitions("symbol", "day").mapInArrow(run, schema)
 
 
 def multiple(column: str) -> Column:
     """The value over the median of the bars before; null with too short a history or a median of 0."""
-    middle = F.percentile(column, 0.5).over(prior())
-    return F.when(F.count(column).over(prior()) >= LEAST_HISTORY, ratio(F.col(column), middle))
+    return F.when(F.col(f"n_{column}") >= LEAST_HISTORY, ratio(F.col(column), F.col(f"m_{column}")))
 
 
-def with_robust_z(rows: DataFrame, column: str, name: str) -> DataFrame:
-    """rows with 0.6745 (x - median) / MAD over the bars before; 0 for a MAD of 0 at the median itself, else null there.
-
-    The median moves with the row, so that the deviations come from the window's list."""
-    rows = rows.withColumns({"_history": F.collect_list(column).over(prior()), "_median": F.percentile(column, 0.5).over(prior())})
-    rows = rows.withColumn("_off", F.sort_array(F.transform("_history", lambda x: F.abs(x - F.col("_median")))))
-    n = F.size("_off")
-    mad = (F.try_element_at("_off", F.floor((n + 1) / 2).cast("int")) + F.try_element_at("_off", F.floor(n / 2).cast("int") + 1)) / 2
-    rows = rows.withColumn("_mad", F.when(n >= LEAST_HISTORY, mad))
-    z = F.when(F.col("_mad") != 0, F.lit(0.6745) * (F.col(column) - F.col("_median")) / F.nullif("_mad", F.lit(0.0))).when((F.col("_mad") == 0) & (F.col(column) == F.col("_median")), 0.0)
-    return rows.withColumn(name, z).drop("_history", "_median", "_off", "_mad")
+def robust_z(column: str) -> Column:
+    """0.6745 (x - median) / MAD over the bars before; 0 for a MAD of 0 at the median itself, else null there."""
+    middle, mad = F.col(f"m_{column}"), F.when(F.col(f"n_{column}") >= LEAST_HISTORY, F.col(f"d_{column}"))
+    return F.when(mad != 0, F.lit(0.6745) * (F.col(column) - middle) / F.nullif(mad, F.lit(0.0))).when((mad == 0) & (F.col(column) == middle), 0.0)
 
 
 def features(series: DataFrame) -> DataFrame:
@@ -53,30 +112,39 @@ def features_of(rows: DataFrame) -> DataFrame:
         "symbol", "day", "open", "high", "low", "close", F.col("volume").cast("double").alias("volume"), F.col("n").cast("double").alias("trades"), (F.col("close") * F.col("volume")).alias("value"),
         ((F.col("close") - F.col("was")) / F.col("was") * 100).alias("daily_return"), ((F.col("open") - F.col("was")) / F.col("was") * 100).alias("opening_gap"), ((F.col("high") - F.col("low")) / F.col("was") * 100).alias("intraday_range"),
     ).withColumn("move", F.abs("daily_return"))
-    rows = with_robust_z(with_robust_z(rows, "daily_return", "return_z"), "volume", "volume_z")
-    enough = F.count("*").over(prior()) >= LEAST_HISTORY
-    breakout = F.when(~enough, F.lit(None)).when(F.col("close") > F.max("high").over(prior()), "HIGH").when(F.col("close") < F.min("low").over(prior()), "LOW").otherwise("NONE")
+    rows = with_history(rows)
+    enough = F.col("i") > LEAST_HISTORY
+    breakout = F.when(~enough, F.lit(None)).when((F.col("close") > F.col("top")) & ~F.isnan("top"), "HIGH").when((F.col("close") < F.col("bottom")) & ~F.isnan("bottom"), "LOW").otherwise("NONE")
     return rows.select(
         "symbol", "day", "daily_return", "opening_gap", "intraday_range", multiple("volume").alias("volume_multiple"), multiple("trades").alias("trades_multiple"), multiple("value").alias("value_multiple"),
-        "return_z", "volume_z", multiple("move").alias("expansion"), breakout.alias("breakout"), F.when(enough, "AVAILABLE").otherwise("INSUFFICIENT_HISTORY").alias("status"),
+        robust_z("daily_return").alias("return_z"), robust_z("volume").alias("volume_z"), multiple("move").alias("expansion"), breakout.alias("breakout"), F.when(enough, "AVAILABLE").otherwise("INSUFFICIENT_HISTORY").alias("status"),
     )
 
 
-def components() -> dict[str, Column]:
-    """The points of each feature of a row of features, by the feature's name in reports."""
+def components() -> dict[str, tuple[Column, tuple]]:
+    """The value of each feature of a row of features and its thresholds with points, by the feature's name in reports."""
     fixed = lambda c: F.round(c, 9)  # noqa: E731  thresholds are met exactly or not at all
     steps = {
         "daily_return_pct": (F.abs("daily_return"), RETURN_STEPS), "opening_gap_pct": (F.abs("opening_gap"), GAP_STEPS), "intraday_range_pct": (F.col("intraday_range"), RANGE_STEPS),
         "volume_multiple": (F.col("volume_multiple"), MULTIPLE_STEPS), "trade_count_multiple": (F.col("trades_multiple"), MULTIPLE_STEPS), "traded_value_multiple": (F.col("value_multiple"), MULTIPLE_STEPS),
         "robust_return_z": (F.abs("return_z"), Z_STEPS), "robust_volume_z": (F.abs("volume_z"), Z_STEPS), "volatility_expansion": (F.col("expansion"), EXPANSION_STEPS),
     }
-    return {name: severity(fixed(value), *points) for name, (value, points) in steps.items()} | {"recent_high_low_breakout": F.when(F.col("breakout").isin("HIGH", "LOW"), 1).otherwise(0)}
+    return {name: (fixed(value), points) for name, (value, points) in steps.items()}
+
+
+def with_points(rows: DataFrame) -> DataFrame:
+    """rows of features with the points of each in points_ and its name in reports; each value is rounded once."""
+    values = components()
+    rows = rows.withColumns({f"_{name}": value for name, (value, _) in values.items()})
+    points = {name: severity(F.col(f"_{name}"), *steps) for name, (_, steps) in values.items()} | {"recent_high_low_breakout": F.when(F.col("breakout").isin("HIGH", "LOW"), 1).otherwise(0)}
+    return rows.withColumns({f"points_{name}": p for name, p in points.items()}).drop(*(f"_{name}" for name in values))
 
 
 def scored(rows: DataFrame) -> DataFrame:
-    """rows of features with score and label."""
+    """rows of features with points, score and label."""
     label = F.when(F.col("status") != "AVAILABLE", F.col("status")).when(F.col("score") >= HIGH, "HIGH_ATTENTION").when(F.col("score") >= WATCH, "WATCH").otherwise("NORMAL")
-    return rows.withColumn("score", reduce(add, components().values())).withColumn("label", label)
+    rows = with_points(rows)
+    return rows.withColumn("score", reduce(add, (F.col(c) for c in rows.columns if c.startswith("points_")))).withColumn("label", label)
 
 
 def anomaly_features(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeline.functions.columns import by_day, codes, codes_sql, r6
-from tapeline.operators.anomaly import _COMPONENTS, _FEATURES_OF, _SCORE, HIGH, WATCH, components, features_of, scored
+from tapeline.operators.anomaly import _COMPONENTS, _FEATURES_OF, _SCORE, HIGH, WATCH, features_of, scored
 from tapeline.sources.bars import BARS_SQL, bars, table
 
 # Statuses of instruments, reasons for rows that can't be used and for labels, and the report's bounds.
@@ -52,7 +52,7 @@ def records(day_ends: DataFrame, master: DataFrame, events: DataFrame) -> DataFr
     known = events.groupBy("symbol").agg(*(v.alias(f"since_{t}") for t, v in tiers.items()), F.min(F.when(F.col("contradicts"), F.col("available"))).alias("since_contradicted"))
     about = master.withColumn("listed", F.lit(True)).join(known, "symbol", "full")
     found = every.join(about, "symbol", "left").withColumn("verification", F.when(F.col("listed").isNull(), UNVERIFIED).otherwise(F.coalesce("kind", F.lit(UNVERIFIED))))
-    return found.withColumns(_judged(F.col("verification"), F.col("status")))
+    return found.withColumns(_judged(F.col("verification"), F.col("status"))).drop(*(f"points_{name}" for name in _COMPONENTS))
 
 
 def _judged(kind: Column, status: Column) -> dict[str, Column]:
@@ -62,7 +62,7 @@ def _judged(kind: Column, status: Column) -> dict[str, Column]:
         .when(F.col("reason").isNotNull(), F.col("reason")).when(status == "INSUFFICIENT_HISTORY", SHORT)
     )
     label = F.when(kind == NON_EQUITY, "NORMAL").when(against == SHORT, "INSUFFICIENT_HISTORY").when(against.isNotNull(), "DATA_ISSUE").when(F.col("score") >= HIGH, "HIGH_ATTENTION").when(F.col("score") >= WATCH, "WATCH").otherwise("NORMAL")
-    points = [(p > 0, F.concat(F.lit(f"{name}:"), p.cast("string"), F.when(p == 1, "_point").otherwise("_points"))) for name, p in components().items()]
+    points = [(p > 0, F.concat(F.lit(f"{name}:"), p.cast("string"), F.when(p == 1, "_point").otherwise("_points"))) for name in _COMPONENTS for p in [F.col(f"points_{name}")]]
     present = codes(*((F.col(c).isNotNull(), name) for name, c in FEATURES.items()))
     seen = lambda tier: F.coalesce(F.col(f"since_{tier}") <= F.col("day"), F.lit(False))
     event = F.when(seen("A") | seen("B"), "OFFICIAL_EVENT_PRESENT").when(seen("C") | seen("D"), "CORROBORATING_EVENT_PRESENT").when(seen("E"), "RUMOUR_ONLY_INVESTIGATE").otherwise("NO_EXPLANATION_FOUND")

@@ -1,11 +1,13 @@
 """The daily report on literal rows, held against a plain version of its rules."""
 
 import datetime as dt
+import random
 import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
+from tapeline.operators import anomaly
 from tapeline.operators import report as r
 
 D = dt.date(2024, 1, 1)
@@ -104,3 +106,34 @@ def test_the_watch_list_is_whole_and_raw_anomalies_are_twenty(spark):
     raw = sorted((x for x in got if x.ranking != "verified_watchlist"), key=lambda x: x.place)
     assert [x.symbol for x in watch] == [f"v{i:02}" for i in range(30)] and {x.missing_fields for x in watch} == {None}
     assert [x.symbol for x in raw] == [f"u{i:02}" for i in range(29, 9, -1)] and {x.missing_fields for x in raw} == {r.PROFILE_FIELDS}
+
+
+def test_trailing_medians_come_from_one_sorted_stream(spark):
+    """Medians and deviations by numpy equal a plain loop, with nulls and several batches, and no window sorts a list."""
+    rng = random.Random(4)
+    value = lambda: rng.choice([None, 1.0, 2.0, rng.random() * 9])
+    names = ["high", "low", *anomaly.MIDDLES]
+    rows = [(s, dt.date(2020, 1, 1) + dt.timedelta(days=i), *(value() for _ in names)) for s, n in (("a", 150), ("b", 1), ("c", 61), ("d", 40)) for i in range(n)]
+    series = spark.createDataFrame(rows, "symbol string, day date, " + ", ".join(f"{c} double" for c in names))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = {(x["symbol"], x["day"]): x for x in anomaly.with_history(series.repartition(5)).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(got) == len(rows)
+    for symbol, day, *_ in rows:
+        own = got[symbol, day]
+        behind = [x for x in rows if x[0] == symbol and day - dt.timedelta(days=60) <= x[1] < day]
+        assert own["i"] - 1 == (day - dt.date(2020, 1, 1)).days
+        for k, c in enumerate(names, 2):
+            have = [x[k] for x in behind if x[k] is not None]
+            if c in anomaly.MIDDLES:
+                assert own[f"n_{c}"] == len(have) and (not have or own[f"m_{c}"] == pytest.approx(statistics.median(have), abs=1e-12))
+            if c in anomaly.DEVIATIONS and have:
+                assert own[f"d_{c}"] == pytest.approx(statistics.median(abs(x - statistics.median(have)) for x in have), abs=1e-12)
+            if c in ("high", "low") and have:
+                assert own["top" if c == "high" else "bottom"] == (max if c == "high" else min)(have)
+    bars = series.select("symbol", "day", "low", "high", F.col("low").alias("open"), F.col("high").alias("close"), F.col("move").alias("was"), "volume", F.lit(1).alias("n"))
+    plan = anomaly.features_of(bars)._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile" not in plan and "collect_list" not in plan
