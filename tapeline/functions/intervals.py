@@ -50,13 +50,17 @@ def merged(ranges: DataFrame, keys: list[str]) -> DataFrame:
 def subtracted(bounds: DataFrame, holes: DataFrame, keys: list[str]) -> DataFrame:
     """keys, first, last: what is left of each key's one range when the days of all its holes go.
 
-    Holes are merged first; each then ends the part before it and begins the one behind it, so that a key of any
-    number of holes is one sort and nothing is gathered. Holes may lie outside, touch each other or hold the range."""
-    inner = merged(holes, keys).join(bounds.select(*keys, F.col("first").alias("low"), F.col("last").alias("high")), keys)
-    inner = inner.where("last >= low and first <= high")
-    order = Window.partitionBy(*keys).orderBy("first")
-    before = F.coalesce(F.date_add(F.lag("last").over(order), 1), F.col("low"))
-    parts = inner.select(*keys, before.alias("_first"), F.date_sub("first", 1).alias("_last"))
-    tail = inner.groupBy(*keys).agg(F.date_add(F.max("last"), 1).alias("_first"), F.max("high").alias("_last"))
-    whole = bounds.join(inner.select(*keys).distinct(), keys, "left_anti").select(*keys, F.col("first").alias("_first"), F.col("last").alias("_last"))
-    return parts.unionByName(tail).unionByName(whole).where("_first <= _last").select(*keys, F.col("_first").alias("first"), F.col("_last").alias("last"))
+    Holes follow each other by their starts, the days before and behind the range are holes too, and a part is what lies
+    between a hole and the furthest end so far: one sort of a key's holes, whatever their number, and nothing is gathered.
+    Holes may lie outside, touch each other or hold the range. Rows are dealt to the session's number of tasks: few bytes
+    when shuffled, they grow in a sort, and Spark would put all of them into one task."""
+    parts = int(bounds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = bounds.where("first <= last")
+    before = ranges.select(*keys, F.lit(None).cast("date").alias("first"), F.date_sub("first", 1).alias("last"), F.col("last").alias("high"))
+    behind = ranges.select(*keys, F.date_add("last", 1).alias("first"), F.date_add("last", 1).alias("last"), F.lit(None).cast("date").alias("high"))
+    inner = holes.where("first <= last").dropna(subset=keys).select(*keys, "first", "last", F.lit(None).cast("date").alias("high"))
+    order = Window.partitionBy(*keys).orderBy(F.asc_nulls_first("first"), "last")
+    marks = before.unionByName(behind).unionByName(inner).repartition(parts, *keys)
+    so_far = marks.withColumns({"_reach": F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1)), "_high": F.max("high").over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    left = so_far.where("first IS NOT NULL AND _high IS NOT NULL").select(*keys, F.date_add("_reach", 1).alias("_first"), F.least(F.date_sub("first", 1), F.col("_high")).alias("_last"))
+    return left.where("_first <= _last").select(*keys, F.col("_first").alias("first"), F.col("_last").alias("last"))

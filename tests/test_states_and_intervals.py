@@ -231,3 +231,12 @@ def test_portfolio_files_with_credentials_or_twice_are_refused(spark):
     frame = spark.createDataFrame([(p, c.encode()) for p, c in files], "path string, content binary")
     found = {r["path"]: (r["duplicate_of"], r["rows"], r["errors"], r["refused"], r["allowed"]) for r in uploads.portfolio_preview(frame).collect()}
     assert found == {"a.csv": (None, 1, 0, "", True), "b.csv": ("a.csv", 1, 0, "", False), "c.csv": (None, 1, 0, "api_key", False), "d.csv": (None, 1, 1, "", False), "e.csv": (None, 0, 0, "", False), "f.json": (None, 0, 1, "", False)}
+
+
+def test_subtracted_sorts_holes_once_in_all_tasks(spark):
+    ranges = spark.createDataFrame([(k, DAY, DAY + dt.timedelta(9)) for k in [None, *range(40)]], "k int, first date, last date")
+    holes = spark.createDataFrame([(k, DAY + dt.timedelta(2), DAY + dt.timedelta(3)) for k in [None, *range(40)]], "k int, first date, last date")
+    left = subtracted(ranges, holes, ["k"])
+    assert "Join" not in left._jdf.queryExecution().optimizedPlan().toString()
+    rows = left.withColumn("task", F.spark_partition_id()).collect()
+    assert len({r["task"] for r in rows}) == 4 and len(rows) == 81 and [r["last"] for r in rows if r["k"] is None] == [DAY + dt.timedelta(9)]
