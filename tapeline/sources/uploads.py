@@ -181,22 +181,33 @@ def file_rows(files: DataFrame) -> DataFrame:
     """path, member, line, fields, error of the rows of files (path, content): CSV, ZIP of CSV, JSON lists, XLSX. A file
     that can't be taken apart gives one row with its error, whatever its error; an empty one gives none.
 
-    A file is read twice, to its end before any of its rows goes out, and rows go out some at a time: a task holds a
-    file and one part of its rows."""
+    No row of a file goes out before its end was read; a file of more than ROWS_AT_ONCE rows is read twice for that.
+    Rows go out some at a time, those of small files together: a task holds a file and some parts of rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["path", "member", "line", "fields", "error"]
+        held = []
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 name, raw = path.rsplit("/", 1)[-1], bytes(content or b"")
+                rows = parsed(name, raw)
                 try:
-                    deque(parsed(name, raw), maxlen=0)
+                    part = list(islice(rows, ROWS_AT_ONCE))
+                    more = deque(rows, maxlen=1)
                 except UNREADABLE as error:
-                    yield pd.DataFrame([(path, None, None, None, (str(error) or type(error).__name__)[:200])], columns=columns)
-                    continue
-                rows = parsed(name, raw)
-                while part := [(path, member, line, fields, None) for member, line, fields in islice(rows, ROWS_AT_ONCE)]:
-                    yield pd.DataFrame(part, columns=columns)
+                    more = None
+                    held.append((path, None, None, None, (str(error) or type(error).__name__)[:200]))
+                else:
+                    held += [(path, *row, None) for row in part]
+                if len(held) >= ROWS_AT_ONCE or more:
+                    yield pd.DataFrame(held, columns=columns)
+                    held = []
+                if more:
+                    rows = islice(parsed(name, raw), ROWS_AT_ONCE, None)
+                    while part := [(path, *row, None) for row in islice(rows, ROWS_AT_ONCE)]:
+                        yield pd.DataFrame(part, columns=columns)
+        if held:
+            yield pd.DataFrame(held, columns=columns)
 
     return files.select("path", "content").mapInPandas(run, "path string, member string, line int, fields map<string,string>, error string")
 

@@ -130,3 +130,22 @@ def test_rebalances_keep_cash_and_whole_shares(spark):
     equity = {str(r["day"]): r["equity"] for r in rotation.curve(series, held).collect()}
     assert equity == {d: 1_000.0 for d in days[1:]}
     assert source.cyclic_bars(spark, 2).select("close").first()[0] == pytest.approx(201.0)
+
+
+def test_rows_of_small_files_go_out_together():
+    """An Arrow batch holds many small files' rows; a file whose end can't be read gives its error alone."""
+    import pandas as pd
+
+    from tapeline.sources import uploads
+
+    class Direct:
+        select = lambda self, *_: self
+        mapInPandas = lambda self, run, schema: list(run(iter([pd.DataFrame(files, columns=["path", "content"])])))
+
+    files = [(f"{k}.csv", b"a,b\n1,2\n3,4") for k in range(900)] + [("bad.csv", b"a\n1\n\xff"), ("none.csv", None), ("long.csv", b"a\n" + b"7\n" * 12_000), ("last.csv", b"a\n1")]
+    out = uploads.file_rows(Direct())
+    assert len(out) <= 5 and max(map(len, out)) < 2 * uploads.ROWS_AT_ONCE
+    every = [tuple(r) for part in out for r in part[["path", "line", "error"]].astype(object).where(lambda x: x.notna(), None).itertuples(index=False)]
+    assert [r[:2] for r in every if r[0] == "long.csv"] == [("long.csv", k) for k in range(2, 12_002)]
+    assert [r[:2] for r in every if r[0] not in ("long.csv", "bad.csv")] == [(f"{k}.csv", line) for k in range(900) for line in (2, 3)] + [("last.csv", 2)]
+    assert [r[1] for r in every if r[0] == "bad.csv"] == [None] and all((r[2] is not None) == (r[0] == "bad.csv") for r in every)
