@@ -6,8 +6,8 @@ is as long as asked for, and the match covers its units. They are read from suff
 
 Every window of `length` units has an anchor, its leftmost gram of smallest hash, so equal windows have equal
 anchors at equal offsets. The windows of one anchor stand next to each other and are its context. The contexts of
-one anchor make a block, and a block has one suffix array, in which a context that occurs several times stands
-twice, for its first place and for all others. An anchor that occurs once has no repeats. A block of more than
+one anchor make a block, and a block has one suffix array, into which a context that occurs several times enters once
+and then stands twice, for its first place and for all others. An anchor that occurs once has no repeats. A block of more than
 `most` contexts is halved by where its windows start, with a longer common string as its key; parts of contexts
 that have become equal are one context again, so that blocks end where they have one window start at the latest.
 Nothing is sampled. Anchors, contexts and keys are compared by 64-bit hashes, the strings themselves by their units.
@@ -18,6 +18,7 @@ rows with their spans are shuffled.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from tapeline.functions.folds import dealt
 from tapeline.llm.bitmap import Bitmap, bitmap
 from tapeline.llm.shared import Rolling, lowered, mixed, slices, texts, words, written
-from tapeline.llm.suffixes import Suffixes, factors, factors_elsewhere
+from tapeline.llm.suffixes import Suffixes, factors, factors_elsewhere, with_copies
 
 LENGTH = 400
 GRAM = 200
@@ -53,18 +54,23 @@ def anchors(rolling: Rolling, offsets: np.ndarray, length: int, gram: int) -> tu
     if not many.sum():
         return (np.zeros(0, np.int64),) * 3
     bits = np.uint64(int(len(grams)).bit_length())
-    n = -(-len(grams) // wide) * wide
-    value = np.full(n, np.iinfo(np.uint64).max, np.uint64)
-    value[: len(grams)] = grams >> bits << bits | np.arange(len(grams), dtype=np.uint64)
-    blocks = value.reshape(-1, wide)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    starts = np.repeat(offsets[:-1] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-    least = np.minimum(behind[starts], ahead[starts + wide - 1])
+    least = _least((grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64), wide)
     place = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    last = np.concatenate([first[1:], [len(place)]]) - 1
-    return place[first], starts[first], starts[last]
+    new = np.zeros(len(place) + 1, bool)  # where a run of windows begins: those of one anchor, or those across rows
+    new[1:-1] = place[1:] != place[:-1]
+    new[offsets[:-1][many > 0]] = new[(offsets[:-1] + many)[many > 0]] = new[-1] = True
+    edges = np.flatnonzero(new)
+    row = np.searchsorted(offsets, edges[:-1], side="right") - 1
+    first = np.flatnonzero(edges[:-1] < (offsets[:-1] + many)[row])
+    return place[edges[first]], edges[first], edges[first + 1] - 1
+
+
+def _least(value: np.ndarray, wide: int) -> np.ndarray:
+    """The least of each `wide` values that follow each other."""
+    least, have = value, 1
+    while 2 * have <= wide:
+        least, have = np.minimum(least[:-have], least[have:]), 2 * have
+    return np.minimum(least[: len(value) - wide + 1], least[wide - have :]) if have < wide else least
 
 
 class Layout:
@@ -89,12 +95,14 @@ def _row_id():
     return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
 
 
-def _scan(documents: DataFrame, layout: Layout, emit, schema: str) -> DataFrame:
+def _scan(documents: DataFrame, layout: Layout, emit, schema: str, only=None) -> DataFrame:
     """emit(units, offsets, batch, rolling, at, row, start, end) makes the output of a slice of texts: its anchors
-    at `at` of the rows `row`, with their contexts from start to end."""
+    at `at` of the rows `row`, with their contexts from start to end. Rows that are not in `only` are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if only is not None:
+                batch = batch.filter(pa.array(only.value.has(np.asarray(batch.column("row")))))
             for part in slices(batch.column("text"), _SLICE):
                 units, offsets = layout.units(part.data, part.offsets)
                 rolling = Rolling(units)
@@ -148,8 +156,8 @@ _STRINGS = "key long, context long, doc_id long, row long, pos int, place long,
 _NAMES = [x.split()[0] for x in _STRINGS.split(", ")]
 
 
-def _units_of(documents: DataFrame, layout: Layout, wanted, among) -> DataFrame:
-    """The units of the contexts of wanted places among some anchors; what else a row of _STRINGS has is null."""
+def _units_of(documents: DataFrame, layout: Layout, wanted, among, only) -> DataFrame:
+    """The units of the contexts of wanted places among some anchors, of some rows; what else a row of _STRINGS has is null."""
 
     def emit(units, offsets, batch, rolling, at, row, start, end):
         rows = np.asarray(batch.column("row"))[row]
@@ -164,7 +172,7 @@ def _units_of(documents: DataFrame, layout: Layout, wanted, among) -> DataFrame:
             pa.array([small[x:y].tobytes() for x, y in zip(start, end, strict=True)], pa.binary()),
         ], _NAMES)
 
-    return _scan(documents, layout, emit, _STRINGS)
+    return _scan(documents, layout, emit, _STRINGS, only)
 
 
 def _joined(held: pa.Table) -> pa.Table:
@@ -221,24 +229,26 @@ def longest(held: pa.Table, layout: Layout, by: str) -> tuple[np.ndarray, ...]:
     size = layout.kind.itemsize
     first = np.maximum(low + shift, 0)  # units that the key's windows have
     last = np.minimum(high + shift + layout.length, np.diff(part.offsets) // size)
-    number = np.repeat(np.arange(len(n)), np.where(n > 1, 2, 1))
-    other = np.concatenate([[False], number[1:] == number[:-1]])
-    lengths = (last - first)[number] + 1
+    lengths = last - first + 1
     begins = np.cumsum(lengths) - lengths
     units = np.zeros(int(lengths.sum()), layout.kind)
     flat = np.frombuffer(part.data.tobytes(), layout.kind)
     at = np.ones(len(units), bool)
     at[begins + lengths - 1] = False
-    take = np.repeat(part.offsets[:-1][number] // size + first[number] - begins, lengths) + np.arange(len(units))
+    take = np.repeat(part.offsets[:-1] // size + first - begins, lengths) + np.arange(len(units))
     units[at] = flat[take[at]]
     suffixes = Suffixes(units, np.repeat(begins + lengths - 1, lengths), layout.length)
-    shared = suffixes.shared(layout.length)
+    order, shared = with_copies(suffixes, suffixes.shared(layout.length), lengths, n > 1)
+    number = np.repeat(np.arange(len(n)), np.where(n > 1, 2, 1))
+    other = np.concatenate([[False], number[1:] == number[:-1]])
+    lengths = lengths[number]
+    begins = np.cumsum(lengths) - lengths
     if by == "row":
         rows = np.unique(np.asarray(held.column("row")), return_inverse=True)[1]
         owner = np.where(other & np.asarray(held.column("several"))[number], -1 - np.arange(len(number)), rows[number])
-        found = factors_elsewhere(suffixes.order, shared, np.repeat(owner, lengths))
+        found = factors_elsewhere(order, shared, np.repeat(owner, lengths))
     else:
-        earlier, later = factors(suffixes.order, shared, layout.length)
+        earlier, later = factors(order, shared, layout.length)
         found = earlier if by == "earlier" else np.maximum(earlier, later)
     return number, other, begins, lengths - 1, found, first - shift
 
@@ -345,35 +355,43 @@ def repeated_ranges(documents: DataFrame, *, length: int = LENGTH, gram: int = G
     contexts = written(contexts.select("key", "context", *(F.col(f"first.{c}").alias(c) for c in ("doc_id", "row", "pos", "place")), "n", "several"), "repeat-contexts")
     blocks = written(contexts.groupBy("key").agg(F.count("*").alias("contexts"), F.sum("n").alias("n")).where("n > 1"), "repeat-blocks")
     met = contexts.join(blocks.select("key"), "key", "left_semi")
-    wanted = spark.sparkContext.broadcast(bitmap(written(met.select("place"), "repeat-wanted")))
+    firsts = written(met.select("key", "row", "place"), "repeat-wanted")
+    wanted = spark.sparkContext.broadcast(bitmap(firsts.select("place")))
     none = {"low": "int", "high": "int", "shift": "int", "units": "binary"}
-    strings = _units_of(documents, layout, wanted, among).unionByName(met.select("*", *(F.lit(None).cast(t).alias(c) for c, t in none.items())))
+
+    def strings(known: DataFrame, rows: DataFrame) -> DataFrame:
+        only = spark.sparkContext.broadcast(bitmap(rows.select("row")))
+        return _units_of(documents, layout, wanted, among, only).unionByName(known.select("*", *(F.lit(None).cast(t).alias(c) for c, t in none.items())))
+
     large = blocks.where(F.col("contexts") > most).select("key")
-    many = large.count()
-    if not many:
-        found = _compared(strings, layout, by)
-        return _placed(places, found, layout)
-    large = F.broadcast(large) if many <= _FEW else large  # so that the strings are shuffled once
-    found = _placed(places, _compared(strings.join(large, "key", "left_anti"), layout, by), layout)
-    rows = written(_whole(strings.join(large, "key", "left_semi")), "repeat-strings")
-    parts = rows.select(F.col("context").alias("root"), "context")
-    while True:
+    if large.isEmpty():
+        return _placed(places, _compared(strings(met, firsts), layout, by), layout)
+    large = _few(large)  # so that the strings are shuffled once
+    found = _compared(strings(met, firsts).join(large, "key", "left_anti"), layout, by)
+    rows = written(_whole(strings(met, firsts.join(large, "key", "left_semi")).join(large, "key", "left_semi")), "repeat-strings")
+    parts, small, roots = rows.select(F.col("context").alias("root"), "context"), [], []
+    while not rows.isEmpty():
         halves = written(_halved(rows, layout), "repeat-halves")
         parts = parts.join(halves.select(F.col("parent").alias("context"), F.col("context").alias("part")).distinct(), "context").select("root", F.col("part").alias("context"))
         parts = written(parts, "repeat-parts")
         rows = written(_once(halves), "repeat-strings")
         sizes = written(rows.groupBy("key").agg(F.count("*").alias("contexts"), F.sum("n").alias("n")).where("n > 1"), "repeat-blocks")
-        small = rows.join(sizes.where(F.col("contexts") <= most).select("key"), "key", "left_semi")
-        found = found.unionByName(_placed(places, _compared(small, layout, by), layout, parts))
-        rows = rows.join(sizes.where(F.col("contexts") > most).select("key"), "key", "left_semi")
-        if rows.isEmpty():
-            return found
+        small.append(rows.join(_few(sizes.where(F.col("contexts") <= most).select("key")), "key", "left_semi"))
+        roots.append(parts)
+        rows = rows.join(_few(sizes.where(F.col("contexts") > most).select("key")), "key", "left_semi")
+    # keys and contexts of one halving are none of another's
+    halved, parts = (functools.reduce(DataFrame.unionByName, x) for x in (small, roots))
+    halved = _compared(halved, layout, by).join(parts, "context").drop("context").withColumnRenamed("root", "context")
+    return _placed(places, found.unionByName(halved), layout)
+
+
+def _few(keys: DataFrame) -> DataFrame:
+    """The keys, broadcast by a join unless they are very many."""
+    return F.broadcast(keys) if keys.count() <= _FEW else keys
 
 
-def _placed(places: DataFrame, found: DataFrame, layout: Layout, parts: DataFrame | None = None) -> DataFrame:
-    """row, start, end of the ranges around the anchors of all places of the contexts, or of what contexts they had."""
-    if parts is not None:
-        found = found.join(parts, "context").drop("context").withColumnRenamed("root", "context")
+def _placed(places: DataFrame, found: DataFrame, layout: Layout) -> DataFrame:
+    """row, start, end of the ranges around the anchors of all places of the contexts."""
     met = places.select("context", "place", "row", "pos").join(found, "context").where((F.col("place") != F.col("first")) == F.col("other"))
     return met.select("row", (F.col("pos") + F.col("low")).alias("start"), (F.col("pos") + F.col("high")).alias("end"))
 

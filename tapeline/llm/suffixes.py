@@ -82,6 +82,23 @@ class Suffixes:
         return np.concatenate([[0], common])[: len(self.order)]
 
 
+def with_copies(suffixes: Suffixes, shared: np.ndarray, lengths: np.ndarray, twice: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """order and shared, of all strings, as if some of them stood twice, the second right after the first: a suffix of
+    the second follows that of the first in order and has all of it in common.
+
+    lengths are the strings' with their separators, shared what Suffixes.shared() gives."""
+    string = np.repeat(np.arange(len(lengths)), lengths)
+    shift = np.cumsum(np.where(twice, 2, 1) * lengths) - np.where(twice, 2, 1) * lengths - (np.cumsum(lengths) - lengths)
+    own = string[suffixes.order]
+    again = twice[own]
+    at = np.cumsum(1 + again) - 1 - again
+    order, common = (np.empty(len(own) + int(again.sum()), np.int64) for _ in range(2))
+    order[at], common[at] = suffixes.order + shift[own], shared
+    order[at[again] + 1] = order[at[again]] + lengths[own[again]]
+    common[at[again] + 1] = suffixes.left[suffixes.order[again]]
+    return order, common
+
+
 def _to_smaller(value: np.ndarray, shared: np.ndarray, least: int) -> np.ndarray:
     """For each rank, what it shares with the nearest rank before it of smaller value."""
     n = len(value)

@@ -176,6 +176,36 @@ def test_factors_equal_brute_force(kind):
             assert [earlier[at], later[at], elsewhere[at]] == longest
 
 
+def test_copies_enter_a_suffix_array_once(monkeypatch):
+    rng = random.Random(2)
+    for _ in range(40):
+        strings = [[rng.choice([0, 1, 255]) for _ in range(rng.randint(1, 25))] for _ in range(rng.randint(1, 6))]
+        twice = np.array([rng.random() < 0.5 for _ in strings])
+        both = [x for x, t in zip(strings, twice, strict=True) for _ in range(1 + t)]
+        found = []
+        for some in (strings, both):
+            lengths = np.array([len(x) + 1 for x in some])
+            array = suffixes.Suffixes(np.concatenate([np.array([*x, 0], np.uint8) for x in some]), np.repeat(np.cumsum(lengths) - 1, lengths), 30)
+            order, shared = array.order, array.shared()
+            if some is strings:
+                order, shared = suffixes.with_copies(array, shared, lengths, twice)
+            found.append([x.tolist() for x in suffixes.factors(order, shared)])
+        assert found[0] == found[1]
+    sizes, made = [], suffixes.Suffixes
+    monkeypatch.setattr(repeats, "Suffixes", lambda units, ends, length: sizes.append(len(units)) or made(units, ends, length))
+    held = pa.table({"key": [1], "context": [1], "doc_id": [1], "row": [1], "n": [2], "several": [True], "low": [-4], "high": [0], "shift": [4], "units": pa.array([b"zabcdefgh"], pa.binary())})
+    assert (repeats.longest(held, repeats.Layout(8, 4), "any")[4] >= 8).sum() == 4 and sizes == [10]
+
+
+def test_repeats_of_all_halvings_are_placed_at_once(spark, monkeypatch):
+    calls, placed = [], repeats._placed
+    monkeypatch.setattr(repeats, "_placed", lambda *x: calls.append(x) or placed(*x))
+    rows = [(i, t) for i, (_, t) in enumerate(repeat_rows())]
+    found = cut(repeats.without_repeats(frame(spark, rows), length=20, gram=10, by="any", most=2))
+    assert found == Counter((rows[i][0], *x) for i, x in brute_repeats(rows, 20).items())
+    assert len(calls) == 1
+
+
 @pytest.mark.parametrize("most", [500, 3])
 def test_repeats_keep_the_first(spark, most):
     rng = random.Random(8)
