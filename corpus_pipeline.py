@@ -17,7 +17,7 @@ from tapeline.llm.decontamination import leaks
 from tapeline.llm.jaccard_join import jaccard_classes
 from tapeline.llm.secrets_scan import fit_forest, redacted
 from tapeline.llm.shared import held_out, scratch
-from tapeline.llm.toxicity import toxicity_model, with_toxicity
+from tapeline.llm.toxicity import toxicity_scorer, with_toxicity
 from tapeline.shipping import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -40,7 +40,7 @@ def batches_of(spark: SparkSession, size: str) -> Iterator[None]:
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents whose toxicity is below a half, by a model of the labelled ones outside the held-out fifth."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scorer = toxicity_model(docs, labels, train=~held_out(5, 0))
+    scorer = toxicity_scorer(docs, labels, train=~held_out(5, 0))
     return with_toxicity(docs.select(COLUMNS), scorer).where("toxicity < 0.5").select(COLUMNS)
 
 

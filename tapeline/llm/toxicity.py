@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeline.llm.quality import labelled
-from tapeline.llm.shared import Rolling, Slice, gathered, hashed, held_out, letter_words, lowered, release, slices, sums_by_row, texts, written
+from tapeline.llm.shared import Rolling, Slice, gathered, hashed, held_out, letter_words, lowered, release, released, slices, sums_by_row, texts, written
 
 #: About so many labelled texts fit the model, a third of them of the rarer label where there are enough.
 TRAIN_ROWS = 6_000
@@ -172,12 +172,8 @@ def fit(many: list[str], y: np.ndarray, weight: np.ndarray, *, steps: int = 100,
     return Scorer(float(b[1, 0] - b[0, 0]), row)
 
 
-def toxicity_model(documents: DataFrame, labels: DataFrame, *, train: Column, train_rows: int = TRAIN_ROWS) -> Scorer:
-    """A scorer fitted on about train_rows labelled texts that meet the condition `train`, chosen by a hash of
-    doc_id for each label; their weights restore the labels' shares.
-
-    Of several texts of a doc_id one is taken, whichever rows there are, texts above TRAIN_TEXT bytes are not, and
-    of the others those of smallest hash that TRAIN_BYTES hold, so that the driver's part has a bound in bytes."""
+def _sample(documents: DataFrame, labels: DataFrame, train: Column, train_rows: int) -> tuple[DataFrame, dict[int, int]]:
+    """doc_id, text, label of the labelled texts that a model is fitted on, and how many rows each label has in all."""
     known = labels.where(train)
     total = {r["toxic"]: r["count"] for r in known.where(F.col("toxic").isin(0, 1)).groupBy("toxic").count().collect()}
     rare = min(total, key=lambda k: (total[k], k), default=1)
@@ -188,10 +184,40 @@ def toxicity_model(documents: DataFrame, labels: DataFrame, *, train: Column, tr
     rows = written(found[0].unionByName(found[1]).groupBy("doc_id").agg(one).select("doc_id", "x.*", hashed("doc_id").alias("place")), "toxicity-sample")
     sizes = rows.select("place", F.octet_length("text").alias("bytes")).toPandas().sort_values("place")  # about train_rows numbers
     last = sizes["place"][sizes["bytes"].cumsum() <= TRAIN_BYTES].max()
-    sample = rows.where(F.col("place") <= (int(last) if len(sizes) else 0)).select("doc_id", "text", "label").toPandas().sort_values("doc_id", ignore_index=True)
+    return rows.where(F.col("place") <= (int(last) if len(sizes) else 0)).select("doc_id", "text", "label"), total
+
+
+def _weights(y: np.ndarray, total: dict[int, int]) -> np.ndarray:
+    return np.array([total.get(k, 0) / max(1, (y == k).sum()) for k in (0, 1)])[y] if len(y) else np.zeros(0)
+
+
+def toxicity_model(documents: DataFrame, labels: DataFrame, *, train: Column, train_rows: int = TRAIN_ROWS) -> Scorer:
+    """A scorer fitted on about train_rows labelled texts that meet the condition `train`, chosen by a hash of
+    doc_id for each label; their weights restore the labels' shares.
+
+    Of several texts of a doc_id one is taken, whichever rows there are, texts above TRAIN_TEXT bytes are not, and
+    of the others those of smallest hash that TRAIN_BYTES hold, so that the part of whoever fits has a bound in bytes:
+    the driver here, a task in toxicity_scorer()."""
+    rows, total = _sample(documents, labels, train, train_rows)
+    sample = rows.toPandas().sort_values("doc_id", ignore_index=True)
     y = sample["label"].to_numpy(np.int64)
-    weight = np.array([total.get(k, 0) / max(1, (y == k).sum()) for k in (0, 1)])[y] if len(y) else np.zeros(0)
-    return fit(sample.pop("text").tolist(), y, weight)
+    return fit(sample.pop("text").tolist(), y, _weights(y, total))
+
+
+def toxicity_scorer(documents: DataFrame, labels: DataFrame, *, train: Column, train_rows: int = TRAIN_ROWS) -> Scorer:
+    """The scorer of toxicity_model(), fitted in a task: the driver gets a number for each hashed row, and no text."""
+    rows, total = _sample(documents, labels, train, train_rows)
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if held:
+            sample = pa.Table.from_batches(held).sort_by("doc_id")
+            y = sample.column("label").to_numpy().astype(np.int64)
+            scorer = fit(sample.column("text").to_pylist(), y, _weights(y, total))
+            yield pa.record_batch([pa.array([scorer.bias]), pa.array([scorer.row.tobytes()])], ["bias", "row"])
+
+    made = rows.coalesce(1).mapInArrow(released(fitted), "bias double, row binary").first()
+    return Scorer(made["bias"], np.frombuffer(made["row"], np.float32)) if made else fit([], np.zeros(0, np.int64), np.zeros(0))
 
 
 def toxicity_of(spark: SparkSession, scorer: Scorer, text: Column) -> Column:
@@ -218,5 +244,5 @@ def with_toxicity(documents: DataFrame, scorer: Scorer) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score for every text of documents."""
     documents, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    scores = with_toxicity(documents.select("doc_id", "text"), toxicity_model(documents, labels, train=~held_out(5, 0)))
+    scores = with_toxicity(documents.select("doc_id", "text"), toxicity_scorer(documents, labels, train=~held_out(5, 0)))
     return scores.select("doc_id", held_out(5, 0).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))

@@ -2,6 +2,7 @@
 
 import bisect
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -257,6 +258,18 @@ def test_contract_of_columns(spark):
         assert frame.where(F.col(wanted.split()[0]).isNull()).isEmpty()
 
 
+def test_toxicity_is_fitted_in_a_task(spark, monkeypatch):
+    """The operator's query fits the model of toxicity_model() without the driver's hands."""
+    documents = spark.createDataFrame([(k, f"word{k % 11} {'bad' if k % 3 else 'good'}") for k in range(300)] + [(None, "none")], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(k, int(k % 3 > 0)) for k in range(300)], "doc_id long, toxic int")
+    plain = toxicity.toxicity_model(documents, labels, train=F.lit(True))
+    here, driver = toxicity.fit, os.getpid()
+    monkeypatch.setattr(toxicity, "fit", lambda many, *x: here(many, *x) if not many or os.getpid() != driver else pytest.fail("fitted in the driver"))
+    found = toxicity.toxicity_scorer(documents, labels, train=F.lit(True))
+    assert found.bias == plain.bias and np.array_equal(found.row, plain.row) and found.row.any()
+    assert toxicity.toxicity_scorer(documents, labels.where("false"), train=F.lit(True)).bias == 0
+
+
 def test_toxicity_sample_has_a_bound_in_bytes(spark, monkeypatch):
     """One text of a doc_id however many rows it has, none above a size, and no more than the bytes of all."""
     rows = [(1, f"text {k % 7}") for k in range(20_000)] + [(2, "x" * ((1 << 20) + 1))] + [(k, f"word {k} " * 400) for k in range(3, 60)] + [(None, "none"), (60, None)]
