@@ -238,18 +238,23 @@ def longest(held: pa.Table, layout: Layout, by: str) -> tuple[np.ndarray, ...]:
     take = np.repeat(part.offsets[:-1] // size + first - begins, lengths) + np.arange(len(units))
     units[at] = flat[take[at]]
     suffixes = Suffixes(units, np.repeat(begins + lengths - 1, lengths), layout.length)
-    order, shared = with_copies(suffixes, suffixes.shared(layout.length), lengths, n > 1)
+    order, shared = with_copies(suffixes, suffixes.shared(layout.length), lengths, n > 1, layout.length)
     number = np.repeat(np.arange(len(n)), np.where(n > 1, 2, 1))
     other = np.concatenate([[False], number[1:] == number[:-1]])
     lengths = lengths[number]
     begins = np.cumsum(lengths) - lengths
+    long = np.zeros(int(lengths.sum()), bool)  # places of suffixes that can have such factors: they alone are compared
+    long[order] = True
+    order = (np.cumsum(long) - 1)[order]
     if by == "row":
         rows = np.unique(np.asarray(held.column("row")), return_inverse=True)[1]
         owner = np.where(other & np.asarray(held.column("several"))[number], -1 - np.arange(len(number)), rows[number])
-        found = factors_elsewhere(order, shared, np.repeat(owner, lengths))
+        met = factors_elsewhere(order, shared, np.repeat(owner, lengths)[long])
     else:
         earlier, later = factors(order, shared, layout.length)
-        found = earlier if by == "earlier" else np.maximum(earlier, later)
+        met = earlier if by == "earlier" else np.maximum(earlier, later)
+    found = np.zeros(len(long), np.int64)
+    found[long] = met
     return number, other, begins, lengths - 1, found, first - shift
 
 
@@ -351,24 +356,24 @@ def repeated_ranges(documents: DataFrame, *, length: int = LENGTH, gram: int = G
     among = spark.sparkContext.broadcast(repeated_anchors(documents, layout))
     places = written(occurrences(documents, layout, among), "repeat-places")
     own = F.min(F.struct("doc_id", "row", "pos", "place")).alias("first")
-    contexts = places.groupBy("context").agg(F.first("anchor").alias("key"), own, F.count("*").alias("n"), (F.min("row") != F.max("row")).alias("several"))
+    several = F.min("row") != F.max("row") if by == "row" else F.lit(False)  # asked for by rows alone
+    contexts = places.groupBy("context").agg(F.first("anchor").alias("key"), own, F.count("*").alias("n"), several.alias("several"))
     contexts = written(contexts.select("key", "context", *(F.col(f"first.{c}").alias(c) for c in ("doc_id", "row", "pos", "place")), "n", "several"), "repeat-contexts")
     blocks = written(contexts.groupBy("key").agg(F.count("*").alias("contexts"), F.sum("n").alias("n")).where("n > 1"), "repeat-blocks")
-    met = contexts.join(blocks.select("key"), "key", "left_semi")
-    firsts = written(met.select("key", "row", "place"), "repeat-wanted")
-    wanted = spark.sparkContext.broadcast(bitmap(firsts.select("place")))
+    met = written(contexts.join(blocks.select("key"), "key", "left_semi"), "repeat-wanted")
+    wanted = spark.sparkContext.broadcast(bitmap(met.select("place")))
     none = {"low": "int", "high": "int", "shift": "int", "units": "binary"}
 
-    def strings(known: DataFrame, rows: DataFrame) -> DataFrame:
-        only = spark.sparkContext.broadcast(bitmap(rows.select("row")))
+    def strings(known: DataFrame) -> DataFrame:
+        only = spark.sparkContext.broadcast(bitmap(known.select("row")))
         return _units_of(documents, layout, wanted, among, only).unionByName(known.select("*", *(F.lit(None).cast(t).alias(c) for c, t in none.items())))
 
     large = blocks.where(F.col("contexts") > most).select("key")
     if large.isEmpty():
-        return _placed(places, _compared(strings(met, firsts), layout, by), layout)
+        return _placed(places, _compared(strings(met), layout, by), layout)
     large = _few(large)  # so that the strings are shuffled once
-    found = _compared(strings(met, firsts).join(large, "key", "left_anti"), layout, by)
-    rows = written(_whole(strings(met, firsts.join(large, "key", "left_semi")).join(large, "key", "left_semi")), "repeat-strings")
+    found = _compared(strings(met).join(large, "key", "left_anti"), layout, by)
+    rows = written(_whole(strings(met.join(large, "key", "left_semi")).join(large, "key", "left_semi")), "repeat-strings")
     parts, small, roots = rows.select(F.col("context").alias("root"), "context"), [], []
     while not rows.isEmpty():
         halves = written(_halved(rows, layout), "repeat-halves")
@@ -397,7 +402,7 @@ def _placed(places: DataFrame, found: DataFrame, layout: Layout) -> DataFrame:
 
 
 def _packed(ranges: DataFrame, name: str) -> DataFrame:
-    return ranges.distinct().groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias(name))
+    return ranges.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias(name))
 
 
 def _merged(ranges: list[dict] | None) -> list[tuple[int, int]]:

@@ -37,29 +37,26 @@ class Suffixes:
         alone = (self.left < width)[self.order]
         new[1:] = (key[1:] != key[:-1]) | alone[1:] | alone[:-1]
         self.new = [new]  # where in order a rank begins, by doubling: the order within a rank is all that changes later
-        self.levels = [(width, self._ranks(self.order, new))]
+        rank = np.empty(n, np.int32)  # for each suffix, where in order its rank begins
+        rank[self.order] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), 0))
+        self.levels = [(width, rank)]
         while width < length:
             open_ = ~new
             open_[:-1] |= open_[1:]
             slots = np.flatnonzero(open_)  # suffixes that share their rank
             if not len(slots):
                 break
-            own, rank = self.order[slots], self.levels[-1][1]
+            own = self.order[slots]
             key = rank[own].astype(np.int64) * n + rank[np.minimum(own + width, n - 1)]
             order = np.argsort(key)
             key = key[order]
-            self.order[slots] = own[order]
-            new = new.copy()
+            self.order[slots] = own = own[order]
+            new, rank = new.copy(), rank.copy()
             new[slots[1:]] |= key[1:] != key[:-1]
+            rank[own] = np.maximum.accumulate(np.where(new[slots], slots, 0))
             width *= 2
             self.new.append(new)
-            self.levels.append((width, self._ranks(self.order, new)))
-
-    @staticmethod
-    def _ranks(order: np.ndarray, new: np.ndarray) -> np.ndarray:
-        rank = np.empty(len(order), np.int32)
-        rank[order] = np.cumsum(new, dtype=np.int32) - 1
-        return rank
+            self.levels.append((width, rank))
 
     def shared(self, least: int = 0) -> np.ndarray:
         """What each suffix has in common with the one before it in order, 0 for the first; of suffixes that the
@@ -82,20 +79,23 @@ class Suffixes:
         return np.concatenate([[0], common])[: len(self.order)]
 
 
-def with_copies(suffixes: Suffixes, shared: np.ndarray, lengths: np.ndarray, twice: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def with_copies(suffixes: Suffixes, shared: np.ndarray, lengths: np.ndarray, twice: np.ndarray, least: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """order and shared, of all strings, as if some of them stood twice, the second right after the first: a suffix of
     the second follows that of the first in order and has all of it in common.
 
-    lengths are the strings' with their separators, shared what Suffixes.shared() gives."""
+    lengths are the strings' with their separators, shared what Suffixes.shared() gives. Suffixes of less than `least`
+    units are left out; those around them have less than that in common."""
+    kept = np.flatnonzero((suffixes.left >= least)[suffixes.order])
+    single, shared = suffixes.order[kept], shared[kept]
     string = np.repeat(np.arange(len(lengths)), lengths)
     shift = np.cumsum(np.where(twice, 2, 1) * lengths) - np.where(twice, 2, 1) * lengths - (np.cumsum(lengths) - lengths)
-    own = string[suffixes.order]
+    own = string[single]
     again = twice[own]
     at = np.cumsum(1 + again) - 1 - again
     order, common = (np.empty(len(own) + int(again.sum()), np.int64) for _ in range(2))
-    order[at], common[at] = suffixes.order + shift[own], shared
+    order[at], common[at] = single + shift[own], shared
     order[at[again] + 1] = order[at[again]] + lengths[own[again]]
-    common[at[again] + 1] = suffixes.left[suffixes.order[again]]
+    common[at[again] + 1] = suffixes.left[single[again]]
     return order, common
 
 
