@@ -13,7 +13,7 @@ that have become equal are one context again, so that blocks end where they have
 Nothing is sampled. Anchors, contexts and keys are compared by 64-bit hashes, the strings themselves by their units.
 
 Texts are read in place for each step; only hashes, the different contexts of repeated anchors and, at the end, the
-rows with their spans are shuffled.
+rows that have spans are shuffled.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ GRAM = 200
 PASSAGE = 50
 #: Contexts that one suffix array may hold.
 MOST = 500
-_BATCH = 1 << 18
+_BATCH = 1 << 17
 _ROWS = 512
 _FEW = 1 << 20
 _SLICE = 1 << 20
@@ -150,8 +150,8 @@ def occurrences(documents: DataFrame, layout: Layout, wanted) -> DataFrame:
     return _scan(documents, layout, emit, "row long, doc_id long, pos int, place long, anchor long, context long")
 
 
-#: A context, or the part of it that belongs to a key: its first place, how many places it has and whether in several
-#: rows, the units from `shift` before the anchor on, of which windows start between low and high around the anchor.
+#: A context, or the part of it that belongs to a key: its first place (any one of them, without doc_id and pos, unless
+#: "earlier" is asked for), how many places it has and whether in several rows, the units from `shift` before the anchor on, of which windows start between low and high around the anchor.
 _STRINGS = "key long, context long, doc_id long, row long, pos int, place long, n long, several boolean, low int, high int, shift int, units binary"
 _NAMES = [x.split()[0] for x in _STRINGS.split(", ")]
 
@@ -355,7 +355,10 @@ def repeated_ranges(documents: DataFrame, *, length: int = LENGTH, gram: int = G
     spark = documents.sparkSession
     among = spark.sparkContext.broadcast(repeated_anchors(documents, layout))
     places = written(occurrences(documents, layout, among), "repeat-places")
-    own = F.min(F.struct("doc_id", "row", "pos", "place")).alias("first")
+    if by == "earlier":
+        own = F.min(F.struct("doc_id", "row", "pos", "place")).alias("first")
+    else:  # any of its places will do as the first; aggregates of longs alone need no sort
+        own = F.struct(F.lit(None).cast("long").alias("doc_id"), F.min_by("row", "place").alias("row"), F.lit(None).cast("int").alias("pos"), F.min("place").alias("place")).alias("first")
     several = F.min("row") != F.max("row") if by == "row" else F.lit(False)  # asked for by rows alone
     contexts = places.groupBy("context").agg(F.first("anchor").alias("key"), own, F.count("*").alias("n"), several.alias("several"))
     contexts = written(contexts.select("key", "context", *(F.col(f"first.{c}").alias(c) for c in ("doc_id", "row", "pos", "place")), "n", "several"), "repeat-contexts")
@@ -401,18 +404,44 @@ def _placed(places: DataFrame, found: DataFrame, layout: Layout) -> DataFrame:
     return met.select("row", (F.col("pos") + F.col("low")).alias("start"), (F.col("pos") + F.col("high")).alias("end"))
 
 
-def _packed(ranges: DataFrame, name: str) -> DataFrame:
-    return ranges.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias(name))
+def _merged(held: pa.Table) -> pa.RecordBatch:
+    """row, edges (starts and ends of the maximal ranges of bytes, in turn), shared (units in its passages) of ranges
+    in the order of row, passage and start."""
+    row, passage, start, end = (np.asarray(held.column(c)).astype(np.int64) for c in ("row", "passage", "start", "end"))
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (passage[1:] != passage[:-1])
+    far = (np.cumsum(new) - 1) * (int(end.max()) + 1)
+    reach = np.maximum.accumulate(end + far) - far  # as far as the ranges up to this one of its row
+    new[1:] |= start[1:] > reach[:-1]
+    first = np.flatnonzero(new)
+    row, passage, start, end = row[first], passage[first] != 0, start[first], reach[np.append(first[1:], len(reach)) - 1]
+    rows, own = np.unique(row, return_inverse=True)
+    edges = np.stack([start, end], 1)[~passage].ravel().astype(np.int32)
+    offsets = np.concatenate([[0], np.cumsum(2 * np.bincount(own[~passage], minlength=len(rows)))]).astype(np.int32)
+    shared = np.zeros(len(rows), np.int64)
+    np.add.at(shared, own[passage], (end - start)[passage])
+    return pa.record_batch([pa.array(rows), pa.ListArray.from_arrays(pa.array(offsets), pa.array(edges)), pa.array(shared)], ["row", "edges", "shared"])
+
+
+def _spans(ranges: DataFrame) -> DataFrame:
+    """row, edges and shared of every row that has ranges (row, passage, start, end)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            new = pa.Table.from_batches([batch])
+            held = pa.concat_tables([held, new]) if held is not None else new
+            row = np.asarray(held.column("row"))
+            cut = int(np.searchsorted(row, row[-1])) if len(row) else 0
+            if cut:
+                yield _merged(held.slice(0, cut))
+                held = held.slice(cut)
+        if held is not None and held.num_rows:
+            yield _merged(held)
 
-def _merged(ranges: list[dict] | None) -> list[tuple[int, int]]:
-    spans: list[tuple[int, int]] = []
-    for a, b in sorted((r["start"], r["end"]) for r in ranges or ()):
-        if spans and a <= spans[-1][1]:
-            spans[-1] = (spans[-1][0], max(spans[-1][1], b))
-        else:
-            spans.append((a, b))
-    return spans
+    parts = int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    whole = dealt(ranges, "row", parts=parts).sortWithinPartitions("row", "passage", "start")
+    return whole.mapInArrow(run, "row long, edges array<int>, shared long")
 
 
 def without_repeats(documents: DataFrame, *, length: int = LENGTH, gram: int = GRAM, by: str = "earlier", most: int = MOST, passage: int | None = None) -> DataFrame:
@@ -421,29 +450,43 @@ def without_repeats(documents: DataFrame, *, length: int = LENGTH, gram: int = G
     words or more (lower-cased, whatever the white space between them) that another row has too; without, it is null.
 
     Null texts count as empty; texts shorter than `length` lose nothing. kept is binary, as a cut may part a
-    character's bytes. What equal rows lose is said at repeated_ranges()."""
-    cut = _packed(repeated_ranges(documents, length=length, gram=gram, by=by, most=most), "ranges")
-    rows = texts(documents, _row_id().alias("row")).join(cut, "row", "left")
+    character's bytes. What equal rows lose is said at repeated_ranges(). Texts without ranges are not shuffled."""
+    ranges = repeated_ranges(documents, length=length, gram=gram, by=by, most=most).withColumn("passage", F.lit(False))
     if passage:
-        rows = rows.join(_packed(repeated_ranges(documents, length=passage, gram=max(1, passage // 2), unit="word", by="row", most=most), "passages"), "row", "left")
-    else:
-        rows = rows.withColumn("passages", F.lit(None).cast("array<struct<start:int,end:int>>"))
+        more = repeated_ranges(documents, length=passage, gram=max(1, passage // 2), unit="word", by="row", most=most)
+        ranges = ranges.unionByName(more.withColumn("passage", F.lit(True)))
+    spans = written(_spans(ranges.select("row", "passage", "start", "end")), "repeat-spans")
+    some = documents.sparkSession.sparkContext.broadcast(bitmap(spans.select("row")))
+
+    @F.arrow_udf("boolean")
+    def has(row: pa.Array) -> pa.Array:
+        return pa.array(some.value.has(np.asarray(row)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text, ranges, passages in zip(batch.column("text").cast(pa.binary()), batch.column("ranges"), batch.column("passages"), strict=True):
-                raw, spans = text.as_py(), _merged(ranges.as_py())
-                edges = [0, *(x for s in spans for x in s), len(raw)]
-                kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                shared = sum(b - a for a, b in _merged(passages.as_py())) if passage else None
-                out.append((len(raw), len(raw) - len(kept), [{"start": a, "end": b} for a, b in spans], kept, shared))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 5
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.binary(), pa.int64()]
-            yield pa.record_batch([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "spans", "kept", "shared_words"])
-
-    found = rows.select("doc_id", "text", "ranges", "passages")
-    return found.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept binary, shared_words long")
+            edges = batch.column("edges")
+            at = np.asarray(edges.offsets)
+            cut, at = np.asarray(edges.values)[at[0] : at[-1]], at - at[0]
+            raw, kept = batch.column("text").cast(pa.binary()), []
+            for k in range(batch.num_rows):
+                text = raw[k].as_py()
+                own = [0, *cut[at[k] : at[k + 1]].tolist(), len(text)]
+                kept.append(b"".join(text[a:b] for a, b in zip(own[::2], own[1::2], strict=True)))
+            long = pc.binary_length(raw).cast(pa.int64())
+            kept = pa.array(kept, pa.binary())
+            pairs = pa.StructArray.from_arrays([pa.array(cut[::2]), pa.array(cut[1::2])], ["start", "end"])
+            yield pa.record_batch([
+                batch.column("doc_id"), long, pc.subtract(long, pc.binary_length(kept).cast(pa.int64())),
+                pa.ListArray.from_arrays(pa.array((at // 2).astype(np.int32)), pairs), kept, batch.column("shared"),
+            ], ["doc_id", "n_bytes", "n_removed", "spans", "kept", "shared"])
+
+    rows = texts(documents, _row_id().alias("row"))
+    hit = rows.where(has("row")).join(spans, "row", "left").select("doc_id", "text", F.coalesce("edges", F.array().cast("array<int>")).alias("edges"), F.coalesce("shared", F.lit(0)).cast("long").alias("shared"))
+    hit = hit.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept binary, shared long")
+    none = F.array().cast("array<struct<start:int,end:int>>").alias("spans")
+    left = rows.where(~has("row")).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), none, F.col("text").cast("binary").alias("kept"), F.lit(0).cast("long").alias("shared"))
+    shared = F.col("shared") if passage else F.lit(None).cast("long")
+    return hit.unionByName(left).select("doc_id", "n_bytes", "n_removed", "spans", "kept", shared.alias("shared_words"))
 
 
 def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

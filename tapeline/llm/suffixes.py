@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Bytes are packed so many to a first key, nine bits for each.
+#: Bytes are packed so many to a first key, which has room for 257 digits.
 _PACKED = 7
 
 
@@ -24,15 +24,11 @@ class Suffixes:
         n = len(units)
         self.left = ends - np.arange(n)
         if units.dtype == np.uint8:
-            width, key = _PACKED, np.zeros(n, np.int64)
-            symbol = units.astype(np.int64) + 1
-            for k in range(_PACKED):
-                key <<= 9
-                key[: max(n - k, 0)] += np.where(self.left[: max(n - k, 0)] > k, symbol[k:], 0)
+            width, (key, self.order) = _PACKED, self._first()
         else:
             width, key = 1, np.where(self.left > 0, units.astype(np.int64) + 1, 0)
-        self.order = np.argsort(key)
-        key = key[self.order]
+            self.order = np.argsort(key)
+            key = key[self.order]
         new = np.ones(n, bool)
         alone = (self.left < width)[self.order]
         new[1:] = (key[1:] != key[:-1]) | alone[1:] | alone[:-1]
@@ -46,11 +42,9 @@ class Suffixes:
             slots = np.flatnonzero(open_)  # suffixes that share their rank
             if not len(slots):
                 break
-            own = self.order[slots]
-            key = rank[own].astype(np.int64) * n + rank[np.minimum(own + width, n - 1)]
-            order = np.argsort(key)
-            key = key[order]
-            self.order[slots] = own = own[order]
+            own = self.order.take(slots)
+            key, order = _sorted(rank.take(own), rank.take(np.minimum(own + width, n - 1)), n)
+            self.order[slots] = own = own.take(order)
             new, rank = new.copy(), rank.copy()
             new[slots[1:]] |= key[1:] != key[:-1]
             rank[own] = np.maximum.accumulate(np.where(new[slots], slots, 0))
@@ -58,17 +52,41 @@ class Suffixes:
             self.new.append(new)
             self.levels.append((width, rank))
 
+    def _first(self) -> tuple[np.ndarray, np.ndarray]:
+        """The first _PACKED bytes of each suffix as a number, in order, and where the suffixes begin. Digits are the
+        bytes that the buffer has, in their order, and 0 behind a string's end."""
+        has = np.bincount(self.units, minlength=256) > 0
+        base, n = int(has.sum()) + 1, len(self.units)
+        digit = np.where(self.left > 0, np.cumsum(has)[self.units], 0)
+
+        def behind(front: np.ndarray, back: np.ndarray, by: int, wide: int) -> np.ndarray:
+            out = front * base**wide
+            out[: max(n - by, 0)] += np.where(self.left[: max(n - by, 0)] > by, back[by:], 0)
+            return out
+
+        two = behind(digit, digit, 1, 1)
+        key = behind(behind(two, two, 2, 2), behind(two, digit, 2, 1), 4, 3)
+        bits = max(n - 1, 1).bit_length()
+        if base**_PACKED << bits >= 1 << 63:
+            order = np.argsort(key)
+            return key[order], order
+        key <<= bits
+        key += np.arange(n)
+        key.sort()
+        return key >> bits, key & (1 << bits) - 1
+
     def shared(self, least: int = 0) -> np.ndarray:
         """What each suffix has in common with the one before it in order, 0 for the first; of suffixes that the
         last doubling leaves equal, its width. Lengths below `least` may be given too short."""
         a, b = self.order[:-1], self.order[1:]
-        equal = np.sum([~new[1:] for new in self.new], axis=0)  # in so many levels, from the first on
+        equal = sum((~new[1:]).view(np.uint8) for new in self.new)  # in so many levels, from the first on
         widths = np.array([0, *(width for width, _ in self.levels)])
         common = widths[equal]
         for k in range(len(self.levels) - 2, -1, -1):
             width, rank = self.levels[k]
             on = np.flatnonzero((equal > k + 1) & (equal < len(self.levels)) & (common + 2 * width > least))
-            same = rank[a[on] + common[on]] == rank[b[on] + common[on]]
+            far = common.take(on)
+            same = rank.take(a.take(on) + far) == rank.take(b.take(on) + far)
             common[on[same]] += width
         if self.levels[0][0] > 1:
             on = np.flatnonzero((equal < len(self.levels)) & (common + self.levels[0][0] > least))
@@ -79,6 +97,22 @@ class Suffixes:
         return np.concatenate([[0], common])[: len(self.order)]
 
 
+def _sorted(first: np.ndarray, second: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of two numbers below `below`, sorted, and where they stood. A key carries its own place where 64 bits have
+    room for it, as values are sorted several times as fast as places."""
+    bits = max(below - 1, len(first) - 1, 1).bit_length()
+    if 3 * bits > 63:
+        key = first.astype(np.int64) * below + second
+        order = np.argsort(key)
+        return key[order], order
+    key = first.astype(np.int64) << bits
+    key += second
+    key <<= bits
+    key += np.arange(len(key))
+    key.sort()
+    return key >> bits, key & (1 << bits) - 1
+
+
 def with_copies(suffixes: Suffixes, shared: np.ndarray, lengths: np.ndarray, twice: np.ndarray, least: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """order and shared, of all strings, as if some of them stood twice, the second right after the first: a suffix of
     the second follows that of the first in order and has all of it in common.

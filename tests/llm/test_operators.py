@@ -197,6 +197,63 @@ def test_copies_enter_a_suffix_array_once(monkeypatch):
     assert (repeats.longest(held, repeats.Layout(8, 4), "any")[4] >= 8).sum() == 4 and sizes == [10]
 
 
+@pytest.mark.parametrize("n, values", [(300, 3), (300, 90), (9_000, 256)])
+def test_first_keys_order_suffixes_as_their_bytes(n, values):
+    rng = np.random.default_rng(4)
+    ends = np.sort(rng.choice(n - 1, n // 50, replace=False))
+    ends = np.append(ends, n - 1)
+    units = rng.integers(0, values, n).astype(np.uint8)
+    found = suffixes.Suffixes(units, ends[np.searchsorted(ends, np.arange(n))], 30)
+    raw = units.tobytes()
+    strings = [raw[i : i + left] for i, left in enumerate(found.left)]
+    assert [strings[i] for i in found.order] == sorted(strings) and sorted(found.order) == list(range(n))
+
+
+@pytest.mark.parametrize("below", [50, 1 << 17, 1 << 30])
+def test_pairs_of_ranks_are_sorted_with_their_places(below):
+    rng = np.random.default_rng(6)
+    first, second = rng.integers(0, below, (2, 3_000)).astype(np.int32)
+    first[:20], second[:20] = below - 1, below - 1
+    key, order = suffixes._sorted(first, second, below)
+    assert sorted(order) == list(range(3_000))
+    pairs = list(zip(first[order].tolist(), second[order].tolist(), strict=True))
+    assert pairs == sorted(pairs) and [a == b for a, b in zip(key, key[1:], strict=False)] == [a == b for a, b in zip(pairs, pairs[1:], strict=False)]
+
+
+def test_repeats_shuffle_no_text_without_ranges_and_aggregate_by_hash(spark, monkeypatch):
+    plans, kept = {}, repeats.written
+
+    def written(rows, tag):
+        plans[tag] = rows._jdf.queryExecution().sparkPlan().toString()
+        return kept(rows, tag)
+
+    monkeypatch.setattr(repeats, "written", written)
+    rows = [(i, t) for i, (_, t) in enumerate(repeat_rows())]
+    found = repeats.without_repeats(frame(spark, rows), length=20, gram=10, by="any")
+    assert "SortAggregate" not in plans["repeat-contexts"]
+    assert "has(row" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert cut(found) == Counter((rows[i][0], *x) for i, x in brute_repeats(rows, 20).items())
+
+
+def test_ranges_are_merged_across_batches(spark):
+    rng = random.Random(3)
+    ranges = [(rng.randint(1, 9), rng.random() < 0.3, a, a + rng.randint(1, 9)) for a in (rng.randint(0, 400) for _ in range(900))]
+    covered = defaultdict(set)
+    for row, passage, a, b in ranges:
+        covered[row, passage] |= {*range(a, b)}
+    touch = {(row, b) for row, passage, a, b in ranges if not passage} & {(row, a) for row, passage, a, b in ranges if not passage}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = repeats._spans(spark.createDataFrame(ranges, "row long, passage boolean, start int, end int").repartition(4)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert touch and sorted(r["row"] for r in found) == sorted({x[0] for x in ranges})
+    for r in found:
+        spans = list(zip(r["edges"][::2], r["edges"][1::2], strict=True))
+        assert {i for a, b in spans for i in range(a, b)} == covered[r["row"], False] and all(b < a for (_, b), (a, _) in zip(spans, spans[1:], strict=False))
+        assert r["shared"] == len(covered[r["row"], True])
+
+
 def test_repeats_of_all_halvings_are_placed_at_once(spark, monkeypatch):
     calls, placed = [], repeats._placed
     monkeypatch.setattr(repeats, "_placed", lambda *x: calls.append(x) or placed(*x))
